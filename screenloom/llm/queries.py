@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from screenloom.llm import bpe, chat, fingerprint
-from screenloom.llm.common import small_batches, table
+from screenloom.llm import bpe, chat, decontam, fingerprint, langid, shards, toxicity, urlfilter, warc
+from screenloom.llm.common import held_out, small_batches, table
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +47,87 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out().alias("held_out"), toxicity.score(model, docs).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.REJECT).cast("int"))
+
+
+def op6_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.kdtree_shards(table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derivative records of all pages, in short: what they refer to, what they keep of the source, their digests."""
+    small_batches(spark)
+    records = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    header = lambda name: F.filter("headers", lambda h: h["name"] == name)[0]["value"]
+    return records.select(
+        "page_id", "record_id", "type", header("WARC-Refers-To").alias("refers_to"), header("WARC-Target-URI").alias("target_uri"),
+        header("WARC-Source-Payload-Digest").alias("payload_digest"), header("WARC-Block-Digest").alias("block_digest"),
+        header("Content-Type").alias("content_type"), F.octet_length("block").cast("long").alias("block_bytes"), F.sha2("block", 256).alias("block_sha256"),
+    )
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds; clean documents have none."""
+    small_batches(spark)
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+#: The list that blocks where no rule fits: the pages of hosts that say by their name that they carry ads or adult content.
+LISTED_HOSTS = r"(^|\.)(ads|adult)-"
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.where(urlfilter.host_and_path(F.col("url"))[0].rlike(LISTED_HOSTS)).select("url")
+    return urlfilter.judge(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"), listed)
+
+
+OP9_SQL = r"""
+WITH parts AS (
+  SELECT page_id, coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') AS raw, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+    regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '^(www|m)\.', '') || regexp_replace(path, '/+$', '') AS name
+  FROM p
+), listed AS (SELECT DISTINCT name FROM ruled WHERE regexp_matches(host, '(^|\.)(ads|adult)-'))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN name IN (SELECT name FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(langid.fit(docs), docs)
+    return docs.select("doc_id", held_out().alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.*")
+
+
 def queries() -> dict:
-    return {"op2_fingerprint": op2_fingerprint, "op4_chat_format": op4_chat_format, "op5_bpe": op5_bpe}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_fingerprint": op2_fingerprint,
+        "op4_chat_format": op4_chat_format,
+        "op5_bpe": op5_bpe,
+        "op6_kdtree_shards": op6_kdtree_shards,
+        "op7_warc": op7_warc,
+        "op8_decontamination": op8_decontamination,
+        "op9_url_filter": op9_url_filter,
+        "op10_language_id": op10_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL}
+    return {"op4_chat_format": OP4_SQL, "op9_url_filter": OP9_SQL}
