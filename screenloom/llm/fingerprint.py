@@ -136,6 +136,6 @@ def compare_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     parts = first.select("part")
     # one row for each range: which range comes next, and after the last the first
     order = W.orderBy("part")
-    follows = parts.select("part", F.lead("part").over(order).alias("after")).crossJoin(F.broadcast(parts.agg(F.min("part").alias("top")))).select("part", F.coalesce("after", "top").alias("after"))
+    follows = parts.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("after"))
     pairs = inner.where("edge = 'last'").select("doc_id", F.col("edge_text").alias("text"), "part").join(follows, "part").join(first.select(F.col("part").alias("after"), F.col("edge_text").alias("following")), "after")
     return inner.where("edge is null").select(*names).unionByName(pairs.select("doc_id", "text", "following").mapInPandas(ends, COLUMNS))

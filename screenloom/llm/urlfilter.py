@@ -1,9 +1,8 @@
 """URL filters: a blocked Bloom filter passes possible hits to an exact hash join, in DataFrame operations alone.
 
 Listed URLs are canonical: the lower-cased host without port, login or a leading ``www.`` or ``m.``, then the path
-without a trailing slash, query or fragment. Their hashes fill a split-block Bloom filter: the hash picks one row of eight 32-bit
-words, and one bit in each word. The filter has at most ``MAX_BLOCKS`` rows (a proven bound, so it is broadcast); with
-more keys than it was made for it only passes more false positives, which the exact join removes.
+without a trailing slash, query or fragment. Their hashes fill a blocked Bloom filter of a bounded size (``bloom.py``),
+which is broadcast; the exact join removes its false positives.
 
 Rules (host, path, verdict) fit a host and all its subdomains, and paths that start with theirs; the longest wins. They
 go the same way: each URL offers the keys that could be rules for it (a suffix of its host, a prefix of its path of a
@@ -15,16 +14,14 @@ alike; a list or rule given twice counts once, of two verdicts for one rule ``bl
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS, KEYS_A_BLOCK, MAX_BLOCKS = 8, 20, 1 << 18
+from screenloom.llm.bloom import possible
+
 MAX_RULES = 100_000
-#: Odd multipliers under 2^31 that pick the bit of each word.
-SALTS = [0x47B6137B, 0x44974D91, 0x0824AD5B, 0x22B7289D, 0x705495C7, 0x2DF1424B, 0x1EFC4947, 0x5C6BFB31]
 PARTS = "://([^/?#]*)([^?#]*)"
 AT = ["page_id", "host", "path"]
 
@@ -42,31 +39,6 @@ def canonical(host: Column, path: Column) -> Column:
     return F.concat(bare, F.regexp_replace(path, "/+$", ""))
 
 
-def _bits(key: str) -> list[Column]:
-    """The bit of each word that ``key`` sets."""
-    low = f"(xxhash64({key}) & 4294967295L)"
-    return [F.expr(f"shiftleft(1L, cast(shiftright({low} * {salt}L & 4294967295L, 27) AS int))") for salt in SALTS]
-
-
-def _block(key: str, blocks: int) -> Column:
-    return F.expr(f"shiftrightunsigned(xxhash64({key}), 32) % {blocks}L")
-
-
-def bloom(keys: DataFrame) -> tuple[DataFrame, int]:
-    """The filter of the column ``key`` as rows ``block, w0 ... w7``, and its number of blocks; a partial aggregate."""
-    n = keys.count()
-    blocks = min(MAX_BLOCKS, 1 << max(0, math.ceil(math.log2(max(1, n) / KEYS_A_BLOCK))))
-    words = [F.bit_or(b).alias(f"w{k}") for k, b in enumerate(_bits("key"))]
-    return keys.groupBy(_block("key", blocks).alias("block")).agg(*words), blocks
-
-
-def possible(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose ``key`` may be among ``keys``: all that are, and few others."""
-    filled, blocks = bloom(keys)
-    hit = reduce(Column.__and__, [F.col(f"w{k}").bitwiseAND(b) != 0 for k, b in enumerate(_bits("key"))])
-    return rows.withColumn("block", _block("key", blocks)).join(F.broadcast(filled), "block").where(hit).select(*rows.columns)
-
-
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule`` and ``verdict`` of each row.
 
