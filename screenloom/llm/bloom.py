@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenloom.llm.common import fresh
+
 KEYS_A_BLOCK, MAX_BLOCKS = 20, 1 << 18
 #: Odd multipliers under 2^31 that pick the bit of each word.
 SALTS = [0x47B6137B, 0x44974D91, 0x0824AD5B, 0x22B7289D, 0x705495C7, 0x2DF1424B, 0x1EFC4947, 0x5C6BFB31]
@@ -20,24 +22,38 @@ SALTS = [0x47B6137B, 0x44974D91, 0x0824AD5B, 0x22B7289D, 0x705495C7, 0x2DF1424B,
 
 def _bits(key: str) -> list[Column]:
     """The bit of each word that ``key`` sets."""
-    low = f"(xxhash64({key}) & 4294967295L)"
+    low = f"(xxhash64(`{key}`) & 4294967295L)"
     return [F.expr(f"shiftleft(1L, cast(shiftright({low} * {salt}L & 4294967295L, 27) AS int))") for salt in SALTS]
 
 
 def _block(key: str, blocks: int) -> Column:
-    return F.expr(f"shiftrightunsigned(xxhash64({key}), 32) % {blocks}L")
+    return F.expr(f"shiftrightunsigned(xxhash64(`{key}`), 32) % {blocks}L")
 
 
-def bloom(keys: DataFrame) -> tuple[DataFrame, int]:
+def bloom(keys: DataFrame, key: str = "key") -> tuple[DataFrame, int]:
     """The filter of the column ``key`` as rows ``block, w0 ... w7``, and its number of blocks; a partial aggregate."""
     n = keys.count()
     blocks = min(MAX_BLOCKS, 1 << max(0, math.ceil(math.log2(max(1, n) / KEYS_A_BLOCK))))
-    words = [F.bit_or(b).alias(f"w{k}") for k, b in enumerate(_bits("key"))]
-    return keys.groupBy(_block("key", blocks).alias("block")).agg(*words), blocks
+    words = [F.bit_or(b).alias(f"w{k}") for k, b in enumerate(_bits(key))]
+    return keys.groupBy(_block(key, blocks).alias("block")).agg(*words), blocks
+
+
+def _asked(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """The rows with the words of their block beside them, and whether all bits are set."""
+    filled, blocks = bloom(keys, key)
+    word = fresh(rows.columns, "word")
+    filled = filled.select(F.col("block").alias(word + "_block"), F.array(*(f"w{k}" for k in range(len(SALTS)))).alias(word))
+    hit = reduce(Column.__and__, [F.col(word)[k].bitwiseAND(b) != 0 for k, b in enumerate(_bits(key))])
+    return rows.join(F.broadcast(filled), _block(key, blocks) == F.col(word + "_block"), "left"), F.coalesce(hit, F.lit(False))
 
 
-def possible(rows: DataFrame, keys: DataFrame) -> DataFrame:
+def possible(rows: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     """The rows whose ``key`` may be among ``keys``: all that are, and few others."""
-    filled, blocks = bloom(keys)
-    hit = reduce(Column.__and__, [F.col(f"w{k}").bitwiseAND(b) != 0 for k, b in enumerate(_bits("key"))])
-    return rows.withColumn("block", _block("key", blocks)).join(F.broadcast(filled), "block").where(hit).select(*rows.columns)
+    asked, hit = _asked(rows, keys, key)
+    return asked.where(hit).select(*rows.columns)
+
+
+def impossible(rows: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """The other rows: those whose ``key`` is certainly not among ``keys``, null keys too."""
+    asked, hit = _asked(rows, keys, key)
+    return asked.where(~hit | F.col(key).isNull()).select(*rows.columns)

@@ -191,6 +191,11 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """Learn from documents with a language that are not held out, within the bound of the sample."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.length("text").between(1, MAX_CHARS) & ~held_out("doc_id"))
+    # a share of each language by a hash, about twice what is needed, so that no language is gathered to be ranked
+    sizes = rows.select("lang").groupBy("lang").count().collect()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], (1 << 30) * 2 * MAX_DOCS // r["count"])))
+    rows = rows.where(place <= share[F.col("lang")]) if sizes else rows
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= MAX_DOCS)
     return train([(r["text"], r["lang"]) for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["k"]))])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenloom.llm import bpe, chat, decontam, fingerprint, langid, shards, toxicity, urlfilter, warc
+from screenloom.llm import bpe, chat, decontam, fingerprint, langid, neardup, shards, toxicity, urlfilter, warc
 from screenloom.llm.common import held_out, small_batches, table
 
 
@@ -15,6 +15,30 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked at a similarity of 0.8 over sets of four-word shingles."""
+    small_batches(spark)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))) END AS s FROM words
+), sized AS (SELECT doc_id, len(s) AS n FROM shingled),
+flat AS (SELECT doc_id, unnest(s) AS shingle FROM shingled),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common_n FROM flat a JOIN flat b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * common_n >= 80 * (x.n + y.n - common_n)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sized UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sized JOIN least USING (doc_id)
+"""
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts look like the template's own marks."""
     small_batches(spark)
@@ -119,6 +143,7 @@ def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_fingerprint": op2_fingerprint,
+        "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_chat_format": op4_chat_format,
         "op5_bpe": op5_bpe,
         "op6_kdtree_shards": op6_kdtree_shards,
@@ -130,4 +155,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op9_url_filter": OP9_SQL}
+    return {"op3_minhash_near_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op9_url_filter": OP9_SQL}

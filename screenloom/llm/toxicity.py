@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from screenloom.llm.common import held_out
 from screenloom.llm.words import ChunkTable, code_points, hashes
 
-MAX_DOCS, MAX_CHARS = 4000, 20_000
+MAX_DOCS, MAX_CHARS = 3000, 20_000
 BITS, DIM, WINDOW, TOP = 17, 8, 3, 3
 REJECT = 0.3
 #: Texts with fewer windows than this count as having so many.
