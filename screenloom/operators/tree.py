@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from screenloom.cut import cut
 from screenloom.functions.geometry import valid
 from screenloom.functions.text import escape_name
 from screenloom.schema import REF_ROLES
@@ -113,7 +114,7 @@ def normalize_web(nodes: DataFrame) -> DataFrame:
     """
     count = nodes.count()
     while True:
-        nodes = drop_redundant_text(fold_generic_native(merge_adjacent_text(nodes))).checkpoint()
+        nodes = cut(drop_redundant_text(fold_generic_native(merge_adjacent_text(nodes))))
         now = nodes.count()
         if now == count:
             return nodes
