@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from screenloom.schema import ROLES
 
 EVIDENCE = ["baseline_id", "target_id", "evidence_id"]
-PASS, FAIL = F.lit("PASS"), F.lit("FAIL")
 
 
 def verdict(test: Column) -> Column:
-    return F.when(test, PASS).otherwise(FAIL)
+    return F.when(test, F.lit("PASS")).otherwise(F.lit("FAIL"))
 
 
 def match_evidence(nodes: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -65,23 +65,25 @@ PROMPTS = {
 }
 PROMPTS["FULL_IMAGE_WITH_BOUNDS_BATCHED"] = PROMPTS["FULL_IMAGE_WITH_BOUNDS"]
 
-IN_SET = W.partitionBy("testset_id").orderBy("position")
+
+def in_set() -> WindowSpec:
+    return W.partitionBy("testset_id").orderBy("position")
 
 
 def label_targets(targets: DataFrame) -> DataFrame:
     """Labels ``1``, ``2`` ... in the order of the list."""
-    return targets.withColumn("label", F.row_number().over(IN_SET).cast("string"))
+    return targets.withColumn("label", F.row_number().over(in_set()).cast("string"))
 
 
 def batch_targets(targets: DataFrame, size: int) -> DataFrame:
     """Batch numbers from 1, of ``size`` targets (3 to 5, any other is 3)."""
     size = size if 3 <= size <= 5 else 3
-    return targets.withColumn("batch", (F.floor((F.row_number().over(IN_SET) - 1) / size) + 1).cast("int"))
+    return targets.withColumn("batch", (F.floor((F.row_number().over(in_set()) - 1) / size) + 1).cast("int"))
 
 
 def montage_layout(targets: DataFrame, columns: int = 3, cell: tuple[int, int] = (220, 190), label: int = 38, pad: int = 16) -> DataFrame:
     """Where each target's crop stands in the montage of its test set, and the size of that."""
-    k = F.row_number().over(IN_SET) - 1
+    k = F.row_number().over(in_set()) - 1
     rows = F.ceil(F.count("*").over(W.partitionBy("testset_id")) / columns)
     width, height = cell[0] - 2 * pad, cell[1] - label - 2 * pad
     ok = F.coalesce((F.col("bounds.right") > F.col("bounds.left")) & (F.col("bounds.bottom") > F.col("bounds.top")), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,14 +11,16 @@ from screenloom.functions.geometry import valid
 from screenloom.functions.text import escape_name
 from screenloom.schema import REF_ROLES
 
-TREE = W.partitionBy("tree_id")
+
+def by_tree() -> WindowSpec:
+    return W.partitionBy("tree_id")
 
 
 def number_preorder(nodes: DataFrame) -> DataFrame:
     """Node ids anew from 0 in pre-order, with parents and paths by the new ids. Needs ``node_id`` in pre-order."""
-    order = TREE.orderBy("node_id")
+    order = by_tree().orderBy("node_id")
     numbered = nodes.withColumn("_new", (F.row_number().over(order) - 1).cast("int"))
-    ids = F.map_from_entries(F.collect_list(F.struct("node_id", "_new")).over(TREE))
+    ids = F.map_from_entries(F.collect_list(F.struct("node_id", "_new")).over(by_tree()))
     moved = numbered.withColumn("_ids", ids)
     return moved.select(
         *(c for c in nodes.columns if c not in ("node_id", "parent_id", "path")),
@@ -30,7 +32,7 @@ def number_preorder(nodes: DataFrame) -> DataFrame:
 
 def reattach(nodes: DataFrame, gone: Column) -> DataFrame:
     """Remove the nodes of which ``gone`` holds; children move to the nearest ancestor that stays, order unchanged."""
-    lost = F.collect_set(F.when(gone, F.col("node_id"))).over(TREE)
+    lost = F.collect_set(F.when(gone, F.col("node_id"))).over(by_tree())
     marked = nodes.withColumn("_gone", gone).withColumn("_lost", lost)
     path = F.filter("path", lambda p: ~F.array_contains(F.col("_lost"), p))
     kept = marked.where(~F.col("_gone")).withColumn("path", path).withColumn("depth", F.size("path"))
@@ -41,7 +43,7 @@ def reattach(nodes: DataFrame, gone: Column) -> DataFrame:
 
 def drop_subtrees(nodes: DataFrame, gone: Column) -> DataFrame:
     """Remove the nodes of which ``gone`` holds, with all that is below them."""
-    lost = F.collect_set(F.when(gone, F.col("node_id"))).over(TREE)
+    lost = F.collect_set(F.when(gone, F.col("node_id"))).over(by_tree())
     marked = nodes.withColumn("_lost", lost)
     return marked.where(~F.array_contains("_lost", F.col("node_id")) & ~F.arrays_overlap("_lost", "path")).select(*nodes.columns)
 
@@ -52,7 +54,7 @@ def cap_depth(nodes: DataFrame, most: int = 50) -> DataFrame:
 
 def child_count() -> Column:
     """How many children each node has, as a window over its tree: no join."""
-    parents = F.collect_list("parent_id").over(TREE)
+    parents = F.collect_list("parent_id").over(by_tree())
     return F.size(F.filter(parents, lambda p: p == F.col("node_id")))
 
 
@@ -87,7 +89,7 @@ def merge_adjacent_text(nodes: DataFrame) -> DataFrame:
     size = F.count("*").over(group)
     marked = marked.withColumn("_size", size).withColumn("_names", F.when(F.col("_size") > 1, names))
     merged = (F.col("_size") > 1) & is_text
-    lost_below = F.collect_set(F.when(merged, F.col("node_id"))).over(TREE)
+    lost_below = F.collect_set(F.when(merged, F.col("node_id"))).over(by_tree())
     marked = marked.withColumn("_merged", merged).withColumn("_below", lost_below)
     kept = marked.where(((F.col("_break") == 1) | ~F.col("_merged")) & ~F.arrays_overlap("_below", "path"))
     kept = kept.withColumn("name", F.when(F.col("_merged"), F.array_join(F.filter("_names", lambda n: n != ""), " ")).otherwise(F.col("name")))
@@ -138,14 +140,14 @@ def assign_refs(nodes: DataFrame, prefix: str = "n", web_mode: bool = False) ->
         maybe = F.arrays_overlap("states", F.array(*map(F.lit, ("clickable=guessed", "clickable-guessed"))))
         item = (F.col("role") == "listitem") & (sure | (maybe & F.col("_busy").isNull()))
         picked = nodes.join(below, ["tree_id", "node_id"], "left").withColumn("_ok", valid(F.col("bounds")) & (item | F.col("role").isin(*REF_ROLES)))
-    number = F.sum(F.col("_ok").cast("int")).over(TREE.orderBy("node_id").rowsBetween(W.unboundedPreceding, 0))
+    number = F.sum(F.col("_ok").cast("int")).over(by_tree().orderBy("node_id").rowsBetween(W.unboundedPreceding, 0))
     ref = F.when(F.col("_ok"), F.concat(F.lit(prefix), number.cast("string"))).otherwise(F.col("ref"))
     return picked.withColumn("ref", ref).select(*nodes.columns)
 
 
 def mark_webviews(nodes: DataFrame) -> DataFrame:
     """The state ``web`` on every topmost web view."""
-    views = F.collect_set(F.when(F.col("role") == "webview", F.col("node_id"))).over(TREE)
+    views = F.collect_set(F.when(F.col("role") == "webview", F.col("node_id"))).over(by_tree())
     top = (F.col("role") == "webview") & ~F.arrays_overlap("_views", "path")
     return nodes.withColumn("_views", views).withColumn("states", F.when(top, F.array_append("states", F.lit("web"))).otherwise(F.col("states"))).select(*nodes.columns)
 
@@ -165,7 +167,7 @@ def snapshot_line(boxes: bool = False) -> Column:
 
 def render_snapshot(nodes: DataFrame, boxes: bool = False, max_depth: int = 0) -> DataFrame:
     """``tree_id`` and its ``snapshot``: a line per node, indented by depth."""
-    following = F.lead("depth").over(TREE.orderBy("node_id"))  # in pre-order a node has children if the next one is deeper
+    following = F.lead("depth").over(by_tree().orderBy("node_id"))  # in pre-order a node has children if the next one is deeper
     lined = nodes.withColumn("_parent", F.coalesce(following > F.col("depth"), F.lit(False)))
     colon = F.col("_parent")
     if max_depth > 0:
@@ -194,7 +196,7 @@ def web_element_map(nodes: DataFrame) -> DataFrame:
 def role_histogram(nodes: DataFrame, top: int = 6) -> DataFrame:
     """``tree_id`` and its commonest roles as ``role×count``, ties by name."""
     counts = nodes.groupBy("tree_id", "role").agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("k", F.row_number().over(TREE.orderBy(F.desc("n"), "role"))).where(F.col("k") <= top)
+    ranked = counts.withColumn("k", F.row_number().over(by_tree().orderBy(F.desc("n"), "role"))).where(F.col("k") <= top)
     parts = F.array_sort(F.collect_list(F.struct("k", F.concat("role", F.lit("×"), F.col("n").cast("string")).alias("part"))))
     return ranked.groupBy("tree_id").agg(F.array_join(F.transform(parts, lambda p: p["part"]), " ").alias("roles"))
 

@@ -167,14 +167,14 @@ def hidden_html(nodes: DataFrame) -> DataFrame:
 
     ``display:none`` and ``aria-hidden`` above a node hide it as well.
     """
-    from screenloom.operators.tree import TREE, reattach
+    from screenloom.operators.tree import by_tree, reattach
 
     style = F.regexp_replace(F.lower(F.coalesce(F.col("attrs")["style"], F.lit(""))), r"\s+", "")
     none = F.contains(style, F.lit("display:none")) | F.map_contains_key("attrs", "hidden")
     unseen = F.contains(style, F.lit("visibility:hidden")) | style.rlike(r"opacity:0(\.0*)?(;|$)")
     covers = none | F.coalesce(F.col("attrs")["aria-hidden"] == "true", F.lit(False))
-    marked = nodes.withColumn("_covers", F.collect_set(F.when(covers, F.col("node_id"))).over(TREE))
-    marked = marked.withColumn("_selects", F.collect_set(F.when(F.col("tag") == "select", F.col("node_id"))).over(TREE))
+    marked = nodes.withColumn("_covers", F.collect_set(F.when(covers, F.col("node_id"))).over(by_tree()))
+    marked = marked.withColumn("_selects", F.collect_set(F.when(F.col("tag") == "select", F.col("node_id"))).over(by_tree()))
     gone = none | unseen | F.arrays_overlap("_covers", "path") | F.coalesce(F.col("attrs")["aria-hidden"] == "true", F.lit(False))
     free = (F.col("tag") == "option") & F.arrays_overlap("_selects", "path")
     return reattach(marked.withColumn("_hide", gone & ~free), F.col("_hide")).select(*nodes.columns)
@@ -198,12 +198,12 @@ def html_role(nodes: DataFrame) -> DataFrame:
 
     Nodes with neither (``role`` null) are left out of the tree by ``html_nodes``.
     """
-    from screenloom.operators.tree import TREE
+    from screenloom.operators.tree import by_tree
 
     def ids(*tags: str) -> Column:
-        return F.collect_set(F.when(F.col("tag").isin(*tags), F.col("node_id"))).over(TREE)
+        return F.collect_set(F.when(F.col("tag").isin(*tags), F.col("node_id"))).over(by_tree())
 
-    grids = F.collect_set(F.when((F.col("tag") == "table") & _said("role").isin("grid", "treegrid"), F.col("node_id"))).over(TREE)
+    grids = F.collect_set(F.when((F.col("tag") == "table") & _said("role").isin("grid", "treegrid"), F.col("node_id"))).over(by_tree())
     n = nodes.withColumn("_land", ids("article", "aside", "main", "nav", "section")).withColumn("_grids", grids).withColumn("_heads", ids("thead"))
     first_cell = F.row_number().over(W.partitionBy("tree_id", "parent_id").orderBy("node_id")) == 1
     tag = F.col("tag")
@@ -276,10 +276,10 @@ def html_name(nodes: DataFrame) -> DataFrame:
 def html_states(nodes: DataFrame) -> DataFrame:
     """``states`` of each node with a role, in order; a disabled fieldset disables what is in it."""
     from screenloom.functions.names import states_of
-    from screenloom.operators.tree import TREE
+    from screenloom.operators.tree import by_tree
 
     off = ((F.col("tag") == "fieldset") & _has("disabled")) | (_said("aria-disabled") == "true")
-    n = nodes.withColumn("_off", F.collect_set(F.when(off, F.col("node_id"))).over(TREE))
+    n = nodes.withColumn("_off", F.collect_set(F.when(off, F.col("node_id"))).over(by_tree()))
     role, tag, form = F.col("role"), F.col("tag"), F.lower(_said("type"))
     is_on = _has("checked")
     checked = within(role, CHECKED) & (is_on | (_said("aria-checked") == "true"))
