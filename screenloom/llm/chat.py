@@ -1,6 +1,6 @@
 r"""Chat formatting with a grammar round trip.
 
-A turn is rendered as ``### Role: text</turn>`` and a newline. The role is one of three titles, or any other role as a
+A turn is rendered as ``### Role: text``, a newline, ``</turn>`` and a newline. The role is one of three titles, or any other role as a
 JSON string (``null`` for none). In a text, a *mark* is ``###`` or ``</turn>``; with n backslashes in front it reads
 back as n - 1 backslashes and the plain mark, and without any it belongs to the template. So every text has exactly one
 escaped form. Each turn is rendered plainly first and parsed again; only where the parser doesn't give back the source,
@@ -45,7 +45,7 @@ def escaped(text: str) -> str:
 
 
 def render(role: str | None, text: str) -> str:
-    return f"{header(role)}{text}{END}\n"
+    return f"{header(role)}{text}\n{END}\n"
 
 
 def parse(rendered: str) -> list[tuple[str | None, str, int, int]]:
@@ -65,9 +65,10 @@ def parse(rendered: str) -> list[tuple[str | None, str, int, int]]:
             elif mark[2] != END:
                 raise Malformed(f"a turn begins inside another at {mark.start()}")
             else:
-                if not rendered.startswith("\n", done):
-                    raise Malformed(f"no line ends at {done}")
-                turns.append((role, "".join(text), begin, mark.start()))
+                said = "".join(text)
+                if not said.endswith("\n") or not rendered.startswith("\n", done):
+                    raise Malformed(f"the end at {mark.start()} is not on a line of its own")
+                turns.append((role, said[:-1], begin, mark.start() - 1))
                 at = done + 1
                 break
         else:

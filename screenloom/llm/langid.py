@@ -38,10 +38,15 @@ UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+DIGIT = re.compile(r"\d")
+
+
 def runs(text: str) -> list[str]:
-    """Runs of letters of a lower-cased text."""
+    """Runs of letters of a lower-cased chunk. Chunks with digits are keys, numbers and addresses, not words."""
     if text.isalpha():
         return [text]
+    if DIGIT.search(text):
+        return []
     found = LETTERS.findall(text)
     return [w for r in found for w in ([r] if r.isalpha() else "".join(c if c.isalpha() else " " for c in r).split())]
 
@@ -147,7 +152,12 @@ class Model:
 
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character by language, and the number of predicted characters, of each text."""
-        sums = np.array([v.sum(0, dtype=np.float64) for v in self.known.look_up([t.lower().split() for t in texts])]).reshape(len(texts), -1)
+        def summed(of: list[str]) -> np.ndarray:
+            return np.array([v.sum(0, dtype=np.float64) for v in self.known.look_up([t.lower().split() for t in of])]).reshape(len(of), -1)
+
+        sums = summed(texts)
+        if len(bare := np.flatnonzero(sums[:, -1] == 0)):  # letters beside digits count where there are no others
+            sums[bare] = summed([DIGIT.sub(" ", texts[k]) for k in bare])
         n = sums[:, -1]
         return -sums[:, :-1] / np.maximum(n, 1)[:, None], n
 

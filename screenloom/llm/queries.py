@@ -51,12 +51,7 @@ OP4_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
-), sized AS (
-  SELECT *, length(role) + length('### : </turn>') + 1 + length(text) + length(regexp_replace(text, '###|</turn>', '\0\0', 'g')) - length(text)
-    - len(regexp_extract_all(text, '###')) * 3 - len(regexp_extract_all(text, '</turn>')) * 7
-    + len(regexp_extract_all(text, '###|</turn>')) AS chars
-  FROM turns
-)
+), sized AS (SELECT *, length(role) + length(text) + len(regexp_extract_all(text, '###|</turn>')) + 15 AS chars FROM turns)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
@@ -110,7 +105,8 @@ LISTED_HOSTS = r"(^|\.)(ads|adult)-"
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     listed = pages.where(urlfilter.host_and_path(F.col("url"))[0].rlike(LISTED_HOSTS)).select("url")
-    return urlfilter.judge(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"), listed)
+    rules = ", ".join(map(str, RULES))
+    return urlfilter.judge(pages, spark.sql(f"SELECT * FROM VALUES {rules} AS t(host, path, verdict)"), listed)
 
 
 OP9_SQL = r"""

@@ -72,7 +72,7 @@ def grow(points: DataFrame, shards: int, target: float) -> DataFrame:
     """``points`` with the ``shard`` of each, the leaf of the tree that it comes to."""
     spark, dimensions = points.sparkSession, 4
     nodes: dict[int, tuple[int, int]] = {0: (0, shards)}  # the first shard that a node gives, and how many
-    placed = points.withColumn("node", F.lit(0).cast("long"))
+    placed = points
     while opened := {n: v for n, v in nodes.items() if v[1] > 1}:
         here = placed.join(listed(spark, "node", [(n,) for n in opened]), "node")
         ends = [f(F.col("at")[d]).alias(f"{n}{d}") for d in range(dimensions) for n, f in (("min", F.min), ("max", F.max))]
@@ -112,7 +112,7 @@ def grow(points: DataFrame, shards: int, target: float) -> DataFrame:
             s = search.get(n, {"d": 0, "cut": 0})  # a node without rows
             splits.append((n, s["d"], s["cut"], left, right))
         side = F.expr("CASE WHEN left IS NULL THEN node WHEN at[cast(d AS int)] <= cut THEN left ELSE right END")
-        placed = placed.join(listed(spark, "node, d, cut, left, right", splits), "node", "left").select(*points.columns, side.alias("node"))
+        placed = placed.join(listed(spark, "node, d, cut, left, right", splits), "node", "left").select(*(c for c in points.columns if c != "node"), side.alias("node"))
     leaves = listed(spark, "node, shard", [(n, first) for n, (first, count) in nodes.items() if count == 1])
     return placed.join(leaves, "node").drop("node").withColumn("shard", F.col("shard").cast("int"))
 
@@ -128,7 +128,8 @@ def kdtree_shards(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", tex
     target = whole["bytes"] / shards
     # fewer than ``shards`` texts can outweigh a shard: the list is bounded
     heavy = [r["text_hash"] for r in rows.groupBy("text_hash").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > target).select("text_hash").collect()]
-    points = settle(coordinates(rows, [whole[f"min{d}"] for d in range(dimensions)], [whole[f"max{d}"] for d in range(dimensions)], heavy))
+    points = coordinates(rows, [whole[f"min{d}"] for d in range(dimensions)], [whole[f"max{d}"] for d in range(dimensions)], heavy)
+    points = settle(points.withColumn("node", F.lit(0).cast("long")))  # written, so that it is a column to join on like any other
     placed = settle(grow(points, shards, target).drop("at"))
     # slots: numbered inside strips of a bounded size, each strip beginning where the one before it ends
     strips = max(1, -(-whole["n"] // (shards * SLOT_ROWS)))

@@ -94,7 +94,7 @@ class Model:
         return np.where([len(s) > 0 for s in found], 1 / (1 + np.exp(-np.clip(x @ self.curve[:3] + self.curve[3], -30, 30))), 0.0)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1.0) -> np.ndarray:
     """Newton's method; the last coefficient is the bias."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     w = np.zeros(x.shape[1])
@@ -122,6 +122,8 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
     vectors = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     softmax = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
+    # sums of squared slopes: each bucket and weight slows down by what it has moved (Adagrad), so that no step runs away
+    squares, seen = np.full((DIM, 2), 1e-6, np.float32), np.full(1 << BITS, 1e-8, np.float32)
 
     def step(spans: list[np.ndarray], labels: np.ndarray, rate: float) -> None:
         """One minibatch: each span holds the words of a window; a word's vector is the mean of its subwords'."""
@@ -137,11 +139,14 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(spans)), labels] -= 1
         back = p @ softmax.T
-        softmax[:] -= rate * (mean.T @ p) / len(spans) * 8
+        slope = mean.T @ p / len(spans)
+        squares[:] += slope**2
+        softmax[:] -= rate * slope / np.sqrt(squares)
         bias[:] -= rate * p.mean(0)
         used, where = np.unique(ids, return_inverse=True)
-        for d in range(DIM):
-            vectors[used, d] -= rate * np.bincount(where, weights=back[row, d] * weight).astype(np.float32)
+        slopes = np.stack([np.bincount(where, weights=back[row, d] * weight) for d in range(DIM)], 1)
+        seen[used] += (slopes**2).mean(1).astype(np.float32)
+        vectors[used] -= (rate * slopes / np.sqrt(seen[used])[:, None]).astype(np.float32)
 
     def epoch(spans: list[np.ndarray], labels: np.ndarray, rate: float, batch: int = 256) -> None:
         for at in np.array_split(rng.permutation(len(spans)), max(1, len(spans) // batch)):
@@ -153,7 +158,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
 
     has = [k for k in range(len(docs)) if len(docs[k])]
     noisy = [(s, y[k]) for k in has for s in cut(docs[k], 2 * WINDOW, 60 if y[k] else 12)]
-    for rate in (2.0, 1.0):
+    for rate in (0.3, 0.2):
         epoch([s for s, _ in noisy], np.array([x for _, x in noisy]), rate)
 
     def per_bucket() -> np.ndarray:
@@ -162,7 +167,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
     def per_word() -> np.ndarray:
         return np.bincount(np.repeat(np.arange(len(size)), size), weights=per_bucket()[b], minlength=len(size)) / np.maximum(size, 1)
 
-    for rate in (1.0, 1.0, 0.7, 0.5, 0.3, 0.2):
+    for rate in (0.2, 0.2, 0.15, 0.1, 0.1, 0.05):
         score, spans, labels = per_word(), [], []
         for k in has:
             w = windows(score[docs[k]])
