@@ -24,7 +24,7 @@ def match_evidence(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
     keys = ["baseline_id", "run_id"]
     named = nodes.groupBy(*keys, "role", "name").agg(F.count("*").alias("by_name"))
     any_name = named.groupBy(*keys, "role").agg(F.sum("by_name").alias("by_role"))
-    wanted = nodes.select(*keys).distinct().join(evidence, "baseline_id")
+    wanted = any_name.select(*keys).distinct().join(evidence, "baseline_id")
     met = wanted.join(named, [*keys, "role", "name"], "left").join(any_name, [*keys, "role"], "left")
     count = F.coalesce(F.when(F.col("name") == "", F.col("by_role")).otherwise(F.col("by_name")), F.lit(0))
     return met.withColumn("actual_count", count).drop("by_name", "by_role")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from screenloom.cut import cut
 from screenloom.functions import geometry, text
 from screenloom.operators import actions, boxes, evaluate, icons, native, tree
 from screenloom.plans import views as V
@@ -247,15 +248,16 @@ def a2(spark, sf):
     JOIN (SELECT run_id, count(*) FILTER (status = 'PASS') AS cp, count(*) AS ct FROM judged GROUP BY run_id) c USING (run_id)
     JOIN (SELECT run_id, count(*) FILTER (passed = total) AS tp, count(*) AS tt, CAST(sum(passed) AS BIGINT) AS ep, CAST(sum(total) AS BIGINT) AS et FROM scored GROUP BY run_id) s USING (run_id)"""))
 def a3(spark, sf):
-    artifacts = run_nodes(spark, sf).withColumn("schema_status", F.lit("PASS"))
-    j = judged(spark, sf)
+    nodes = cut(run_nodes(spark, sf))
+    artifacts = nodes.withColumn("schema_status", F.lit("PASS"))
+    j = cut(evaluate.evaluate_counts(evaluate.match_evidence(nodes, evidence(spark))))
     return evaluate.summarize_run(artifacts, j, evaluate.score_targets(j))
 
 
 @query("a4_capability_coverage", """SELECT coalesce(nullif(capability, ''), 'default') AS capability, baseline_id, count(*) FILTER (status = 'PASS') AS passed, count(*) AS total FROM judged GROUP BY 1, 2
 UNION ALL SELECT coalesce(nullif(capability, ''), 'default'), NULL, count(*) FILTER (status = 'PASS'), count(*) FROM judged GROUP BY 1""")
 def a4(spark, sf):
-    return evaluate.capability_coverage(judged(spark, sf))
+    return evaluate.capability_coverage(cut(judged(spark, sf)))
 
 
 @query("a6_decode_detections", """SELECT * FROM (SELECT vec_id AS id, v[1] - v[3] / 2 AS x1, v[2] - v[4] / 2 AS y1, v[1] + v[3] / 2 AS x2, v[2] + v[4] / 2 AS y2, list_max(v[5:]) AS score,

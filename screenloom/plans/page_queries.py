@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenloom.cut import cut
 from screenloom.functions import names, roles
 from screenloom.operators import actions, evaluate, native, tree
 from screenloom.plans import views as V
-from screenloom.plans.native_queries import conversation_tree, flat
+from screenloom.plans.native_queries import conversation_tree, evidence, flat, run_nodes
 from screenloom.plans.registry import query
 from screenloom.sources import files, markup, texts, trees
 
@@ -244,6 +245,29 @@ def w1(spark, sf):
     return back.select("baseline_id", "run_id", "plugin", "stage", "file", F.length("content").alias("chars"))
 
 
+@query("w2_write_evaluation", """SELECT run_id, baseline_id, count(*) AS targets, CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(total) AS BIGINT) AS evidence, CASE WHEN bool_and(passed = total) THEN 'PASS' ELSE 'FAIL' END AS status FROM scored GROUP BY run_id, baseline_id""")
+def w2(spark, sf):
+    """Evaluations written as JSON and read again."""
+    nodes = cut(run_nodes(spark, sf))
+    results = cut(evaluate.evaluate_counts(evaluate.match_evidence(nodes, evidence(spark))))
+    targets = evaluate.score_targets(results)
+    root = _folder(spark)
+    files.write_evaluation(results, targets, results, evaluate.summarize_run(nodes.withColumn("schema_status", F.lit("PASS")), results, targets), root)
+    back = spark.read.schema("run_id long, baseline_id int, summary struct<status:string>, targetResults array<struct<passed:bigint,evidenceResults:array<struct<status:string>>>>").json(root)
+    total = lambda f: F.aggregate("targetResults", F.lit(0).cast("long"), lambda n, t: n + f(t))
+    return back.select("run_id", "baseline_id", F.size("targetResults").cast("long").alias("targets"), total(lambda t: t["passed"]).alias("passed"), total(lambda t: F.size(t["evidenceResults"]).cast("long")).alias("evidence"), F.col("summary.status").alias("status"))
+
+
+@query("s9_read_experiment_runs", "SELECT run_id, CAST(floor(epoch(created)) AS BIGINT) * 1000 AS created_ms, mode, inference_ms, 1 AS batches FROM runs")
+def s9(spark, sf):
+    """Runs written as JSON and read again with their defaults."""
+    root = _folder(spark)
+    runs = V.runs(spark, sf)
+    runs.select(F.col("run_id").alias("runId"), (F.unix_seconds(F.col("created").cast("timestamp")) * 1000).alias("createdAtMs"), F.col("mode").alias("inputMode"), F.when(F.col("inference_ms") >= 0, F.col("inference_ms")).alias("inferenceMs")).write.json(root)
+    back = files.read_experiment_runs(spark, root)
+    return back.select(F.col("runId").alias("run_id"), F.col("createdAtMs").alias("created_ms"), F.col("inputMode").alias("mode"), F.col("inferenceMs").alias("inference_ms"), F.col("batchCount").alias("batches"))
+
+
 @query("w3_safe_file_name", "SELECT doc_id, CASE WHEN regexp_replace(trim(substr(text, 1, 20)), '[^a-zA-Z0-9._-]', '_', 'g') = '' THEN 'icon_experiment_run' ELSE regexp_replace(trim(substr(text, 1, 20)), '[^a-zA-Z0-9._-]', '_', 'g') END AS file FROM documents")
 def w3(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", files.safe_file_name(F.substring("text", 1, 20)).alias("file"))
