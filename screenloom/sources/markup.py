@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from screenloom.cut import cut
 from screenloom.functions import geometry
 from screenloom.schema import RAW_FLAGS
 
@@ -311,7 +312,9 @@ def html_nodes(df: DataFrame, tree_id: str = "page_id", html: str = "html", max_
     """Pages to the node contract: read, hide, role, name and states; elements without a role give way to their children."""
     from screenloom.operators.tree import reattach
 
-    n = html_states(html_name(html_role(hidden_html(read_html_pages(df, tree_id, html, max_depth)))))
+    # names look at the nodes in several ways: the pages are taken apart once
+    roled = cut(html_role(hidden_html(read_html_pages(df, tree_id, html, max_depth))))
+    n = html_states(html_name(roled))
     n = reattach(n, F.col("role").isNull())
     empty = F.lit("")
     return n.select(
