@@ -128,6 +128,22 @@ FROM ruled
 """
 
 
+#: Words that a host of junk pages has in its name, one family each.
+JUNK_WORDS = "casino bets ads spam pills adult".split()
+
+
+def op9_junk_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op9_url_filter`` with a list of all families of junk hosts, found by the words of their names."""
+    pages = table(spark, sf_dir, "pages")
+    words = spark.sql(f"SELECT * FROM VALUES {', '.join(f'({w!r})' for w in JUNK_WORDS)} AS t(word)")
+    rules = ", ".join(map(str, RULES))
+    return urlfilter.judge(pages, spark.sql(f"SELECT * FROM VALUES {rules} AS t(host, path, verdict)"), urlfilter.junk_urls(pages, words))
+
+
+#: The twin lists whole host names, none of the words.
+JUNK_HOSTS_SQL = OP9_SQL.replace(r"regexp_matches(host, '(^|\.)(ads|adult)-')", "list_has_any(string_split(host, '.'), ['casino-win', 'free-bets', 'ads-track', 'spam-farm', 'cheap-pills', 'adult-x'])")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
@@ -146,9 +162,10 @@ def queries() -> dict:
         "op7_warc": op7_warc,
         "op8_decontamination": op8_decontamination,
         "op9_url_filter": op9_url_filter,
+        "op9_junk_hosts": op9_junk_hosts,
         "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op9_url_filter": OP9_SQL}
+    return {"op3_minhash_near_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op9_url_filter": OP9_SQL, "op9_junk_hosts": JUNK_HOSTS_SQL}

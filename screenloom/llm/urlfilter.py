@@ -33,10 +33,20 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return lowered, F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
 
 
+def bare_host(host: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":\d*$", ""), r"^(www|m)\.", "")
+
+
 def canonical(host: Column, path: Column) -> Column:
     """What a listed URL is called."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":\d*$", ""), r"^(www|m)\.", "")
-    return F.concat(bare, F.regexp_replace(path, "/+$", ""))
+    return F.concat(bare_host(host), F.regexp_replace(path, "/+$", ""))
+
+
+def junk_urls(pages: DataFrame, words: DataFrame, url: str = "url") -> DataFrame:
+    """``url`` of the pages on hosts with a label of several words joined by hyphens, one of them among ``words`` (``word``)."""
+    labels = F.filter(F.split(bare_host(host_and_path(F.col(url))[0]), r"\."), lambda x: F.contains(x, F.lit("-")))
+    said = pages.select(F.col(url).alias("url"), F.explode(F.flatten(F.transform(labels, lambda x: F.split(x, "-")))).alias("word"))
+    return said.join(F.broadcast(words), "word", "left_semi").select("url")
 
 
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:

@@ -356,6 +356,16 @@ def test_url_filter(spark):
     assert len(nothing) == len(out) and {r["verdict"] for r in nothing} == {"allow"} and urlfilter.judge(pages.limit(0), rules, listed).count() == 0
 
 
+def test_junk_hosts_of_every_family(spark, sf):
+    names = {"casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x"}
+    sf = sf.replace("sf0.001", "sf0.1")
+    out = Q.op9_junk_hosts(spark, sf).collect()
+    hyphened = {label for r in out for label in r["host"].split(".") if "-" in label}
+    assert hyphened == names
+    assert all((r["verdict"] == "block") == bool(names & set(r["host"].split("."))) for r in out if r["rule"] is None)
+    assert {n for r in out for n in names & set(r["host"].split(".")) if r["rule"] is None} == names - {"adult-x"}  # those are under net/
+
+
 # ---- 10 language ID ----
 
 
