@@ -16,12 +16,9 @@ from screenloom.plans.native_queries import conversation_tree, evidence, flat, r
 from screenloom.plans.registry import query
 from screenloom.sources import files, markup, texts, trees
 
-#: Page trees of the test tables are at most nine levels deep.
-DEPTH = 12
-
 
 def page_nodes(spark, sf) -> DataFrame:
-    return markup.html_nodes(V.table(spark, sf, "pages"), max_depth=DEPTH)
+    return markup.html_nodes(V.table(spark, sf, "pages"))
 
 
 BARE = """(SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style|head|noscript|template)\\b[^>]*>.*?</(script|style|head|noscript|template)\\s*>', '', 'g') AS h FROM pages)"""
@@ -29,7 +26,7 @@ BARE = """(SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->',
 
 @query("s5_read_html_pages", f"""SELECT page_id AS tree_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(h, '<(html|body|nav|ul|li|a|div|article|h1|p|footer)\\b', 1)) AS tag FROM {BARE}) GROUP BY ALL""")
 def s5(spark, sf):
-    n = markup.read_html_pages(V.table(spark, sf, "pages"), max_depth=DEPTH)
+    n = markup.read_html_pages(V.table(spark, sf, "pages"))
     return n.where("tag <> '#text'").groupBy("tree_id", "tag").agg(F.count("*").alias("n"))
 
 
@@ -37,14 +34,14 @@ def s5(spark, sf):
 def p6(spark, sf):
     """Advertisements are hidden by style; what is in them moves up or, if text, goes with the others that stay."""
     hidden = F.regexp_replace("html", '<div class="ad">', '<div class="ad" style="visibility: hidden">')
-    n = markup.hidden_html(markup.read_html_pages(V.table(spark, sf, "pages").withColumn("html", hidden), max_depth=DEPTH))
+    n = markup.hidden_html(markup.read_html_pages(V.table(spark, sf, "pages").withColumn("html", hidden)))
     return n.where("tag <> '#text'").groupBy("tree_id").agg(F.count("*").alias("n"))
 
 
 @query("p10_html_role", f"""SELECT page_id AS tree_id, role, count(*) AS n FROM (SELECT page_id, CASE tag WHEN 'nav' THEN 'navigation' WHEN 'ul' THEN 'list' WHEN 'li' THEN 'listitem' WHEN 'a' THEN 'link' WHEN 'article' THEN 'article' WHEN 'h1' THEN 'heading'
   WHEN 'p' THEN 'paragraph' WHEN 'footer' THEN 'section' ELSE 'generic' END AS role FROM (SELECT page_id, unnest(regexp_extract_all(h, '<(html|body|nav|ul|li|a|div|article|h1|p|footer)\\b', 1)) AS tag FROM {BARE})) GROUP BY ALL""")
 def p10(spark, sf):
-    n = markup.html_role(markup.read_html_pages(V.table(spark, sf, "pages"), max_depth=DEPTH))
+    n = markup.html_role(markup.read_html_pages(V.table(spark, sf, "pages")))
     return n.where("tag <> '#text'").groupBy("tree_id", "role").agg(F.count("*").alias("n"))
 
 
@@ -95,7 +92,7 @@ def a5(spark, sf):
 @query("s2_read_native_trees", "SELECT tree_id, node_id, parent_id, depth, sibling_pos, class_name, resource_id, text, hint, l, t, r, b, clickable, enabled, checked, item_click FROM screen")
 def s2(spark, sf):
     """Screens printed as XML and read again."""
-    out = markup.read_native_trees(markup.native_xml(V.screen_nodes(spark, sf)), max_depth=4)
+    out = markup.read_native_trees(markup.native_xml(V.screen_nodes(spark, sf)))
     return flat(out).select("tree_id", "node_id", "parent_id", "depth", "sibling_pos", "class_name", "resource_id", "text", "hint", "l", "t", "r", "b", "clickable", "enabled", "checked", "item_click")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,23 +13,51 @@ from screenloom.cut import cut
 from screenloom.functions import geometry
 from screenloom.schema import RAW_FLAGS
 
-#: Deepest level of a tree; deeper nodes are cut.
+#: Deepest level of a page, as in the reference; deeper nodes are cut. View hierarchies and inspector dumps have no limit.
 MAX_DEPTH = 50
 
 
-def paths(nodes: DataFrame, order: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def ancestors(trees: pa.Array) -> pa.Array:
+    """``path`` and ``sibling_pos`` of each node, from the depths of each tree's nodes in order.
+
+    The ancestors of a node are the last nodes before it of each lesser depth: a stack.
+    """
+    above, ends, siblings, sizes = array("i"), array("i", [0]), array("i"), array("i", [0])
+    for depths in trees.to_pylist():
+        stack: list[int] = []
+        met: list[int] = []
+        for node, depth in enumerate(depths):
+            del stack[depth:], met[depth + 1 :]
+            above.extend(stack)
+            ends.append(len(above))
+            if len(met) == depth:
+                met.append(0)
+            siblings.append(met[depth])
+            met[depth] += 1
+            stack.append(node)
+        sizes.append(len(siblings))
+    path = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(above, pa.int32()))
+    found = pa.StructArray.from_arrays([path, pa.array(siblings, pa.int32())], ["path", "sibling_pos"])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), found)
+
+
+def paths(nodes: DataFrame, order: str, max_depth: int | None = None) -> DataFrame:
     """``node_id``, ``parent_id``, ``path`` and ``sibling_pos`` of nodes with a ``depth``, given in ``order``.
 
-    The ancestors of a node are the last nodes before it of each lesser depth: windows over one sort of the tree.
+    One pass over the depths of each tree, however deep; nodes deeper than ``max_depth`` are cut if it is given.
     """
-    before = W.partitionBy("tree_id").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    own = W.partitionBy("tree_id").orderBy(order)
-    numbered = nodes.where(F.col("depth") <= max_depth).withColumn("node_id", (F.row_number().over(own) - 1).cast("int"))
-    last = [F.last(F.when(F.col("depth") == k, F.col("node_id")), ignorenulls=True).over(before).alias(f"_last{k}") for k in range(max_depth)]
-    out = numbered.select("*", *last).withColumn("path", F.slice(F.array(*(f"_last{k}" for k in range(max_depth))), 1, F.col("depth"))).drop(*(f"_last{k}" for k in range(max_depth)))
-    out = out.withColumn("parent_id", F.try_element_at("path", F.lit(-1)))
-    siblings = W.partitionBy("tree_id", "parent_id").orderBy("node_id")
-    return out.withColumn("sibling_pos", (F.row_number().over(siblings) - 1).cast("int"))
+    rows = nodes if max_depth is None else nodes.where(F.col("depth") <= max_depth)
+    by_order = lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)
+    others = [c for c in nodes.columns if c != "tree_id"]
+    gathered = rows.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct(*others)), by_order).alias("_nodes"))
+
+    @F.arrow_udf("array<struct<path:array<int>,sibling_pos:int>>")
+    def found(depths: pa.Array) -> pa.Array:
+        return ancestors(depths)
+
+    gathered = gathered.withColumn("_found", found(F.transform("_nodes", lambda n: n["depth"])))
+    out = gathered.select("tree_id", F.posexplode(F.arrays_zip("_nodes", "_found")).alias("node_id", "_node"))
+    return out.select("tree_id", *(F.col(f"_node._nodes.{c}") for c in others), "node_id", F.col("_node._found.path"), F.col("_node._found.sibling_pos")).withColumn("parent_id", F.try_element_at("path", F.lit(-1)))
 
 
 def decoded(c: Column) -> Column:
@@ -46,7 +77,7 @@ def encoded(c: Column) -> Column:
 FLAG_NAMES = {"on_click": "has-onclick-listener", "item_click": "has-item-click-listener", "item_touch": "has-item-touch-listener", "touch_override": "overrides-onTouchEvent", "long_clickable": "long-clickable"}
 
 
-def read_native_trees(df: DataFrame, tree_id: str = "tree_id", xml: str = "xml", max_depth: int = MAX_DEPTH) -> DataFrame:
+def read_native_trees(df: DataFrame, tree_id: str = "tree_id", xml: str = "xml", max_depth: int | None = None) -> DataFrame:
     """View hierarchies in XML to raw nodes. Blank texts give none; tags that don't match are an error."""
     tags = F.regexp_extract_all(F.col(xml), F.lit(r'(?s)(<node\b(?:[^>"]|"[^"]*")*>|</node>)'), 1)
     tokens = df.select(F.col(tree_id).alias("tree_id"), F.posexplode(tags).alias("pos", "token"))

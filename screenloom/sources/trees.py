@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenloom.functions import geometry, names, roles
-from screenloom.sources.markup import MAX_DEPTH, paths
+from screenloom.sources.markup import paths
+
+#: No limit: the recursion ends with the deepest tree.
+LEVELS = (1 << 31) - 1
 
 
 def _unfold(df: DataFrame, child_path: str, root: str) -> DataFrame:
@@ -18,7 +21,7 @@ def _unfold(df: DataFrame, child_path: str, root: str) -> DataFrame:
     name = f"roots_{uuid.uuid4().hex}"
     df.select("tree_id", F.col(root).alias("v")).where("v IS NOT NULL").createOrReplaceTempView(name)
     return spark.sql(f"""
-        WITH RECURSIVE t (tree_id, at, v) MAX RECURSION LEVEL {2 * MAX_DEPTH} AS (
+        WITH RECURSIVE t (tree_id, at, v) MAX RECURSION LEVEL {LEVELS} AS (
           SELECT tree_id, array(0), v FROM {name}
           UNION ALL
           SELECT t.tree_id, array_append(t.at, c.pos), c.value FROM t, LATERAL variant_explode(variant_get(t.v, '{child_path}', 'variant')) AS c

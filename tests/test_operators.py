@@ -146,6 +146,24 @@ def test_html_roles_names_states(spark):
     assert any(s[0] == "details" and s[1] == "group" for s in seen)
 
 
+def test_deep_trees_are_whole(spark):
+    """Pages down to level 50 as in the reference; view hierarchies and JSON trees without a limit."""
+    html = spark.createDataFrame([(1, "<div>" * 49 + "<p>deep</p><h1>low</h1>" + "</div>" * 49), (2, "<div>" * 52 + "x" + "</div>" * 52)], "page_id long, html string")
+    rows = markup.read_html_pages(html).orderBy("tree_id", "node_id").collect()
+    assert [len(r["path"]) for r in rows] == [*range(50), 50, 49, 50, *range(51)] and rows[50]["text"] == "deep" and rows[51]["sibling_pos"] == 1
+    names = {r["class_name"]: r["name"] for r in markup.html_nodes(html).where("tree_id = 1").collect()}
+    assert names["p"] == "deep" and names["h1"] == "low"
+    xml = "<node>" * 120 + '<node text="a"/><node text="b"/>' + "</node>" * 120
+    rows = markup.read_native_trees(spark.createDataFrame([(1, xml)], "tree_id long, xml string")).orderBy("node_id").collect()
+    assert [r["path"] for r in rows] == [list(range(k)) for k in range(121)] + [list(range(120))] and [r["sibling_pos"] for r in rows[-2:]] == [0, 1]
+    web, dump = '{"role":"text","name":"end"}', '{"$type":"Text","$attrs":{"content":"end"}}'
+    for _ in range(119):
+        web, dump = f'{{"role":"generic","children":[{web}]}}', f'{{"$type":"Column","$children":[{dump}]}}'
+    for read, json in ((trees.read_web_trees, f'{{"root":{web}}}'), (trees.read_inspector_trees, dump)):
+        rows = read(spark.createDataFrame([(1, json)], "tree_id long, json string")).orderBy("node_id").collect()
+        assert [r["path"] for r in rows] == [list(range(k)) for k in range(120)]
+
+
 def test_web_and_inspector_json(spark):
     web = '{"url":"u","root":{"role":"main","name":"m","children":[{"role":"link","name":"a","bounds":[1,2,3,4],"__pr_idx":7},{"role":"odd","bounds":[1],"children":[{"role":"text"}]}]}}'
     df = spark.createDataFrame([(1, web), (2, "{}")], "tree_id long, json string")
