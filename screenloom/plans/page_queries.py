@@ -270,6 +270,12 @@ def w3(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", files.safe_file_name(F.substring("text", 1, 20)).alias("file"))
 
 
+@query("w3_whole_file_name", "SELECT doc_id, CASE WHEN file = '' THEN 'icon_experiment_run' ELSE file END AS file FROM (SELECT doc_id, regexp_replace(trim(coalesce(text, '')), '[^a-zA-Z0-9._-]', '_', 'g') AS file FROM documents)")
+def w3b(spark, sf):
+    """Whole texts; ``w3_safe_file_name`` and its SQL look at 20 characters of each."""
+    return V.table(spark, sf, "documents").select("doc_id", files.safe_file_name(F.col("text")).alias("file"))
+
+
 @query("st2_ref_table", """SELECT session, ref, l, t, r, b FROM (SELECT o_custkey AS session, arg_max(tree_id, o_orderdate * 1) AS tree_id FROM reffed JOIN orders ON o_orderkey = tree_id GROUP BY o_custkey) x JOIN (SELECT tree_id, ref, l, t, r, b FROM reffed WHERE ref <> '') y USING (tree_id)""".replace("arg_max(tree_id, o_orderdate * 1)", "arg_max(tree_id, (o_orderdate, tree_id))"))
 def st2(spark, sf):
     """Snapshots as a stream of files; the refs of each session's latest one."""

@@ -164,6 +164,22 @@ def test_deep_trees_are_whole(spark):
         assert [r["path"] for r in rows] == [list(range(k)) for k in range(120)]
 
 
+def test_file_names_of_whole_texts(spark, tmp_path, sf):
+    from screenloom.plans import page_queries
+    from screenloom.plans import views as V
+
+    rows = [(1, "a" * 30 + "/x"), (2, "a" * 30 + "/y"), (3, " " * 20 + "late"), (4, "  "), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["file"] for r in page_queries.w3b(spark, str(tmp_path)).collect()}
+    assert found == {1: "a" * 30 + "_x", 2: "a" * 30 + "_y", 3: "late", 4: "icon_experiment_run", 5: "icon_experiment_run"}
+    runs = V.runs(spark, sf).select(F.concat(F.lit("run of the experiment/"), "run_id").alias("runId"), F.col("mode").alias("inputMode"))
+    files.write_experiment_runs(runs.coalesce(1), str(tmp_path / "runs"))
+    back = files.read_experiment_runs(spark, str(tmp_path / "runs")).select("runId", "inputMode")
+    assert runs.exceptAll(back).count() == 0 and back.exceptAll(runs).count() == 0
+    names = {p.name.removeprefix("file=") for p in (tmp_path / "runs").glob("file=*")}
+    assert names == {f"run_of_the_experiment_{r['run_id']}" for r in V.runs(spark, sf).collect()}
+
+
 def test_web_and_inspector_json(spark):
     web = '{"url":"u","root":{"role":"main","name":"m","children":[{"role":"link","name":"a","bounds":[1,2,3,4],"__pr_idx":7},{"role":"odd","bounds":[1],"children":[{"role":"text"}]}]}}'
     df = spark.createDataFrame([(1, web), (2, "{}")], "tree_id long, json string")
