@@ -6,11 +6,19 @@ one. All n-grams of all languages stand in one sorted hash array per order, with
 their contexts; looking up is a binary search. A text's language is the one with the lowest cross-entropy per
 character.
 
-A text is rejected if its cross-entropy lies beyond what training texts of that language, kept apart for this, show at
-that length: their median, plus ``MARGIN``, plus ``SPREAD`` standard errors.
+Every letter of a text counts, those beside digits too: runs of letters are cut at everything else. The score is the
+share of the language found when all languages are weighed by their probability of ``SCORE_CHARS`` characters at the
+text's mean: it says how clearly the text speaks for that language, however long it is.
 
-Training takes, per language, at most ``MAX_DOCS`` documents of at most ``MAX_CHARS`` characters, chosen by a hash of
-the id: the documented bound of the sample. Prediction reads every whole text.
+A text is rejected if its strangeness lies beyond what training texts of that language, kept apart for this, show for as
+many chunks: their median, plus ``MARGIN``, plus ``SPREAD`` standard errors. The strangeness is the mean over the text's
+chunks (runs without white space) of their cross-entropy, so that each chunk counts once: a key or an address of forty
+letters weighs as much as one word, while a text in an unknown script or of random letters is strange throughout.
+
+Training takes, per language, at most ``MAX_DOCS`` documents of 1 to ``MAX_CHARS`` characters, chosen by a hash of
+the id: the documented bound of the sample. They are ranked among a share of the language's documents (by the same hash)
+that holds about twice as many, so that no language is gathered to be ranked; should a share hold fewer, fewer are taken.
+Prediction reads every whole text. A table with more than ``MAX_LANGUAGES`` languages is an error.
 
 Defined cases: a null text and one without a letter are ``und`` with score 0 and rejected; rows without a language
 teach nothing; without training rows every text is ``und``; equal scores go to the language first by name; repeated
@@ -33,20 +41,17 @@ from screenloom.llm.words import ChunkTable, code_points, hashes
 
 ORDER, DISCOUNT = 4, 0.75
 MAX_DOCS, MAX_CHARS = 300, 20_000
+MAX_LANGUAGES = 1000
 MARGIN, SPREAD = 0.8, 6.0
+SCORE_CHARS = 20
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-DIGIT = re.compile(r"\d")
-
-
 def runs(text: str) -> list[str]:
-    """Runs of letters of a lower-cased chunk. Chunks with digits are keys, numbers and addresses, not words."""
+    """Runs of letters of a lower-cased chunk; digits and signs cut them."""
     if text.isalpha():
         return [text]
-    if DIGIT.search(text):
-        return []
     found = LETTERS.findall(text)
     return [w for r in found for w in ([r] if r.isalpha() else "".join(c if c.isalpha() else " " for c in r).split())]
 
@@ -150,26 +155,27 @@ class Model:
             out[:, -1] += np.bincount(row, minlength=len(chunks))
         return out
 
-    def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Nats per character by language, and the number of predicted characters, of each text."""
-        def summed(of: list[str]) -> np.ndarray:
-            return np.array([v.sum(0, dtype=np.float64) for v in self.known.look_up([t.lower().split() for t in of])]).reshape(len(of), -1)
-
-        sums = summed(texts)
-        if len(bare := np.flatnonzero(sums[:, -1] == 0)):  # letters beside digits count where there are no others
-            sums[bare] = summed([DIGIT.sub(" ", texts[k]) for k in bare])
+    def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Nats per character by language, the number of predicted characters, and the chunks with letters, of each text."""
+        chunks = [v[v[:, -1] > 0].astype(np.float64) for v in self.known.look_up([t.lower().split() for t in texts])]
+        sums = np.array([v.sum(0) for v in chunks]).reshape(len(texts), -1)
         n = sums[:, -1]
-        return -sums[:, :-1] / np.maximum(n, 1)[:, None], n
+        return -sums[:, :-1] / np.maximum(n, 1)[:, None], n, chunks
 
     def predict(self, texts: list[str]) -> pd.DataFrame:
-        h, n = self.entropy(texts)
+        h, n, chunks = self.entropy(texts)
         best = h.argmin(1)
-        low = h[np.arange(len(h)), best]
-        p = np.exp((low[:, None] - h) * np.minimum(n, 100)[:, None])
-        mean, deviation = self.usual[best].T
-        usual = (n > 0) & (low <= mean + MARGIN + SPREAD * deviation / np.sqrt(np.maximum(n, 1)))
+        p = np.exp((h[np.arange(len(h)), best][:, None] - h) * SCORE_CHARS)
+        middle, deviation = self.usual[best].T
+        strange = np.array([strangeness(v, k) for v, k in zip(chunks, best, strict=True)])
+        accepted = (n > 0) & (strange <= middle + MARGIN + SPREAD * deviation / np.sqrt([max(1, len(v)) for v in chunks]))
         names = np.array([*self.languages], object)[best]
-        return pd.DataFrame({"lang_pred": np.where(n > 0, names, UNKNOWN), "score": np.where(n > 0, 1 / p.sum(1), 0.0), "accepted": usual})
+        return pd.DataFrame({"lang_pred": np.where(n > 0, names, UNKNOWN), "score": np.where(n > 0, 1 / p.sum(1), 0.0), "accepted": accepted})
+
+
+def strangeness(chunks: np.ndarray, language: int) -> float:
+    """The mean over chunks of their nats per character."""
+    return float((-chunks[:, language] / chunks[:, -1]).mean()) if len(chunks) else 0.0
 
 
 def train(rows: list[tuple[str, str]]) -> Model | None:
@@ -187,13 +193,14 @@ def train(rows: list[tuple[str, str]]) -> Model | None:
     tables = Tables(languages, counts)
     model = Model(languages, tables, np.tile([np.inf, 1.0], (len(languages), 1)))
     if apart:
-        h, n = model.entropy([t for _, t in apart])
+        chunks = model.entropy([t for _, t in apart])[2]
         of = np.array([c for c, _ in apart])
-        own = h[np.arange(len(apart)), of]
+        own = np.array([strangeness(v, c) for v, c in zip(chunks, of, strict=True)])
+        sizes = np.array([len(v) for v in chunks])
         for column in range(len(languages)):
-            if (mine := (of == column) & (n > 0)).any():
-                mean = np.median(own[mine])  # a few training texts of two languages don't widen the bounds
-                model.usual[column] = mean, max(1.0, 1.4826 * np.median(np.abs(own[mine] - mean) * np.sqrt(n[mine])))
+            if (mine := (of == column) & (sizes > 0)).any():
+                middle = np.median(own[mine])  # a few training texts of two languages don't widen the bounds
+                model.usual[column] = middle, max(1.0, 1.4826 * np.median(np.abs(own[mine] - middle) * np.sqrt(sizes[mine])))
     return model
 
 
@@ -202,7 +209,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.length("text").between(1, MAX_CHARS) & ~held_out("doc_id"))
     # a share of each language by a hash, about twice what is needed, so that no language is gathered to be ranked
-    sizes = rows.select("lang").groupBy("lang").count().collect()
+    sizes = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], (1 << 30) * 2 * MAX_DOCS // r["count"])))
     rows = rows.where(place <= share[F.col("lang")]) if sizes else rows
