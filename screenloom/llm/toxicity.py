@@ -1,17 +1,19 @@
 """Toxicity: bags of subwords, averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character 3- to 5-grams (with word marks) and itself, each with a hashed vector, so an unseen
-spelling shares most of its vectors with the known one. The vectors of a window of words are averaged into a linear
-softmax of two classes; vectors and softmax are trained together. A long text with one bad sentence is as toxic as the
-sentence: a text takes the windows that score highest, and a logistic curve fitted on whole training texts turns them
-into a probability.
+spelling shares most of its vectors with the known one. Vectors are averaged into a linear softmax of two classes, over
+a whole text and over each window of ``WINDOW`` words; vectors and softmax are trained together, first on whole texts and
+on all their spans, then on the windows that score highest. A logistic curve fitted on the training texts turns what the
+softmax says of the averaged text, and of its highest windows (a long text with one bad sentence is as toxic as the
+sentence), into a probability; the number of windows, ``FEW`` at least, tells chance from evidence.
 
-Training takes at most ``MAX_DOCS`` labelled documents of at most ``MAX_CHARS`` characters each, chosen by a hash of
-the id: the documented bound of the sample. Scoring reads every whole text.
+Training takes at most ``MAX_DOCS`` labelled documents of 1 to ``MAX_CHARS`` characters, chosen by a hash of id and text
+among those that are in the table: the documented bound of the sample. Each is used whole. Scoring reads every whole text.
 
 Defined cases: null and empty texts, and texts without a letter or digit, have no evidence and score 0; without
-labelled rows of both classes every score is 0; a document with several labels is toxic if one says so; ties cannot
-occur, as each row is scored alone; extra columns are kept and never read.
+labelled rows of both classes every score is 0; a document with several labels is toxic if one says so; several texts of
+one id are documents of their own, equal rows one; ties cannot occur, as each row is scored alone; extra columns are kept
+and never read.
 """
 
 from __future__ import annotations
@@ -62,11 +64,11 @@ def windows(scores: np.ndarray) -> np.ndarray:
     return (c[WINDOW:] - c[:-WINDOW]) / WINDOW
 
 
-def summary(scores: np.ndarray) -> tuple[float, float, float]:
-    """The highest window, the mean of the highest ones, and the number of windows on a log scale."""
+def summary(scores: np.ndarray) -> tuple[float, float, float, float]:
+    """The averaged text, the highest window, the mean of the highest ones, and the number of windows on a log scale."""
     w = windows(scores)
     top = np.sort(np.partition(w, -TOP)[-TOP:] if len(w) > TOP else w)
-    return float(top[-1]), float(top.mean()), float(np.log(max(len(w), FEW)))
+    return float(scores.mean()) if len(scores) else 0.0, float(top[-1]), float(top.mean()), float(np.log(max(len(w), FEW)))
 
 
 class Model:
@@ -90,8 +92,8 @@ class Model:
 
     def score(self, texts: list[str]) -> np.ndarray:
         found = self.words(texts)
-        x = np.array([summary(s) for s in found]).reshape(-1, 3)
-        return np.where([len(s) > 0 for s in found], 1 / (1 + np.exp(-np.clip(x @ self.curve[:3] + self.curve[3], -30, 30))), 0.0)
+        x = np.array([summary(s) for s in found]).reshape(-1, 4)
+        return np.where([len(s) > 0 for s in found], 1 / (1 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -30, 30))), 0.0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1.0) -> np.ndarray:
@@ -106,7 +108,7 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1.0)
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
-    """Vectors and softmax, first on all windows with their document's label, then on the windows that score highest."""
+    """Vectors and softmax: on whole texts and all their spans with the text's label, then on the windows that score highest."""
     y = np.array(toxic, np.int64)
     if len(y) == 0 or y.min() == y.max():
         return None
@@ -129,11 +131,13 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
         """One minibatch: each span holds the words of a window; a word's vector is the mean of its subwords'."""
         words = np.concatenate(spans)
         span = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
-        n = size[words]
-        at = np.repeat(first[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        weight = np.repeat(1 / (n * np.bincount(span)[span]), n).astype(np.float32)
-        ids, row = b[at], np.repeat(span, n)
-        mean = np.stack([np.bincount(row, weights=vectors[ids, d] * weight, minlength=len(spans)) for d in range(DIM)], 1)
+        share = (1 / np.bincount(span))[span]  # of a word in the mean of its span
+        met, where = np.unique(words, return_inverse=True)
+        n = size[met]
+        at = np.repeat(first[met] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        ids, owner = b[at], np.repeat(np.arange(len(met)), n)
+        word = np.add.reduceat(vectors[ids], np.cumsum(n) - n) / n[:, None]
+        mean = np.stack([np.bincount(span, weights=word[where, d] * share, minlength=len(spans)) for d in range(DIM)], 1)
         z = mean @ softmax + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -143,23 +147,24 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
         squares[:] += slope**2
         softmax[:] -= rate * slope / np.sqrt(squares)
         bias[:] -= rate * p.mean(0)
-        used, where = np.unique(ids, return_inverse=True)
-        slopes = np.stack([np.bincount(where, weights=back[row, d] * weight) for d in range(DIM)], 1)
+        to_word = np.stack([np.bincount(where, weights=back[span, d] * share) for d in range(DIM)], 1) / n[:, None]
+        used, bucket = np.unique(ids, return_inverse=True)
+        slopes = np.stack([np.bincount(bucket, weights=to_word[owner, d]) for d in range(DIM)], 1)
         seen[used] += (slopes**2).mean(1).astype(np.float32)
         vectors[used] -= (rate * slopes / np.sqrt(seen[used])[:, None]).astype(np.float32)
 
-    def epoch(spans: list[np.ndarray], labels: np.ndarray, rate: float, batch: int = 256) -> None:
+    def epoch(spans: list[np.ndarray], labels: np.ndarray, rate: float, batch: int = 512) -> None:
         for at in np.array_split(rng.permutation(len(spans)), max(1, len(spans) // batch)):
             step([spans[k] for k in at], labels[at], rate)
 
-    def cut(doc: np.ndarray, width: int, most: int) -> list[np.ndarray]:
-        starts = np.arange(0, max(1, len(doc) - width + 1), width)
-        return [doc[s : s + width] for s in (starts if len(starts) <= most else rng.choice(starts, most, replace=False))]
+    def cut(doc: np.ndarray, width: int) -> list[np.ndarray]:
+        """All spans of a text, each once: a line that is repeated a thousand times says no more than once."""
+        spans = [doc[at : at + width] for at in range(0, max(1, len(doc) - width + 1), width)]
+        return list({s.tobytes(): s for s in spans}.values())
 
     has = [k for k in range(len(docs)) if len(docs[k])]
-    noisy = [(s, y[k]) for k in has for s in cut(docs[k], 2 * WINDOW, 60 if y[k] else 12)]
-    for rate in (0.3, 0.2):
-        epoch([s for s, _ in noisy], np.array([x for _, x in noisy]), rate)
+    noisy = [(s, y[k]) for k in has for s in (docs[k], *cut(docs[k], 2 * WINDOW))]
+    epoch([s for s, _ in noisy], np.array([x for _, x in noisy]), 0.3)
 
     def per_bucket() -> np.ndarray:
         return vectors @ (softmax[:, 1] - softmax[:, 0])
@@ -184,12 +189,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Train on labelled documents that are not held out, within the bound of the sample."""
     key = F.col(doc_id).cast("long").alias("doc_id")
     marked = labels.select(key, F.col(label).cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCS)
-    texts = docs.select(key, F.col(text).cast("string").alias("text")).where(F.length("text").between(1, MAX_CHARS))
-    rows = texts.join(F.broadcast(some), "doc_id").orderBy("doc_id", "text").limit(2 * MAX_DOCS).collect()
-    return train([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
-
-
+    rows = docs.select(key, F.col(text).cast("string").alias("text")).where(F.length("text").between(1, MAX_CHARS)).withColumn("of", F.xxhash64("doc_id", "text"))
+    # ids and hashes alone meet the labels; the texts chosen are fetched by a table of at most MAX_DOCS rows
+    chosen = rows.select("doc_id", "of").distinct().join(marked, "doc_id").orderBy("of", "doc_id").limit(MAX_DOCS)
+    found = rows.join(F.broadcast(chosen), ["doc_id", "of"]).groupBy("doc_id", "of").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    texts = sorted((r["doc_id"], r["text"], r["toxic"]) for r in found.collect())
+    return train([t for _, t, _ in texts], [int(x > 0) for _, _, x in texts])
 
 
 def score(model: Model | None, docs: DataFrame, text: str = "text") -> Column:
