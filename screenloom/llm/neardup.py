@@ -1,6 +1,7 @@
 """Near-duplicates: a multi-index Hamming join over b-bit MinHash signatures, confirmed on full shingle sets.
 
-Texts become sets of hashed word shingles; equal sets are one *class*, worked on once. A class's signature has
+Texts become sets of hashed word shingles; equal sets are one *class*, worked on once under an id of its own, whatever ids
+its documents have (an id may stand for several texts, each in its class). A class's signature has
 ``CHUNKS * WIDTH`` positions of 16 bits. Two sets of similarity s differ in a position with probability 1 - s. By the
 pigeonhole, signatures that differ in fewer than ``CHUNKS * (ERRORS + 1)`` positions have a chunk with at most
 ``ERRORS`` = 1 differing positions; so a chunk is entered once for each position left out (all its allowed errors), and
@@ -17,9 +18,13 @@ Links are confirmed on full sets, and what is wanted are the components, so pair
 
 Components come from alternating large-star and small-star steps.
 
+Hot keys are split: classes, leaders and keys with more than a ``1 / MOST_HOT`` share of the rows that meet them are at
+most ``MOST_HOT``, a table of proven size; what belongs to them is dealt over ``SALTS`` tasks each.
+
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; null and empty texts and texts
 of white space have an empty set, linked with nothing; a null id is linked with nothing and stays; repeated rows each
-get their component; extra columns are kept out of the way; an empty table gives no rows.
+get their component; several texts under one id are linked each by its own words; extra columns are kept out of the way;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +48,8 @@ POSITIONS = CHUNKS * WIDTH
 FAR = 28
 #: Segments of the shingle hash for which a set's shingles are counted.
 SEGMENTS = 64
+#: Most keys that are taken for hot at a time, the parts each is dealt into, and classes of a key that one part holds.
+MOST_HOT, SALTS, PART = 1000, 64, 2000
 KNOWN = 200_000
 MULTIPLIERS = np.random.default_rng(2024).integers(1 << 62, 1 << 63, POSITIONS, dtype=np.uint64) | np.uint64(1)
 MIX = np.random.default_rng(2025).integers(1 << 62, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
@@ -83,7 +90,7 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id``, ``n`` (set size), ``s1``, ``s2`` (a digest of the set), ``sig``. Map only."""
+    """``doc_id``, ``of`` (a hash of the text), ``n`` (set size), ``s1``, ``s2`` (a digest of the set), ``sig``. Map only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Shingler(words)
@@ -95,25 +102,35 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
                 rows.append((len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), signature(s) if len(s) else b""))
             out = pd.DataFrame(rows, columns=["n", "s1", "s2", "sig"])
             out.insert(0, "doc_id", b["doc_id"].astype("Int64").values)
+            out.insert(1, "of", b["of"].values)
             yield out
 
-    return docs.mapInPandas(run, "doc_id long, n long, s1 long, s2 long, sig binary")
+    return docs.mapInPandas(run, "doc_id long, of long, n long, s1 long, s2 long, sig binary")
+
 
+def salted_join(rows: DataFrame, side: DataFrame, key: str, by: str, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) joined to ``side`` (a row per ``key``).
 
-def keys() -> list[Column]:
-    """The keys of a signature: each chunk without one of its positions."""
-    out = []
-    for c in range(CHUNKS):
-        for p in range(WIDTH):
-            at = 2 * WIDTH * c
-            out.append(F.expr(f"xxhash64({c * WIDTH + p}, substring(sig, {at + 1}, {2 * p}), substring(sig, {at + 2 * p + 3}, {2 * (WIDTH - 1 - p)}))"))
-    return out
+    Keys of more than ``total / MOST_HOT`` rows, at most ``MOST_HOT``, are hot: their rows are dealt by ``by``, and their row
+    of ``side`` is copied.
+    """
+    most = max(PART, total // MOST_HOT)
+    hot = [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("times")).where(F.col("times") > most).select(key).collect()] if total > most else []
+    if not hot:
+        return rows.join(side, key)
+    many = F.broadcast(rows.sparkSession.createDataFrame([(k, True) for k in hot], f"{key} long, is_hot boolean"))
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = rows.join(many, key, "left").withColumn("salt", salt).drop("is_hot")
+    copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = side.join(many, key, "left").withColumn("salt", F.explode(copies)).drop("is_hot")
+    return dealt.join(copied, [key, "salt"]).drop("salt")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``id``, ``n``, ``shingles`` (sorted, 8 bytes each) and ``counts`` by segment of the documents ``wanted`` (``id``).
+    """``id``, ``n``, ``shingles`` (sorted, 8 bytes each) and ``counts`` by segment of the classes ``wanted``.
 
-    A filter of bounded size keeps most other texts from being shuffled.
+    ``wanted``: id, and ``low`` and ``of``, the document id and hash of a text of that class. A filter of bounded size
+    keeps most other texts from being shuffled.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,8 +140,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             counts = [np.bincount((x % np.uint64(SEGMENTS)).astype(np.int64), minlength=SEGMENTS).astype(np.int32) for x in s]
             yield pd.DataFrame({"id": b["id"], "n": [len(x) for x in s], "shingles": [x.astype("<u8").tobytes() for x in s], "counts": counts})
 
-    rows = possible(docs.select(F.col("doc_id").alias("key"), "text"), wanted.select(F.col("id").alias("key")))
-    texts = rows.withColumnRenamed("key", "id").join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    own_key = F.xxhash64("doc_id", "of").alias("key")
+    rows = possible(docs.select("doc_id", "of", "text", own_key), wanted.select(F.xxhash64("low", "of").alias("key")))
+    texts = rows.join(wanted.select(F.col("low").alias("doc_id"), "of", "id"), ["doc_id", "of"]).groupBy("id").agg(F.min("text").alias("text"))
     return texts.mapInPandas(run, "id long, n long, shingles binary, counts array<int>")
 
 
@@ -161,13 +179,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, signatures: DataFrame, percent:
             small = (100 * np.minimum(b["n"], b["m"]) >= percent * np.maximum(b["n"], b["m"])).to_numpy()
             yield b.loc[near & small, ["a", "b"]]
 
-    def joined(of: DataFrame, side: DataFrame, value: str) -> DataFrame:
+    def joined(of: DataFrame, side: DataFrame, value: str, total: int) -> DataFrame:
         one = side.select(F.col("id").alias("a"), F.col("n"), F.col(value).alias("x"))
         other = side.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col(value).alias("y"))
-        return of.join(one, "a").join(other, "b")
+        return salted_join(salted_join(of, one, "a", "b", total), other, "b", "a", total)
 
-    near = joined(pairs, signatures, "sig").mapInPandas(differing, "a long, b long")
-    return joined(near, sets, "shingles").mapInPandas(run, "a long, b long")
+    near = settle(joined(pairs, signatures, "sig", pairs.count()).mapInPandas(differing, "a long, b long"))
+    return joined(near, sets, "shingles", near.count()).mapInPandas(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,12 +217,12 @@ def class_links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     stars = members.join(leaders, "key").where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
     pairs = settle(met.where("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(stars).distinct())
     involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = settle(shingle_sets(docs, involved, words))
+    sets = settle(shingle_sets(docs, reps.select("id", "low", "of").join(involved, "id", "left_semi"), words))
     links = settle(confirmed(pairs, sets, reps, percent))
     of = components(links)
     # keys that still have classes of several components
     placed = members.join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
     placed = placed.join(split, "key").join(leaders, "key")
     main = placed.where("id = leader").select("key", F.col("component").alias("main"))
     open_members = settle(placed.drop("leader").join(main, "key"))
@@ -221,42 +239,73 @@ def class_links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     most = F.expr(f"(100 * (n - own) div {percent}) - own")
     least = F.expr(f"n * {percent} div 100")
     lone = known.where("component <> main").withColumn("most", most).where(F.col("most") >= F.greatest(F.lit(1), least))
-    lone = lone.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("own").alias("ua"), F.col("counts").alias("xa"), F.explode(F.sequence(bin_of(F.greatest(F.lit(1), least)), bin_of(F.col("most")))).alias("bin"))
-    rest = known.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("own").alias("ub"), F.col("counts").alias("xb"), F.expr("component = main").alias("is_main"), bin_of(F.col("n")).alias("bin"))
+    # a key of many classes is dealt into parts: each class meets one part of the others in a task
+    lone = lone.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    lone = lone.select("key", "part", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("own").alias("ua"), F.col("counts").alias("xa"), F.explode(F.sequence(bin_of(F.greatest(F.lit(1), least)), bin_of(F.col("most")))).alias("bin"))
+    rest = known.select("key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("own").alias("ub"), F.col("counts").alias("xb"), F.expr("component = main").alias("is_main"), bin_of(F.col("n")).alias("bin"))
     could = F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub")) * 100 >= F.greatest(F.col("na") + F.col("ub"), F.col("nb") + F.col("ua")) * percent
     common = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     still = common * 100 >= (F.col("na") + F.col("nb") - common) * percent
-    same = [F.col("l.key") == F.col("r.key"), F.col("l.bin") == F.col("r.bin"), F.col("ca") != F.col("cb"), F.col("is_main") | (F.col("a") < F.col("b")), could, still]
+    same = [F.col("l.key") == F.col("r.key"), F.col("l.part") == F.col("r.part"), F.col("l.bin") == F.col("r.bin"), F.col("ca") != F.col("cb"), F.col("is_main") | (F.col("a") < F.col("b")), could, still]
     more = lone.alias("l").join(rest.alias("r"), reduce(Column.__and__, same)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = settle(more.join(pairs, ["a", "b"], "left_anti"))
     return links.unionByName(settle(confirmed(more, sets, reps, percent)))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row; ``percent`` is the similarity by 100."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def judged(docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """``doc_id``, ``of`` (a hash of the text), ``n_shingles``, ``component_id`` and ``component`` of each row.
+
+    ``component_id`` is null for a null id. ``component`` is the component's own number, null where nothing is linked: with
+    ids that stand for several texts two components may have the same least id.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("of", F.xxhash64("text"))
     sketches = settle(sketched(rows, words))
     same = ["s1", "s2", "n"]
     whole = sketches.where("n > 0 AND doc_id IS NOT NULL")
-    reps = settle(whole.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
-    # documents that share their id count as several texts; a rep's set is that of its own text
-    of = components(class_links(reps.select("id", "n", "sig"), rows, words, percent))
-    placed = reps.select(*same, "id").join(of, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
-    out = sketches.select("doc_id", *same).join(placed, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).alias("component"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    first = F.min(F.struct("doc_id", "of"))
+    reps = whole.groupBy(*same).agg(first.alias("first"), F.first("sig").alias("sig"), F.count("*").alias("times"))
+    # the number is made when the row is written, and is a fact from then on
+    reps = settle(reps.select(*same, F.col("first.doc_id").alias("low"), F.col("first.of").alias("of"), "sig", "times", F.monotonically_increasing_id().alias("id")))
+    of = components(class_links(reps.select("id", "n", "sig", "low", "of"), rows, words, percent))
+    linked = settle(reps.join(of, "id").select(*same, "low", "times", "component"))
+    least = linked.groupBy("component").agg(F.min("low").alias("component_id"))
+    placed = linked.join(least, "component").select(*same, "times", "component_id", "component")
+    alone = reps.join(of, "id", "left_anti").select(*same, "times", F.col("low").alias("component_id"), F.col("id").alias("component"))
+    placed = settle(placed.unionByName(alone))
+    # the few classes of very many rows come to their rows; the others and their rows meet by the digest
+    total = sketches.count()
+    large = F.col("times") > max(PART, total // MOST_HOT)
+    own = sketches.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "of", *same)
+    big = F.broadcast(placed.where(large).drop("times"))
+    met = own.join(big, same).unionByName(own.join(big, same, "left_anti").join(placed.where(~large).drop("times"), same))
+    none = sketches.where("n = 0 OR doc_id IS NULL").select("doc_id", "of", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    return met.drop("s1", "s2").unionByName(none).select("doc_id", "of", F.col("n").alias("n_shingles"), "component_id", "component")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row; ``percent`` is the similarity by 100."""
+    found = judged(docs, words, percent, doc_id, text).drop("of", "component")
+    return found.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns; of equal rows, one.
+    """One row of each group of near copies, with all its columns: the least id, of that the text with the least hash.
 
-    A filter of bounded size tells which rows may go; only those are shuffled, to be held against the ids that do.
+    Of rows equal in id and text one stays (of those that differ in other columns, the first by its JSON). Rows with a null
+    id all stay. A filter of bounded size tells which rows may go; only those are shuffled, to be held against those that do.
     """
-    judged = settle(near_duplicates(docs, words, percent, doc_id, text).where("doc_id IS NOT NULL"))
-    going = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("times")).where("NOT kept OR times > 1")
-    name, twice = fresh(docs.columns, "key"), fresh(docs.columns, "times")
-    going = settle(going.select(F.col("doc_id").alias(name), F.when(F.col("kept"), F.col("times")).alias(twice)))
-    marked = docs.withColumn(name, F.col(doc_id).cast("long"))
-    doubtful = settle(possible(marked.where(F.col(name).isNotNull()), going, name))
-    once = doubtful.join(going.where(F.col(twice).isNotNull()), name).drop(twice).dropDuplicates([doc_id, text])
-    return impossible(marked, going, name).unionByName(doubtful.join(going, name, "left_anti")).unionByName(once).select(*docs.columns)
+    found = settle(judged(docs, words, percent, doc_id, text).where("doc_id IS NOT NULL"))
+    texts = settle(found.groupBy("doc_id", "of").agg(F.first("component").alias("component"), F.count("*").alias("times")))
+    winners = texts.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "of")).alias("first"))
+    stays = texts.join(winners, "component", "left").withColumn("stays", F.coalesce((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.of") == F.col("of")), F.lit(True)))
+    name, hashed, both, twice = (fresh(docs.columns, c) for c in ("key", "of", "both", "times"))
+    going = stays.where("NOT stays OR times > 1").select(F.col("doc_id").alias(name), F.col("of").alias(hashed), F.xxhash64("doc_id", "of").alias(both), F.col("stays").alias(twice))
+    going = settle(going)
+    marked = docs.withColumn(name, F.col(doc_id).cast("long")).withColumn(hashed, F.xxhash64(F.col(text).cast("string")))
+    marked = marked.withColumn(both, F.when(F.col(name).isNotNull(), F.xxhash64(name, hashed)))
+    doubtful = settle(possible(marked, going, both))
+    exact = [name, hashed]
+    repeated = doubtful.join(going.where(twice).select(*exact), exact)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    once = repeated.groupBy(*exact).agg(F.min_by(row, F.to_json(row)).alias(twice)).select(f"{twice}.*")
+    return impossible(marked, going, both).select(*docs.columns).unionByName(doubtful.join(going.select(*exact), exact, "left_anti").select(*docs.columns)).unionByName(once)

@@ -158,6 +158,24 @@ def test_near_duplicates_odd_rows(odd, empty):
     assert neardup.near_duplicates(empty).count() == 0 and neardup.deduplicated(empty).count() == 0
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark, monkeypatch):
+    """Links are found by each text's own words; every group keeps one row, equal rows one, and hot keys are dealt."""
+    monkeypatch.setattr(neardup, "PART", 3)
+    monkeypatch.setattr(neardup, "MOST_HOT", 20)
+    rng = random.Random(5)
+    a, b, c = (" ".join(rng.choices([f"w{k}" for k in range(900)], k=60)) for _ in range(3))
+    rows = [(1, a), (1, b), (5, b + " more"), (1, a), (6, c), (6, c + " tail"), (0, ""), (0, ""), (3, a + " end"), (9, None), (None, a), (None, a)]
+    rows += [(20 + k, f"{c} x{k % 4}") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("note", F.monotonically_increasing_id())
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, 4).where("doc_id IS NOT NULL").collect())
+    known = [r for r in rows if r[0] is not None]
+    sets = [(i, t) for i, t in known if t]
+    least = brute(sets, 4)
+    assert got == sorted([(i, n, c) for k, (i, t) in enumerate(known) for n, c in [next((n, c) for j, n, c in least if j == i and n == max(0, len((t or "").split()) - 3)) if t else (0, i)]])
+    left = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in neardup.deduplicated(df, 4).collect())
+    assert left == sorted([(False, 0, a), (False, 0, a), (True, 0, ""), (True, 9, ""), *((True, 1, t) for t in (a, b)), next(x for x in left if x[:2] == (True, 6))])
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(40)]
