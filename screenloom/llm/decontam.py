@@ -5,8 +5,10 @@ occur with at most k = floor(``BUDGET`` m) edits. Cut into k + 1 pieces, at leas
 exact; an Aho-Corasick automaton finds all exact pieces in one pass over the whole text, and Myers' bit-parallel
 distance verifies the item around each hit.
 
-Items go to the tasks in blocks of at most ``BLOCK_CHARS`` characters (the proven bound of a broadcast); each block is
-one more pass over the documents, so the benchmark may be of any size.
+Items go to the tasks in blocks of at most ``BLOCK_CHARS`` characters (the proven bound of a broadcast, unless a single
+item is longer). A benchmark of one block is one pass over the documents. With more, each block's result is settled and its
+broadcast destroyed before the next block is read: driver and workers hold one block at a time, and every block is one
+more pass, over all documents for ``contaminated`` and over those still clean for ``clean``.
 
 Defined cases: null and empty texts hold nothing; null and empty items, and items of white space, match nothing; an item under ``1 / BUDGET``
 characters must occur exactly; of equal distances the leftmost occurrence counts; repeated rows each get their hits;
@@ -17,12 +19,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenloom.llm.common import settle
+
 BUDGET = 0.06
 BLOCK_CHARS = 4_000_000
 HITS = "array<struct<item_id:bigint,distance:int,start:bigint,end:bigint>>"
@@ -141,28 +146,55 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -
     yield Matcher(block)
 
 
-def _hits(matcher: Matcher, docs: DataFrame, text: str) -> Column:
-    shared = docs.sparkSession.sparkContext.broadcast(matcher)
+class Shared:
+    """A block in the tasks, as long as it is needed."""
+
+    def __init__(self, matcher: Matcher, docs: DataFrame):
+        self.broadcast = docs.sparkSession.sparkContext.broadcast(matcher)
+
+    def hits(self, text: Column) -> Column:
+        """All items of the block that a text holds. Map only: documents are never shuffled."""
+        shared = self.broadcast
+
+        @F.pandas_udf(HITS)
+        def found(texts: pd.Series) -> pd.Series:
+            own = shared.value
+            return pd.Series([[dict(zip(("item_id", "distance", "start", "end"), h, strict=True)) for h in own.hits(t)] for t in texts], dtype=object)
 
-    @F.pandas_udf(HITS)
-    def found(texts: pd.Series) -> pd.Series:
-        own = shared.value
-        return pd.Series([[dict(zip(("item_id", "distance", "start", "end"), h, strict=True)) for h in own.hits(t)] for t in texts], dtype=object)
+        return found(text.cast("string"))
 
-    return found(F.col(text).cast("string"))
+    def done(self) -> None:
+        self.broadcast.destroy()
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Column:
-    """All items that a text holds, as a column of ``docs``. Map only: documents are never shuffled."""
-    return reduce(F.concat, [_hits(m, docs, text) for m in blocks(benchmark)])
+def _block_by_block(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Shared, bool]]:
+    """Each block, and whether it is the only one."""
+    found = blocks(benchmark)
+    first, second = next(found), next(found, None)
+    yield Shared(first, docs), second is None
+    if second is not None:
+        for matcher in chain([second], found):
+            yield Shared(matcher, docs), False
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document and item it holds: ``doc_id``, ``item_id``, ``distance``, ``start``, ``end``."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), hits(docs, benchmark, text).alias("hit"))
-    return rows.select("doc_id", F.explode("hit").alias("hit")).select("doc_id", "hit.*")
+    parts = []
+    for block, only in _block_by_block(docs, benchmark):
+        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.explode(block.hits(F.col(text))).alias("hit")).select("doc_id", "hit.*")
+        if only:
+            return rows
+        parts.append(settle(rows))
+        block.done()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    return docs.where(F.size(hits(docs, benchmark, text)) == 0)
+    for block, only in _block_by_block(docs, benchmark):
+        left = docs.where(F.size(block.hits(F.col(text))) == 0)
+        if only:
+            return left
+        docs = settle(left)
+        block.done()
+    return docs
