@@ -112,7 +112,8 @@ def grow(points: DataFrame, shards: int, target: float) -> DataFrame:
             s = search.get(n, {"d": 0, "cut": 0})  # a node without rows
             splits.append((n, s["d"], s["cut"], left, right))
         side = F.expr("CASE WHEN left IS NULL THEN node WHEN at[cast(d AS int)] <= cut THEN left ELSE right END")
-        placed = placed.join(listed(spark, "node, d, cut, left, right", splits), "node", "left").select(*(c for c in points.columns if c != "node"), side.alias("node"))
+        # written once a level, so that no level works out those above it again
+        placed = settle(placed.join(listed(spark, "node, d, cut, left, right", splits), "node", "left").select(*(c for c in points.columns if c != "node"), side.alias("node")))
     leaves = listed(spark, "node, shard", [(n, first) for n, (first, count) in nodes.items() if count == 1])
     return placed.join(leaves, "node").drop("node").withColumn("shard", F.col("shard").cast("int"))
 
