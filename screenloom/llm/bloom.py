@@ -38,7 +38,7 @@ def bloom(keys: DataFrame, key: str = "key") -> tuple[DataFrame, int]:
     return keys.groupBy(_block(key, blocks).alias("block")).agg(*words), blocks
 
 
-def _asked(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, Column]:
+def asked(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, Column]:
     """The rows with the words of their block beside them, and whether all bits are set."""
     filled, blocks = bloom(keys, key)
     word = fresh(rows.columns, "word")
@@ -49,11 +49,11 @@ def _asked(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, Colum
 
 def possible(rows: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     """The rows whose ``key`` may be among ``keys``: all that are, and few others."""
-    asked, hit = _asked(rows, keys, key)
-    return asked.where(hit).select(*rows.columns)
+    found, hit = asked(rows, keys, key)
+    return found.where(hit).select(*rows.columns)
 
 
 def impossible(rows: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     """The other rows: those whose ``key`` is certainly not among ``keys``, null keys too."""
-    asked, hit = _asked(rows, keys, key)
-    return asked.where(~hit | F.col(key).isNull()).select(*rows.columns)
+    found, hit = asked(rows, keys, key)
+    return found.where(~hit | F.col(key).isNull()).select(*rows.columns)

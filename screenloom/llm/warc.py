@@ -8,9 +8,14 @@ headers, and have block digests of their own, so that a reader can check every l
 Records are rows: ``record_id``, ``type``, ``headers`` (an ordered list) and ``block`` (bytes); ``serialised`` gives the
 bytes of a record as a WARC 1.1 file has them, and ``parsed`` reads them again.
 
+A page is read once from left to right, in time in proportion to its length whatever it holds: an end that was looked for
+in vain is not looked for again.
+
 Defined cases: a null page is an empty body; a body that isn't UTF-8 is read with replacement characters; null URLs are
-empty target URIs; repeated rows have the same record id, as it is made from the page's id, URL and body; extra
-columns are not read; an empty table gives no records.
+empty target URIs; record ids are made from a page's id, URL and body, and where id and URL occur more than once from the
+row's place in the table as well, so that repeated rows have records of their own; of a source header that repeats, all
+are kept; a tag without ``>`` is text, a comment, script or style without an end is a tag like any other; extra columns
+are not read; an empty table gives no records.
 """
 
 from __future__ import annotations
@@ -26,15 +31,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenloom.llm.bloom import asked
+
 RECORD = "page_id long, record_id string, type string, headers array<struct<name:string,value:string>>, block binary"
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
-DROPPED = re.compile(r"(?is)<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<head\b.*?</head\s*>")
-BREAKS = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|article|section|nav|footer|header|table|tr|body|title)\b[^>]*>")
-TAG = re.compile(r"<[^>]*>")
-TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title\s*>")
-LANG = re.compile(r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)")
-LINK = re.compile(r"(?i)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+BREAKS = {*"p div br li ul ol h1 h2 h3 h4 h5 h6 article section nav footer header table tr body title".split()}
+#: Elements whose content is no text; what a head holds is looked at for the title.
+DROPPED = {n: re.compile(rf"(?i)</{n}\s*>") for n in ("script", "style", "template", "noscript", "head", "title")}
+LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([\w-]+)")
+HREF = re.compile(r"(?i)\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 SPACES = re.compile(r"[^\S\n]+")
 
 
@@ -51,13 +58,13 @@ def clean(value: str) -> str:
     return re.sub(r"[\r\n]+\s*", " ", value)
 
 
-def response(page_id: int | None, url: str | None, body: str | None) -> dict:
-    """A page as the response record of a crawl: an HTTP head and the body."""
+def response(page_id: int | None, url: str | None, body: str | None, place: int = 0) -> dict:
+    """A page as the response record of a crawl: an HTTP head and the body. ``place`` tells equal pages apart."""
     url, payload = clean(url or ""), (body or "").encode("utf-8", "surrogatepass")
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head + payload
     return {
-        "page_id": page_id, "record_id": identifier("response", str(page_id), url, digest(payload)), "type": "response", "block": block,
+        "page_id": page_id, "record_id": identifier("response", str(page_id), url, digest(payload), *([str(place)] if place else [])), "type": "response", "block": block,
         "headers": [("WARC-Date", DATE), ("WARC-Target-URI", url), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block))],
     }
 
@@ -69,29 +76,73 @@ def http_parts(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return [(n.strip(), v.strip()) for n, _, v in (x.partition(":") for x in lines)], payload
 
 
-def plain_text(page: str) -> str:
-    """Visible text, a line for each block of the page."""
-    text = entities.unescape(TAG.sub("", BREAKS.sub("\n", DROPPED.sub(" ", page))))
-    return "\n".join(x for x in (SPACES.sub(" ", line).strip() for line in text.split("\n")) if x)
+class Page:
+    """What a page shows and says about itself: ``text``, ``title``, ``lang`` and ``links``."""
+
+    def __init__(self, page: str):
+        self.title, self.lang, self.links = "", "", []
+        self.text = self.read(page)
+
+    def read(self, page: str) -> str:
+        out: list[str] = []
+        endless: set[str] = set()
+        at, shown_from, titled = 0, 0, False  # text before ``shown_from`` belongs to the head
+        while (begin := page.find("<", at)) >= 0:
+            if at >= shown_from:
+                out.append(page[at:begin])
+            if page.startswith("<!--", begin) and "<!--" not in endless:
+                if (end := page.find("-->", begin + 4)) >= 0:
+                    out.append(" ")
+                    at = end + 3
+                    continue
+                endless.add("<!--")
+            if (end := page.find(">", begin)) < 0:
+                at = begin
+                break
+            tag, at = page[begin : end + 1], end + 1
+            if not (named := NAME.match(tag)):
+                continue
+            name, opens = named[1].lower(), tag[1] != "/"
+            if opens and name in DROPPED and name not in endless:
+                if not (close := DROPPED[name].search(page, at)):
+                    endless.add(name)
+                elif name == "head":
+                    shown_from = max(shown_from, close.end())
+                    out.append(" ")
+                elif name != "title":
+                    at = close.end()
+                    out.append(" ")
+                elif not titled:
+                    self.title, titled = clean(" ".join(entities.unescape(page[at : close.start()]).split())), True
+            if name in BREAKS and at >= shown_from:
+                out.append("\n")
+            if opens and name == "html" and not self.lang and (lang := LANG.search(tag)):
+                self.lang = lang[1].lower()
+            if opens and name == "a" and (link := HREF.search(tag)):
+                self.links.append(entities.unescape(link[1] or link[2] or link[3] or ""))
+        if at < len(page):
+            out.append(page[max(at, shown_from) :])
+        text = entities.unescape("".join(out))
+        return "\n".join(x for x in (SPACES.sub(" ", line).strip() for line in text.split("\n")) if x)
+
+
+#: Headers of a response that its derivatives repeat, before and after the link to it.
+BEFORE, AFTER = ("WARC-Target-URI", "WARC-Date"), ("WARC-Refers-To-Target-URI", "WARC-Refers-To-Date")
 
 
 def derive(record: dict) -> list[dict]:
     """The metadata and the conversion record of a response; other types have none."""
     if record["type"] != "response":
         return []
-    own = dict(record["headers"])
     http, payload = http_parts(record["block"])
-    page = payload.decode("utf-8", "replace")
-    source = [(n, own[n]) for n in ("WARC-Target-URI", "WARC-Date") if n in own]
-    source += [("WARC-Refers-To", record["record_id"])]
-    source += [(n, own[n]) for n in ("WARC-Refers-To-Target-URI", "WARC-Refers-To-Date") if n in own]
-    source += [("WARC-Source-Payload-Digest", own.get("WARC-Payload-Digest") or digest(payload))]
+    page = Page(payload.decode("utf-8", "replace"))
+    given = lambda *names: [(n, v) for k in names for n, v in record["headers"] if n == k]
+    source = [*given(*BEFORE), ("WARC-Refers-To", record["record_id"]), *given(*AFTER)]
+    source += [("WARC-Source-Payload-Digest", v) for _, v in given("WARC-Payload-Digest")] or [("WARC-Source-Payload-Digest", digest(payload))]
     source += [(f"WARC-Source-HTTP-{n}", clean(v)) for n, v in http]
-    text = plain_text(page).encode("utf-8", "surrogatepass")
-    title, lang = TITLE.search(page), LANG.search(page)
-    links = [entities.unescape(next(x for x in m if x is not None)) for m in ((a or b or c or "",) for a, b, c in LINK.findall(page))]
-    fields = [("title", clean(" ".join(entities.unescape(title[1]).split())) if title else ""), ("language", lang[1].lower() if lang else ""), ("payload-bytes", str(len(payload))), ("text-bytes", str(len(text)))]
-    fields += [("outlink", clean(x)) for x in links]
+    text = page.text.encode("utf-8", "surrogatepass")
+    fields = [("title", page.title), ("language", page.lang), ("payload-bytes", str(len(payload))), ("text-bytes", str(len(text)))]
+    fields += [("outlink", clean(x)) for x in page.links]
     about = "".join(f"{n}: {v}\r\n" for n, v in fields).encode("utf-8", "surrogatepass")
     out = []
     for kind, content, block in (("metadata", "application/warc-fields", about), ("conversion", "text/plain; charset=utf-8", text)):
@@ -112,9 +163,10 @@ def parsed(data: bytes) -> Iterator[dict]:
     """The records of a WARC file's bytes; wrong lengths and digests are errors."""
     at = 0
     while at < len(data):
-        head, gap, _ = data[at:].partition(b"\r\n\r\n")
+        gap = data.find(b"\r\n\r\n", at)
+        head = data[at : max(gap, at)]
         first, *lines = head.split(b"\r\n")
-        if first != VERSION or not gap:
+        if first != VERSION:
             raise ValueError(f"no record begins at byte {at}")
         headers = [tuple(x.decode("utf-8", "surrogatepass").split(": ", 1)) for x in lines]
         known = dict(headers)
@@ -137,13 +189,18 @@ def _whole(value: object) -> object:
 
 
 def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """Pages as response records. Map only."""
+    """Pages as response records. Map only, after a look at ids and URLs alone that finds those that repeat."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield frame(response(None if pd.isna(i) else int(i), _whole(u), _whole(t)) for i, u, t in zip(b["page_id"], b["url"], b["body"], strict=True))
-
-    return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(body).cast("string").alias("body")).mapInPandas(run, RECORD)
+            rows = zip(b["page_id"], b["url"], b["body"], b["place"], strict=True)
+            yield frame(response(None if pd.isna(i) else int(i), _whole(u), _whole(t), int(p)) for i, u, t, p in rows)
+
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(body).cast("string").alias("body"), F.xxhash64(F.col(page_id).cast("long"), F.col(url).cast("string")).alias("key"))
+    repeated = rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    placed, perhaps = asked(rows, repeated, "key")
+    placed = placed.withColumn("place", F.when(perhaps, F.monotonically_increasing_id() + 1).otherwise(0).cast("long"))
+    return placed.select("page_id", "url", "body", "place").mapInPandas(run, RECORD)
 
 
 def derivatives(records: DataFrame) -> DataFrame:
