@@ -98,15 +98,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: The list that blocks where no rule fits: the pages of hosts that say by their name that they carry ads or adult content.
-LISTED_HOSTS = r"(^|\.)(ads|adult)-"
+#: Names whose hosts' URLs are on the list that blocks where no rule fits.
+LISTED_NAMES = "casino-win free-bets ads-track spam-farm cheap-pills adult-x".split()
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    listed = pages.where(urlfilter.host_and_path(F.col("url"))[0].rlike(LISTED_HOSTS)).select("url")
+    names = spark.sql(f"SELECT * FROM VALUES {', '.join(f'({n!r})' for n in LISTED_NAMES)} AS t(name)")
     rules = ", ".join(map(str, RULES))
-    return urlfilter.judge(pages, spark.sql(f"SELECT * FROM VALUES {rules} AS t(host, path, verdict)"), listed)
+    return urlfilter.judge(pages, spark.sql(f"SELECT * FROM VALUES {rules} AS t(host, path, verdict)"), urlfilter.urls_under(pages, names))
 
 
 OP9_SQL = r"""
@@ -121,7 +121,7 @@ ruled AS (
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
     regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '^(www|m)\.', '') || regexp_replace(path, '/+$', '') AS name
   FROM p
-), listed AS (SELECT DISTINCT name FROM ruled WHERE regexp_matches(host, '(^|\.)(ads|adult)-'))
+), listed AS (SELECT DISTINCT name FROM ruled WHERE list_has_any(string_split(host, '.'), ['casino-win', 'free-bets', 'ads-track', 'spam-farm', 'cheap-pills', 'adult-x']))
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN name IN (SELECT name FROM listed) THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
@@ -140,8 +140,8 @@ def op9_junk_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, spark.sql(f"SELECT * FROM VALUES {rules} AS t(host, path, verdict)"), urlfilter.junk_urls(pages, words))
 
 
-#: The twin lists whole host names, none of the words.
-JUNK_HOSTS_SQL = OP9_SQL.replace(r"regexp_matches(host, '(^|\.)(ads|adult)-')", "list_has_any(string_split(host, '.'), ['casino-win', 'free-bets', 'ads-track', 'spam-farm', 'cheap-pills', 'adult-x'])")
+#: The same rows as those of ``op9_url_filter``: the words find the hosts that its list names.
+JUNK_HOSTS_SQL = OP9_SQL
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ without a trailing slash, query or fragment. Their hashes fill a blocked Bloom f
 which is broadcast; the exact join removes its false positives.
 
 Rules (host, path, verdict) fit a host and all its subdomains, and paths that start with theirs; the longest wins. They
-go the same way: each URL offers the keys that could be rules for it (a suffix of its host, a prefix of its path of a
-length that some rule has), the filter drops nearly all, the exact join decides.
+go the same way: each URL offers the keys that could be rules for it (a suffix of its host of as many labels as some
+rule has, with a prefix of its path as long as some rule's), the filter drops nearly all, the exact join decides.
 
 Defined cases: a null URL and one without ``://`` have an empty host and path and are allowed; repeated URLs are judged
 alike; a list or rule given twice counts once, of two verdicts for one rule ``block`` wins; empty lists block nothing; extra columns are not read.
@@ -42,6 +42,12 @@ def canonical(host: Column, path: Column) -> Column:
     return F.concat(bare_host(host), F.regexp_replace(path, "/+$", ""))
 
 
+def urls_under(pages: DataFrame, names: DataFrame, url: str = "url") -> DataFrame:
+    """``url`` of the pages whose host has one of ``names`` (``name``, a short list) as a label: a list for ``judge``."""
+    labels = F.array_distinct(F.split(bare_host(host_and_path(F.col(url))[0]), r"\."))
+    return pages.select(F.col(url).alias("url"), F.explode(labels).alias("name")).join(F.broadcast(names), "name", "left_semi").select("url")
+
+
 def junk_urls(pages: DataFrame, words: DataFrame, url: str = "url") -> DataFrame:
     """``url`` of the pages on hosts with a label of several words joined by hyphens, one of them among ``words`` (``word``)."""
     labels = F.filter(F.split(bare_host(host_and_path(F.col(url))[0]), r"\."), lambda x: F.contains(x, F.lit("-")))
@@ -54,15 +60,16 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, page_id: str =
 
     ``rules``: host, path, verdict (at most ``MAX_RULES``); ``listed``: url, the URLs to block where no rule fits.
     """
-    rules = rules.groupBy((F.concat(F.lower("host"), F.coalesce("path", F.lit("")))).alias("key")).agg(F.max("verdict").alias("verdict"), F.max(F.length("path")).alias("size")).where("key is not null")
-    bound = rules.agg(F.count("*"), F.collect_set("size")).first()
+    given = rules.select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host IS NOT NULL")
+    rules = given.groupBy(F.concat("host", "path").alias("key")).agg(F.max("verdict").alias("verdict"))
+    bound = given.agg(F.count_distinct(F.concat("host", "path")), F.collect_set(F.length("path")), F.collect_set(F.size(F.split("host", r"\.")))).first()
     if bound[0] > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules: list whole URLs instead")
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     # what could be a rule for the URL: suffixes of its host at a dot, with each beginning of its path that is as long as some rule's
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    suffixes = F.array_compact(F.array(*(F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in sorted(bound[2])), F.lit(None).cast("string")))
     beginnings = F.array_compact(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(bound[1])), F.lit(None).cast("string")))
     offers = F.flatten(F.transform(suffixes, lambda s: F.transform(beginnings, lambda b: F.concat(s, b))))
     ruled = possible(rows.where("host <> ''").select(*AT, F.explode(offers).alias("key")), rules.select("key")).join(F.broadcast(rules), "key")
