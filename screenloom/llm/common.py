@@ -18,9 +18,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share; a temporary one where it is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share; in local mode a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="screenloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

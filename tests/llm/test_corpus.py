@@ -6,7 +6,9 @@ import hashlib
 import itertools
 import json
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -201,10 +203,10 @@ def test_chat_round_trip():
     parts = ["###", "</turn>", "\\", "\n", "### Assistant: ", "a", " ", '"', "#", "</turn>\n### User: x"]
     for _ in range(3000):
         text, role = "".join(rng.choices(parts, k=rng.randint(0, 8))), rng.choice(["user", "assistant", "system", "tool: x\n", "", None, "null", "System"])
-        rendered = chat.agreed(role, text)
+        rendered, begin, end = chat.agreed(role, text)
         (got,) = chat.parse(rendered)
-        assert got[:2] == (role, text)
-    assert chat.agreed("user", "plain") == "### User: plain\n</turn>\n"
+        assert got == (role, text, begin, end) and chat.unescaped(rendered[begin:end]) == text
+    assert chat.agreed("user", "plain") == ("### User: plain\n</turn>\n", 10, 15)
     for broken in ("x", "### User: a", "### User: a</turn>\n", "### User: a\n</turn>", "### User: ### b\n</turn>\n"):
         with pytest.raises(chat.Malformed):
             chat.parse(broken)
@@ -215,9 +217,13 @@ def test_chat_odd_conversations(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("extra"))
     out = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(df)).collect()}
     assert out[1]["n_turns"] == 2 and out[1]["loss_chars"] == 7 and out[1]["turns_sha256"] == hashlib.sha256(b"user\n\nassistant\nb ### c\n").hexdigest()
-    assert out[2]["n_turns"] == 2 and out[2]["loss_chars"] == 0 and out[None]["n_turns"] == 1 and out[3]["formatted_chars"] == len(chat.agreed("tool", LONG))
-    whole = {r["conv_id"]: r["formatted"] for r in chat.conversation_texts(chat.format_turns(df)).collect()}
-    assert [t[:2] for t in chat.parse(whole[1])] == [("user", ""), ("assistant", "b ### c")]
+    assert out[2]["n_turns"] == 2 and out[2]["loss_chars"] == 0 and out[None]["n_turns"] == 1 and out[3]["formatted_chars"] == len(chat.agreed("tool", LONG)[0])
+    whole = {r["conv_id"]: r for r in chat.conversation_texts(chat.format_turns(df)).collect()}
+    text, mask = whole[1]["formatted"], whole[1]["loss"]
+    assert [t[:2] for t in chat.parse(text)] == [("user", ""), ("assistant", "b ### c")]
+    assert [chat.unescaped(text[m["begin"] : m["end"]]) for m in mask] == ["b ### c"] and [len(whole[k]["loss"]) for k in (2, 3)] == [2, 0]
+    user = chat.format_turns(df, learned="user").where("conv_id = 1 AND turn = 0").first()
+    assert [tuple(m) for m in user["loss"]] == [(10, 10)]
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
 
 
@@ -291,7 +297,7 @@ def test_warc_records_read_back(spark, sf):
 def test_warc_odd_pages(spark):
     rows = [(None, None, None), (1, "http://a/\r\nX: y", ""), (1, "http://a/\r\nX: y", ""), (2, "u", "<p>a &amp; b<br>c<script>x</script><a href=/q>l</a>" + "<p>z" * 5000)]
     out = warc.derivatives(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
-    assert len(out) == 8 and len({r["record_id"] for r in out if r["page_id"] == 1}) == 2
+    assert len(out) == 8 and len({r["record_id"] for r in out}) == 8  # equal pages too have records of their own
     text = next(bytes(r["block"]).decode() for r in out if r["page_id"] == 2 and r["type"] == "conversion")
     assert text.startswith("a & b\nc l\nz\n")
     about = next(bytes(r["block"]).decode() for r in out if r["page_id"] == 2 and r["type"] == "metadata")
@@ -299,6 +305,54 @@ def test_warc_odd_pages(spark):
     assert warc.derivatives(warc.responses(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
+class Reader(HTMLParser):
+    """An independent reader: title, language, links and visible text of a well-formed page."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.title, self.lang, self.links, self.parts, self.inside = "", "", [], [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        given = dict(attrs)
+        if tag in ("script", "style", "noscript", "template", "head", "title"):
+            self.inside.append(tag)
+        if tag == "html":
+            self.lang = given.get("lang", "")
+        if tag == "a" and "href" in given:
+            self.links.append(given["href"])
+        self.parts += ["\n"] if tag in warc.BREAKS and "head" not in self.inside else []
+
+    def handle_endtag(self, tag):
+        if tag in self.inside:
+            self.inside.remove(tag)
+        self.parts += ["\n"] if tag in warc.BREAKS and "head" not in self.inside else []
+
+    def handle_data(self, data):
+        if "title" in self.inside:
+            self.title += data
+        elif not self.inside:
+            self.parts.append(data)
+
+
+def test_warc_pages_like_another_reader(spark, sf):
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        page, other = warc.Page(r["html"]), Reader(r["html"])
+        assert (page.title, page.lang, page.links) == (" ".join(other.title.split()), other.lang, other.links)
+        assert page.text.split() == "".join(other.parts).split()
+
+
+def test_warc_hostile_pages_take_little_time():
+    for bad in ("<script", "<script>", "<", "<!--", "<title>", "<a href ", "</script ", "a<head>", "&", "<a href=x"):
+        begin = time.monotonic()
+        warc.Page(bad * 100_000)
+        assert time.monotonic() - begin < 5, bad
+    record = {"page_id": 1, "record_id": "<r>", "type": "response", "headers": [("WARC-Date", "a"), ("WARC-Date", "b"), ("WARC-Payload-Digest", "d")], "block": b"HTTP/1.1 200 OK\r\nA: 1\r\nA: 2\r\n\r\nx < y"}
+    about, text = warc.derive(record)
+    assert [v for n, v in text["headers"] if n in ("WARC-Date", "WARC-Source-HTTP-A")] == ["a", "b", "1", "2"] and text["block"] == b"x < y"
+
+
 # ---- 8 decontamination ----
 
 
@@ -323,14 +377,14 @@ def test_decontamination_like_brute_force(spark):
             p = rng.randrange(len(t))
             t[p : p + 1] = rng.choice([[], ["z"], [t[p], "y"]])
         rows.append((i, f"Before {''.join(t)}\n after  it" if i % 3 else " ".join(rng.choices(words, k=20)).upper()))
-    rows += [(500, None), (501, ""), (502, "x " * 30000), (None, items[0][1])]
+    rows += [(500, None), (501, ""), (502, "x " * 3000), (None, items[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hit", F.lit("extra"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.contaminated(df, bench).collect()}
     want = set()
     for i, t in rows:
         for k, item in items:
-            item, text = decontam.plain(item), decontam.plain(t)[:3000]
+            item, text = decontam.plain(item), decontam.plain(t)
             if item and (d := distance(item, text)) <= decontam.allowed(len(item)):
                 want.add((i, k, d))
     assert got == want and len(got) > 40
@@ -343,8 +397,11 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 60)
     items = [(k, f"the item number {k} of a long benchmark") for k in range(7)]
     df = spark.createDataFrame([(k, f"see the item number {k} of a long benchmark here") for k in range(9)], "doc_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).where("distance = 0").collect()}
-    assert len(list(decontam.blocks(spark.createDataFrame(items, "item_id long, text string")))) == 7 and got == {(k, k) for k in range(7)}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(df, bench).where("distance = 0").collect()}
+    assert len(list(decontam.blocks(bench))) == 7 and got == {(k, k) for k in range(7)}
+    others = df.unionByName(spark.createDataFrame([(20, "nothing of it"), (21, None)], "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in decontam.clean(others, bench).collect()) == [20, 21]
 
 
 # ---- 9 URL filter ----
@@ -369,11 +426,27 @@ def test_url_filter(spark):
     assert len(out) == len(urls) + 2 and of[None] == of[2] == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert of[0] == of[1] == ("", "", None, "allow") and of[3] == ("example.net", "", None, "allow") and of[4][2:] == ("net/", "block")
     assert of[5][2:] == ("example.com/de/", "block") and of[6][2:] == (None, "allow") and of[7][2:] == ("org/fr/", "allow") and of[8][2:] == (None, "allow")
+    hostile = spark.createDataFrame([(1, "http://" + "a." * 200_000 + "net/x")], "page_id long, url string")
+    assert urlfilter.judge(hostile, rules, listed).select("rule", "verdict").first() == ("net/", "block")
     assert [of[k][3] for k in (9, 10, 11)] == ["block", "block", "allow"] and of[12][2:] == ("net/", "block") and of[13][:2] == ("b:", "//c/d") and of[14][:2] == ("h", "")
     nothing = urlfilter.judge(pages, rules.limit(0), listed.limit(0)).collect()
     assert len(nothing) == len(out) and {r["verdict"] for r in nothing} == {"allow"} and urlfilter.judge(pages.limit(0), rules, listed).count() == 0
 
 
+def test_url_list_hits_near_hits_and_false_positives(spark, monkeypatch):
+    """A list of many hosts and paths; with a filter of one block everything passes it, and the join alone decides."""
+    listed = [f"https://{h}/{p}" for h in ("shop.one.example", "two.example", "www.three.example:8080") for p in ("", "a", "a/b/", "Case")]
+    hits = ["http://shop.one.example", "http://SHOP.one.example/a?x=1", "https://m.two.example/a/b", "http://user@three.example/Case#top", "ftp://three.example/"]
+    near = ["http://one.example/a", "http://shop.one.example/a/c", "http://two.example/case", "http://two.example.org/a", "http://atwo.example/a", "http://three.example/a/b/c"]
+    pages = spark.createDataFrame(list(enumerate([*hits, *near])), "page_id long, url string")
+    rules = spark.createDataFrame([], "host string, path string, verdict string")
+    for blocks in (1 << 18, 1):
+        monkeypatch.setattr(bloom, "MAX_BLOCKS", blocks)
+        monkeypatch.setattr(bloom, "_bits", lambda key, real=bloom._bits: real(key) if blocks > 1 else [F.lit(1).cast("long")] * 8)
+        out = {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, rules, spark.createDataFrame([(u,) for u in listed], "url string")).collect()}
+        assert [out[k] for k in range(len(out))] == ["block"] * len(hits) + ["allow"] * len(near)
+
+
 def test_junk_hosts_of_every_family(spark, sf):
     names = {"casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x"}
     sf = sf.replace("sf0.001", "sf0.1")
