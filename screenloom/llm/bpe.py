@@ -177,8 +177,8 @@ def vocabulary_of(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``ids`` and the text ``decoded`` from them, for every row. Map only: no shuffle."""
+def encode_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", decode: bool = True) -> DataFrame:
+    """``doc_id``, ``ids`` and, if wanted, the text ``decoded`` from them, for every row. Map only: no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary_of(vocabulary)
@@ -187,10 +187,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", t
                 rows = batch.slice(at, 250)
                 ids = bpe.encode_all(rows.column(1).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([rows.column(0), lists, pa.array([bpe.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
+                columns = {"doc_id": rows.column(0), "ids": lists}
+                if decode:
+                    columns["decoded"] = pa.array([bpe.decode(i) for i in ids], pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>" + (", decoded string" if decode else ""))
 
 
 def digests(encoded: DataFrame) -> DataFrame:
