@@ -58,9 +58,8 @@ def letterbox_params(width: Column, height: Column, side: int) -> Column:
 
 
 def unletterbox(box: list[Column], ratio: Column, pad_x: Column, pad_y: Column, width: Column, height: Column, side: int) -> list[Column]:
-    """Corners in the square back to the image, clamped to it. Corners from 0 to 1.01 are shares of the square."""
-    unit = (F.least(*box) >= 0) & (F.greatest(*box) <= 1.01)
-    scaled = [F.when(unit, c * side).otherwise(c) for c in box]
+    """Corners in the square back to the image, clamped to it. A coordinate from 0 to 1.01 is a share of the square, each by itself."""
+    scaled = [F.when(c.between(0, 1.01), c * side).otherwise(c) for c in box]
     out = []
     for k, c in enumerate(scaled):
         pad, most = (pad_x, width) if k % 2 == 0 else (pad_y, height)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from screenloom.cut import cut
 from screenloom.functions.geometry import half_up, iou
 
 CORNERS = ("x1", "y1", "x2", "y2")
@@ -39,21 +40,34 @@ def decode_detections(scores: DataFrame, confidence: float = CONFIDENCE, sigmoid
     return out.where(F.col("score") >= confidence)
 
 
-def _cells(df: DataFrame, cell: int) -> DataFrame:
-    """A row for each grid cell that a box touches."""
+#: Sides of cells in the finest grid and of the largest boxes in it; each further grid is so many times coarser.
+CELL, LARGEST, COARSER = 128, 1024, 16
+
+
+def _cells(df: DataFrame, least: float) -> DataFrame:
+    """A row for each cell of a box (at most 100) in the grid of its size, its ``own``, and in those of boxes it may meet.
+
+    Two boxes overlap by no more than the ratio of their longer sides: much larger ones are not asked for.
+    """
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    level = lambda x: F.greatest(F.lit(0), F.ceil(F.log(F.greatest(x, F.lit(1.0)) / LARGEST) / math.log(COARSER))).cast("int")
+    df = df.withColumn("_own", level(side)).withColumn("_grid", F.explode(F.sequence("_own", level(side / max(least, 1e-9)))))
+    cell = CELL * F.pow(F.lit(float(COARSER)), "_grid")
     span = lambda low, high: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
     return df.withColumn("_cx", F.explode(span("x1", "x2"))).withColumn("_cy", F.explode(span("y1", "y2")))
 
 
-def box_iou_pairs(a: DataFrame, b: DataFrame, least: float, cell: int = 128) -> DataFrame:
+def box_iou_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """``image``, ``a``, ``b``, ``iou`` of boxes (``image, id, x1, y1, x2, y2``) that overlap more than ``least``.
 
-    Boxes meet in the cells of a grid; a pair is taken in the cell of the upper left corner of what they share, once.
+    Boxes meet in the cells of grids; a pair is taken in the grid of the larger one, in the cell of the upper left corner of
+    what they share, once.
     """
-    left = _cells(a.select("image", F.col("id").alias("a"), *CORNERS), cell).alias("l")
-    right = _cells(b.select("image", F.col("id").alias("b"), *CORNERS), cell).alias("r")
-    met = left.join(right, ["image", "_cx", "_cy"])
+    left = _cells(a.select("image", F.col("id").alias("a"), *CORNERS), least).alias("l")
+    right = _cells(b.select("image", F.col("id").alias("b"), *CORNERS), least).alias("r")
+    met = left.join(right, ["image", "_grid", "_cx", "_cy"]).where((F.col("l._own") == F.col("_grid")) | (F.col("r._own") == F.col("_grid")))
     one, two = [F.col(f"l.{c}") for c in CORNERS], [F.col(f"r.{c}") for c in CORNERS]
+    cell = CELL * F.pow(F.lit(float(COARSER)), "_grid")
     first = (F.floor(F.greatest(one[0], two[0]) / cell) == F.col("_cx")) & (F.floor(F.greatest(one[1], two[1]) / cell) == F.col("_cy"))
     return met.where(first).select("image", "a", "b", iou(one, two).alias("iou")).where(F.col("iou") > least)
 
@@ -61,22 +75,19 @@ def box_iou_pairs(a: DataFrame, b: DataFrame, least: float, cell: int = 128) ->
 def nms(detections: DataFrame, overlap: float = OVERLAP, most: int = MOST) -> DataFrame:
     """Greedy suppression per image over all classes, the ``most`` best of each (``image, seq, score``, corners).
 
-    A box is kept if no kept box above it overlaps it. All boxes whose rivals above are decided are decided at once;
-    rounds go on until none is open, at most as many as the longest chain of rivals.
+    An image's boxes are gathered in order of score, ties by ``seq``, and scanned once: a box is kept if no kept box
+    overlaps it, until ``most`` are. One shuffle by image; an image has as many boxes as a detector gives it.
     """
-    ranked = detections.withColumn("id", F.row_number().over(W.partitionBy("image").orderBy(F.desc("score"), "seq")))
-    ranked = cut(ranked)
-    rivals = cut(box_iou_pairs(ranked, ranked, overlap).where("a < b").select("image", "a", "b"))
-    state = ranked.select("image", "id").join(rivals.select("image", F.col("b").alias("id")).distinct().withColumn("open", F.lit(True)), ["image", "id"], "left")
-    state = cut(state.select("image", "id", F.when(F.col("open"), None).otherwise(F.lit(True)).alias("kept")))
-    while state.where("kept IS NULL").limit(1).count():
-        above = state.select("image", F.col("id").alias("a"), "kept")
-        told = rivals.join(above, ["image", "a"]).groupBy("image", F.col("b").alias("id")).agg(F.coalesce(F.bool_or(F.col("kept")), F.lit(False)).alias("beaten"), F.bool_or(F.col("kept").isNull()).alias("waits"))
-        now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("beaten"), F.lit(False)).when(~F.col("waits"), F.lit(True))
-        state = cut(state.join(told, ["image", "id"], "left").select("image", "id", now.alias("kept")))
-    kept = ranked.join(state.where("kept"), ["image", "id"]).drop("kept")
-    place = F.row_number().over(W.partitionBy("image").orderBy("id"))
-    return kept.withColumn("_k", place).where(F.col("_k") <= most).drop("_k", "id")
+    row = F.struct((-F.col("score")).alias("_order"), "seq", *(c for c in detections.columns if c not in ("image", "seq")))
+    gathered = detections.groupBy("image").agg(F.array_sort(F.collect_list(row)).alias("_boxes"))
+    none = F.filter("_boxes", lambda b: F.lit(False))
+
+    def step(kept: Column, box: Column) -> Column:
+        beaten = F.exists(kept, lambda k: iou([k[c] for c in CORNERS], [box[c] for c in CORNERS]) > overlap)
+        return F.when((F.size(kept) >= most) | beaten, kept).otherwise(F.concat(kept, F.array(box)))
+
+    kept = gathered.select("image", F.explode(F.aggregate("_boxes", none, step)).alias("_b"))
+    return kept.select(*(F.col("image") if c == "image" else F.col(f"_b.{c}") for c in detections.columns))
 
 
 def caption_crops(detections: DataFrame, images: DataFrame, captions: DataFrame) -> DataFrame:

@@ -16,18 +16,18 @@ def verdict(test: Column) -> Column:
 
 
 def match_evidence(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``evidence`` per run with ``actual_count``: nodes of the role, and of the name unless that is empty.
+    """``evidence`` per run with ``actual_count``: nodes of the role and of the name; an empty role or name is any.
 
-    ``nodes``: baseline_id, run_id, role, name, of all sources of a run. Nodes are counted before they are joined, with
-    and without their name, so the wildcard name needs no join on anything but equal keys.
+    ``nodes``: baseline_id, run_id, role, name, of all sources of a run. Nodes are counted by role and name, and a run's
+    counts gathered in one row, before they meet the evidence of its baseline: one pass over the nodes.
     """
     keys = ["baseline_id", "run_id"]
-    named = nodes.groupBy(*keys, "role", "name").agg(F.count("*").alias("by_name"))
-    any_name = named.groupBy(*keys, "role").agg(F.sum("by_name").alias("by_role"))
-    wanted = any_name.select(*keys).distinct().join(evidence, "baseline_id")
-    met = wanted.join(named, [*keys, "role", "name"], "left").join(any_name, [*keys, "role"], "left")
-    count = F.coalesce(F.when(F.col("name") == "", F.col("by_role")).otherwise(F.col("by_name")), F.lit(0))
-    return met.withColumn("actual_count", count).drop("by_name", "by_role")
+    named = nodes.groupBy(*keys, "role", "name").agg(F.count("*").alias("n"))
+    counts = named.groupBy(*keys).agg(F.collect_list(F.struct("role", "name", "n")).alias("_counts"))
+    met = counts.join(evidence, "baseline_id")
+    fits = lambda c: ((F.col("role") == "") | (c["role"] == F.col("role"))) & ((F.col("name") == "") | (c["name"] == F.col("name")))
+    count = F.aggregate(F.filter("_counts", fits), F.lit(0).cast("long"), lambda total, c: total + c["n"])
+    return met.withColumn("actual_count", count).drop("_counts")
 
 
 def evaluate_counts(matched: DataFrame) -> DataFrame:
@@ -119,8 +119,14 @@ def artifact_columns(df: DataFrame) -> DataFrame:
 
 def latest_run(runs: DataFrame) -> DataFrame:
     """The greatest run id of each baseline, in the order of strings."""
-    newest = W.partitionBy("baseline_id").orderBy(F.desc("run_id"))
-    return runs.withColumn("_k", F.row_number().over(newest)).where("_k = 1").drop("_k")
+    row = F.struct(*runs.columns)
+    return runs.groupBy("baseline_id").agg(F.max_by(row, "run_id").alias("_row")).select("_row.*").select(*runs.columns)
+
+
+def newest_result(runs: DataFrame) -> DataFrame:
+    """Of the latest runs of all baselines the one with the newest result (``result_at``); runs without one don't count."""
+    latest = latest_run(runs).where("result_at IS NOT NULL")
+    return latest.orderBy(F.desc("result_at"), "baseline_id").limit(1)
 
 
 def sort_artifacts(artifacts: DataFrame) -> DataFrame:

@@ -97,8 +97,12 @@ def montage_layout(targets: DataFrame, columns: int = 3, cell: tuple[int, int] =
     return out.withColumn("right", F.col("left") + F.col("_w")).withColumn("bottom", F.col("top") + F.col("_h")).drop("_k", "_scale", "_w", "_h")
 
 
-def build_prompts(targets: DataFrame, mode: str) -> DataFrame:
-    """``testset_id``, ``n_targets`` and ``prompt``. With bounds, targets without an area are left out."""
+def build_prompts(targets: DataFrame, mode: str, images: DataFrame | None = None, key: tuple[str, ...] = ("testset_id",)) -> DataFrame:
+    """``key``, ``n_targets`` and ``prompt``. With bounds, targets without an area are left out.
+
+    ``images``: testset_id, width, height; where a size isn't given, or not above 0, the largest box tells it. Batches of
+    targets have a prompt each with ``batch`` in the key.
+    """
     if mode not in PROMPTS:
         raise ValueError(f"no prompt for the input mode {mode}")
     b = F.col("bounds")
@@ -108,15 +112,19 @@ def build_prompts(targets: DataFrame, mode: str) -> DataFrame:
     if "{width}" in PROMPTS[mode]:
         line = F.concat("label", F.lit("="), F.concat_ws(",", b["left"], b["top"], b["right"], b["bottom"]), F.lit("\n"))
         counted = ok
-    rows = targets.select("testset_id", "position", F.when(counted, line).alias("line"), F.when(ok, b["right"]).alias("right"), F.when(ok, b["bottom"]).alias("bottom"))
-    found = rows.groupBy("testset_id").agg(
+    rows = targets.select(*key, "position", F.when(counted, line).alias("line"), F.when(ok, b["right"]).alias("right"), F.when(ok, b["bottom"]).alias("bottom"))
+    found = rows.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("position", "line")))).alias("lines"),
         F.coalesce(F.max("right"), F.lit(0)).alias("width"),
         F.coalesce(F.max("bottom"), F.lit(0)).alias("height"),
     )
+    if images is not None:
+        sizes = images.select("testset_id", F.col("width").alias("_w"), F.col("height").alias("_h"))
+        given_or = lambda own, largest: F.when(F.col(own) > 0, F.col(own)).otherwise(F.col(largest))
+        found = found.join(sizes, "testset_id", "left").withColumns({"width": given_or("_w", "width"), "height": given_or("_h", "height")})
     given = {"{targets}": F.array_join(F.transform("lines", lambda x: x["line"]), ""), "{count}": F.size("lines").cast("string"), "{width}": F.col("width").cast("string"), "{height}": F.col("height").cast("string")}
     text = reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), kv[1]), given.items(), F.lit(PROMPTS[mode]))
-    return found.select("testset_id", F.size("lines").alias("n_targets"), text.alias("prompt"))
+    return found.select(*key, F.size("lines").alias("n_targets"), text.alias("prompt"))
 
 
 def parse_model_output(runs: DataFrame, key: list[str], raw: str = "raw_text") -> DataFrame:
@@ -174,9 +182,16 @@ def manual_scores(targets: DataFrame, scores: DataFrame, key: list[str]) -> Data
 
 
 def mode_leaderboard(runs: DataFrame) -> DataFrame:
-    """Runs and latency by mode; unknown latencies (-1) don't count."""
+    """Runs, latency and accuracy by ``mode`` and ``encoding``; unknown latencies (-1) don't count.
+
+    ``runs``: mode, encoding, inference_ms, and how many of a run's targets were matched (``matched`` of ``total``).
+    """
     known = F.when(F.col("inference_ms") >= 0, F.col("inference_ms"))
-    return runs.groupBy("mode").agg(F.count("*").alias("runs"), F.count(known).alias("timed"), F.avg(known).alias("avg_ms"), F.min(known).alias("min_ms"), F.max(known).alias("max_ms"))
+    out = runs.groupBy("mode", "encoding").agg(
+        F.count("*").alias("runs"), F.count(known).alias("timed"), F.avg(known).alias("avg_ms"), F.min(known).alias("min_ms"), F.max(known).alias("max_ms"),
+        F.coalesce(F.sum("matched"), F.lit(0)).alias("matched"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
+    )
+    return out.withColumn("percent", F.when(F.col("total") > 0, F.col("matched") * 100.0 / F.col("total")))
 
 
 def batch_rollup(batches: DataFrame) -> DataFrame:
@@ -193,9 +208,14 @@ def mode_name(mode: Column) -> Column:
     return first_of([(mode == k, F.lit(v)) for k, v in MODE_NAMES.items()], F.coalesce(mode, F.lit("?")))
 
 
-def history_top(runs: DataFrame, n: int) -> DataFrame:
-    """The newest ``n`` runs, with short mode names."""
-    return runs.orderBy(F.desc("created"), F.desc("run_id")).limit(n).withColumn("mode_name", mode_name(F.col("mode")))
+def history_top(runs: DataFrame, n: int, summary: DataFrame) -> DataFrame:
+    """The newest ``n`` runs with short mode names and their accuracy: ``matched``, ``total``, ``percent`` (null without targets).
+
+    ``summary``: run_id, matched, total of ``match_summary``; runs without one have none of none.
+    """
+    newest = runs.orderBy(F.desc("created"), F.desc("run_id")).limit(n).withColumn("mode_name", mode_name(F.col("mode")))
+    out = newest.join(summary.select("run_id", "matched", "total"), "run_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("matched", "total")})
+    return out.withColumn("percent", F.when(F.col("total") > 0, F.col("matched") * 100.0 / F.col("total")))
 
 
 def run_ids(runs: DataFrame) -> DataFrame:

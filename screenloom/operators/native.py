@@ -34,14 +34,14 @@ def with_roles(raw: DataFrame) -> DataFrame:
 
 
 def promote_collection_items(decided: DataFrame) -> DataFrame:
-    """Generic, card, section and clickable children of lists and grids become list items. One join to the parents."""
-    up = decided.select("tree_id", F.col("node_id").alias("parent_id"), F.col("decision.role").alias("parent_role"), (F.col("item_click") | F.col("item_touch")).alias("parent_listens"))
-    joined = decided.join(up, ["tree_id", "parent_id"], "left")
+    """Generic, card, section and clickable children of lists and grids become list items."""
+    up = F.struct(F.col("decision.role").alias("role"), (F.col("item_click") | F.col("item_touch")).alias("listens"))
+    joined = tree.of_parent(decided, "_up", up)
     clickable = (F.col("decision.role") == "button") & (F.col("decision.source") == "attribute:clickable")
-    item = F.coalesce(F.col("parent_role").isin("list", "grid"), F.lit(False)) & (F.col("decision.role").isin("generic", "card", "section") | clickable)
+    item = F.coalesce(F.col("_up.role").isin("list", "grid"), F.lit(False)) & (F.col("decision.role").isin("generic", "card", "section") | clickable)
     source = F.when(clickable, F.lit("structure:collection-item-clickable")).otherwise(F.lit("structure:collection-item"))
     promoted = F.struct(F.lit("listitem").alias("role"), source.alias("source"), F.lit(0.75).alias("confidence"))
-    return joined.withColumn("decision", F.when(item, promoted).otherwise(F.col("decision"))).withColumn("parent_listens", F.coalesce("parent_listens", F.lit(False)))
+    return joined.withColumn("decision", F.when(item, promoted).otherwise(F.col("decision"))).withColumn("parent_listens", F.coalesce("_up.listens", F.lit(False))).drop("_up")
 
 
 def semantic_nodes(raw: DataFrame, fold: bool = True) -> DataFrame:

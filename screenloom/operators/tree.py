@@ -1,4 +1,9 @@
-"""Operators on node tables. Everything is keyed by the tree: one shuffle by ``tree_id`` serves a chain of them."""
+"""Operators on node tables. Everything is keyed by the tree: one shuffle by ``tree_id`` serves a chain of them.
+
+Node ids are in pre-order, so parents and children need no joins: the node before a first child is its parent, and the
+node after a parent is its first child. Windows over a tree, and over the children of a node in it, find the rest; they all
+keep the partitioning by ``tree_id``.
+"""
 
 from __future__ import annotations
 
@@ -16,29 +21,51 @@ def by_tree() -> WindowSpec:
     return W.partitionBy("tree_id")
 
 
+def in_order() -> WindowSpec:
+    return by_tree().orderBy("node_id")
+
+
+def siblings() -> WindowSpec:
+    return W.partitionBy("tree_id", "parent_id").orderBy("node_id")
+
+
+def of_parent(nodes: DataFrame, name: str, value: Column) -> DataFrame:
+    """``nodes`` with ``value`` of each one's parent as the column ``name``; null for roots."""
+    before = F.when(F.row_number().over(siblings()) == 1, F.col("_before"))
+    told = nodes.withColumn("_before", F.lag(value).over(in_order())).withColumn("_before", before)
+    told = told.withColumn(name, F.when(F.col("parent_id").isNotNull(), F.first("_before").over(siblings())))
+    return told.drop("_before")
+
+
+def with_child_count(nodes: DataFrame, name: str = "_children") -> DataFrame:
+    """``nodes`` with the number of children of each."""
+    size = F.count("*").over(W.partitionBy("tree_id", "parent_id"))
+    first = F.when(F.lead("parent_id").over(in_order()) == F.col("node_id"), F.lead("_size").over(in_order()))
+    return nodes.withColumn("_size", size).withColumn(name, F.coalesce(first, F.lit(0))).drop("_size")
+
+
+def is_parent() -> Column:
+    return F.coalesce(F.lead("parent_id").over(in_order()) == F.col("node_id"), F.lit(False))
+
+
 def number_preorder(nodes: DataFrame) -> DataFrame:
     """Node ids anew from 0 in pre-order, with parents and paths by the new ids. Needs ``node_id`` in pre-order."""
-    order = by_tree().orderBy("node_id")
-    numbered = nodes.withColumn("_new", (F.row_number().over(order) - 1).cast("int"))
-    ids = F.map_from_entries(F.collect_list(F.struct("node_id", "_new")).over(by_tree()))
-    moved = numbered.withColumn("_ids", ids)
-    return moved.select(
-        *(c for c in nodes.columns if c not in ("node_id", "parent_id", "path")),
-        F.col("_new").alias("node_id"),
-        F.try_element_at("_ids", F.col("parent_id")).alias("parent_id"),
-        F.transform("path", lambda p: F.try_element_at(F.col("_ids"), p)).alias("path"),
-    ).select(*nodes.columns)
+    from screenloom.sources.markup import paths
+
+    rows = nodes.select(*(c for c in nodes.columns if c not in ("node_id", "parent_id", "path", "sibling_pos")), F.size("path").alias("_depth"), F.col("node_id").alias("_old"), F.col("sibling_pos").alias("_pos"))
+    return paths(rows.withColumnRenamed("depth", "_said").withColumnRenamed("_depth", "depth"), "_old").withColumn("depth", F.col("_said")).withColumn("sibling_pos", F.col("_pos")).select(*nodes.columns)
 
 
 def reattach(nodes: DataFrame, gone: Column) -> DataFrame:
-    """Remove the nodes of which ``gone`` holds; children move to the nearest ancestor that stays, order unchanged."""
-    lost = F.collect_set(F.when(gone, F.col("node_id"))).over(by_tree())
-    marked = nodes.withColumn("_gone", gone).withColumn("_lost", lost)
-    path = F.filter("path", lambda p: ~F.array_contains(F.col("_lost"), p))
-    kept = marked.where(~F.col("_gone")).withColumn("path", path).withColumn("depth", F.size("path"))
+    """Remove the nodes of which ``gone`` holds; children move to the nearest ancestor that stays, order unchanged.
+
+    Only the ids of lost parents are gathered, as leaves are above nothing.
+    """
+    marked = nodes.withColumn("_gone", gone).withColumn("_inner", F.col("_gone") & is_parent())
+    marked = marked.withColumn("_lost", F.collect_list(F.when(F.col("_inner"), F.col("node_id"))).over(by_tree()))
+    kept = marked.where(~F.col("_gone")).withColumn("path", F.when(F.size("_lost") > 0, F.array_except("path", "_lost")).otherwise(F.col("path"))).withColumn("depth", F.size("path"))
     kept = kept.withColumn("parent_id", F.try_element_at("path", F.lit(-1)))
-    order = W.partitionBy("tree_id", "parent_id").orderBy("node_id")
-    return kept.withColumn("sibling_pos", (F.row_number().over(order) - 1).cast("int")).select(*nodes.columns)
+    return kept.withColumn("sibling_pos", (F.row_number().over(siblings()) - 1).cast("int")).select(*nodes.columns)
 
 
 def drop_subtrees(nodes: DataFrame, gone: Column) -> DataFrame:
@@ -52,17 +79,6 @@ def cap_depth(nodes: DataFrame, most: int = 50) -> DataFrame:
     return nodes.where(F.col("depth") <= most)
 
 
-def child_count() -> Column:
-    """How many children each node has, as a window over its tree: no join."""
-    parents = F.collect_list("parent_id").over(by_tree())
-    return F.size(F.filter(parents, lambda p: p == F.col("node_id")))
-
-
-def with_child_count(nodes: DataFrame, name: str = "_children") -> DataFrame:
-    counts = nodes.where("parent_id IS NOT NULL").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias(name))
-    return nodes.join(counts, ["tree_id", "node_id"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
-
-
 def plain_generic() -> Column:
     return (F.col("role") == "generic") & (F.col("name") == "") & (F.size("states") == 0) & (F.col("ref") == "")
 
@@ -84,27 +100,25 @@ def merge_adjacent_text(nodes: DataFrame) -> DataFrame:
     breaks = F.when(is_text & (F.coalesce(F.lag(F.col("role")).over(order), F.lit("")) == "text"), 0).otherwise(1)
     run = F.sum("_break").over(order.rowsBetween(W.unboundedPreceding, 0))
     marked = nodes.withColumn("_break", breaks).withColumn("_run", run)
-    group = W.partitionBy("tree_id", "parent_id", "_run")
-    names = F.transform(F.array_sort(F.collect_list(F.struct("sibling_pos", "name")).over(group)), lambda s: s["name"])
-    size = F.count("*").over(group)
-    marked = marked.withColumn("_size", size).withColumn("_names", F.when(F.col("_size") > 1, names))
-    merged = (F.col("_size") > 1) & is_text
-    lost_below = F.collect_set(F.when(merged, F.col("node_id"))).over(by_tree())
-    marked = marked.withColumn("_merged", merged).withColumn("_below", lost_below)
-    kept = marked.where(((F.col("_break") == 1) | ~F.col("_merged")) & ~F.arrays_overlap("_below", "path"))
-    kept = kept.withColumn("name", F.when(F.col("_merged"), F.array_join(F.filter("_names", lambda n: n != ""), " ")).otherwise(F.col("name")))
-    empty = F.array().cast("array<string>")
-    kept = kept.withColumn("states", F.when(F.col("_merged"), empty).otherwise(F.col("states"))).withColumn("ref", F.when(F.col("_merged"), "").otherwise(F.col("ref")))
-    again = (F.row_number().over(order) - 1).cast("int")
-    return kept.withColumn("sibling_pos", again).select(*nodes.columns)
+    # each run is gathered once
+    row = F.struct(*(c for c in nodes.columns if c not in ("tree_id", "parent_id")))
+    said = F.array_sort(F.collect_list(F.struct("sibling_pos", "name")))
+    runs = marked.groupBy("tree_id", "parent_id", "_run").agg(F.min_by(row, "sibling_pos").alias("_row"), said.alias("_said"), F.collect_list("node_id").alias("_ids"))
+    merged = F.size("_said") > 1
+    runs = runs.withColumn("_below", F.flatten(F.collect_list(F.when(merged, F.col("_ids"))).over(by_tree())))
+    kept = runs.where(~F.arrays_overlap("_below", "_row.path")).withColumn("_merged", merged)
+    name = F.array_join(F.filter(F.transform("_said", lambda x: x["name"]), lambda n: n != ""), " ")
+    changed = {"name": name, "states": F.array().cast("array<string>"), "ref": F.lit("")}
+    again = (F.row_number().over(W.partitionBy("tree_id", "parent_id").orderBy("_row.sibling_pos")) - 1).cast("int")
+    out = {"tree_id": F.col("tree_id"), "parent_id": F.col("parent_id"), "sibling_pos": again}
+    out |= {c: F.when(F.col("_merged"), v).otherwise(F.col(f"_row.{c}")) for c, v in changed.items()}
+    return kept.select(*((out[c] if c in out else F.col(f"_row.{c}")).alias(c) for c in nodes.columns))
 
 
 def drop_redundant_text(nodes: DataFrame) -> DataFrame:
     """A sole text child that says what its parent is called goes."""
-    counted = with_child_count(nodes)
-    up = counted.select("tree_id", F.col("node_id").alias("parent_id"), F.col("name").alias("_parent_name"), F.col("_children").alias("_siblings"))
-    joined = counted.join(up, ["tree_id", "parent_id"], "left")
-    same = (F.col("role") == "text") & (F.col("_children") == 0) & (F.col("_siblings") == 1) & (F.col("name") == F.col("_parent_name"))
+    joined = of_parent(with_child_count(nodes), "_up", F.struct("name", F.col("_children").alias("siblings")))
+    same = (F.col("role") == "text") & (F.col("_children") == 0) & (F.col("_up.siblings") == 1) & (F.col("name") == F.col("_up.name"))
     return joined.where(~F.coalesce(same, F.lit(False))).select(*nodes.columns)
 
 
@@ -123,11 +137,15 @@ def normalize_web(nodes: DataFrame) -> DataFrame:
         count = now
 
 
+def executable() -> Column:
+    """A node that can be acted on, by its role or as a list item by its states."""
+    tiers = F.exists("states", lambda s: s.isin("clickable", "clickable=inferred", "clickable=guessed", "clickable-inferred", "clickable-guessed"))
+    return valid(F.col("bounds")) & (F.col("role").isin(*REF_ROLES) | ((F.col("role") == "listitem") & tiers))
+
+
 def has_executable_descendant(nodes: DataFrame) -> DataFrame:
     """``tree_id``, ``node_id`` of the nodes with something to act on below them."""
-    tiers = F.exists("states", lambda s: s.isin("clickable", "clickable=inferred", "clickable=guessed", "clickable-inferred", "clickable-guessed"))
-    acts = valid(F.col("bounds")) & (F.col("role").isin(*REF_ROLES) | ((F.col("role") == "listitem") & tiers))
-    return nodes.where(acts).select("tree_id", F.explode("path").alias("node_id")).distinct()
+    return nodes.where(executable()).select("tree_id", F.explode("path").alias("node_id")).distinct()
 
 
 def assign_refs(nodes: DataFrame, prefix: str = "n", web_mode: bool = False) -> DataFrame:
@@ -135,12 +153,15 @@ def assign_refs(nodes: DataFrame, prefix: str = "n", web_mode: bool = False) ->
     if web_mode:
         picked = nodes.withColumn("_ok", valid(F.col("bounds")))
     else:
-        below = has_executable_descendant(nodes).withColumn("_busy", F.lit(True))
+        # what is below a node follows it, so the next one to act on is below it or none is
+        later = by_tree().orderBy(F.desc("node_id")).rowsBetween(W.unboundedPreceding, -1)
+        following = F.last(F.when(executable(), F.col("path")), ignorenulls=True).over(later)
         sure = F.arrays_overlap("states", F.array(*map(F.lit, ("clickable", "clickable=inferred", "clickable-inferred"))))
         maybe = F.arrays_overlap("states", F.array(*map(F.lit, ("clickable=guessed", "clickable-guessed"))))
-        item = (F.col("role") == "listitem") & (sure | (maybe & F.col("_busy").isNull()))
-        picked = nodes.join(below, ["tree_id", "node_id"], "left").withColumn("_ok", valid(F.col("bounds")) & (item | F.col("role").isin(*REF_ROLES)))
-    number = F.sum(F.col("_ok").cast("int")).over(by_tree().orderBy("node_id").rowsBetween(W.unboundedPreceding, 0))
+        busy = F.coalesce(F.array_contains("_following", F.col("node_id")), F.lit(False))
+        item = (F.col("role") == "listitem") & (sure | (maybe & ~busy))
+        picked = nodes.withColumn("_following", following).withColumn("_ok", valid(F.col("bounds")) & (item | F.col("role").isin(*REF_ROLES)))
+    number = F.sum(F.col("_ok").cast("int")).over(in_order().rowsBetween(W.unboundedPreceding, 0))
     ref = F.when(F.col("_ok"), F.concat(F.lit(prefix), number.cast("string"))).otherwise(F.col("ref"))
     return picked.withColumn("ref", ref).select(*nodes.columns)
 
@@ -167,7 +188,7 @@ def snapshot_line(boxes: bool = False) -> Column:
 
 def render_snapshot(nodes: DataFrame, boxes: bool = False, max_depth: int = 0) -> DataFrame:
     """``tree_id`` and its ``snapshot``: a line per node, indented by depth."""
-    following = F.lead("depth").over(by_tree().orderBy("node_id"))  # in pre-order a node has children if the next one is deeper
+    following = F.lead("depth").over(in_order())  # in pre-order a node has children if the next one is deeper
     lined = nodes.withColumn("_parent", F.coalesce(following > F.col("depth"), F.lit(False)))
     colon = F.col("_parent")
     if max_depth > 0:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -212,10 +214,16 @@ def t15(spark, sf):
     return tree.cap_depth(V.screen_nodes(spark, sf), 1).select("tree_id", "node_id", "depth")
 
 
-def evidence(spark) -> DataFrame:
-    from screenloom.plans.sql import CTES
+#: Evidence over the roles of the screens: baseline, target, evidence, capability, role, name, least count.
+EVIDENCE = [
+    (0, "t1", "e1", "structural", "checkbox", "", 2), (0, "t1", "e2", "textual_content", "checkbox", "NO", 1), (0, "t2", "e3", "actionable", "button", "", 1),
+    (1, "t1", "e1", "", "input", "a hint", 1), (1, "t1", "e2", "semantic_label", "generic", "NF", 1), (1, "t3", "e4", "structural", "card", "", 1),
+    (1, "t3", "e5", "textual_content", "", "RF", 1), (2, "t3", "e6", "", "", "", 4), (2, "t1", "e1", "navigational", "webview", "", 1), (2, "t2", "e2", "actionable", "listitem", "", 3),
+]
 
-    return spark.sql(CTES["evidence"])
+
+def evidence(spark) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, EVIDENCE))} AS t(baseline_id, target_id, evidence_id, capability, role, name, min_count)")
 
 
 def run_nodes(spark, sf) -> DataFrame:
@@ -324,9 +332,19 @@ def j7(spark, sf):
     return boxes.box_iou_pairs(b, b, 0.05).where("a < b").withColumn("iou", F.round("iou", 9))
 
 
-@query("r3_nms")
+R3_IOU = """greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1)) * greatest(0, least(k.y2, b.y2) - greatest(k.y1, b.y1))"""
+
+
+@query("r3_nms", f"""SELECT image, unnest(kept, recursive := true) FROM (SELECT image, arg_max(kept, n) AS kept FROM (
+  WITH RECURSIVE ranked AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, seq) AS n FROM (
+      SELECT image // 40 AS image, CAST(row_number() OVER (PARTITION BY image // 40 ORDER BY score DESC, x1, y1, x2, y2, image, seq) AS INT) AS seq, score, x1, y1, x1 + 4 * (x2 - x1) AS x2, y1 + 4 * (y2 - y1) AS y2, class_id FROM boxes)),
+  scan AS (SELECT image, 0::BIGINT AS n, CAST([] AS STRUCT(seq INT, score BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, class_id INT)[]) AS kept FROM (SELECT DISTINCT image FROM ranked)
+    UNION ALL SELECT s.image, b.n, CASE WHEN len(s.kept) >= 50 OR len(list_filter(s.kept, lambda k: {R3_IOU} / ((k.x2 - k.x1) * (k.y2 - k.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {R3_IOU} + 1e-6) > 0.2)) > 0 THEN s.kept
+      ELSE list_append(s.kept, {{'seq': b.seq, 'score': b.score, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2, 'class_id': b.class_id}}) END
+    FROM scan s JOIN ranked b ON b.image = s.image AND b.n = s.n + 1) SELECT * FROM scan) GROUP BY image)""")
 def r3(spark, sf):
-    """All lines of 40 orders on one image, so that boxes overlap; the SQL twin would be recursive, so a test has a plain model."""
+    """All lines of 40 orders on one image, so that boxes overlap."""
     b = V.boxes(spark, sf)
     order = W.partitionBy("image").orderBy(F.desc("score"), "x1", "y1", "x2", "y2", "order", "seq")
     wide = b.withColumn("order", F.col("image")).withColumn("image", F.floor(F.col("image") / 40)).withColumn("seq", F.row_number().over(order))
@@ -356,12 +374,15 @@ def g1(spark, sf):
     return V.boxes(spark, sf).select("image", "seq", p.alias("p")).select("image", "seq", F.round("p.ratio", 9).alias("ratio"), "p.new_w", "p.new_h", "p.pad_x", "p.pad_y")
 
 
-@query("g2_unletterbox", """SELECT image, seq, greatest(0.0, least(400.0, (x1 - 20) / 0.5)) AS x1, greatest(0.0, least(800.0, (y1 - 10) / 0.5)) AS y1, greatest(0.0, least(400.0, (x2 - 20) / 0.5)) AS x2, greatest(0.0, least(800.0, (y2 - 10) / 0.5)) AS y2 FROM (
-  SELECT image, seq, CASE WHEN greatest(x1, y1, x2, y2) <= 1.01 THEN x1 * 640 ELSE x1 END AS x1, CASE WHEN greatest(x1, y1, x2, y2) <= 1.01 THEN y1 * 640 ELSE y1 END AS y1, CASE WHEN greatest(x1, y1, x2, y2) <= 1.01 THEN x2 * 640 ELSE x2 END AS x2, CASE WHEN greatest(x1, y1, x2, y2) <= 1.01 THEN y2 * 640 ELSE y2 END AS y2
-  FROM (SELECT image, seq, CASE WHEN seq = 1 THEN x1 / 2048 ELSE x1 END AS x1, CASE WHEN seq = 1 THEN y1 / 2048 ELSE y1 END AS y1, CASE WHEN seq = 1 THEN x2 / 2048 ELSE x2 END AS x2, CASE WHEN seq = 1 THEN y2 / 2048 ELSE y2 END AS y2 FROM boxes))""")
+UNIT = "CASE WHEN {0} BETWEEN 0 AND 1.01 THEN {0} * 640 ELSE {0} END AS {0}"
+
+
+@query("g2_unletterbox", f"""SELECT image, seq, greatest(0.0, least(400.0, (x1 - 20) / 0.5)) AS x1, greatest(0.0, least(800.0, (y1 - 10) / 0.5)) AS y1, greatest(0.0, least(400.0, (x2 - 20) / 0.5)) AS x2, greatest(0.0, least(800.0, (y2 - 10) / 0.5)) AS y2 FROM (
+  SELECT image, seq, {', '.join(UNIT.format(c) for c in ('x1', 'y1', 'x2', 'y2'))}
+  FROM (SELECT image, seq, CASE WHEN seq = 1 THEN x1 / 2048 ELSE x1 END AS x1, CASE WHEN seq < 3 THEN y1 / 2048 ELSE y1 END AS y1, CASE WHEN seq = 1 THEN x2 / 2048 ELSE x2 END AS x2, CASE WHEN seq = 1 THEN y2 / 2048 ELSE y2 END AS y2 FROM boxes))""")
 def g2(spark, sf):
     b = V.boxes(spark, sf)
-    box = [F.when(F.col("seq") == 1, F.col(c) / 2048).otherwise(F.col(c)) for c in boxes.CORNERS]
+    box = [F.when(F.col("seq") < (3 if c == "y1" else 2), F.col(c) / 2048).otherwise(F.col(c)) for c in boxes.CORNERS]
     out = geometry.unletterbox(box, F.lit(0.5), F.lit(20), F.lit(10), F.lit(400), F.lit(800), 640)
     return b.select("image", "seq", *(c.alias(n) for c, n in zip(out, boxes.CORNERS, strict=True)))
 
@@ -377,9 +398,10 @@ def r1(spark, sf):
     return evaluate.latest_run(V.runs(spark, sf)).select("baseline_id", "run_id")
 
 
-@query("r2_history_top", "SELECT run_id, mode AS mode_name FROM runs ORDER BY created DESC, run_id DESC LIMIT 20")
-def r2(spark, sf):
-    return icons.history_top(V.runs(spark, sf), 20).select("run_id", "mode_name")
+@query("r1_newest_result", "SELECT baseline_id, run_id FROM (SELECT baseline_id, max(run_id) AS run_id FROM runs GROUP BY baseline_id) JOIN runs USING (baseline_id, run_id) WHERE inference_ms >= 0 ORDER BY created DESC, baseline_id LIMIT 1")
+def r1b(spark, sf):
+    """Runs without a latency have no result; of the latest runs of all baselines the one with the newest result counts."""
+    return evaluate.newest_result(V.runs(spark, sf).withColumn("result_at", F.when(F.col("inference_ms") >= 0, F.col("created")))).select("baseline_id", "run_id")
 
 
 @query("r7_sort_artifacts", "SELECT mode AS plugin, run_id AS path FROM runs ORDER BY 1, 2")
@@ -392,11 +414,6 @@ def x4(spark, sf):
     return icons.run_ids(V.runs(spark, sf)).select("run_id", "experiment_id")
 
 
-@query("a8_mode_leaderboard", "SELECT mode, count(*) AS runs, count(*) FILTER (inference_ms >= 0) AS timed, avg(inference_ms) FILTER (inference_ms >= 0) AS avg_ms, min(inference_ms) FILTER (inference_ms >= 0) AS min_ms, max(inference_ms) FILTER (inference_ms >= 0) AS max_ms FROM runs GROUP BY mode")
-def a8(spark, sf):
-    return icons.mode_leaderboard(V.runs(spark, sf))
-
-
 @query("a9_batch_rollup", """SELECT CAST(conv_id AS VARCHAR) AS run_id, arg_min('image ' || turn, turn) AS image, CAST(sum(turn * 10) AS BIGINT) AS prepare_ms, CAST(sum(CASE WHEN turn % 2 = 0 THEN turn END) AS BIGINT) AS inference_ms,
   string_agg(text, chr(10) ORDER BY turn, text) AS raw_text, bool_or(turn > 5) AS failed, count(*) AS batches FROM conversations GROUP BY conv_id""")
 def a9(spark, sf):
@@ -457,6 +474,27 @@ def a7(spark, sf):
     return icons.match_summary(icon_matches(spark, sf), ["testset_id"])
 
 
+#: Matches of the test set with the number of the run.
+RUN_MATCHES = f"(SELECT testset_id, CAST(count(*) FILTER (matched) AS BIGINT) AS matched, count(*) AS total FROM ({MATCHED}) GROUP BY testset_id)"
+
+
+@query("r2_history_top", f"""SELECT run_id, mode AS mode_name, coalesce(matched, 0) AS matched, coalesce(total, 0) AS total, CASE WHEN total > 0 THEN matched * 100.0::DOUBLE / total END AS percent
+  FROM (SELECT * FROM runs ORDER BY created DESC, run_id DESC LIMIT 20) LEFT JOIN {RUN_MATCHES} ON testset_id = CAST(run_id AS BIGINT)""")
+def r2(spark, sf):
+    summary = icons.match_summary(icon_matches(spark, sf), ["testset_id"]).withColumn("run_id", F.col("testset_id").cast("string"))
+    return icons.history_top(V.runs(spark, sf), 20, summary).select("run_id", "mode_name", "matched", "total", "percent")
+
+
+@query("a8_mode_leaderboard", f"""SELECT *, CASE WHEN total > 0 THEN matched * 100.0::DOUBLE / total END AS percent FROM (
+  SELECT mode, encoding, count(*) AS runs, count(*) FILTER (inference_ms >= 0) AS timed, avg(inference_ms) FILTER (inference_ms >= 0) AS avg_ms, min(inference_ms) FILTER (inference_ms >= 0) AS min_ms, max(inference_ms) FILTER (inference_ms >= 0) AS max_ms,
+    CAST(coalesce(sum(matched), 0) AS BIGINT) AS matched, CAST(coalesce(sum(total), 0) AS BIGINT) AS total
+  FROM (SELECT *, ['PNG', 'JPEG 75', 'JPEG 90'][CAST(run_id AS BIGINT) % 3 + 1] AS encoding FROM runs) LEFT JOIN {RUN_MATCHES} ON testset_id = CAST(run_id AS BIGINT) GROUP BY mode, encoding)""")
+def a8(spark, sf):
+    summary = icons.match_summary(icon_matches(spark, sf), ["testset_id"]).select(F.col("testset_id").cast("string").alias("run_id"), "matched", "total")
+    encoding = F.get(F.array(*map(F.lit, ("PNG", "JPEG 75", "JPEG 90"))), (F.col("run_id").cast("long") % 3).cast("int"))
+    return icons.mode_leaderboard(V.runs(spark, sf).withColumn("encoding", encoding).join(summary, "run_id", "left"))
+
+
 @query("j12_manual_scores", "SELECT l_orderkey AS testset_id, seq AS position, CASE WHEN seq % 2 = 0 THEN l_orderkey % 3 END AS score, CASE WHEN seq % 2 = 0 THEN 'seen' ELSE '' END AS note FROM lines")
 def j12(spark, sf):
     t = icon_targets(spark, sf).select("testset_id", "position")
@@ -482,14 +520,79 @@ def r6(spark, sf):
     return icons.montage_layout(icon_targets(spark, sf)).select("testset_id", "position", "canvas_width", "canvas_height", "left", "top", "right", "bottom")
 
 
-@query("x2_build_prompts", """SELECT testset_id, n AS n_targets, sha256(replace(replace(p, '#H', '60'), '#W', CAST(w AS VARCHAR))) AS prompt_sha256, position('Target regions:' IN p) > 0 AND contains(p, body) AS has_targets FROM (
-  SELECT testset_id, CAST(count(*) FILTER (ok) AS INT) AS n, coalesce(max(r) FILTER (ok), 0) AS w, coalesce(string_agg(line, '' ORDER BY position) FILTER (ok), '') AS body, 'Target regions:' || chr(10) || coalesce(string_agg(line, '' ORDER BY position) FILTER (ok), '') AS p FROM (
-  SELECT l_orderkey AS testset_id, seq AS position, l_partkey % 1000 AS l, CAST(l_partkey % 1000 + floor(l_quantity) - 5 AS INT) AS r, floor(l_quantity) > 5 AS ok, seq || '=' || (l_partkey % 1000) || ',0,' || CAST(l_partkey % 1000 + floor(l_quantity) - 5 AS INT) || ',60' || chr(10) AS line FROM lines) GROUP BY testset_id)""")
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def filled_prompt(mode: str) -> str:
+    """The SQL that fills a mode's fixed words."""
+    out = quoted(icons.PROMPTS[mode])
+    for mark, value in (("{targets}", "body"), ("{count}", "CAST(n AS VARCHAR)"), ("{width}", "CAST(w AS VARCHAR)"), ("{height}", "CAST(h AS VARCHAR)")):
+        out = f"replace({out}, '{mark}', {value})"
+    return out
+
+
+#: Targets as prompts list them: ``line`` without, ``boxed`` with bounds; images have a size if their order is even.
+LISTED = """(SELECT l_orderkey AS testset_id, seq AS position, (seq - 1) // 3 + 1 AS batch, floor(l_quantity) > 5 AS ok, CAST(l_partkey % 1000 + floor(l_quantity) - 5 AS INT) AS r, CASE WHEN l_orderkey % 2 = 0 THEN 1080 ELSE 0 END AS given,
+  seq || chr(10) AS line, seq || '=' || (l_partkey % 1000) || ',0,' || CAST(l_partkey % 1000 + floor(l_quantity) - 5 AS INT) || ',60' || chr(10) AS boxed FROM lines)"""
+BOXED = f"""SELECT testset_id, batch, CAST(count(*) FILTER (ok) AS INT) AS n, CASE WHEN max(given) > 0 THEN max(given) ELSE coalesce(max(r) FILTER (ok), 0) END AS w, CASE WHEN max(given) > 0 THEN 2400 ELSE CAST(coalesce(max(60) FILTER (ok), 0) AS INT) END AS h,
+  coalesce(string_agg(boxed, '' ORDER BY position) FILTER (ok), '') AS body FROM """
+PLAIN = f"SELECT testset_id, 0 AS batch, CAST(count(*) AS INT) AS n, 0 AS w, 0 AS h, string_agg(line, '' ORDER BY position) AS body FROM {LISTED} GROUP BY testset_id"
+
+
+@query("x2_build_prompts", " UNION ALL ".join([
+    *(f"SELECT testset_id, 0 AS batch, '{m}' AS mode, n AS n_targets, sha256({filled_prompt(m)}) AS prompt_sha256 FROM ({PLAIN})" for m in ("FULL_IMAGE", "FULL_IMAGE_WITH_MARKED_BOUNDS", "CROPPED_MONTAGE")),
+    f"SELECT testset_id, batch, 'FULL_IMAGE_WITH_BOUNDS' AS mode, n AS n_targets, sha256({filled_prompt('FULL_IMAGE_WITH_BOUNDS')}) AS prompt_sha256 FROM ({BOXED} (SELECT * REPLACE (0 AS batch) FROM {LISTED}) GROUP BY ALL)",
+    f"SELECT testset_id, batch, 'FULL_IMAGE_WITH_BOUNDS_BATCHED' AS mode, n AS n_targets, sha256({filled_prompt('FULL_IMAGE_WITH_BOUNDS')}) AS prompt_sha256 FROM ({BOXED} {LISTED} GROUP BY ALL)",
+]))
 def x2(spark, sf):
-    """The part after the fixed words, in short: the targets in order."""
-    p = icons.build_prompts(icons.label_targets(icon_targets(spark, sf)), "FULL_IMAGE_WITH_BOUNDS")
-    tail = F.regexp_extract("prompt", r"(?s)(Target regions:\n.*)$", 1)
-    return p.select("testset_id", "n_targets", F.sha2(tail, 256).alias("prompt_sha256"), F.contains("prompt", F.lit("Target regions:")).alias("has_targets"))
+    """The prompts of every mode in short. The fixed words are shared with SQL, which puts them together by itself."""
+    targets = icons.batch_targets(icons.label_targets(icon_targets(spark, sf)), 3)
+    images = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("testset_id")).distinct().select("testset_id", F.when(F.col("testset_id") % 2 == 0, 1080).otherwise(0).alias("width"), F.when(F.col("testset_id") % 2 == 0, 2400).otherwise(-1).alias("height"))
+    out = []
+    for mode in icons.PROMPTS:
+        batched = mode.endswith("BATCHED")
+        p = icons.build_prompts(targets, mode, images, ("testset_id", "batch") if batched else ("testset_id",))
+        out.append(p.select("testset_id", (F.col("batch") if batched else F.lit(0)).cast("int").alias("batch"), F.lit(mode).alias("mode"), "n_targets", F.sha2("prompt", 256).alias("prompt_sha256")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("e3_icon_experiment", f"""SELECT l_orderkey AS run_id, CAST(count(*) FILTER (l_partkey % 5 = 0) AS BIGINT) AS matched, count(*) AS total, count(*) FILTER (l_partkey % 5 = 0) * 100.0::DOUBLE / count(*) AS percent FROM lines GROUP BY l_orderkey""")
+def e3(spark, sf):
+    """An icon experiment from the targets to the score, with a model that calls everything a phone."""
+    targets = icons.label_targets(icon_targets(spark, sf))
+    requests = icons.build_prompts(targets, "FULL_IMAGE_WITH_MARKED_BOUNDS").select("testset_id", F.lit("screen.png").alias("image"), "prompt")
+
+    def model(image: str, prompt: str) -> tuple[str, str]:
+        listed = prompt.split("Target ids:\n")[1].split("\nOutput exactly")[0].split()
+        return "\n".join(f"{label}: phone" for label in listed), ""
+
+    said = icons.parse_model_output(icons.apply_vision_model(requests, model, "testset_id"), ["testset_id"])
+    mappings = targets.select("testset_id", "position", "label", "target_id")
+    matched = icons.match_icons(icons.remap_output_labels(said, mappings, ["testset_id"]), targets, ["testset_id"])
+    return icons.match_summary(matched, ["testset_id"]).withColumnRenamed("testset_id", "run_id")
+
+
+@query("f1_apply_vision_model", "SELECT conv_id * 1000 + turn AS request_id, coalesce(CAST(length(text) AS VARCHAR), '') AS raw_text, CASE WHEN role = 'system' THEN 'ValueError' WHEN text = '' THEN 'EMPTY' ELSE '' END AS error FROM (SELECT conv_id, turn, role, CASE WHEN role = 'system' THEN NULL ELSE coalesce(text, '') END AS text FROM conversations)")
+def f1(spark, sf):
+    """Turns as requests to a model that counts characters, and fails on those of the system."""
+
+    def model(image: str, prompt: str) -> tuple[str, str]:
+        if image == "system":
+            raise ValueError("no image")
+        return str(len(prompt)), "" if prompt else "EMPTY"
+
+    c = V.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.col("role").alias("image"), F.coalesce("text", F.lit("")).alias("prompt"))
+    return icons.apply_vision_model(c, model).select("request_id", "raw_text", "error")
+
+
+@query("f2_register_source", "SELECT tree_id, node_id, parent_id, role, name FROM folded")
+def f2(spark, sf):
+    """Screens as a source of a user, read under the node contract."""
+    from screenloom.sources import files
+
+    files.register_source("screens", native.semantic_nodes)
+    return files.read_source("screens", V.screen_nodes(spark, sf).drop("quantity")).select("tree_id", "node_id", "parent_id", "role", "name")
 
 
 @query("x3_icon_norm", "SELECT p_partkey, translate(replace(replace(lower('图标 ' || p_name || '-Icon_。：'), '图标', ''), 'icon', ''), '：， -_。.', ':,') AS norm FROM part")

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.cut import cut
+from screenloom.cut import cut, shared_folder
 from screenloom.functions import names, roles
 from screenloom.operators import actions, evaluate, native, tree
 from screenloom.plans import views as V
-from screenloom.plans.native_queries import conversation_tree, evidence, flat, run_nodes
+from screenloom.plans.native_queries import conversation_tree, evidence, flat, icon_targets, run_nodes
 from screenloom.plans.registry import query
+from screenloom.schema import RAW_FLAGS
 from screenloom.sources import files, markup, texts, trees
 
 
@@ -45,11 +45,19 @@ def p10(spark, sf):
     return n.where("tag <> '#text'").groupBy("tree_id", "role").agg(F.count("*").alias("n"))
 
 
+def _named(tag: str) -> str:
+    """SQL for what stands between the tags of an element, tags gone."""
+    return f"SELECT page_id, '{tag}' AS tag, regexp_replace(unnest(regexp_extract_all(h, '(?s)<{tag}\\b[^>]*>(.*?)</{tag}>', 1)), '<[^>]*>', ' ', 'g') AS part FROM {BARE}"
+
+
+NAMED = "a h1 p li ul nav article footer".split()
+
+
 @query("p14_html_name", f"""SELECT page_id AS tree_id, tag, CASE WHEN length(name) > 200 THEN substr(name, 1, 200) || '...' ELSE name END AS name, count(*) AS n FROM (
   SELECT page_id, tag, trim(regexp_replace(replace(replace(replace(replace(replace(part, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g')) AS name FROM (
-    SELECT page_id, 'a' AS tag, unnest(regexp_extract_all(h, '(?s)<a\\b[^>]*>([^<]*)</a>', 1)) AS part FROM {BARE} UNION ALL SELECT page_id, 'h1', unnest(regexp_extract_all(h, '(?s)<h1>([^<]*)</h1>', 1)) FROM {BARE})) GROUP BY ALL""")
+    {' UNION ALL '.join(map(_named, NAMED))})) GROUP BY ALL""")
 def p14(spark, sf):
-    n = page_nodes(spark, sf).where(F.col("class_name").isin("a", "h1"))
+    n = page_nodes(spark, sf).where(F.col("class_name").isin(*NAMED))
     return n.groupBy("tree_id", F.col("class_name").alias("tag"), "name").agg(F.count("*").alias("n"))
 
 
@@ -89,6 +97,21 @@ def a5(spark, sf):
     return evaluate.size_reduction(sizes.withColumn("snapshot_bytes", F.coalesce(F.octet_length("snapshot"), F.lit(0))), "host")
 
 
+ATTRIBUTES = "'<node class=\"' || class_name || '\" resource-id=\"' || resource_id || '\" text=\"' || text || '\" content-desc=\"\" hint=\"' || hint || '\" bounds=\"[' || l || ',' || t || '][' || r || ',' || b || ']\"'"
+FLAGS = " || ".join(f"' {markup.FLAG_NAMES.get(c, c)}=\"' || {c if c in ('clickable', 'enabled', 'checked', 'item_click') else 'false'} || '\"'" for c in RAW_FLAGS)
+
+
+@query("a5_screen_reduction", f"""SELECT * , snapshot_bytes / raw_bytes AS ratio FROM (SELECT container, CAST(sum(raw_bytes) AS BIGINT) AS raw_bytes, CAST(sum(octet_length(encode(snapshot))) AS BIGINT) AS snapshot_bytes FROM (
+  SELECT tree_id, max(class_name) FILTER (node_id = 1) AS container, 23 + sum(octet_length(encode({ATTRIBUTES} || {FLAGS} || '>')) + 7) AS raw_bytes FROM screen GROUP BY tree_id) JOIN snaps USING (tree_id) GROUP BY ROLLUP (container))""")
+def a5b(spark, sf):
+    """Bytes of screens in XML and of their snapshots, by the kind of their container and in all."""
+    screens = V.screen_nodes(spark, sf)
+    kind = screens.where("node_id = 1").select("tree_id", F.col("class_name").alias("container"))
+    raw = markup.native_xml(screens).select("tree_id", F.octet_length("xml").alias("raw_bytes"))
+    shots = tree.render_snapshot(V.native_with_refs(spark, sf)).select("tree_id", F.octet_length("snapshot").alias("snapshot_bytes"))
+    return evaluate.size_reduction(raw.join(shots, "tree_id").join(kind, "tree_id"), "container")
+
+
 @query("s2_read_native_trees", "SELECT tree_id, node_id, parent_id, depth, sibling_pos, class_name, resource_id, text, hint, l, t, r, b, clickable, enabled, checked, item_click FROM screen")
 def s2(spark, sf):
     """Screens printed as XML and read again."""
@@ -110,12 +133,12 @@ def s3(spark, sf):
     return flat(trees.read_web_trees(web_json(spark, sf))).select("tree_id", "node_id", "parent_id", "role", "name", "states", "web_idx", "b")
 
 
-@query("t6_normalize_web", """SELECT tree_id, count(*) AS n FROM (
-  SELECT conv_id AS tree_id, run, count(*) AS size, min(is_text::INT) AS t FROM (SELECT *, sum(CASE WHEN is_text AND was THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (
-    SELECT conv_id, turn, role <> 'system' AND turn % 3 < 2 AS is_text, coalesce(lag(role <> 'system' AND turn % 3 < 2) OVER (PARTITION BY conv_id ORDER BY turn), false) AS was FROM conversations)) GROUP BY conv_id, run
-  UNION ALL SELECT DISTINCT conv_id, -1, 0, 0 FROM conversations) GROUP BY tree_id""")
+@query("t6_normalize_web", """SELECT tree_id, role, name, count(*) AS n FROM (
+  SELECT conv_id AS tree_id, CASE WHEN bool_and(is_text) THEN 'text' ELSE 'generic' END AS role, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (text <> ''), '') AS name FROM (SELECT *, sum(CASE WHEN is_text AND was THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (
+    SELECT conv_id, turn, text, role <> 'system' AND turn % 3 < 2 AS is_text, coalesce(lag(role <> 'system' AND turn % 3 < 2) OVER (PARTITION BY conv_id ORDER BY turn), false) AS was FROM conversations)) GROUP BY conv_id, run
+  UNION ALL SELECT DISTINCT conv_id, 'screen', '' FROM conversations) GROUP BY ALL""")
 def t6(spark, sf):
-    return tree.normalize_web(conversation_tree(spark, sf)).groupBy("tree_id").agg(F.count("*").alias("n"))
+    return tree.normalize_web(conversation_tree(spark, sf)).groupBy("tree_id", "role", "name").agg(F.count("*").alias("n"))
 
 
 def inspector_json(spark, sf) -> DataFrame:
@@ -228,18 +251,68 @@ def s7(spark, sf):
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="screenloom-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-@query("w1_write_captures", "SELECT conv_id AS baseline_id, turn AS run_id, role AS plugin, 'raw' AS stage, 'native_xml_' || conv_id || CASE WHEN turn % 2 = 0 THEN '.xml' ELSE '.txt' END AS file, length(text) AS chars FROM conversations")
+@query("w1_write_captures", "SELECT CAST(conv_id AS VARCHAR) AS baseline_id, CAST(turn AS VARCHAR) AS run_id, role AS plugin, 'raw' AS stage, 'native_xml_' || conv_id || CASE WHEN turn % 2 = 0 THEN '.xml' ELSE '.txt' END AS file, length(text) AS chars FROM conversations")
 def w1(spark, sf):
     """Written and read again."""
-    c = V.table(spark, sf, "conversations").select(F.col("conv_id").alias("baseline_id"), F.col("turn").alias("run_id"), F.col("role").alias("plugin"), F.lit("raw").alias("stage"), F.lit("native_xml").alias("source"), F.col("conv_id").alias("ts"), F.when(F.col("turn") % 2 == 0, "text/xml").otherwise("text/plain").alias("content_type"), F.col("text").alias("content"))
+    c = V.table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("baseline_id"), F.col("turn").cast("string").alias("run_id"), F.col("role").alias("plugin"), F.lit("raw").alias("stage"), F.lit("native_xml").alias("source"), F.col("conv_id").alias("ts"), F.when(F.col("turn") % 2 == 0, "text/xml").otherwise("text/plain").alias("content_type"), F.col("text").alias("content"))
     root = _folder(spark)
     files.write_captures(c, root)
-    back = spark.read.schema(f"source string, ts long, content_type string, content string, file string, baseline_id {c.schema['baseline_id'].dataType.simpleString()}, run_id {c.schema['run_id'].dataType.simpleString()}, plugin string, stage string").parquet(root)
-    return back.select("baseline_id", "run_id", "plugin", "stage", "file", F.length("content").alias("chars"))
+    return files.read_captures(spark, root).select("baseline_id", "run_id", "plugin", "stage", "file", F.length("content").alias("chars"))
+
+
+@query("s1_scan_captures", """SELECT CAST(conv_id % 2 AS VARCHAR) AS baseline_id, 'r1' AS run_id, plugin, stage, 'application/json' AS content_type, 'PASS' AS schema_status, CAST(sum(10 + length(CAST(turn AS VARCHAR))) AS BIGINT) AS bytes
+  FROM conversations, (VALUES ('native', 'raw'), ('native', 'transformed'), ('web', 'raw')) AS v(plugin, stage) GROUP BY ALL""")
+def s1(spark, sf):
+    """Turns written as files of a capture folder, one of them an evaluation, and found again."""
+    root, turns = _folder(spark), V.table(spark, sf, "conversations").select("conv_id", "turn")
+    for baseline in (0, 1):
+        for place in ("native/raw", "native/transformed", "web/raw", "evaluation/raw"):
+            turns.where(F.col("conv_id") % 2 == baseline).select("turn").write.json(f"{root}/captures/{baseline}/runs/r1/{place}")
+    found = files.scan_captures(spark, root).where("bytes > 0")
+    return found.groupBy("baseline_id", "run_id", "plugin", "stage", "content_type", "schema_status").agg(F.sum("bytes").alias("bytes"))
+
+
+@query("s8_read_testsets", """SELECT CAST(l_orderkey AS VARCHAR) AS testset_id, CAST(seq - 1 AS INT) AS position, 'T' || seq AS target_id, ['电话图标', 'Search Icon', '加号', '邮件', ''][l_partkey % 5 + 1] AS expected, CASE WHEN seq % 2 = 0 THEN 'quill-pen' ELSE '' END AS acceptable,
+  CASE WHEN seq % 3 > 0 THEN CAST(l_partkey % 1000 AS INT) END AS l, CASE WHEN seq % 3 > 0 THEN 60 END AS b FROM lines""")
+def s8(spark, sf):
+    """Test sets written as JSON, some targets without bounds, words or what is expected, and read again."""
+    t = icon_targets(spark, sf).withColumn("expected", F.when(F.col("expected") != "mystery", F.col("expected")))
+    box = F.when(F.col("position") % 3 > 0, F.array(*(F.col(f"bounds.{s}") for s in ("left", "top", "right", "bottom"))))
+    target = F.struct("position", F.col("target_id").alias("id"), box.alias("bounds"), "expected", F.when(F.col("position") % 2 == 0, F.col("acceptable")).alias("acceptable"))
+    root = _folder(spark)
+    t.groupBy(F.col("testset_id").cast("string").alias("testset_id")).agg(F.array_sort(F.collect_list(target)).alias("targets")).write.json(root)
+    back = files.read_testsets(spark, root, lines=True)
+    return back.select("testset_id", "position", "target_id", "expected", F.array_join("acceptable", ",").alias("acceptable"), F.col("bounds.left").alias("l"), F.col("bounds.bottom").alias("b"))
+
+
+@query("w3_write_experiment_runs", "SELECT 'run of ' || mode || '/' || run_id AS run_id, regexp_replace('run of ' || mode || '/' || run_id, '[^a-zA-Z0-9._-]', '_', 'g') AS file, inference_ms FROM runs")
+def w3c(spark, sf):
+    """Runs written with the names they go by, and read again."""
+    runs = V.runs(spark, sf).select(F.concat(F.lit("run of "), "mode", F.lit("/"), "run_id").alias("runId"), F.when(F.col("inference_ms") >= 0, F.col("inference_ms")).alias("inferenceMs"))
+    root = _folder(spark)
+    files.write_experiment_runs(runs, root)
+    return files.read_experiment_runs(spark, root).select(F.col("runId").alias("run_id"), "file", F.col("inferenceMs").alias("inference_ms"))
+
+
+@query("st1_stream_evaluate", "SELECT CAST(baseline_id AS VARCHAR) AS baseline_id, CAST(run_id AS VARCHAR) AS run_id, target_id, passed, total, passed / total AS score, CASE WHEN passed = total THEN 'PASS' ELSE 'FAIL' END AS status FROM scored")
+def st1(spark, sf):
+    """Snapshots land as captures, in two parts of each run; each is scored when its files are there, the last time counts."""
+    from screenloom.streaming.jobs import stream_evaluate_table
+
+    folder = _folder(spark)
+    shots = tree.render_snapshot(V.native_with_refs(spark, sf)).select((F.col("tree_id") % 3).cast("string").alias("baseline_id"), F.col("tree_id").cast("string").alias("run_id"), F.lit("web").alias("plugin"), F.lit("transformed").alias("stage"), F.lit("llm_input").alias("source"), F.col("tree_id").alias("ts"), F.lit("text/yaml").alias("content_type"), F.col("snapshot").alias("content"))
+    shots = cut(shots)
+    wanted = evidence(spark).withColumn("baseline_id", F.col("baseline_id").cast("string"))
+    score = lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{folder}/out")
+    blank = F.instr("content", "\n  ")
+    for part in (F.when(blank > 0, F.substring(F.col("content"), F.lit(1), blank - 1)).otherwise(F.col("content")), F.when(blank > 0, F.substring(F.col("content"), blank + 1, F.length("content"))).otherwise("")):
+        files.write_captures(shots.withColumn("content", part).withColumn("ts", F.col("ts") * 2 + F.when(blank > 0, F.length(part) % 2).otherwise(0)), f"{folder}/captures")
+        stream_evaluate_table(spark, f"{folder}/captures", f"{folder}/state", wanted, score).awaitTermination()
+    out = spark.read.schema("baseline_id string, run_id string, target_id string, passed long, total long, score double, status string, batch int").parquet(f"{folder}/out")
+    return out.groupBy("baseline_id", "run_id", "target_id").agg(*(F.max_by(c, "batch").alias(c) for c in ("passed", "total", "score", "status")))
 
 
 @query("w2_write_evaluation", """SELECT run_id, baseline_id, count(*) AS targets, CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(total) AS BIGINT) AS evidence, CASE WHEN bool_and(passed = total) THEN 'PASS' ELSE 'FAIL' END AS status FROM scored GROUP BY run_id, baseline_id""")

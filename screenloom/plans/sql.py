@@ -45,7 +45,8 @@ FROM (SELECT d.*, coalesce(p.item_click, false) AS parent_listens, coalesce(p.ro
   CASE WHEN role = 'input' AND text <> '' THEN 'value=' || text END, tier,
   CASE WHEN role = 'button' AND name = '' AND contains(split_part(class_name, '.', -1), 'Button') AND valid THEN 'needs_visual_desc' END],
   lambda x: x IS NOT NULL) AS states FROM named""",
-    "counted": "SELECT s.*, (SELECT count(*) FROM stated c WHERE c.tree_id = s.tree_id AND c.parent_id = s.node_id) AS children FROM stated s",
+    "counted": """SELECT s.*, coalesce(c.n, 0) AS children FROM stated s
+  LEFT JOIN (SELECT tree_id, parent_id, count(*) AS n FROM stated WHERE parent_id IS NOT NULL GROUP BY ALL) c ON c.tree_id = s.tree_id AND c.parent_id = s.node_id""",
     "folds": "SELECT *, role = 'generic' AND name = '' AND len(states) = 0 AND children = 1 AS gone FROM counted",
     "gone_ids": "SELECT tree_id, list(node_id) AS ids FROM folds WHERE gone GROUP BY tree_id",
     "folded": """SELECT f.* EXCLUDE (path, depth, parent_id), list_filter(path, lambda p: NOT list_contains(coalesce(g.ids, []), p)) AS path,
@@ -54,9 +55,10 @@ FROM (SELECT d.*, coalesce(p.item_click, false) AS parent_listens, coalesce(p.ro
 FROM folds f LEFT JOIN gone_ids g USING (tree_id) WHERE NOT gone""",
     "acting": """SELECT tree_id, unnest(path) AS node_id FROM folded WHERE valid AND (role IN ('button', 'input', 'checkbox', 'radio', 'switch', 'slider', 'picker',
   'list', 'grid', 'scroll', 'webview') OR (role = 'listitem' AND tier IS NOT NULL))""",
-    "picked": """SELECT *, valid AND (role IN ('button', 'input', 'checkbox', 'radio', 'switch', 'slider', 'picker', 'list', 'grid', 'scroll', 'webview')
-  OR (role = 'listitem' AND (tier IN ('clickable', 'clickable=inferred') OR (tier = 'clickable=guessed'
-    AND NOT EXISTS (SELECT 1 FROM acting a WHERE a.tree_id = folded.tree_id AND a.node_id = folded.node_id))))) AS ok FROM folded""",
+    "busy": "SELECT DISTINCT tree_id, node_id FROM acting",
+    "picked": """SELECT f.*, valid AND (role IN ('button', 'input', 'checkbox', 'radio', 'switch', 'slider', 'picker', 'list', 'grid', 'scroll', 'webview')
+  OR (role = 'listitem' AND (tier IN ('clickable', 'clickable=inferred') OR (tier = 'clickable=guessed' AND b.node_id IS NULL)))) AS ok
+FROM folded f LEFT JOIN busy b ON b.tree_id = f.tree_id AND b.node_id = f.node_id""",
     "reffed": "SELECT *, CASE WHEN ok THEN 'n' || count(*) FILTER (ok) OVER (PARTITION BY tree_id ORDER BY node_id) ELSE '' END AS ref FROM picked",
     "shown": """SELECT *, repeat('  ', CAST(depth AS INT)) || '- ' || role || CASE WHEN name <> '' THEN ' "' || name || '"' ELSE '' END
   || array_to_string(list_transform(states, lambda s: ' [' || s || ']'), '') || CASE WHEN ref <> '' THEN ' [ref=' || ref || '] [bounds=' || concat_ws(',', l, t, r, b) || ']' ELSE '' END
@@ -68,11 +70,13 @@ FROM folds f LEFT JOIN gone_ids g USING (tree_id) WHERE NOT gone""",
   CAST(CASE WHEN event_id % 17 = 0 THEN -1 ELSE floor(value + 0.5) END AS BIGINT) AS inference_ms FROM events""",
     "evidence": """SELECT * FROM (VALUES (0, 't1', 'e1', 'structural', 'checkbox', '', 2), (0, 't1', 'e2', 'textual_content', 'checkbox', 'NO', 1),
   (0, 't2', 'e3', 'actionable', 'button', '', 1), (1, 't1', 'e1', '', 'input', 'a hint', 1), (1, 't1', 'e2', 'semantic_label', 'generic', 'NF', 1),
-  (1, 't3', 'e4', 'structural', 'card', '', 1), (2, 't1', 'e1', 'navigational', 'webview', '', 1), (2, 't2', 'e2', 'actionable', 'listitem', '', 3))
+  (1, 't3', 'e4', 'structural', 'card', '', 1), (1, 't3', 'e5', 'textual_content', '', 'RF', 1), (2, 't3', 'e6', '', '', '', 4), (2, 't1', 'e1', 'navigational', 'webview', '', 1), (2, 't2', 'e2', 'actionable', 'listitem', '', 3))
   AS v(baseline_id, target_id, evidence_id, capability, role, name, min_count)""",
     "run_nodes": "SELECT tree_id % 3 AS baseline_id, tree_id AS run_id, role, name FROM reffed",
-    "matched": """SELECT w.run_id, e.*, (SELECT count(*) FROM run_nodes n WHERE n.run_id = w.run_id AND n.role = e.role AND (e.name = '' OR n.name = e.name)) AS actual_count
-FROM (SELECT DISTINCT baseline_id, run_id FROM run_nodes) w JOIN evidence e USING (baseline_id)""",
+    "met": """SELECT r.run_id, e.target_id, e.evidence_id, count(*) AS n FROM run_nodes r
+  JOIN evidence e ON e.baseline_id = r.baseline_id AND (e.role = '' OR r.role = e.role) AND (e.name = '' OR r.name = e.name) GROUP BY ALL""",
+    "matched": """SELECT w.run_id, e.*, coalesce(m.n, 0) AS actual_count FROM (SELECT DISTINCT baseline_id, run_id FROM run_nodes) w
+  JOIN evidence e ON e.baseline_id = w.baseline_id LEFT JOIN met m ON m.run_id = w.run_id AND m.target_id = e.target_id AND m.evidence_id = e.evidence_id""",
     "judged": "SELECT *, CASE WHEN actual_count >= min_count THEN 'PASS' ELSE 'FAIL' END AS status FROM matched",
     "scored": """SELECT baseline_id, run_id, target_id, count(*) FILTER (status = 'PASS') AS passed, count(*) AS total FROM judged GROUP BY ALL""",
 }
@@ -92,4 +96,4 @@ def needs(text: str) -> list[str]:
 def sql(select: str) -> str:
     """A query with the views that it uses in front."""
     found = needs(select)
-    return ("WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in found) + "\n" if found else "") + select
+    return ("WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in found) + "\n" if found else "") + select

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,34 +24,34 @@ def screen_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A native view tree per order: window, container, and a view per line."""
     ints = lambda *v: F.array(*v).cast("array<int>")
     no, empty = F.lit(False), F.lit("")
-    own = lines(spark, sf_dir)
     key = F.col("l_orderkey")
-    orders = own.select("l_orderkey").distinct()
     whole = F.struct(*(F.lit(v).alias(s) for s, v in zip(("left", "top", "right", "bottom"), (0, 0, 1080, 2400), strict=True))).cast(BOUNDS)
     classes = F.array(*(F.lit(f"android.widget.{c}") for c in ("TextView", "ImageView", "ImageButton", "EditText", "CheckBox", "FrameLayout", "CardView")))
     q = F.floor("l_quantity").cast("int")
     left, top = (F.col("l_partkey") % 1000).cast("int"), (F.col("l_suppkey") % 2000).cast("int")
     box = F.struct(left.alias("left"), top.alias("top"), (left + q).alias("right"), (top + q % 40).alias("bottom")).cast(BOUNDS)
 
-    def rows(of: DataFrame, **given: object) -> DataFrame:
+    def node(**given: Column) -> Column:
         base = {
-            "tree_id": key, "node_id": F.lit(0), "parent_id": F.lit(None).cast("int"), "depth": F.lit(0), "path": ints(), "sibling_pos": F.lit(0),
+            "node_id": F.lit(0), "parent_id": F.lit(None).cast("int"), "depth": F.lit(0), "path": ints(), "sibling_pos": F.lit(0),
             "class_name": empty, "resource_id": empty, "text": empty, "content_desc": empty, "hint": empty, "bounds": whole,
             "clickable": no, "long_clickable": no, "editable": no, "scrollable": no, "checked": no, "selected": no, "focused": no, "password": no,
             "enabled": F.lit(True), "on_click": no, "item_click": no, "item_touch": no, "touch_override": no, "quantity": F.lit(0.0),
         }
-        return of.select(*(v.alias(k) for k, v in (base | given).items()))
+        return F.struct(*(v.alias(k) for k, v in (base | given).items()))
 
-    window = rows(orders, class_name=F.lit("com.android.internal.policy.DecorView"))
+    window = node(class_name=F.lit("com.android.internal.policy.DecorView"))
     container = F.array(*(F.lit(c) for c in ("androidx.recyclerview.widget.RecyclerView", "android.widget.LinearLayout", "android.widget.GridView")))
-    holder = rows(orders, node_id=F.lit(1), parent_id=F.lit(0), depth=F.lit(1), path=ints(F.lit(0)), class_name=F.element_at(container, (key % 3 + 1).cast("int")), item_click=key % 2 == 0)
-    views = rows(
-        own, node_id=F.col("seq") + 1, parent_id=F.lit(1), depth=F.lit(2), path=ints(F.lit(0), F.lit(1)), sibling_pos=F.col("seq") - 1,
+    holder = node(node_id=F.lit(1), parent_id=F.lit(0), depth=F.lit(1), path=ints(F.lit(0)), class_name=F.element_at(container, (key % 3 + 1).cast("int")), item_click=key % 2 == 0)
+    view = node(
+        node_id=F.col("seq") + 1, parent_id=F.lit(1), depth=F.lit(2), path=ints(F.lit(0), F.lit(1)), sibling_pos=F.col("seq") - 1,
         class_name=F.element_at(classes, F.col("l_linenumber").cast("int")), resource_id=F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("app:id/part_item_"), (F.col("l_partkey") % 7).cast("string"))).otherwise(""),
         text=F.when(F.col("l_partkey") % 3 == 0, F.concat("l_returnflag", "l_linestatus")).otherwise(""), hint=F.when(F.col("l_partkey") % 4 == 0, F.lit("a hint")).otherwise(""),
         bounds=box, clickable=F.col("l_discount") > 0.05, enabled=F.col("l_tax") > 0.01, checked=F.col("l_partkey") % 11 == 0, quantity=F.col("l_quantity"),
     )
-    return window.unionByName(holder).unionByName(views)
+    # the first line of an order brings the window and the container with it: one pass over the lines
+    rows = F.when(F.col("seq") == 1, F.array(window, holder, view)).otherwise(F.array(view))
+    return lines(spark, sf_dir).select(key.alias("tree_id"), F.explode(rows).alias("n")).select("tree_id", "n.*")
 
 
 def native_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

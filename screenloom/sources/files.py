@@ -12,30 +12,46 @@ from screenloom.operators.evaluate import artifact_columns
 TARGET = "struct<id:string,bounds:array<int>,expected:string,acceptable:array<string>>"
 RUN = f"""runId string, createdAtMs long, testsetId string, image string, inputMode string, targetCount int, imageEncoding string,
 encodedImageBytes int, imagePrepareMs long, modelLoadMs long, inferenceMs long, totalMs long, batchSize int, batchCount int, prompt string,
-targets array<{TARGET}>, rawOutput string, parsedOutput array<struct<id:string,desc:string>>, error struct<code:string,message:string>"""
+targets array<{TARGET}>, rawOutput string, parsedOutput array<struct<id:string,desc:string>>, error struct<code:string,message:string>, file string"""
 UNKNOWN_MS = ("imagePrepareMs", "modelLoadMs", "inferenceMs", "totalMs")
 
 
-def scan_captures(spark: SparkSession, root: str) -> DataFrame:
-    """Artifacts under ``captures/{baseline}/runs/{run}/{plugin}/{raw|transformed}/{file}``; evaluations are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def scan_captures(spark: SparkSession, *roots: str) -> DataFrame:
+    """Artifacts under ``captures/{baseline}/runs/{run}/{plugin}/{raw|transformed}/{file}``; evaluations are left out.
+
+    ``roots`` are folders at or below which they are. Rows come in no order: ``sort_artifacts`` sorts what is shown.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots))
     where = r"captures/([^/]+)/runs/([^/]+)/([^/]+)/(raw|transformed)/([^/]+)$"
     parts = [F.regexp_extract("path", where, k + 1).alias(n) for k, n in enumerate(("baseline_id", "run_id", "plugin", "stage", "file"))]
     found = files.where(F.col("path").rlike(where)).select(*parts, "path", F.col("length").alias("bytes"), F.col("content").cast("string").alias("content"))
-    return artifact_columns(found.where("plugin <> 'evaluation'")).orderBy("plugin", "path")
+    return artifact_columns(found.where("plugin <> 'evaluation'"))
 
 
 #: File endings by content type.
 ENDINGS = {"text/xml": ".xml", "text/yaml": ".yml", "application/json": ".json", "text/html": ".html"}
 
 
+#: Columns of ``write_captures``.
+CAPTURES = "run_id string, plugin string, stage string, source string, ts long, content_type string, content string, file string, baseline_id string"
+
+
+def read_captures(spark: SparkSession, root: str, stream: bool = False) -> DataFrame:
+    """The table of ``write_captures`` as artifacts with their content, also as a stream of its files."""
+    found = (spark.readStream if stream else spark.read).schema(CAPTURES).parquet(root)
+    return artifact_columns(found.drop("content_type").withColumn("bytes", F.octet_length("content")))
+
+
 def write_captures(df: DataFrame, root: str) -> None:
-    """``baseline_id, run_id, plugin, stage, source, ts, content_type, content`` as a partitioned table with file names."""
+    """``baseline_id, run_id, plugin, stage, source, ts, content_type, content`` as a table with file names.
+
+    Partitioned by baseline alone; runs of a baseline are clustered in its files, so that small runs make no small files.
+    """
     ending = F.lit(".txt")
     for kind, e in ENDINGS.items():
         ending = F.when(F.col("content_type") == kind, e).otherwise(ending)
     named = df.withColumn("file", F.concat("source", F.lit("_"), F.col("ts").cast("string"), ending))
-    named.write.mode("append").partitionBy("baseline_id", "run_id", "plugin", "stage").parquet(root)
+    named.repartition("baseline_id").sortWithinPartitions("baseline_id", "run_id", "plugin", "stage").write.mode("append").partitionBy("baseline_id").parquet(root)
 
 
 def write_evaluation(counts: DataFrame, targets: DataFrame, results: DataFrame, summary: DataFrame, root: str) -> None:
@@ -48,9 +64,9 @@ def write_evaluation(counts: DataFrame, targets: DataFrame, results: DataFrame,
     s.join(c, keys, "left").join(t, keys, "left").write.mode("overwrite").partitionBy("baseline_id").json(root)
 
 
-def read_testsets(spark: SparkSession, path: str) -> DataFrame:
-    """Targets of icon test sets, in the order of their file."""
-    sets = spark.read.schema(f"testset_id string, image string, targets array<{TARGET}>").json(path, multiLine=True)
+def read_testsets(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Targets of icon test sets, in the order of their file: a file for each set, or with ``lines`` a line."""
+    sets = spark.read.schema(f"testset_id string, image string, targets array<{TARGET}>").json(path, multiLine=not lines)
     rows = sets.select("testset_id", "image", F.posexplode("targets").alias("position", "t"))
     b = F.col("t.bounds")
     box = F.when(F.size(b) == 4, F.struct(*(b[k].alias(s) for k, s in enumerate(("left", "top", "right", "bottom")))))
@@ -71,8 +87,8 @@ def safe_file_name(c):
 
 
 def write_experiment_runs(df: DataFrame, root: str) -> None:
-    """One JSON line per run in a folder of its name."""
-    df.withColumn("file", safe_file_name(F.col("runId"))).write.mode("append").partitionBy("file").json(root)
+    """One JSON line per run, with the ``file`` name that the run goes by; no folder or file of its own."""
+    df.withColumn("file", safe_file_name(F.col("runId"))).write.mode("append").json(root)
 
 
 SOURCES: dict[str, Callable[[DataFrame], DataFrame]] = {}

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from array import array
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from screenloom.cut import cut
 from screenloom.functions import geometry
 from screenloom.schema import RAW_FLAGS
 
@@ -60,11 +60,60 @@ def paths(nodes: DataFrame, order: str, max_depth: int | None = None) -> DataFra
     return out.select("tree_id", *(F.col(f"_node._nodes.{c}") for c in others), "node_id", F.col("_node._found.path"), F.col("_node._found.sibling_pos")).withColumn("parent_id", F.try_element_at("path", F.lit(-1)))
 
 
+#: What a token does to the tree: text, an element without content, one that opens, one that closes, and a paragraph's two.
+TEXT, LEAF, OPEN, CLOSE, OPEN_P, CLOSE_P = range(6)
+PLACED = "array<struct<at:int,depth:int,path:array<int>,sibling_pos:int>>"
+
+
+def placed(trees: pa.Array, max_depth: int | None) -> pa.Array:
+    """The nodes of each text from the kinds of its tokens: which token (``at``), and its place in the tree.
+
+    A paragraph is a level of its own only for texts and leaves: whatever else opens or closes ends it.
+    """
+    at, depths, sizes = array("i"), [], array("i", [0])
+    for kinds in trees.to_pylist():
+        level, in_p, own = 0, False, []
+        for k, kind in enumerate(kinds or ()):
+            if kind == CLOSE:
+                level, in_p = level - 1, False
+            elif kind == CLOSE_P:
+                in_p = False
+            else:
+                depth = max(level, 0) + (in_p and kind in (TEXT, LEAF))
+                if kind == OPEN:
+                    level, in_p = level + 1, False
+                elif kind == OPEN_P:
+                    in_p = True
+                if max_depth is None or depth <= max_depth:
+                    at.append(k)
+                    own.append(depth)
+        depths.append(own)
+        sizes.append(len(at))
+    found = ancestors(pa.array(depths, pa.list_(pa.int32()))).flatten()
+    depth = pa.array([d for own in depths for d in own], pa.int32())
+    rows = pa.StructArray.from_arrays([pa.array(at, pa.int32()), depth, *found.flatten()], ["at", "depth", "path", "sibling_pos"])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows)
+
+
+def take_apart(df: DataFrame, tokens: str, kind: Callable[[Column], Column], max_depth: int | None) -> DataFrame:
+    """The other columns of ``df`` with ``token`` and its place for each node in the array ``tokens``: no shuffle."""
+
+    @F.arrow_udf(PLACED)
+    def found(kinds: pa.Array) -> pa.Array:
+        return placed(kinds, max_depth)
+
+    rows = df.withColumn("_placed", found(F.transform(tokens, kind)))
+    whole = F.transform("_placed", lambda n: F.struct(F.get(F.col(tokens), n["at"]).alias("token"), n["depth"].alias("depth"), n["path"].alias("path"), n["sibling_pos"].alias("sibling_pos")))
+    others = [c for c in df.columns if c != tokens]
+    return rows.select(*others, F.posexplode(whole).alias("node_id", "_n")).select(*others, "node_id", "_n.*").withColumn("parent_id", F.try_element_at("path", F.lit(-1)))
+
+
 def decoded(c: Column) -> Column:
     """Character references to characters, ``&amp;`` last."""
-    for said, meant in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#10;", "\n"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(said), F.lit(meant))
-    return c
+    out = c
+    for said, meant in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#10;", "\n"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(said), F.lit(meant))
+    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
 
 
 def encoded(c: Column) -> Column:
@@ -77,21 +126,31 @@ def encoded(c: Column) -> Column:
 FLAG_NAMES = {"on_click": "has-onclick-listener", "item_click": "has-item-click-listener", "item_touch": "has-item-touch-listener", "touch_override": "overrides-onTouchEvent", "long_clickable": "long-clickable"}
 
 
+def _level(done: Column, kind: Column) -> Column:
+    now = done["now"] + F.when(kind == OPEN, 1).when(kind == CLOSE, -1).otherwise(0)
+    return F.struct(now.alias("now"), F.least(done["least"], now).alias("least"))
+
+
+def _pairs(token: Column, pattern: str) -> Column:
+    """``map`` of the names and values that a pattern finds; the first of a name counts."""
+    names = F.regexp_extract_all(token, F.lit(pattern), 1)
+    pairs = F.arrays_zip(names.alias("key"), F.regexp_extract_all(token, F.lit(pattern), 2).alias("value"))
+    return F.map_from_entries(F.when(F.size(F.array_distinct(names)) == F.size(names), pairs).otherwise(F.filter(pairs, lambda p, k: F.array_position(names, p["key"]) == k + 1)))
+
+
 def read_native_trees(df: DataFrame, tree_id: str = "tree_id", xml: str = "xml", max_depth: int | None = None) -> DataFrame:
-    """View hierarchies in XML to raw nodes. Blank texts give none; tags that don't match are an error."""
-    tags = F.regexp_extract_all(F.col(xml), F.lit(r'(?s)(<node\b(?:[^>"]|"[^"]*")*>|</node>)'), 1)
-    tokens = df.select(F.col(tree_id).alias("tree_id"), F.posexplode(tags).alias("pos", "token"))
-    closes, leaf = F.col("token") == "</node>", F.endswith("token", F.lit("/>"))
-    delta = F.when(closes, -1).when(leaf, 0).otherwise(1)
-    order = W.partitionBy("tree_id").orderBy("pos")
-    tokens = tokens.withColumn("delta", delta).withColumn("depth", (F.sum("delta").over(order) - F.when(closes, 0).otherwise(F.col("delta"))).cast("int"))
-    whole = F.sum("delta").over(W.partitionBy("tree_id"))
-    checked = F.when((whole != 0) | (F.col("depth") < 0), F.raise_error(F.concat(F.lit("malformed view hierarchy: "), F.col("tree_id").cast("string")))).otherwise(F.col("depth"))
-    opened = tokens.withColumn("depth", checked.cast("int")).where(~closes)
-    nodes = paths(opened, "pos", max_depth)
+    """View hierarchies in XML to raw nodes. Blank texts give none; tags that don't match, or don't end, are an error."""
+    tags = F.regexp_extract_all(F.col(xml), F.lit(r'(<node\b[^<>"]*+(?:"[^<"]*+"[^<>"]*+)*+>|</node>|<node\b)'), 1)
+    kind = lambda t: F.when(t == "</node>", CLOSE).when(F.endswith(t, F.lit("/>")), LEAF).otherwise(OPEN)
+    level = F.aggregate("_tags", F.struct(F.lit(0).alias("now"), F.lit(0).alias("least")), lambda done, t: _level(done, kind(t)))
+    bad = (level["now"] != 0) | (level["least"] < 0) | F.array_contains("_tags", "<node")
+    error = F.raise_error(F.concat(F.lit("malformed view hierarchy: "), F.col("tree_id").cast("string"))).cast("array<string>")
+    texts = df.select(F.col(tree_id).alias("tree_id"), tags.alias("_tags"))
+    nodes = take_apart(texts.withColumn("_tags", F.when(bad, error).otherwise(F.col("_tags"))), "_tags", kind, max_depth)
+    nodes = nodes.withColumn("_said", _pairs(F.col("token"), r'\s([\w:.-]+)="([^"]*+)"'))
 
     def attr(name: str) -> Column:
-        return decoded(F.regexp_extract("token", rf'\s{name}="([^"]*)"', 1))
+        return decoded(F.coalesce(F.col("_said")[name], F.lit("")))
 
     def flag(column: str) -> Column:
         said = attr(FLAG_NAMES.get(column, column))
@@ -124,7 +183,7 @@ def native_xml(raw: DataFrame) -> DataFrame:
 DROPPED = "script style head noscript template"
 VOID = "area base br col embed hr img input link meta source track wbr".split()
 MARKS = "b i u s em strong small br wbr".split()
-#: Roles that an attribute may give, in the order of the specification.
+#: Roles that an attribute may give.
 VALID_ROLES = """alert alertdialog application article association banner blockquote button caption cell checkbox code
 columnheader combobox complementary contentinfo definition deletion dialog directory document feed figure form grid gridcell
 group heading img image insertion link list listbox listitem log main marquee math menu menubar menuitem menuitemcheckbox
@@ -152,6 +211,11 @@ READONLY = "checkbox,combobox,grid,gridcell,listbox,radiogroup,slider,spinbutton
 LEVELED = "heading,listitem,row,treeitem"
 
 
+#: A tag: it begins like one, and ``<`` and ``>`` stand in it between quotes only. No pattern here tries a text twice or
+#: recurses: each takes what it can and gives nothing back, however long tags, names and texts are.
+MARKUP = r"""<[a-zA-Z/!?][^<>"']*+(?:(?:"[^"]*+"|'[^']*+')[^<>"']*+)*+>"""
+
+
 def attributes(tag: Column) -> Column:
     """``map`` of the attributes of a tag, names in lower case; the first of a name counts, bare ones are ``''``."""
     pattern = r"""(?s)\s([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
@@ -169,27 +233,22 @@ def read_html_pages(df: DataFrame, tree_id: str = "page_id", html: str = "html",
     """
     shown = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", "")
     shown = F.regexp_replace(shown, rf"(?is)<({'|'.join(DROPPED.split())})\b[^>]*>.*?</\1\s*>", "")
-    tokens = F.regexp_extract_all(shown, F.lit(r"""(?s)(<(?:[^>"']|"[^"]*"|'[^']*')*>|[^<]+)"""), 1)
-    rows = df.select(F.col(tree_id).alias("tree_id"), F.posexplode(tokens).alias("pos", "token"))
-    tag = F.lower(F.regexp_extract("token", r"^</?([a-zA-Z][\w-]*)", 1))
-    rows = rows.withColumn("tag", tag).withColumn("closes", F.startswith("token", F.lit("</")))
-    is_text = ~F.startswith("token", F.lit("<"))
-    word = F.trim(F.regexp_replace(decoded(F.col("token")), r"\s+", " "))
-    rows = rows.withColumn("text", F.when(is_text, word).otherwise(""))
-    rows = rows.where(F.when(is_text, F.col("text") != "").otherwise((F.col("tag") != "") & ~F.col("tag").isin(*MARKS)))
-    is_text = F.col("tag") == ""
-    leaf = F.col("tag").isin(*VOID) | F.endswith("token", F.lit("/>"))
-    # depth without paragraphs, then whether a paragraph is open
-    order = W.partitionBy("tree_id").orderBy("pos")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    delta = F.when(is_text | leaf | (F.col("tag") == "p"), 0).when(F.col("closes"), -1).otherwise(1)
-    rows = rows.withColumn("delta", delta)
-    turns = F.when((F.col("tag") == "p") & ~F.col("closes"), True).when(~is_text & ~leaf, False)
-    in_p = F.coalesce(F.last(turns, ignorenulls=True).over(before), F.lit(False))
-    base = F.coalesce(F.sum("delta").over(before), F.lit(0))
-    inside = in_p & (is_text | leaf)
-    rows = rows.withColumn("depth", (F.greatest(base, F.lit(0)) + F.when(inside, 1).otherwise(0)).cast("int")).where(~F.col("closes"))
-    nodes = paths(rows, "pos", max_depth)
+    tokens = F.regexp_extract_all(shown, F.lit(rf"({MARKUP}|(?:[^<]++|<(?!{MARKUP[1:]}))++)"), 1)
+
+    def read(t: Column) -> Column:
+        is_tag = t.rlike("^<[a-zA-Z/!?]") & F.endswith(t, F.lit(">"))
+        text = F.when(is_tag, "").otherwise(F.trim(F.regexp_replace(decoded(t), r"\s+", " ")))
+        tag = F.when(is_tag, F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][\w-]*)", 1))).otherwise("")
+        return F.struct(F.when(is_tag, t).otherwise("").alias("token"), tag.alias("tag"), text.alias("text"))
+
+    def kind(t: Column) -> Column:
+        closes, is_p = F.startswith(t["token"], F.lit("</")), t["tag"] == "p"
+        leaf = t["tag"].isin(*VOID) | F.endswith(t["token"], F.lit("/>"))
+        return F.when(t["tag"] == "", TEXT).when(is_p, F.when(closes, CLOSE_P).otherwise(OPEN_P)).when(closes, CLOSE).when(leaf, LEAF).otherwise(OPEN)
+
+    shown = F.filter(F.transform(tokens, read), lambda t: (t["text"] != "") | ((t["tag"] != "") & ~t["tag"].isin(*MARKS)))
+    nodes = take_apart(df.select(F.col(tree_id).alias("tree_id"), shown.alias("_tokens")), "_tokens", kind, max_depth)
+    nodes = nodes.select("tree_id", "node_id", "parent_id", "depth", "path", "sibling_pos", "token.*")
     attrs = F.when(F.col("tag") != "", attributes(F.col("token"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
     return nodes.select("tree_id", "node_id", "parent_id", "depth", "path", "sibling_pos", F.when(F.col("tag") == "", "#text").otherwise(F.col("tag")).alias("tag"), attrs.alias("attrs"), "text")
 
@@ -276,23 +335,30 @@ def html_role(nodes: DataFrame) -> DataFrame:
 
 def html_name(nodes: DataFrame) -> DataFrame:
     """``name`` of each node with a role: labels, then alternatives by tag, then content for the roles that take it."""
-    texts = nodes.where("tag = '#text'").select("tree_id", "node_id", "text", F.explode("path").alias("above"))
-    parts = F.array_sort(F.collect_list(F.struct("node_id", "text")))
-    content = texts.groupBy("tree_id", F.col("above").alias("node_id")).agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("_content"))
-    n = nodes.join(content, ["tree_id", "node_id"], "left").withColumn("_content", F.coalesce("_content", F.lit("")))
-    by_id = n.where(_has("id")).groupBy("tree_id", _said("id").alias("_ref")).agg(F.min_by("_content", "node_id").alias("_there"))
-    asked = n.where(_said("aria-labelledby") != "").select("tree_id", "node_id", F.posexplode(F.split(F.trim(_said("aria-labelledby")), r"\s+")).alias("_k", "_ref"))
-    told = asked.join(by_id, ["tree_id", "_ref"]).where("_there <> ''").groupBy("tree_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("_k", "_there"))).alias("_told"))
-    told = told.select("tree_id", "node_id", F.array_join(F.transform("_told", lambda x: x["_there"]), " ").alias("_labelled"))
-    labels = n.where((F.col("tag") == "label") & _has("for")).groupBy("tree_id", _said("for").alias("_own")).agg(F.min_by("_content", "node_id").alias("_for"))
-    inner = n.where(F.col("tag").isin("caption", "figcaption", "legend", "summary", "title")).select("tree_id", F.col("tag").alias("_kind"), "_content", "node_id", F.explode("path").alias("_above"))
-    inner = inner.groupBy("tree_id", F.col("_above").alias("node_id"), "_kind").agg(F.min_by("_content", "node_id").alias("_inner"))
+    from screenloom.operators.tree import by_tree
+
+    # the texts below each node: a row for the node itself and one for each text and each node above it
+    is_text = F.col("tag") == "#text"
+    above = F.when(is_text, F.array_append("path", F.col("node_id"))).otherwise(F.array("node_id"))
+    own = F.when(F.col("_at") == F.col("node_id"), F.struct(*(c for c in nodes.columns if c != "tree_id")))
+    said = F.array_sort(F.collect_list(F.when(is_text, F.struct("node_id", "text"))))
+    n = nodes.withColumn("_at", F.explode(above)).groupBy("tree_id", "_at").agg(F.first(own, ignorenulls=True).alias("_own"), F.array_join(F.transform(said, lambda p: p["text"]), " ").alias("_content"))
+    n = n.select("tree_id", "_own.*", "_content")
+    # what a page's nodes may be called by, gathered once a page; most pages have little of it
+    asks = F.max((_said("aria-labelledby") != "").cast("int")).over(by_tree()) == 1
+    told = lambda test, **given: F.array_sort(F.collect_list(F.when(test, F.struct("node_id", *(v.alias(k) for k, v in given.items()), F.col("_content").alias("said")))).over(by_tree()))
+    n = n.withColumn("_asks", asks)
+    n = n.withColumn("_ids", told(F.col("_asks") & _has("id"), key=_said("id"))).withColumn("_labels", told((F.col("tag") == "label") & _has("for"), key=_said("for")))
+    n = n.withColumn("_inners", told(F.col("tag").isin("caption", "figcaption", "legend", "summary", "title"), key=F.col("tag"), path=F.col("path"))).withColumn("_wraps", told(F.col("tag") == "label"))
+    first = lambda found: F.get(found, F.lit(0))["said"]
+    refs = F.split(F.trim(_said("aria-labelledby")), r"\s+")
+    labelled = F.filter(F.transform(refs, lambda r: first(F.filter("_ids", lambda i: i["key"] == r))), lambda x: x != "")
     wants = {"table": "caption", "figure": "figcaption", "fieldset": "legend", "details": "summary", "svg": "title"}
     kind = F.create_map(*(F.lit(x) for kv in wants.items() for x in kv))[F.col("tag")]
-    wrapping = n.where("tag = 'label'").select("tree_id", F.col("node_id").alias("_wrap"), F.col("_content").alias("_wrapped"))
-    deepest = n.select("tree_id", "node_id", F.posexplode("path").alias("_d", "_wrap")).join(wrapping, ["tree_id", "_wrap"]).groupBy("tree_id", "node_id").agg(F.max_by("_wrapped", "_d").alias("_wrapped"))
-    n = n.withColumn("_own", F.nullif(_said("id"), F.lit(""))).withColumn("_kind", kind)
-    n = n.join(told, ["tree_id", "node_id"], "left").join(labels, ["tree_id", "_own"], "left").join(inner, ["tree_id", "node_id", "_kind"], "left").join(deepest, ["tree_id", "node_id"], "left")
+    own_id = F.nullif(_said("id"), F.lit(""))
+    n = n.withColumn("_labelled", F.when(_said("aria-labelledby") != "", F.array_join(labelled, " "))).withColumn("_for", first(F.filter("_labels", lambda x: x["key"] == own_id)))
+    n = n.withColumn("_inner", first(F.filter("_inners", lambda x: (x["key"] == kind) & F.array_contains(x["path"], F.col("node_id")))))
+    n = n.withColumn("_wrapped", F.get(F.reverse(F.filter("_wraps", lambda x: F.array_contains("path", x["node_id"]))), F.lit(0))["said"])
     tag, form = F.col("tag"), F.lower(_said("type"))
     button = (tag == "input") & form.isin("submit", "reset", "button", "image")
     held = F.when(within(F.col("role"), NAMED_BY_CONTENT), F.when(F.length("_content") > 200, F.concat(F.substring("_content", 1, 200), F.lit("..."))).otherwise(F.col("_content")))
@@ -343,9 +409,7 @@ def html_nodes(df: DataFrame, tree_id: str = "page_id", html: str = "html", max_
     """Pages to the node contract: read, hide, role, name and states; elements without a role give way to their children."""
     from screenloom.operators.tree import reattach
 
-    # names look at the nodes in several ways: the pages are taken apart once
-    roled = cut(html_role(hidden_html(read_html_pages(df, tree_id, html, max_depth))))
-    n = html_states(html_name(roled))
+    n = html_states(html_name(html_role(hidden_html(read_html_pages(df, tree_id, html, max_depth)))))
     n = reattach(n, F.col("role").isNull())
     empty = F.lit("")
     return n.select(

@@ -11,7 +11,7 @@ def parse_snapshots(df: DataFrame, key: list[str], text: str = "snapshot") -> Da
     """``pos``, ``role`` and ``name`` of each line of a snapshot that is a node."""
     rows = df.select(*key, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
     rows = rows.where(F.startswith("line", F.lit("- "))).withColumn("line", F.trim(F.regexp_replace(F.trim(F.substring("line", 3, 1 << 30)), r":$", "")))
-    quoted = F.regexp_extract("line", r'^[^"]*"((?:[^"\\]|\\.)*)"', 1)
+    quoted = F.regexp_extract("line", r'^[^"]*+"((?:[^"\\]++|\\.)*+)"', 1)
     return rows.where("line <> ''").select(*key, "pos", F.regexp_extract("line", r"^([^ \[]*)", 1).alias("role"), F.regexp_replace(quoted, r"\\(.)", "$1").alias("name"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenloom.functions import geometry, names, roles
+from screenloom.operators.tree import is_parent
 from screenloom.sources.markup import paths
 
 #: No limit: the recursion ends with the deepest tree.
@@ -57,9 +58,7 @@ def read_inspector_trees(df: DataFrame, tree_id: str = "tree_id", json: str = "j
 
 def harmony_nodes(raw: DataFrame) -> DataFrame:
     """Inspector nodes to the node contract, without blank placeholders."""
-    kids = raw.where("parent_id IS NOT NULL").select("tree_id", F.col("parent_id").alias("node_id")).distinct().withColumn("_parent", F.lit(True))
-    blank = (F.col("kind") == "Blank") & (F.coalesce(F.col("attrs")["content"], F.lit("")) == "") & F.col("_parent").isNull() & F.col("parent_id").isNotNull()
-    n = raw.join(kids, ["tree_id", "node_id"], "left").where(~blank).withColumn("decision", roles.harmony_role(F.col("kind"), F.col("attrs")))
+    n = drop_blank_placeholders(raw).withColumn("decision", roles.harmony_role(F.col("kind"), F.col("attrs")))
     role, empty = F.col("decision.role"), F.lit("")
     return n.select(
         "tree_id", F.lit("harmony").alias("source"), "node_id", "parent_id", "depth", "path", "sibling_pos", role.alias("role"), F.col("decision.source").alias("role_source"),
@@ -71,7 +70,5 @@ def harmony_nodes(raw: DataFrame) -> DataFrame:
 
 def drop_blank_placeholders(raw: DataFrame) -> DataFrame:
     """Inspector nodes without ``Blank`` ones that hold nothing."""
-    kids = raw.where("parent_id IS NOT NULL").select("tree_id", F.col("parent_id").alias("node_id"))
     blank = (F.col("kind") == "Blank") & (F.coalesce(F.col("attrs")["content"], F.lit("")) == "") & F.col("parent_id").isNotNull()
-    gone = raw.where(blank).select("tree_id", "node_id").join(kids, ["tree_id", "node_id"], "left_anti")
-    return raw.join(gone, ["tree_id", "node_id"], "left_anti")
+    return raw.withColumn("_gone", blank & ~is_parent()).where(~F.col("_gone")).drop("_gone")

@@ -12,37 +12,78 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from screenloom.operators import evaluate
-from screenloom.sources.files import scan_captures
+from screenloom.sources.files import read_captures, scan_captures
 from screenloom.sources.texts import parse_snapshots
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
+#: Most runs whose folders are read by one job of a batch.
+RUNS_AT_ONCE = 1000
+
+
 def stream_evaluate(spark: SparkSession, root: str, checkpoint: str, evidence: DataFrame, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Scores of each run whose files land under ``root``, per batch to ``sink``. Runs are read whole, earlier files too."""
+    """Scores of each run whose files land under ``root``, per batch to ``sink``. Runs are read whole, earlier files too.
+
+    Only the folders of the batch's runs are listed and read, ``RUNS_AT_ONCE`` at a time; ``sink`` is called for each part.
+    """
     files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(root)
-    where = r"captures/([^/]+)/runs/([^/]+)/"
-    named = files.select(F.regexp_extract("path", where, 1).alias("baseline_id"), F.regexp_extract("path", where, 2).alias("run_id"))
+    folder = files.select(F.regexp_extract("path", r"^(.*captures/[^/]+/runs/[^/]+)/", 1).alias("folder"))
+
+    def evaluated(folders: list[str], number: int) -> None:
+        found = scan_captures(spark, *folders).where("type = 'llm_input' AND schema_status = 'PASS'")
+        nodes = parse_snapshots(found, ["baseline_id", "run_id"], "content")
+        sink(evaluate.score_targets(evaluate.evaluate_counts(evaluate.match_evidence(nodes, evidence))), number)
+
+    def batch(df: DataFrame, number: int) -> None:
+        part: list[str] = []
+        for row in df.where("folder <> ''").distinct().toLocalIterator():
+            part.append(row["folder"])
+            if len(part) == RUNS_AT_ONCE:
+                evaluated(part, number)
+                part = []
+        if part:
+            evaluated(part, number)
+
+    return folder.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Most baselines of a batch that are named to the reader, so that it opens their folders alone.
+BASELINES_NAMED = 1000
+
+
+def stream_evaluate_table(spark: SparkSession, root: str, checkpoint: str, evidence: DataFrame, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """``stream_evaluate`` for captures that land in the table of ``write_captures`` at ``root``: a call of ``sink`` per batch."""
 
     def batch(df: DataFrame, number: int) -> None:
-        runs = df.where("run_id <> ''").distinct()
-        files = scan_captures(spark, root).join(F.broadcast(runs), ["baseline_id", "run_id"], "left_semi")
-        nodes = parse_snapshots(files.where("type = 'llm_input'"), ["baseline_id", "run_id"], "content")
+        keys = ["baseline_id", "run_id"]
+        runs = df.select(*keys).distinct()
+        whole = read_captures(spark, root).where("type = 'llm_input' AND schema_status = 'PASS'")
+        named = [r[0] for r in runs.select("baseline_id").distinct().limit(BASELINES_NAMED + 1).collect()]
+        if len(named) <= BASELINES_NAMED:
+            whole = whole.where(F.col("baseline_id").isin(*named))
+        nodes = parse_snapshots(whole.join(runs, keys, "left_semi"), keys, "content")
         sink(evaluate.score_targets(evaluate.evaluate_counts(evaluate.match_evidence(nodes, evidence))), number)
 
-    return named.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    landed = read_captures(spark, root, stream=True).select("baseline_id", "run_id")
+    return landed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 REF = re.compile(r"\[ref=([nw]\d+)\].*?\[bounds=(\d+),(\d+),(\d+),(\d+)\]")
 
 
-def stream_ref_table(snapshots: DataFrame) -> DataFrame:
-    """``session, ts, ref`` and box: a new snapshot (``session, ts, snapshot``) takes the place of all refs before it.
+def stream_ref_table(snapshots: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """``session, ts, refs``: a new snapshot (``session, ts, snapshot``) takes the place of all refs before it.
 
-    The state of a session is its latest snapshot's time; an older one that comes late is ignored.
+    ``refs`` is a JSON list of ``[ref, left, top, right, bottom]``, as a state's output has one row. The state of a session
+    is its latest snapshot's time, one number; an older one that comes late is ignored. With ``idle_ms`` a session without
+    snapshots for so long (of the clock) ends, and its state goes.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         latest, refs = (state.get[0], None) if state.exists else (None, None)
         for b in batches:
             for ts, text in zip(b["ts"], b["snapshot"], strict=True):
@@ -51,7 +92,10 @@ def stream_ref_table(snapshots: DataFrame) -> DataFrame:
                     latest, refs = micros, [[m[1], *map(int, m.groups()[1:])] for m in REF.finditer(text or "")]
         if refs is not None:
             state.update((latest,))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        if refs is not None:
             yield pd.DataFrame([(key[0], pd.Timestamp(latest, unit="us"), json.dumps(refs))], columns=["session", "ts", "refs"])
 
-    stated = snapshots.groupBy("session").applyInPandasWithState(update, "session long, ts timestamp, refs string", "latest long", "update", "NoTimeout")
-    return stated
+    timeout = "ProcessingTimeTimeout" if idle_ms else "NoTimeout"
+    return snapshots.groupBy("session").applyInPandasWithState(update, "session long, ts timestamp, refs string", "latest long", "update", timeout)
