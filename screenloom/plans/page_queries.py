@@ -46,8 +46,9 @@ def p10(spark, sf):
 
 
 def _named(tag: str) -> str:
-    """SQL for what stands between the tags of an element, tags gone."""
-    return f"SELECT page_id, '{tag}' AS tag, regexp_replace(unnest(regexp_extract_all(h, '(?s)<{tag}\\b[^>]*>(.*?)</{tag}>', 1)), '<[^>]*>', ' ', 'g') AS part FROM {BARE}"
+    """SQL for what stands between the tags of an element, tags gone. A paragraph ends where the next begins or the article ends."""
+    page = "replace(replace(h, '<p>', '</p><p>'), '</article>', '</p></article>')" if tag == "p" else "h"
+    return f"SELECT page_id, '{tag}' AS tag, regexp_replace(unnest(regexp_extract_all({page}, '(?s)<{tag}\\b[^>]*>(.*?)</{tag}>', 1)), '<[^>]*>', ' ', 'g') AS part FROM {BARE}"
 
 
 NAMED = "a h1 p li ul nav article footer".split()

@@ -131,11 +131,24 @@ def _level(done: Column, kind: Column) -> Column:
     return F.struct(now.alias("now"), F.least(done["least"], now).alias("least"))
 
 
-def _pairs(token: Column, pattern: str) -> Column:
-    """``map`` of the names and values that a pattern finds; the first of a name counts."""
-    names = F.regexp_extract_all(token, F.lit(pattern), 1)
-    pairs = F.arrays_zip(names.alias("key"), F.regexp_extract_all(token, F.lit(pattern), 2).alias("value"))
-    return F.map_from_entries(F.when(F.size(F.array_distinct(names)) == F.size(names), pairs).otherwise(F.filter(pairs, lambda p, k: F.array_position(names, p["key"]) == k + 1)))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def first_of_each(names: Column, values: Column) -> Column:
+    """``map`` of names and values; the first of a name counts. Repeated names are found by sorting them."""
+
+    def firsts(x: Column) -> Column:
+        placed_names = F.array_sort(F.transform(x["names"], lambda n, k: F.struct(n.alias("key"), k.alias("at"))))
+        new = lambda s: F.filter(s, lambda y, k: (k == 0) | (F.get(s, k - 1)["key"] != y["key"]))
+        return F.transform(let(placed_names, new), lambda y: F.struct(y["key"].alias("key"), F.get(x["values"], y["at"]).alias("value")))
+
+    def pairs(x: Column) -> Column:
+        plain = F.zip_with(x["names"], x["values"], lambda n, v: F.struct(n.alias("key"), v.alias("value")))
+        return F.map_from_entries(F.when(F.size(F.array_distinct(x["names"])) == F.size(x["names"]), plain).otherwise(firsts(x)))
+
+    return let(F.struct(names.alias("names"), values.alias("values")), pairs)
 
 
 def read_native_trees(df: DataFrame, tree_id: str = "tree_id", xml: str = "xml", max_depth: int | None = None) -> DataFrame:
@@ -147,7 +160,8 @@ def read_native_trees(df: DataFrame, tree_id: str = "tree_id", xml: str = "xml",
     error = F.raise_error(F.concat(F.lit("malformed view hierarchy: "), F.col("tree_id").cast("string"))).cast("array<string>")
     texts = df.select(F.col(tree_id).alias("tree_id"), tags.alias("_tags"))
     nodes = take_apart(texts.withColumn("_tags", F.when(bad, error).otherwise(F.col("_tags"))), "_tags", kind, max_depth)
-    nodes = nodes.withColumn("_said", _pairs(F.col("token"), r'\s([\w:.-]+)="([^"]*+)"'))
+    said = [F.regexp_extract_all("token", F.lit(r'\s([\w:.-]+)="([^"]*+)"'), k) for k in (1, 2)]
+    nodes = nodes.withColumn("_said", first_of_each(*said))
 
     def attr(name: str) -> Column:
         return decoded(F.coalesce(F.col("_said")[name], F.lit("")))
@@ -221,9 +235,7 @@ def attributes(tag: Column) -> Column:
     pattern = r"""(?s)\s([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
     part = lambda k: F.regexp_extract_all(tag, F.lit(pattern), k)
     values = F.zip_with(F.zip_with(part(2), part(3), lambda a, b: F.concat(a, b)), part(4), lambda a, b: F.concat(a, b))
-    pairs = F.zip_with(part(1), values, lambda n, v: F.struct(F.lower(n).alias("key"), decoded(v).alias("value")))
-    names = F.transform(part(1), F.lower)
-    return F.map_from_entries(F.filter(pairs, lambda p, k: F.array_position(names, p["key"]) == k + 1))
+    return first_of_each(F.transform(part(1), F.lower), F.transform(values, decoded))
 
 
 def read_html_pages(df: DataFrame, tree_id: str = "page_id", html: str = "html", max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -164,6 +164,61 @@ def test_deep_trees_are_whole(spark):
         assert [r["path"] for r in rows] == [list(range(k)) for k in range(120)]
 
 
+LONG = 1_000_000
+
+
+def test_long_tags_names_and_texts(spark):
+    """Nothing recurses on a text: a million characters of each kind are read like any other."""
+    pages = {
+        1: f"<p>{'z' * LONG}</p>", 2: f'<p title="{"t" * LONG}">a</p>', 3: f"<p {'z ' * (LONG // 2)}>b</p>", 4: "a < b and c > d" + "<" * LONG, 5: "<b" * (LONG // 2), 6: "<p>x" * 1000 + "<i>'" * 1000,
+    }
+    rows = markup.read_html_pages(spark.createDataFrame(list(pages.items()), "page_id long, html string")).where("tree_id < 6").collect()
+    of = {k: [r for r in rows if r["tree_id"] == k] for k in pages}
+    assert [r["text"] for r in of[1] if r["tag"] == "#text"] == ["z" * LONG] and len(of[2][0]["attrs"]["title"]) == LONG and of[3][1]["text"] == "b"
+    assert of[4][0]["text"] == "a < b and c > d" + "<" * LONG and of[5][0]["text"] == "<b" * (LONG // 2)
+    assert markup.html_nodes(spark.createDataFrame(list(pages.items()), "page_id long, html string")).count() > 1000
+    xml = [(1, f'<node text="{"x" * LONG}" {"y" * LONG}="1"><node class="a.Text"/></node>')]
+    rows = markup.read_native_trees(spark.createDataFrame(xml, "tree_id long, xml string")).orderBy("node_id").collect()
+    assert len(rows[0]["text"]) == LONG and rows[1]["class_name"] == "a.Text"
+    for bad in ('<node a="1"', "<node>" * 3 + "</node>" * 2, "</node><node>", '<node a="<b"/>'):
+        with pytest.raises(Exception, match="malformed view hierarchy"):
+            markup.read_native_trees(spark.createDataFrame([(1, bad)], "tree_id long, xml string")).collect()
+    name = 'q"\\' * (LONG // 3)
+    shot = '- button "' + name.replace("\\", "\\\\").replace('"', '\\"') + '" [checked]'
+    assert texts.parse_snapshots(spark.createDataFrame([(1, shot)], "k long, snapshot string"), ["k"]).first()["name"] == name
+
+
+def test_trees_of_500_levels_and_of_many_children(spark):
+    for n in (60, 500):
+        xml = "<node>" * n + "</node>" * n
+        assert [len(r["path"]) for r in markup.read_native_trees(spark.createDataFrame([(1, xml)], "tree_id long, xml string")).orderBy("node_id").collect()] == list(range(n))
+    wide = "<node>" + '<node class="a.TextView" text="t"/>' * 20_000 + "</node>"
+    nodes = native.semantic_nodes(markup.read_native_trees(spark.createDataFrame([(1, wide)], "tree_id long, xml string")))
+    snapshot = tree.render_snapshot(tree.assign_refs(tree.number_preorder(nodes))).first()["snapshot"]
+    assert snapshot.count("\n") == 20_000
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange "), plan.count("FileScan ")
+
+
+@pytest.mark.parametrize("name", ["t3_fold_generic", "t9_assign_refs", "t11_render_snapshot", "j1_match_evidence", "a2_score_targets"])
+def test_one_scan_and_few_exchanges(spark, sf, name):
+    from screenloom.plans import native_queries  # noqa: F401
+    from screenloom.plans.registry import QUERIES
+
+    shuffles, scans = exchanges(QUERIES[name](spark, sf))
+    assert scans == 1 and shuffles <= 3
+
+
+def test_pages_are_read_without_a_shuffle(spark, sf):
+    from screenloom.plans import views as V
+
+    assert exchanges(markup.read_html_pages(V.table(spark, sf, "pages"))) == (0, 1)
+    assert exchanges(markup.html_nodes(V.table(spark, sf, "pages")))[0] <= 2
+
+
 def test_file_names_of_whole_texts(spark, tmp_path, sf):
     from screenloom.plans import page_queries
     from screenloom.plans import views as V
@@ -224,6 +279,25 @@ def test_nms_like_the_greedy_scan(spark):
     assert got == want
 
 
+def test_nms_of_a_long_chain_and_huge_boxes(spark):
+    schema = "image int, seq int, score int, x1 double, y1 double, x2 double, y2 double"
+    chain = [(1, k, 5000 - k, 6.0 * k, 0.0, 6.0 * k + 10, 10.0) for k in range(1000)]
+    kept = sorted(r["seq"] for r in boxes.nms(spark.createDataFrame(chain, schema), 0.2, 1000).collect())
+    assert kept == list(range(0, 1000, 2))
+    sized = [(1, 0, 0.0, 0.0, 1e7, 1e7), (1, 1, 0.0, 0.0, 0.9e7, 1e7), (1, 2, 5.0, 5.0, 25.0, 25.0), (1, 3, 8.0, 5.0, 28.0, 25.0), (1, 4, -3000.0, -10.0, 20.0, 30.0), (1, 5, -2900.0, -10.0, 20.0, 30.0), (2, 6, 0.0, 0.0, 5.0, 5.0), (1, 7, 0.0, 0.0, 1500.0, 1400.0), (1, 8, 100.0, 0.0, 1000.0, 900.0)]
+    df = spark.createDataFrame(sized, "image int, id int, x1 double, y1 double, x2 double, y2 double")
+    for least in (0.05, 0.3, 0.6):
+        want = set()
+        for a in sized:
+            for b in sized:
+                w, h = max(0, min(a[4], b[4]) - max(a[2], b[2])), max(0, min(a[5], b[5]) - max(a[3], b[3]))
+                area = lambda r: (r[4] - r[2]) * (r[5] - r[3])
+                if a[0] == b[0] and w * h / (area(a) + area(b) - w * h + 1e-6) > least:
+                    want.add((a[1], b[1]))
+        rows = boxes.box_iou_pairs(df, df, least).collect()
+        assert {(r["a"], r["b"]) for r in rows} == want and len(rows) == len(want)
+
+
 def test_targets_yaml(spark):
     yaml = "page: p\ntargets:\n  - id: a\n    role: button # c\n    minCount: x\n  - id: b\n    type: information\n    evidence:\n      - id: e1\n        role: text\n        name: \"q\"\n      - id: e2\n      - id: e3\n        role: list\n        minCount:\nother: z\n"
     counts, evidence = texts.read_targets(spark.createDataFrame([(1, yaml)], "k int, yaml string"), ["k"])
