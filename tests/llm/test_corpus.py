@@ -74,9 +74,68 @@ def test_toxicity_shares_subwords_and_odd_rows(odd, empty, spark):
     assert toxicity.fit(empty, labels) is None
 
 
+def test_toxicity_scores_like_plain_loops():
+    """Scores worked out word by word from the model's numbers alone."""
+    rng = random.Random(3)
+    words = "the and of river stone house green walk over naïve straße it's".split()
+    plain = [" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(80)]
+    model = toxicity.train([*plain, *(f"{t} wretchedfool" for t in plain[:30])], [0] * 80 + [1] * 30)
+    mask = (1 << 64) - 1
+
+    def bucket(gram):
+        h = len(gram)
+        for c in gram:
+            h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 & mask
+            h ^= h >> 29
+        return h >> 64 - toxicity.BITS
+
+    def logit(word):
+        word = f"<{toxicity.EDGES.sub('', word)}>"
+        grams = [bucket(word[k : k + n]) for n in (3, 4, 5) for k in range(len(word) - n + 1)]
+        whole = sum(ord(c) * (k + 1) ** 3 for k, c in enumerate(word)) * 0x9E3779B97F4A7C15 & mask
+        return np.mean([model.table[b] for b in [*grams, whole >> 64 - toxicity.BITS]]) if len(word) > 2 else None
+
+    for text in [*plain[:20], "WRETCHEDFOOL, the house", "one", "--", "", "a wretchedfol " * 50]:
+        x = [v for w in text.lower().split() if (v := logit(w)) is not None]
+        n = toxicity.WINDOW
+        windows = [np.mean(x[k : k + n]) for k in range(len(x) - n + 1)] if len(x) > n else [np.mean(x)] if x else []
+        if x:
+            top = sorted(windows)[-toxicity.TOP :]
+            z = np.dot(model.curve, [np.mean(x), top[-1], np.mean(top), np.log(max(len(windows), toxicity.FEW)), 1])
+        want = 1 / (1 + np.exp(-z)) if x else 0.0
+        assert model.score([text])[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_toxicity_sample_is_taken_among_documents_there(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_DOCS", 40)
+    rows = [(k, f"plain words number {k}" if k % 2 else f"a wretchedfool speaks {k}") for k in range(0, 200)] + [(1, "another text of one"), (1, "another text of one"), (7, "x" * 30_000)]
+    labels = [(k, 1 - k % 2) for k in range(-5000, 200)]
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, **_: seen.append((texts, toxic)))
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts, toxic = seen[0]
+    assert len(texts) == 40 == len(set(texts)) and set(texts) <= {t for _, t in rows} and all((y == 1) == ("fool" in t) for t, y in zip(texts, toxic, strict=True))
+
+
 # ---- 2 fingerprints ----
 
 
+def test_fingerprints_like_plain_counts():
+    for text in ["", "ab", "abc", "some text of a few words, and some more of it", "ümläut 日本 " * 30, "a" * 500]:
+        data, n = text.encode(), [0] * 256
+        for k in range(len(data) - 2):
+            n[((data[k] << 16 | data[k + 1] << 8 | data[k + 2]) * 2654435761 & 0xFFFFFFFF) >> 24] += 1
+        for k in range(len(data) - 3):
+            n[(((data[k] << 16 | data[k + 1] << 8 | data[k + 3]) * 2246822519 + 374761393) & 0xFFFFFFFF) >> 24] += 1
+        q = [sorted(n)[k] for k in (63, 127, 191)]
+        d = fingerprint.digest(text)
+        assert d[3:].tolist() == [sum(x > y for y in q) for x in n]
+        assert d[0] == min(255, round(12 * np.log1p(len(data)))) and d[1:3].tolist() == [15 * q[k] // q[2] if q[2] else 0 for k in (0, 1)]
+        same = fingerprint.digest(text + "!")
+        apart = sum(abs(int(a) - int(b)) for a, b in zip(d, same, strict=True)) + 3 * sum(abs(int(a) - int(b)) == 3 for a, b in zip(d[3:], same[3:], strict=True))
+        assert fingerprint.likeness(d, same) == max(0.0, 1 - apart / fingerprint.FAR)
+
+
 def test_fingerprints_follow_the_definition(docs, texts, spark, odd, empty):
     rows = {r["doc_id"]: r for r in fingerprint.compare_neighbours(docs.repartition(5)).collect()}
     assert len(rows) == len(texts)
@@ -268,6 +327,37 @@ def test_shards(spark, docs, odd, empty):
     assert len(held) == 10 and max(held) < 1.2 * min(held)
 
 
+def test_shards_like_a_plain_tree(spark, docs, monkeypatch):
+    """A k-d tree grown in plain loops over the same points: every document comes to the same shard."""
+    monkeypatch.setattr(shards, "CLOSE", 0.0)
+    count = 8
+    rows = shards.measured(docs)
+    n = rows.agg(F.sum("size").alias("bytes"), *(f(F.col("at")[d]).alias(f"{k}{d}") for d in range(4) for k, f in (("min", F.min), ("max", F.max)))).first()
+    points = [(r["doc_id"], r["size"], r["at"]) for r in shards.coordinates(rows, [n[f"min{d}"] for d in range(4)], [n[f"max{d}"] for d in range(4)], []).collect()]
+    want = {}
+
+    def grow(some, first, give):
+        if give == 1:
+            want.update((i, first) for i, _, _ in some)
+            return
+        width = [max(at[d] for *_, at in some) // 2**shards.TIE_BITS - min(at[d] for *_, at in some) // 2**shards.TIE_BITS for d in range(4)]
+        d = width.index(max(width))
+        aim, sums = sum(size for _, size, _ in some) * (give // 2) / give, {}
+        for _, size, at in some:
+            sums[at[d]] = sums.get(at[d], 0) + size
+        before = upto = 0
+        for x in sorted(sums):
+            before, upto = upto, upto + sums[x]
+            if upto >= aim:
+                break
+        cut = x if upto - aim <= aim - before else x - 1
+        grow([p for p in some if p[2][d] <= cut], first, give // 2)
+        grow([p for p in some if p[2][d] > cut], first + give // 2, give - give // 2)
+
+    grow(points, 0, count)
+    assert {r["doc_id"]: r["shard"] for r in shards.kdtree_shards(docs, count).collect()} == want
+
+
 # ---- 7 WARC ----
 
 
@@ -480,14 +570,58 @@ def test_language_id_odd_rows(docs, odd, empty):
     assert odd.select(langid.predict(None, odd)["lang_pred"].alias("p")).first()["p"] == "und"
 
 
-def test_kneser_ney_is_a_distribution():
-    """Over the alphabet, the probabilities that follow a context add up to less than one by the share of unseen characters."""
-    model = langid.train([("abab abba baba", "x"), ("cdcd dccd", "y")] * 3)
-    total = 0.0
-    for c in "ab ":
-        logs, word = model.tables.log_p([f"ab{c}".strip()])
-        total += float(np.exp(logs[2 if c != " " else 2, 0]))
-    assert 0.5 < total <= 1.0 + 1e-9
+def test_kneser_ney_like_plain_counts():
+    """Cross-entropies worked out from counts in dictionaries, by the definition."""
+    rng = random.Random(6)
+    rows = [(" ".join("".join(rng.choices(a, k=rng.randint(1, 7))) for _ in range(40)), lang) for a, lang in (("abcdé", "x"), ("cdefß", "y")) for _ in range(8)]
+    model = langid.train(rows)
+    order, discount = langid.ORDER, langid.DISCOUNT
+
+    def padded(text):
+        return [" " * (order - 1) + w + " " for c in text.lower().split() for w in langid.runs(c)]
+
+    for column, lang in enumerate(model.languages):
+        mine = [t for t, of in rows if of == lang]
+        top = {}
+        for t in (t for k, t in enumerate(mine) if k % 5 != 4):
+            for w in padded(t):
+                for k in range(order - 1, len(w)):
+                    top[w[k - order + 1 : k + 1]] = top.get(w[k - order + 1 : k + 1], 0) + 1
+        counts = {order: top}
+        for n in range(order - 1, 0, -1):  # how many different characters come before
+            kinds = {}
+            for g in counts[n + 1]:
+                kinds.setdefault(g[1:], set()).add(g[0])
+            counts[n] = {g: len(v) for g, v in kinds.items()}
+        alphabet = max(2, len(counts[1])) + 1
+
+        def p(gram, counts=counts, alphabet=alphabet):
+            if not gram:
+                return 1 / alphabet
+            after = {g: c for g, c in counts[len(gram)].items() if g[:-1] == gram[:-1]}
+            if not after:
+                return p(gram[1:])
+            total = sum(after.values())
+            return max(after.get(gram, 0) - discount, 0) / total + discount * len(after) / total * p(gram[1:])
+
+        for text in ["abc cab", "é1fe2", "ßß zz9", mine[0]]:
+            words = padded(text)
+            logs = [np.log(p(w[k - order + 1 : k + 1])) for w in words for k in range(order - 1, len(w))]
+            h, n, _ = model.entropy([text])
+            assert n[0] == len(logs) and h[0, column] == pytest.approx(-np.mean(logs), rel=1e-4)
+
+
+def test_language_id_reads_letters_beside_digits(spark, monkeypatch):
+    ja, en = "これは日本語の文章です。今日は天気がいいので散歩に行きました。", "the house by the river is green and the stone under the bridge is old"
+    model = langid.train([(f"{ja} {ja[k % 20:]}", "ja") for k in range(20)] + [(f"{en} {en[k % 20:]}", "en") for k in range(20)])
+    texts = [f"{ja}2024年の文章です。{ja} the house by the river is", "今日は2024ok", "今日は天気がいいので散歩2024 ok", "the house 2024 river", "12 34", "x9y8z7"]
+    assert model.predict(texts)["lang_pred"].tolist()[:5] == ["ja", "ja", "ja", "en", "und"]
+    long = model.predict([en, f"{en} " * 300])
+    assert abs(long["score"][0] - long["score"][1]) < 1e-3 and long["accepted"].all()
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    many = spark.createDataFrame([(k, "some text", f"l{k}") for k in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(many)
 
 
 # ---- queries and pipeline ----
@@ -500,6 +634,33 @@ def test_same_as_sql(spark, sf, duck, name):
     same_rows(Q.queries()[name](spark, sf), duck, Q.oracle_sql()[name])
 
 
+def tables(tmp_path, spark, benchmark=(), labels=()):
+    spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd, empty, tmp_path):
+    """Nulls, blank and long texts, equal rows, clashing columns, and empty tables, at every stage."""
+    import corpus_pipeline as P
+
+    stages = dict(P.STAGES)
+    sf = tables(tmp_path, spark, [(1, "same words here again"), (2, None), (3, " ")])
+    ids = lambda df: sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in df.select("doc_id").collect())
+    every = [(False, 0), *((True, i) for i in (1, 2, 3, 4, 5, 5, 6, 7))]
+    for name in list(stages)[:-1]:
+        assert stages[name](spark, odd, sf).columns == odd.columns and stages[name](spark, empty, sf).count() == 0, name
+    assert ids(stages["toxicity"](spark, odd, sf)) == every  # no labels, nothing to judge by
+    assert ids(stages["near_dedup"](spark, odd, sf)) == [(False, 0), *((True, i) for i in (1, 2, 3, 4, 5, 7))]
+    assert ids(stages["decontamination"](spark, odd, sf)) == [(False, 0), *((True, i) for i in (1, 2, 3, 4, 7))]
+    unknown = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert ids(stages["language_id"](spark, unknown, sf)) == every
+    judged = ids(stages["language_id"](spark, odd, sf))
+    assert not {(True, 1), (True, 2), (True, 3)} & set(judged) and judged.count((True, 5)) in (0, 2)
+    tokens = stages["bpe"](spark, odd, sf).collect()
+    assert len(tokens) == len(ODD) and {r["n_tokens"] for r in tokens if r["doc_id"] in (1, 2)} == {0} and stages["bpe"](spark, empty, sf).count() == 0
+
+
 def test_pipeline(spark, sf, tmp_path):
     import corpus_pipeline as P
 
