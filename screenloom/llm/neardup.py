@@ -126,6 +126,16 @@ def salted_join(rows: DataFrame, side: DataFrame, key: str, by: str, total: int)
     return dealt.join(copied, [key, "salt"]).drop("salt")
 
 
+def keys() -> list[Column]:
+    """The keys of a signature: each chunk without one of its positions."""
+    out = []
+    for c in range(CHUNKS):
+        for p in range(WIDTH):
+            at = 2 * WIDTH * c
+            out.append(F.expr(f"xxhash64({c * WIDTH + p}, substring(sig, {at + 1}, {2 * p}), substring(sig, {at + 2 * p + 3}, {2 * (WIDTH - 1 - p)}))"))
+    return out
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """``id``, ``n``, ``shingles`` (sorted, 8 bytes each) and ``counts`` by segment of the classes ``wanted``.
 
