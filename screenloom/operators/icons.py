@@ -150,16 +150,14 @@ def _within(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
-def matches(desc: Column, expected: Column, acceptable: Column) -> Column:
-    """Whether a description says what was expected, in one of the accepted words or a word of the same group."""
-    actual = icon_norm(desc)
-    wanted = F.transform(F.concat(F.array(expected), F.coalesce(acceptable, F.array().cast("array<string>"))), icon_norm)
+def matches(actual: Column, wanted: Column) -> Column:
+    """Whether a description says one of the accepted words or a word of the same group; all are normalised by ``icon_norm``."""
     direct = F.exists(wanted, lambda w: _within(actual, w))
 
     def in_group(words: str) -> Column:
         # a description that holds a word of the group, if the target belongs to the group
         own = F.array(*(F.lit(w) for w in sorted({x.replace("-", "") for x in words.split()})))
-        return F.exists(wanted, lambda w: F.exists(own, lambda k: _within(w, k))) & F.exists(own, lambda k: _within(actual, k))
+        return F.exists(own, lambda k: _within(actual, k)) & F.exists(wanted, lambda w: F.exists(own, lambda k: _within(w, k)))
 
     return F.coalesce((actual != "") & (direct | reduce(Column.__or__, map(in_group, SYNONYMS))), F.lit(False))
 
@@ -168,7 +166,9 @@ def match_icons(parsed: DataFrame, targets: DataFrame, key: list[str]) -> DataFr
     """Each target with the first description of its id (in any case) and whether it matches."""
     first = parsed.groupBy(*key, F.lower("id").alias("_id")).agg(F.min_by("desc", "position").alias("desc"))
     j = targets.withColumn("_id", F.lower("target_id")).join(first, [*key, "_id"], "left").drop("_id")
-    return j.withColumn("desc", F.coalesce("desc", F.lit(""))).withColumn("matched", matches(F.col("desc"), F.col("expected"), F.col("acceptable")))
+    wanted = F.transform(F.concat(F.array("expected"), F.coalesce("acceptable", F.array().cast("array<string>"))), icon_norm)
+    j = j.withColumn("desc", F.coalesce("desc", F.lit(""))).withColumn("_actual", icon_norm(F.col("desc"))).withColumn("_wanted", wanted)
+    return j.withColumn("matched", matches(F.col("_actual"), F.col("_wanted"))).drop("_actual", "_wanted")
 
 
 def match_summary(matched: DataFrame, key: list[str]) -> DataFrame:

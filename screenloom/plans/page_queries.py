@@ -339,14 +339,13 @@ def s9(spark, sf):
     return back.select(F.col("runId").alias("run_id"), F.col("createdAtMs").alias("created_ms"), F.col("inputMode").alias("mode"), F.col("inferenceMs").alias("inference_ms"), F.col("batchCount").alias("batches"))
 
 
-@query("w3_safe_file_name", "SELECT doc_id, CASE WHEN regexp_replace(trim(substr(text, 1, 20)), '[^a-zA-Z0-9._-]', '_', 'g') = '' THEN 'icon_experiment_run' ELSE regexp_replace(trim(substr(text, 1, 20)), '[^a-zA-Z0-9._-]', '_', 'g') END AS file FROM documents")
+@query("w3_safe_file_name", "SELECT doc_id, coalesce(nullif(regexp_replace(trim(coalesce(text, '')), '[^a-zA-Z0-9._-]', '_', 'g'), ''), 'icon_experiment_run') AS file FROM documents")
 def w3(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", files.safe_file_name(F.substring("text", 1, 20)).alias("file"))
+    return V.table(spark, sf, "documents").select("doc_id", files.safe_file_name(F.col("text")).alias("file"))
 
 
 @query("w3_whole_file_name", "SELECT doc_id, CASE WHEN file = '' THEN 'icon_experiment_run' ELSE file END AS file FROM (SELECT doc_id, regexp_replace(trim(coalesce(text, '')), '[^a-zA-Z0-9._-]', '_', 'g') AS file FROM documents)")
 def w3b(spark, sf):
-    """Whole texts; ``w3_safe_file_name`` and its SQL look at 20 characters of each."""
     return V.table(spark, sf, "documents").select("doc_id", files.safe_file_name(F.col("text")).alias("file"))
 
 
