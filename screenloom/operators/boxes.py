@@ -79,7 +79,7 @@ def nms(detections: DataFrame, overlap: float = OVERLAP, most: int = MOST) -> Da
     overlaps it, until ``most`` are. One shuffle by image; an image has as many boxes as a detector gives it.
     """
     row = F.struct((-F.col("score")).alias("_order"), "seq", *(c for c in detections.columns if c not in ("image", "seq")))
-    gathered = detections.groupBy("image").agg(F.array_sort(F.collect_list(row)).alias("_boxes"))
+    gathered = detections.groupBy("image").agg(F.sort_array(F.collect_list(row)).alias("_boxes"))
     none = F.filter("_boxes", lambda b: F.lit(False))
 
     def step(kept: Column, box: Column) -> Column:

@@ -114,7 +114,7 @@ def build_prompts(targets: DataFrame, mode: str, images: DataFrame | None = None
         counted = ok
     rows = targets.select(*key, "position", F.when(counted, line).alias("line"), F.when(ok, b["right"]).alias("right"), F.when(ok, b["bottom"]).alias("bottom"))
     found = rows.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("position", "line")))).alias("lines"),
+        F.sort_array(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("position", "line")))).alias("lines"),
         F.coalesce(F.max("right"), F.lit(0)).alias("width"),
         F.coalesce(F.max("bottom"), F.lit(0)).alias("height"),
     )
@@ -197,7 +197,7 @@ def mode_leaderboard(runs: DataFrame) -> DataFrame:
 def batch_rollup(batches: DataFrame) -> DataFrame:
     """Batches (``run_id, batch, image, prepare_ms, inference_ms, raw_text, failed``) to their run."""
     known = lambda c: F.sum(F.when(F.col(c) >= 0, F.col(c)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", "raw_text"))), lambda x: x["raw_text"]), "\n")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("batch", "raw_text"))), lambda x: x["raw_text"]), "\n")
     return batches.groupBy("run_id").agg(
         F.min_by("image", "batch").alias("image"), known("prepare_ms").alias("prepare_ms"), known("inference_ms").alias("inference_ms"),
         text.alias("raw_text"), F.bool_or("failed").alias("failed"), F.count("*").alias("batches"),

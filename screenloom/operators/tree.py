@@ -102,7 +102,7 @@ def merge_adjacent_text(nodes: DataFrame) -> DataFrame:
     marked = nodes.withColumn("_break", breaks).withColumn("_run", run)
     # each run is gathered once
     row = F.struct(*(c for c in nodes.columns if c not in ("tree_id", "parent_id")))
-    said = F.array_sort(F.collect_list(F.struct("sibling_pos", "name")))
+    said = F.sort_array(F.collect_list(F.struct("sibling_pos", "name")))
     runs = marked.groupBy("tree_id", "parent_id", "_run").agg(F.min_by(row, "sibling_pos").alias("_row"), said.alias("_said"), F.collect_list("node_id").alias("_ids"))
     merged = F.size("_said") > 1
     runs = runs.withColumn("_below", F.flatten(F.collect_list(F.when(merged, F.col("_ids"))).over(by_tree())))
@@ -194,7 +194,7 @@ def render_snapshot(nodes: DataFrame, boxes: bool = False, max_depth: int = 0) -
     if max_depth > 0:
         lined, colon = lined.where(F.col("depth") < max_depth), colon & (F.col("depth") < max_depth - 1)
     line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), snapshot_line(boxes), F.when(colon, ":").otherwise(""))
-    lines = F.array_sort(F.collect_list(F.struct("node_id", line.alias("line"))))
+    lines = F.sort_array(F.collect_list(F.struct("node_id", line.alias("line"))))
     return lined.groupBy("tree_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("snapshot"))
 
 
@@ -218,7 +218,7 @@ def role_histogram(nodes: DataFrame, top: int = 6) -> DataFrame:
     """``tree_id`` and its commonest roles as ``role×count``, ties by name."""
     counts = nodes.groupBy("tree_id", "role").agg(F.count("*").alias("n"))
     ranked = counts.withColumn("k", F.row_number().over(by_tree().orderBy(F.desc("n"), "role"))).where(F.col("k") <= top)
-    parts = F.array_sort(F.collect_list(F.struct("k", F.concat("role", F.lit("×"), F.col("n").cast("string")).alias("part"))))
+    parts = F.sort_array(F.collect_list(F.struct("k", F.concat("role", F.lit("×"), F.col("n").cast("string")).alias("part"))))
     return ranked.groupBy("tree_id").agg(F.array_join(F.transform(parts, lambda p: p["part"]), " ").alias("roles"))
 
 

@@ -123,7 +123,7 @@ def s2(spark, sf):
 def web_json(spark, sf) -> DataFrame:
     """Conversations as web trees in JSON."""
     child = F.struct(F.when(F.col("turn") % 2 == 0, "text").otherwise("blob").alias("role"), F.col("text").alias("name"), F.array(F.lit("clickable")).alias("states"), F.when(F.col("turn") % 3 == 0, F.array(F.lit(1), F.lit(2), F.lit(3), F.col("turn").cast("int"))).otherwise(F.array().cast("array<int>")).alias("bounds"), F.col("turn").alias("__pr_idx"))
-    said = V.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", child.alias("child")))).alias("turns"))
+    said = V.table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", child.alias("child")))).alias("turns"))
     root = F.struct(F.lit("main").alias("role"), F.lit("talk").alias("name"), F.transform("turns", lambda t: t["child"]).alias("children"))
     return said.select(F.col("conv_id").alias("tree_id"), F.to_json(F.struct(F.lit("http://a/").alias("url"), root.alias("root"))).alias("json"))
 
@@ -241,7 +241,7 @@ def annotations(spark, sf) -> DataFrame:
         F.lit("\n      - id: f"), line, F.lit("\n        role: 'text'\n"),
     )
     rows = V.lines(spark, sf).select("l_orderkey", "seq", text.alias("part"))
-    parts = F.array_sort(F.collect_list(F.struct("seq", "part")))
+    parts = F.sort_array(F.collect_list(F.struct("seq", "part")))
     return rows.groupBy(F.col("l_orderkey").alias("page")).agg(F.concat(F.lit("# page\npage: x\ntargets:\n"), F.array_join(F.transform(parts, lambda p: p["part"]), "")).alias("yaml"))
 
 
@@ -284,7 +284,7 @@ def s8(spark, sf):
     box = F.when(F.col("position") % 3 > 0, F.array(*(F.col(f"bounds.{s}") for s in ("left", "top", "right", "bottom"))))
     target = F.struct("position", F.col("target_id").alias("id"), box.alias("bounds"), "expected", F.when(F.col("position") % 2 == 0, F.col("acceptable")).alias("acceptable"))
     root = _folder(spark)
-    t.groupBy(F.col("testset_id").cast("string").alias("testset_id")).agg(F.array_sort(F.collect_list(target)).alias("targets")).write.json(root)
+    t.groupBy(F.col("testset_id").cast("string").alias("testset_id")).agg(F.sort_array(F.collect_list(target)).alias("targets")).write.json(root)
     back = files.read_testsets(spark, root, lines=True)
     return back.select("testset_id", "position", "target_id", "expected", F.array_join("acceptable", ",").alias("acceptable"), F.col("bounds.left").alias("l"), F.col("bounds.bottom").alias("b"))
 

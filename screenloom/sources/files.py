@@ -57,9 +57,9 @@ def write_captures(df: DataFrame, root: str) -> None:
 def write_evaluation(counts: DataFrame, targets: DataFrame, results: DataFrame, summary: DataFrame, root: str) -> None:
     """One JSON line per run: summary, counts, and targets with their evidence, partitioned by baseline."""
     keys = ["baseline_id", "run_id"]
-    evidence = results.groupBy(*keys, "target_id").agg(F.array_sort(F.collect_list(F.struct("evidence_id", "capability", "role", "name", "min_count", "actual_count", "status"))).alias("evidenceResults"))
-    t = targets.join(evidence, [*keys, "target_id"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("target_id", "passed", "total", "score", "status", "evidenceResults"))).alias("targetResults"))
-    c = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("target_id", "role", "name", "min_count", "actual_count", "status"))).alias("countResults"))
+    evidence = results.groupBy(*keys, "target_id").agg(F.sort_array(F.collect_list(F.struct("evidence_id", "capability", "role", "name", "min_count", "actual_count", "status"))).alias("evidenceResults"))
+    t = targets.join(evidence, [*keys, "target_id"], "left").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("target_id", "passed", "total", "score", "status", "evidenceResults"))).alias("targetResults"))
+    c = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("target_id", "role", "name", "min_count", "actual_count", "status"))).alias("countResults"))
     s = summary.select(*keys, F.struct(*(x for x in summary.columns if x not in keys)).alias("summary"))
     s.join(c, keys, "left").join(t, keys, "left").write.mode("overwrite").partitionBy("baseline_id").json(root)
 

@@ -48,8 +48,10 @@ def paths(nodes: DataFrame, order: str, max_depth: int | None = None) -> DataFra
     """
     rows = nodes if max_depth is None else nodes.where(F.col("depth") <= max_depth)
     by_order = lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)
-    others = [c for c in nodes.columns if c != "tree_id"]
-    gathered = rows.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct(*others)), by_order).alias("_nodes"))
+    others = [order, *(c for c in nodes.columns if c not in ("tree_id", order))]
+    listed = F.collect_list(F.struct(*others))
+    unordered = any(k in f.dataType.simpleString() for f in nodes.schema for k in ("map<", "variant"))
+    gathered = rows.groupBy("tree_id").agg((F.array_sort(listed, by_order) if unordered else F.sort_array(listed)).alias("_nodes"))
 
     @F.arrow_udf("array<struct<path:array<int>,sibling_pos:int>>")
     def found(depths: pa.Array) -> pa.Array:
@@ -117,9 +119,10 @@ def decoded(c: Column) -> Column:
 
 
 def encoded(c: Column) -> Column:
+    out = c
     for meant, said in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;")):
-        c = F.replace(c, F.lit(meant), F.lit(said))
-    return c
+        out = F.replace(out, F.lit(meant), F.lit(said))
+    return F.when(c.rlike('[&<>"\n]'), out).otherwise(c)
 
 
 #: XML attributes of a view, by column.
@@ -160,11 +163,14 @@ def read_native_trees(df: DataFrame, tree_id: str = "tree_id", xml: str = "xml",
     error = F.raise_error(F.concat(F.lit("malformed view hierarchy: "), F.col("tree_id").cast("string"))).cast("array<string>")
     texts = df.select(F.col(tree_id).alias("tree_id"), tags.alias("_tags"))
     nodes = take_apart(texts.withColumn("_tags", F.when(bad, error).otherwise(F.col("_tags"))), "_tags", kind, max_depth)
-    said = [F.regexp_extract_all("token", F.lit(r'\s([\w:.-]+)="([^"]*+)"'), k) for k in (1, 2)]
-    nodes = nodes.withColumn("_said", first_of_each(*said))
+    # between the quotes of a tag stand its values, and before each its name
+    nodes = nodes.withColumn("_parts", F.split(F.substring("token", 6, 1 << 30), '"'))
+    names = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_parts") - 2, F.lit(0)), F.lit(2)), lambda k: F.trim(F.translate(F.get("_parts", k), "\n\t\r", "   ")))
+    nodes = nodes.withColumn("_names", names)
 
     def attr(name: str) -> Column:
-        return decoded(F.coalesce(F.col("_said")[name], F.lit("")))
+        at = F.array_position("_names", f"{name}=").cast("int")
+        return decoded(F.when(at > 0, F.get("_parts", at * 2 - 1)).otherwise(""))
 
     def flag(column: str) -> Column:
         said = attr(FLAG_NAMES.get(column, column))
@@ -183,11 +189,11 @@ def native_xml(raw: DataFrame) -> DataFrame:
     b = F.col("bounds")
     text = lambda name, c: F.concat(F.lit(f' {name}="'), encoded(F.col(c)), F.lit('"'))
     flags = [F.concat(F.lit(f' {FLAG_NAMES.get(c, c)}="'), F.col(c).cast("string"), F.lit('"')) for c in RAW_FLAGS]
-    box = F.when(b.isNotNull(), F.format_string(' bounds="[%d,%d][%d,%d]"', b["left"], b["top"], b["right"], b["bottom"])).otherwise("")
+    box = F.when(b.isNotNull(), F.concat(F.lit(' bounds="['), b["left"].cast("string"), F.lit(","), b["top"].cast("string"), F.lit("]["), b["right"].cast("string"), F.lit(","), b["bottom"].cast("string"), F.lit(']"'))).otherwise("")
     tag = F.concat(F.lit("<node"), text("class", "class_name"), text("resource-id", "resource_id"), text("text", "text"), text("content-desc", "content_desc"), text("hint", "hint"), box, *flags, F.lit(">"))
     line = F.concat(tag, F.repeat(F.lit("</node>"), F.col("depth") - F.coalesce(following, F.lit(0)) + 1))
     lined = raw.withColumn("line", F.when(following > F.col("depth"), tag).otherwise(line))
-    lines = F.array_sort(F.collect_list(F.struct("node_id", "line")))
+    lines = F.sort_array(F.collect_list(F.struct("node_id", "line")))
     return lined.groupBy("tree_id").agg(F.concat(F.lit("<hierarchy>"), F.array_join(F.transform(lines, lambda x: x["line"]), ""), F.lit("</hierarchy>")).alias("xml"))
 
 
@@ -353,12 +359,12 @@ def html_name(nodes: DataFrame) -> DataFrame:
     is_text = F.col("tag") == "#text"
     above = F.when(is_text, F.array_append("path", F.col("node_id"))).otherwise(F.array("node_id"))
     own = F.when(F.col("_at") == F.col("node_id"), F.struct(*(c for c in nodes.columns if c != "tree_id")))
-    said = F.array_sort(F.collect_list(F.when(is_text, F.struct("node_id", "text"))))
+    said = F.sort_array(F.collect_list(F.when(is_text, F.struct("node_id", "text"))))
     n = nodes.withColumn("_at", F.explode(above)).groupBy("tree_id", "_at").agg(F.first(own, ignorenulls=True).alias("_own"), F.array_join(F.transform(said, lambda p: p["text"]), " ").alias("_content"))
     n = n.select("tree_id", "_own.*", "_content")
     # what a page's nodes may be called by, gathered once a page; most pages have little of it
     asks = F.max((_said("aria-labelledby") != "").cast("int")).over(by_tree()) == 1
-    told = lambda test, **given: F.array_sort(F.collect_list(F.when(test, F.struct("node_id", *(v.alias(k) for k, v in given.items()), F.col("_content").alias("said")))).over(by_tree()))
+    told = lambda test, **given: F.sort_array(F.collect_list(F.when(test, F.struct("node_id", *(v.alias(k) for k, v in given.items()), F.col("_content").alias("said")))).over(by_tree()))
     n = n.withColumn("_asks", asks)
     n = n.withColumn("_ids", told(F.col("_asks") & _has("id"), key=_said("id"))).withColumn("_labels", told((F.col("tag") == "label") & _has("for"), key=_said("for")))
     n = n.withColumn("_inners", told(F.col("tag").isin("caption", "figcaption", "legend", "summary", "title"), key=F.col("tag"), path=F.col("path"))).withColumn("_wraps", told(F.col("tag") == "label"))

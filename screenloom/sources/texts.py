@@ -34,8 +34,10 @@ def _valid(count: Column) -> Column:
 
 def _entries(rows: DataFrame, group: list[str]) -> DataFrame:
     """The last value of each key of a group, as columns. An empty ``minCount`` rules the entry out, others count from 0."""
-    get = lambda k: F.max_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col("pos")))
-    out = rows.groupBy(*group).agg(get("id").alias("id"), get("role").alias("role"), get("name").alias("name"), get("capability").alias("capability"), get("minCount").alias("min_count"), get("type").alias("type"), get("description").alias("description"))
+    out = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("pos", "key", "value"))).alias("_said"))
+    get = lambda k: F.try_element_at(F.filter("_said", lambda x: x["key"] == k), F.lit(-1))["value"]
+    named = {"id": "id", "role": "role", "name": "name", "capability": "capability", "minCount": "min_count", "type": "type", "description": "description"}
+    out = out.select(*group, *(get(k).alias(n) for k, n in named.items()))
     return out.withColumn("min_count", F.coalesce("min_count", F.lit("1")))
 
 
@@ -57,9 +59,13 @@ def read_targets(df: DataFrame, key: list[str], text: str = "yaml") -> tuple[Dat
     opens = (F.col("key") == "evidence") & ~F.col("item")
     rows = rows.withColumn("_ev", F.max(opens.cast("int")).over(inside)).withColumn("_opens", opens)
     rows = rows.withColumn("_evidence", F.sum((F.col("item") & ~F.col("_top") & (F.col("_ev") == 1)).cast("int")).over(inside))
-    own = _entries(rows.where("_ev = 0"), [*key, "_target"])
-    counts = own.where("id <> '' AND role <> '' AND min_count <> ''").select(*key, F.col("id").alias("target_id"), F.coalesce("capability", F.lit("")).alias("capability"), "role", F.coalesce("name", F.lit("")).alias("name"), _valid(F.col("min_count")).alias("min_count"))
-    entries = _entries(rows.where("_ev = 1 AND NOT _opens AND _evidence > 0"), [*key, "_target", "_evidence"])
-    entries = entries.where("id <> '' AND role <> '' AND min_count <> ''").select(*key, "_target", "_evidence", F.col("id").alias("evidence_id"), F.coalesce("capability", F.lit("")).alias("capability"), "role", F.coalesce("name", F.lit("")).alias("name"), _valid(F.col("min_count")).alias("min_count"))
-    about = own.where("id <> ''").select(*key, "_target", F.col("id").alias("target_id"), F.coalesce("type", F.lit("information")).alias("target_type"), F.coalesce("description", F.lit("")).alias("description"))
-    return counts, about.join(entries, [*key, "_target"]).drop("_target", "_evidence")
+    # one group for a target's own lines (number 0) and one for each of its evidence
+    rows = rows.where("NOT _opens AND (_ev = 0 OR _evidence > 0)").withColumn("_entry", F.when(F.col("_ev") == 0, 0).otherwise(F.col("_evidence")))
+    entries = _entries(rows, [*key, "_target", "_entry"])
+    counted = [F.coalesce("capability", F.lit("")).alias("capability"), "role", F.coalesce("name", F.lit("")).alias("name"), _valid(F.col("min_count")).alias("min_count")]
+    whole = F.expr("id <> '' AND role <> '' AND min_count <> ''")
+    counts = entries.where((F.col("_entry") == 0) & whole).select(*key, F.col("id").alias("target_id"), *counted)
+    own = F.first(F.when(F.col("_entry") == 0, F.struct("id", "type", "description")), ignorenulls=True).over(W.partitionBy(*key, "_target"))
+    evidence = entries.withColumn("_own", own).where((F.col("_entry") > 0) & whole & (F.col("_own.id") != ""))
+    about = [F.col("_own.id").alias("target_id"), F.coalesce("_own.type", F.lit("information")).alias("target_type"), F.coalesce("_own.description", F.lit("")).alias("description")]
+    return counts, evidence.select(*key, *about, F.col("id").alias("evidence_id"), *counted)
