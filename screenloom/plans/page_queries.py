@@ -11,7 +11,7 @@ from screenloom.cut import cut, shared_folder
 from screenloom.functions import names, roles
 from screenloom.operators import actions, evaluate, native, tree
 from screenloom.plans import views as V
-from screenloom.plans.native_queries import conversation_tree, evidence, flat, icon_targets, run_nodes
+from screenloom.plans.native_queries import EVIDENCE, conversation_tree, evidence, flat, icon_targets, run_nodes
 from screenloom.plans.registry import query
 from screenloom.schema import RAW_FLAGS
 from screenloom.sources import files, markup, texts, trees
@@ -329,6 +329,41 @@ def w2(spark, sf):
     return back.select("run_id", "baseline_id", F.size("targetResults").cast("long").alias("targets"), total(lambda t: t["passed"]).alias("passed"), total(lambda t: F.size(t["evidenceResults"]).cast("long")).alias("evidence"), F.col("summary.status").alias("status"))
 
 
+SUMMARY = "artifact_count count_passed count_total target_passed target_total evidence_passed evidence_total".split()
+
+
+def intents(spark) -> DataFrame:
+    """The evidence as annotations, one text for each baseline, with a count target before it."""
+    texts_of = {}
+    for baseline, target, evidence_id, capability, role, name, least in sorted(EVIDENCE):
+        of = texts_of.setdefault(str(baseline), {"": "page: screen  # of an order\ntargets:\n  - id: c1\n    role: listitem\n"})
+        head = f"  - id: {target}\n    description: \"what {target} shows\"\n    evidence:\n"
+        of[target] = of.get(target, head) + f"      - id: {evidence_id}\n        capability: {capability}\n        role: {role}\n        name: '{name}'\n        minCount: {least}\n"
+    return spark.createDataFrame([(b, "".join(of.values())) for b, of in texts_of.items()], "baseline_id string, yaml string")
+
+
+@query("e2_capture_evaluation", """SELECT *, CASE WHEN count_passed = 1 AND target_passed = target_total AND evidence_passed = evidence_total THEN 'PASS' ELSE 'FAIL' END AS status FROM (
+  SELECT CAST(s.baseline_id AS VARCHAR) AS baseline_id, CAST(s.run_id AS VARCHAR) AS run_id, CAST(1 AS BIGINT) AS artifact_count, c.n AS count_passed, CAST(1 AS BIGINT) AS count_total, count(*) FILTER (passed = total) AS target_passed, count(*) AS target_total,
+    CAST(sum(passed) AS BIGINT) AS evidence_passed, CAST(sum(total) AS BIGINT) AS evidence_total
+  FROM (SELECT baseline_id, run_id, target_id, count(*) FILTER (status = 'PASS') AS passed, count(*) AS total FROM judged WHERE role <> '' GROUP BY ALL) s
+  JOIN (SELECT run_id, CAST(bool_or(role = 'listitem') AS BIGINT) AS n FROM run_nodes GROUP BY run_id) c ON c.run_id = s.run_id GROUP BY ALL)""")
+def e2(spark, sf):
+    """A capture's whole way: written, found, parsed, held against annotations, scored, summed up, written and read again."""
+    keys, root = ["baseline_id", "run_id"], _folder(spark)
+    shots = tree.render_snapshot(V.native_with_refs(spark, sf))
+    captures = shots.select((F.col("tree_id") % 3).cast("string").alias("baseline_id"), F.col("tree_id").cast("string").alias("run_id"), F.lit("native").alias("plugin"), F.lit("transformed").alias("stage"), F.lit("native_semantic_snapshot").alias("source"), F.col("tree_id").alias("ts"), F.lit("text/yaml").alias("content_type"), F.col("snapshot").alias("content"))
+    files.write_captures(captures, f"{root}/captures")
+    artifacts = files.read_captures(spark, f"{root}/captures")
+    nodes = cut(texts.parse_snapshots(artifacts.where("type = 'llm_input' AND schema_status = 'PASS'"), keys, "content"))
+    counted, wanted = texts.read_targets(intents(spark), ["baseline_id"])
+    counts = evaluate.evaluate_counts(evaluate.match_evidence(nodes, counted))
+    results = cut(evaluate.evaluate_counts(evaluate.match_evidence(nodes, wanted)))
+    targets = evaluate.score_targets(results)
+    files.write_evaluation(counts, targets, results, evaluate.summarize_run(artifacts.drop("content"), counts, targets), f"{root}/evaluation")
+    back = spark.read.schema(f"baseline_id string, run_id string, summary struct<{','.join(f'{c}:bigint' for c in SUMMARY)},status:string>").json(f"{root}/evaluation")
+    return back.select(*keys, *(f"summary.{c}" for c in SUMMARY), "summary.status")
+
+
 @query("s9_read_experiment_runs", "SELECT run_id, CAST(floor(epoch(created)) AS BIGINT) * 1000 AS created_ms, mode, inference_ms, 1 AS batches FROM runs")
 def s9(spark, sf):
     """Runs written as JSON and read again with their defaults."""
