@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenloom.llm import bpe, chat, decontam, fingerprint, langid, neardup, shards, toxicity, urlfilter, warc
+from screenloom.llm import align, bpe, chat, decontam, fingerprint, langid, neardup, shards, toxicity, urlfilter, warc
 from screenloom.llm.common import held_out, small_batches, table
 
 
@@ -151,6 +151,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out().alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.*")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.digests(align.align_documents(table(spark, sf_dir, "documents"), *paths))
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -164,6 +170,7 @@ def queries() -> dict:
         "op9_url_filter": op9_url_filter,
         "op9_junk_hosts": op9_junk_hosts,
         "op10_language_id": op10_language_id,
+        "op11_token_alignment": op11_token_alignment,
     }
 
 
