@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenloom.llm import align, bpe, chat, decontam, fingerprint, langid, neardup, shards, toxicity, urlfilter, warc
+from screenloom.llm import align, bpe, chat, decontam, fingerprint, langid, neardup, quality, shards, toxicity, urlfilter, variants, warc
 from screenloom.llm.common import held_out, small_batches, table
 
 
@@ -157,6 +157,44 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.digests(align.align_documents(table(spark, sf_dir, "documents"), *paths))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    forest = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", quality.held_out().alias("held_out"), quality.score(forest, docs).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.ACCEPT).cast("int"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+#: crc32 is a fold over the bytes with a table of 256 numbers, each made by eight shifts; near words share a form with one
+#: letter taken out of one of them, or the same letter's place taken out of both.
+OP13_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce(list_prepend(CAST(k AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(k))
+), found AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS (SELECT doc_id, run, count(*) AS n FROM found WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [195, unicode(ch) - 64] END))),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1]))) AS h FROM counted, crc_table
+), words AS (SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, k, word[:k - 1] || word[k + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM v)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM v a JOIN cut b ON a.word = b.rest
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.rest = b.word
+), best AS (SELECT word, count(*) AS n_near, min(struct_pack(minus := -other_n, form := other)) AS b FROM near GROUP BY word),
+known AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.minus >= 2 * v.n THEN b.form END AS form, CASE WHEN -b.minus >= 2 * v.n THEN -b.minus END AS form_n FROM v LEFT JOIN best USING (word)),
+steps(word, root) AS (SELECT word, word FROM known WHERE form IS NULL UNION ALL SELECT k.word, s.root FROM steps s JOIN known k ON k.form = s.word)
+SELECT word, form, root, n, n_near, form_n FROM known JOIN steps USING (word)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -171,8 +209,10 @@ def queries() -> dict:
         "op9_junk_hosts": op9_junk_hosts,
         "op10_language_id": op10_language_id,
         "op11_token_alignment": op11_token_alignment,
+        "op12_quality": op12_quality,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op9_url_filter": OP9_SQL, "op9_junk_hosts": JUNK_HOSTS_SQL}
+    return {"op3_minhash_near_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op9_url_filter": OP9_SQL, "op9_junk_hosts": JUNK_HOSTS_SQL, "op13_spelling_variants": OP13_SQL}
