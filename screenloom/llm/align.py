@@ -43,8 +43,8 @@ from screenloom.llm.common import settle
 
 #: Pairs of a shard about, of a block at most; vectors that are summed at once; leaves of the tree at most.
 SHARD, BLOCK, FAN, LEAVES = 32_768, 8_000_000, 8, 1000
-#: Chunks that a Python worker remembers, and the bytes of their pairs and groups: about 250 MB at most.
-KNOWN, KNOWN_BYTES = 400_000, 80_000_000
+#: Chunks that a Python worker remembers, and the bytes of their pairs and groups: about 350 MB at most.
+KNOWN, KNOWN_BYTES = 800_000, 160_000_000
 #: Pairs that a task gathers before it writes them, and documents that it aligns together.
 GATHERED, TOGETHER = 2_000_000, 250
 #: A space that begins a chunk: what stands before it isn't white space, and it isn't the last character.
@@ -192,9 +192,9 @@ class Aligner:
         self.size, self.held = len(kept), int(size[np.isin(order, kept)].sum())
         self.generation += 1
 
-    def look_up(self, texts: list[str]) -> list[np.ndarray]:
-        """The rows of the chunks of each text, in order."""
-        split = [self.chunks(t) for t in texts]
+    def look_up(self, texts: list[str], once: bool = False) -> list[np.ndarray]:
+        """The rows of the chunks of each text, in order, or of its distinct chunks."""
+        split = [set(self.chunks(t)) if once else self.chunks(t) for t in texts]
         if self.size > KNOWN or self.held > KNOWN_BYTES:
             self.forget()
         met = set().union(*split)
@@ -271,11 +271,10 @@ class Aligner:
 
     def pairs(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The distinct pairs of each text."""
-        found = self.look_up(texts)
+        found = self.look_up(texts, once=True)
         starts = self.starts()
         for rows in found:
             if len(rows) and self.numbers[rows, 4].all():
-                rows = np.unique(rows)
                 yield np.unique(self.keys[ranges(starts[rows], self.numbers[rows, 3])])
 
 
