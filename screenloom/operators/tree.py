@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from screenloom.cut import cut
 from screenloom.functions.geometry import valid
 from screenloom.functions.text import escape_name
+from screenloom.operators import reshape
 from screenloom.schema import REF_ROLES
 
 
@@ -56,23 +56,25 @@ def number_preorder(nodes: DataFrame) -> DataFrame:
     return paths(rows.withColumnRenamed("depth", "_said").withColumnRenamed("_depth", "depth"), "_old").withColumn("depth", F.col("_said")).withColumn("sibling_pos", F.col("_pos")).select(*nodes.columns)
 
 
-def reattach(nodes: DataFrame, gone: Column) -> DataFrame:
-    """Remove the nodes of which ``gone`` holds; children move to the nearest ancestor that stays, order unchanged.
+def below(test: Column) -> Column:
+    """An ancestor passes the test. Needs ``last``, the last node below each: an earlier node that reaches this far is above it."""
+    reach = F.max(F.when(test, F.col("last"))).over(in_order().rowsBetween(W.unboundedPreceding, -1))
+    return F.coalesce(reach >= F.col("node_id"), F.lit(False))
 
-    Only the ids of lost parents are gathered, as leaves are above nothing.
-    """
-    marked = nodes.withColumn("_gone", gone).withColumn("_inner", F.col("_gone") & is_parent())
-    marked = marked.withColumn("_lost", F.collect_list(F.when(F.col("_inner"), F.col("node_id"))).over(by_tree()))
-    kept = marked.where(~F.col("_gone")).withColumn("path", F.when(F.size("_lost") > 0, F.array_except("path", "_lost")).otherwise(F.col("path"))).withColumn("depth", F.size("path"))
-    kept = kept.withColumn("parent_id", F.try_element_at("path", F.lit(-1)))
-    return kept.withColumn("sibling_pos", (F.row_number().over(siblings()) - 1).cast("int")).select(*nodes.columns)
+
+def restructured(nodes: DataFrame, fate: Column) -> DataFrame:
+    """Nodes by their fate (see ``reshape``): those that stay, below the nearest ancestor that stays, order unchanged."""
+    return reshape.by_fate(nodes, fate)
+
+
+def reattach(nodes: DataFrame, gone: Column) -> DataFrame:
+    """Remove the nodes of which ``gone`` holds; children move to the nearest ancestor that stays, order unchanged."""
+    return restructured(nodes, F.when(gone, reshape.YIELDS).otherwise(reshape.STAYS))
 
 
 def drop_subtrees(nodes: DataFrame, gone: Column) -> DataFrame:
     """Remove the nodes of which ``gone`` holds, with all that is below them."""
-    lost = F.collect_set(F.when(gone, F.col("node_id"))).over(by_tree())
-    marked = nodes.withColumn("_lost", lost)
-    return marked.where(~F.array_contains("_lost", F.col("node_id")) & ~F.arrays_overlap("_lost", "path")).select(*nodes.columns)
+    return restructured(nodes, F.when(gone, reshape.GOES).otherwise(reshape.STAYS))
 
 
 def cap_depth(nodes: DataFrame, most: int = 50) -> DataFrame:
@@ -93,48 +95,22 @@ def fold_generic_native(nodes: DataFrame) -> DataFrame:
     return folded.drop("_children").select(*nodes.columns)
 
 
+def _renamed(nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """Merged texts: a new name, no states, no ref."""
+    merged = F.col("_name").isNotNull()
+    changed = {"states": F.array().cast("array<string>"), "ref": F.lit("")}
+    out = nodes.withColumns({c: F.when(merged, v).otherwise(F.col(c)) for c, v in changed.items()})
+    return out.withColumn("name", F.coalesce("_name", "name")).select(*columns)
+
+
 def merge_adjacent_text(nodes: DataFrame) -> DataFrame:
     """Text siblings in a row become the first of them, with all names joined; states, ref and children go."""
-    order = W.partitionBy("tree_id", "parent_id").orderBy("sibling_pos")
-    is_text = F.col("role") == "text"
-    breaks = F.when(is_text & (F.coalesce(F.lag(F.col("role")).over(order), F.lit("")) == "text"), 0).otherwise(1)
-    run = F.sum("_break").over(order.rowsBetween(W.unboundedPreceding, 0))
-    marked = nodes.withColumn("_break", breaks).withColumn("_run", run)
-    # each run is gathered once
-    row = F.struct(*(c for c in nodes.columns if c not in ("tree_id", "parent_id")))
-    said = F.sort_array(F.collect_list(F.struct("sibling_pos", "name")))
-    runs = marked.groupBy("tree_id", "parent_id", "_run").agg(F.min_by(row, "sibling_pos").alias("_row"), said.alias("_said"), F.collect_list("node_id").alias("_ids"))
-    merged = F.size("_said") > 1
-    runs = runs.withColumn("_below", F.flatten(F.collect_list(F.when(merged, F.col("_ids"))).over(by_tree())))
-    kept = runs.where(~F.arrays_overlap("_below", "_row.path")).withColumn("_merged", merged)
-    name = F.array_join(F.filter(F.transform("_said", lambda x: x["name"]), lambda n: n != ""), " ")
-    changed = {"name": name, "states": F.array().cast("array<string>"), "ref": F.lit("")}
-    again = (F.row_number().over(W.partitionBy("tree_id", "parent_id").orderBy("_row.sibling_pos")) - 1).cast("int")
-    out = {"tree_id": F.col("tree_id"), "parent_id": F.col("parent_id"), "sibling_pos": again}
-    out |= {c: F.when(F.col("_merged"), v).otherwise(F.col(f"_row.{c}")) for c, v in changed.items()}
-    return kept.select(*((out[c] if c in out else F.col(f"_row.{c}")).alias(c) for c in nodes.columns))
-
-
-def drop_redundant_text(nodes: DataFrame) -> DataFrame:
-    """A sole text child that says what its parent is called goes."""
-    joined = of_parent(with_child_count(nodes), "_up", F.struct("name", F.col("_children").alias("siblings")))
-    same = (F.col("role") == "text") & (F.col("_children") == 0) & (F.col("_up.siblings") == 1) & (F.col("name") == F.col("_up.name"))
-    return joined.where(~F.coalesce(same, F.lit(False))).select(*nodes.columns)
+    return _renamed(reshape.in_trees(nodes, [F.col("role") == "text", F.col("name")], reshape.text_merged), nodes.columns)
 
 
 def normalize_web(nodes: DataFrame) -> DataFrame:
-    """Merged text, folded generics and no redundant text, bottom-up.
-
-    One step of each changes the whole table at once; a fold can put texts side by side for the next round, so rounds
-    go on until none changes the number of rows. The depth of the trees bounds them.
-    """
-    count = nodes.count()
-    while True:
-        nodes = cut(drop_redundant_text(fold_generic_native(merge_adjacent_text(nodes))))
-        now = nodes.count()
-        if now == count:
-            return nodes
-        count = now
+    """Merged text, then folded generics, then no text that repeats its parent's name: one pass from the leaves up."""
+    return _renamed(reshape.in_trees(nodes, [F.col("role") == "text", plain_generic(), F.col("name")], reshape.normalised), nodes.columns)
 
 
 def executable() -> Column:
@@ -168,9 +144,9 @@ def assign_refs(nodes: DataFrame, prefix: str = "n", web_mode: bool = False) ->
 
 def mark_webviews(nodes: DataFrame) -> DataFrame:
     """The state ``web`` on every topmost web view."""
-    views = F.collect_set(F.when(F.col("role") == "webview", F.col("node_id"))).over(by_tree())
-    top = (F.col("role") == "webview") & ~F.arrays_overlap("_views", "path")
-    return nodes.withColumn("_views", views).withColumn("states", F.when(top, F.array_append("states", F.lit("web"))).otherwise(F.col("states"))).select(*nodes.columns)
+    marked = reshape.with_test_above(nodes, F.col("role") == "webview", "_inside")
+    top = (F.col("role") == "webview") & ~F.col("_inside")
+    return marked.withColumn("states", F.when(top, F.array_append("states", F.lit("web"))).otherwise(F.col("states"))).select(*nodes.columns)
 
 
 def snapshot_line(boxes: bool = False) -> Column:

@@ -51,11 +51,18 @@ def _named(tag: str) -> str:
     return f"SELECT page_id, '{tag}' AS tag, regexp_replace(unnest(regexp_extract_all({page}, '(?s)<{tag}\\b[^>]*>(.*?)</{tag}>', 1)), '<[^>]*>', ' ', 'g') AS part FROM {BARE}"
 
 
+def _decoded(text: str) -> str:
+    """SQL for a text with its character references read; ``&amp;`` last."""
+    for said, meant in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&apos;", "chr(39)"), ("&#39;", "chr(39)"), ("&#10;", "chr(10)"), ("&nbsp;", "' '"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&amp;", "'&'")):
+        text = f"replace({text}, '{said}', {meant})"
+    return text
+
+
 NAMED = "a h1 p li ul nav article footer".split()
 
 
 @query("p14_html_name", f"""SELECT page_id AS tree_id, tag, CASE WHEN length(name) > 200 THEN substr(name, 1, 200) || '...' ELSE name END AS name, count(*) AS n FROM (
-  SELECT page_id, tag, trim(regexp_replace(replace(replace(replace(replace(replace(part, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g')) AS name FROM (
+  SELECT page_id, tag, trim(regexp_replace({_decoded('part')}, '\\s+', ' ', 'g')) AS name FROM (
     {' UNION ALL '.join(map(_named, NAMED))})) GROUP BY ALL""")
 def p14(spark, sf):
     n = page_nodes(spark, sf).where(F.col("class_name").isin(*NAMED))
@@ -68,6 +75,30 @@ def p21(spark, sf):
     return n.groupBy("tree_id", "states").agg(F.count("*").alias("n"))
 
 
+#: A page for each page of the table, made of what pages seldom have; ``@`` is the page's host.
+RULES_PAGE = """<ul><li>one @<li>two</ul><table><tr><td>a<td>b</table><label>Own @</label><label>Name <input value="v@"></label><button>Go <input value="v1"></button>
+<button>Pick <select><option>x<option selected>@</select></button><div role="presentation"><p>not shown</p></div><textarea>typed @</textarea><fieldset disabled><legend><input title="in"></legend><input title="out"></fieldset>
+<fieldset disabled><input title="free"></fieldset><div><span>solo @</span></div><input type="submit" value="Send"><input type="checkbox" checked><input required title="must"></x>"""
+#: What of it is shown: class, role, name and states.
+RULES_ROWS = [
+    ("ul", "list", "one @ two", ""), ("li", "listitem", "one @", ""), ("#text", "text", "one @", ""), ("li", "listitem", "two", ""), ("#text", "text", "two", ""), ("table", "table", "", ""), ("tbody", "rowgroup", "", ""), ("tr", "row", "a b", ""),
+    ("td", "cell", "a", ""), ("#text", "text", "a", ""), ("td", "cell", "b", ""), ("#text", "text", "b", ""), ("#text", "text", "Own @", ""), ("label", "generic", "Name", ""), ("#text", "text", "Name", ""),
+    ("input", "textbox", "Name", "clickable value=v@"), ("button", "button", "Go v1", "clickable"), ("#text", "text", "Go", ""), ("input", "textbox", "", "clickable value=v1"), ("button", "button", "Pick @", "clickable"), ("#text", "text", "Pick", ""),
+    ("select", "combobox", "", "clickable value=@"), ("option", "option", "x", "value=x"), ("#text", "text", "x", ""), ("option", "option", "@", "selected value=@"), ("#text", "text", "@", ""), ("textarea", "textbox", "", "value=typed @"),
+    ("fieldset", "generic", "", ""), ("legend", "generic", "", ""), ("input", "textbox", "in", "clickable"), ("input", "textbox", "out", "disabled clickable"), ("fieldset", "generic", "", ""), ("input", "textbox", "free", "clickable"),
+    ("div", "generic", "", ""), ("#text", "text", "solo @", ""), ("input", "button", "Send", "clickable value=Send"), ("input", "checkbox", "", "checked clickable value=on"), ("input", "textbox", "must", "invalid clickable"),
+]
+
+
+@query("html_rules", f"""SELECT page_id AS tree_id, r[1] AS class_name, replace(r[2], '@', host) AS role, replace(r[3], '@', host) AS name, replace(r[4], '@', host) AS states, count(*) AS n
+FROM (SELECT page_id, coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') AS host FROM pages), (SELECT unnest({[list(r) for r in RULES_ROWS]}) AS r) WHERE host <> '' GROUP BY ALL""")
+def html_rules(spark, sf):
+    """Implied ends, table parts, labels, controls in content, text boxes, legends, null roles, spans: whole rows of a made page."""
+    hosts = V.table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).where("host <> ''")
+    n = markup.html_nodes(hosts.select("page_id", F.replace(F.lit(RULES_PAGE), F.lit("@"), F.col("host")).alias("html")))
+    return n.groupBy("tree_id", "class_name", "role", "name", F.array_join("states", " ").alias("states")).agg(F.count("*").alias("n"))
+
+
 def page_evidence(spark) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES (0, 'structure', 'links', 'navigational', 'link', '', 3), (0, 'structure', 'headings', 'structural', 'heading', '', 1), (0, 'text', 'paragraphs', 'textual_content', 'paragraph', '', 4) AS t(baseline_id, target_id, evidence_id, capability, role, name, min_count)")
 

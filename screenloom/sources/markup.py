@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from screenloom.functions import geometry
 from screenloom.schema import RAW_FLAGS
+from screenloom.sources import outline
 
 #: Deepest level of a page, as in the reference; deeper nodes are cut. View hierarchies and inspector dumps have no limit.
 MAX_DEPTH = 50
@@ -62,33 +63,24 @@ def paths(nodes: DataFrame, order: str, max_depth: int | None = None) -> DataFra
     return out.select("tree_id", *(F.col(f"_node._nodes.{c}") for c in others), "node_id", F.col("_node._found.path"), F.col("_node._found.sibling_pos")).withColumn("parent_id", F.try_element_at("path", F.lit(-1)))
 
 
-#: What a token does to the tree: text, an element without content, one that opens, one that closes, and a paragraph's two.
-TEXT, LEAF, OPEN, CLOSE, OPEN_P, CLOSE_P = range(6)
+#: What a token of a view hierarchy does to the tree: an element without content, one that opens, one that closes.
+LEAF, OPEN, CLOSE = range(1, 4)
 PLACED = "array<struct<at:int,depth:int,path:array<int>,sibling_pos:int>>"
 
 
 def placed(trees: pa.Array, max_depth: int | None) -> pa.Array:
-    """The nodes of each text from the kinds of its tokens: which token (``at``), and its place in the tree.
-
-    A paragraph is a level of its own only for texts and leaves: whatever else opens or closes ends it.
-    """
+    """The nodes of each text from the kinds of its tokens: which token (``at``), and its place in the tree."""
     at, depths, sizes = array("i"), [], array("i", [0])
     for kinds in trees.to_pylist():
-        level, in_p, own = 0, False, []
+        level, own = 0, []
         for k, kind in enumerate(kinds or ()):
             if kind == CLOSE:
-                level, in_p = level - 1, False
-            elif kind == CLOSE_P:
-                in_p = False
-            else:
-                depth = max(level, 0) + (in_p and kind in (TEXT, LEAF))
-                if kind == OPEN:
-                    level, in_p = level + 1, False
-                elif kind == OPEN_P:
-                    in_p = True
-                if max_depth is None or depth <= max_depth:
-                    at.append(k)
-                    own.append(depth)
+                level -= 1
+                continue
+            if max_depth is None or level <= max_depth:
+                at.append(k)
+                own.append(max(level, 0))
+            level += kind == OPEN
         depths.append(own)
         sizes.append(len(at))
     found = ancestors(pa.array(depths, pa.list_(pa.int32()))).flatten()
@@ -199,8 +191,7 @@ def native_xml(raw: DataFrame) -> DataFrame:
 
 # ---- HTML ----
 
-#: Tags whose content is never shown; elements without a closing tag; marks that make no node.
-DROPPED = "script style head noscript template"
+#: Elements without a closing tag; marks that make no node.
 VOID = "area base br col embed hr img input link meta source track wbr".split()
 MARKS = "b i u s em strong small br wbr".split()
 #: Roles that an attribute may give.
@@ -234,6 +225,16 @@ LEVELED = "heading,listitem,row,treeitem"
 #: A tag: it begins like one, and ``<`` and ``>`` stand in it between quotes only. No pattern here tries a text twice or
 #: recurses: each takes what it can and gives nothing back, however long tags, names and texts are.
 MARKUP = r"""<[a-zA-Z/!?][^<>"']*+(?:(?:"[^"]*+"|'[^']*+')[^<>"']*+)*+>"""
+#: What ends with the text if it has no end of its own: a comment; an element of which nothing is read.
+COMMENT = r"<!--(?:-?>|(?:[^-]++|-(?!-!?>))*+(?:--!?>|\z))"
+RAW = "|".join(rf"<{t}\b[^<>]*+>(?:[^<]++|<(?!/{t}\b))*+(?:</{t}\b[^>]*+>|\z)" for t in "script style noscript noframes noembed".split())
+#: Elements whose content is text whatever it looks like.
+TEXTUAL = "|".join(rf"<{t}\b{MARKUP.removeprefix('<[a-zA-Z/!?]')}(?:[^<]++|<(?!/{t}\b))*+(?:</{t}\b[^>]*+>|\z)" for t in ("textarea", "title"))
+WORDS = rf"(?:[^<]++|<(?!{MARKUP.removeprefix('<')}|!--))++"
+#: Elements that may be switched off, that hold a value, and that can be required or read only.
+FORM_TAGS = "button fieldset input optgroup option select textarea".split()
+#: Elements without a role of their own that begin a line of their own.
+BLOCK_TAGS = "html body div section form header footer fieldset legend figure figcaption address hgroup center summary search pre listing xmp dir optgroup colgroup col frameset".split()
 
 
 def attributes(tag: Column) -> Column:
@@ -244,49 +245,94 @@ def attributes(tag: Column) -> Column:
     return first_of_each(F.transform(part(1), F.lower), F.transform(values, decoded))
 
 
+def _no_attributes() -> Column:
+    return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+
+
+def _token(t: Column) -> Column:
+    """A token as an array of ``kind``, ``tag``, ``attrs`` and ``text``: one, or the three of an element with textual content."""
+    raw_tag = F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1))
+    part = lambda kind, tag, attrs, text: F.struct(kind.alias("kind"), tag.alias("tag"), attrs.alias("attrs"), text.alias("text"))
+    none, empty = F.lit(""), _no_attributes()
+    tag = F.when(raw_tag == "image", "img").otherwise(raw_tag)
+    skipped = t.rlike(r"(?i)^<(?:!|\?|(?:script|style|noscript|noframes|noembed)\b)") | raw_tag.isin(*MARKS) | (raw_tag == "")
+    closes = F.startswith(t, F.lit("</"))
+    kind = F.when(skipped, outline.OTHER).when(closes, outline.CLOSE).when(raw_tag.isin(*VOID), outline.LEAF).when(F.endswith(t, F.lit("/>")), outline.SELF).otherwise(outline.OPEN)
+    attrs = attributes(t)
+    given = lambda a, name: F.coalesce(a[name], F.lit(""))
+
+    def control(a: Column) -> Column:
+        """What an input says inside other content."""
+        form = F.lower(given(a, "type"))
+        said = F.when(form.isin("submit", "reset", "button"), F.coalesce(F.nullif(given(a, "value"), none), form)).when(~form.isin("hidden", "checkbox", "radio", "file"), given(a, "value"))
+        return F.coalesce(said, none)
+
+    element = let(F.when(skipped | closes, empty).otherwise(attrs), lambda a: F.array(part(kind, F.when(skipped, none).otherwise(tag), a, F.when(tag == "input", control(a)).otherwise(none))))
+    opening = F.regexp_extract(t, f"^{MARKUP}", 0)
+    content = F.regexp_replace(F.substring(t, F.length(opening) + 1, F.length(t)), r"(?i)</(?:textarea|title)\b[^>]*+>?\z", "")
+    textual = F.array(part(F.lit(outline.OPEN), tag, attributes(opening), none), part(F.lit(outline.TEXT), none, empty, content), part(F.lit(outline.CLOSE), tag, empty, none))
+    is_text = ~F.startswith(t, F.lit("<")) | ~t.rlike(rf"\A(?i:{MARKUP}|{COMMENT}|{RAW}|{TEXTUAL})\z")
+    return F.when(is_text, F.array(part(F.lit(outline.TEXT), none, empty, t))).when(tag.isin("textarea", "title") & ~closes, textual).otherwise(element)
+
+
 def read_html_pages(df: DataFrame, tree_id: str = "page_id", html: str = "html", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Pages to element and text nodes: ``tag``, ``attrs``, ``text`` beside the tree's columns; hidden content is gone.
+    """Pages to element and text nodes: ``tag``, ``attrs``, ``text`` beside the tree's columns; hidden elements are gone.
 
-    A ``p`` without an end is closed by whatever closes or opens a block. Marks like ``b`` and ``br`` are no nodes.
+    ``last`` is the last node below each; ``told`` has what the outline of the whole page says of an element: its content,
+    what labels it, whether something above switches it off. Tags are placed as a parser places them (implied ends, table
+    parts, stray ends); marks like ``b`` and ``br`` are no nodes, and misnested ones aren't opened again.
     """
-    shown = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", "")
-    shown = F.regexp_replace(shown, rf"(?is)<({'|'.join(DROPPED.split())})\b[^>]*>.*?</\1\s*>", "")
-    tokens = F.regexp_extract_all(shown, F.lit(rf"({MARKUP}|(?:[^<]++|<(?!{MARKUP[1:]}))++)"), 1)
-
-    def read(t: Column) -> Column:
-        is_tag = t.rlike("^<[a-zA-Z/!?]") & F.endswith(t, F.lit(">"))
-        text = F.when(is_tag, "").otherwise(F.trim(F.regexp_replace(decoded(t), r"\s+", " ")))
-        tag = F.when(is_tag, F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][\w-]*)", 1))).otherwise("")
-        return F.struct(F.when(is_tag, t).otherwise("").alias("token"), tag.alias("tag"), text.alias("text"))
+    tokens = F.regexp_extract_all(F.col(html), F.lit(rf"(?i)({COMMENT}|{RAW}|{TEXTUAL}|{MARKUP}|{WORDS})"), 1)
+    rows = df.select(F.col(tree_id).alias("tree_id"), F.flatten(F.transform(tokens, _token)).alias("_tokens"))
+    has = lambda t, name: F.map_contains_key(t["attrs"], name)
+    said = lambda t, name: F.coalesce(t["attrs"][name], F.lit(""))
+
+    def marks(t: Column) -> Column:
+        off = F.when(t["tag"].isin(*FORM_TAGS) & has(t, "disabled"), outline.IS_OFF).otherwise(0)
+        chosen = F.when((t["tag"] == "option") & has(t, "selected"), outline.SELECTED).otherwise(0)
+        several = F.when((t["tag"] == "select") & (has(t, "multiple") | (F.coalesce(said(t, "size").try_cast("int"), F.lit(0)) > 1)), outline.MULTIPLE).otherwise(0)
+        return off + chosen + several + F.when(said(t, "aria-disabled") == "true", outline.ARIA_OFF).otherwise(0)
+
+    @F.arrow_udf(outline.PLACED)
+    def found(kinds: pa.Array, tags: pa.Array, words: pa.Array, ids: pa.Array, fors: pa.Array, refs: pa.Array, marked: pa.Array) -> pa.Array:
+        return outline.outlines(kinds, tags, words, ids, fors, refs, marked, max_depth=max_depth)
+
+    each = lambda f: F.transform("_tokens", f)
+    told = found(each(lambda t: t["kind"]), each(lambda t: t["tag"]), each(lambda t: t["text"]), each(lambda t: said(t, "id")), each(lambda t: said(t, "for")), each(lambda t: said(t, "aria-labelledby")), each(marks))
+    rows = rows.withColumn("_placed", told)
+    token = lambda k: F.get("_tokens", k)
+    whole = F.transform("_placed", lambda n: F.struct(n.alias("n"), token(n["at"])["tag"].alias("tag"), token(n["at"])["attrs"].alias("attrs"), token(n["table"])["attrs"]["role"].alias("table_role"), token(n["picked"])["attrs"]["value"].alias("picked")))
+    n = rows.select("tree_id", F.posexplode(whole).alias("node_id", "_x")).select("tree_id", "node_id", "_x.*")
+    tag = F.coalesce("n.made", F.when(F.col("tag") == "", "#text").otherwise(F.col("tag")))
+    kept = ["only_text", "off", "chosen", "spoken", "labelled", "by_for", "wrapped", "inner"]
+    return n.select(
+        "tree_id", "node_id", F.try_element_at("n.path", F.lit(-1)).alias("parent_id"), "n.depth", "n.path", "n.sibling_pos", tag.alias("tag"), F.coalesce("attrs", _no_attributes()).alias("attrs"), "n.text",
+        "n.last", F.struct(*(F.col(f"n.{k}") for k in kept), F.coalesce("table_role", F.lit("")).alias("table_role"), "picked").alias("told"),
+    )
 
-    def kind(t: Column) -> Column:
-        closes, is_p = F.startswith(t["token"], F.lit("</")), t["tag"] == "p"
-        leaf = t["tag"].isin(*VOID) | F.endswith(t["token"], F.lit("/>"))
-        return F.when(t["tag"] == "", TEXT).when(is_p, F.when(closes, CLOSE_P).otherwise(OPEN_P)).when(closes, CLOSE).when(leaf, LEAF).otherwise(OPEN)
 
-    shown = F.filter(F.transform(tokens, read), lambda t: (t["text"] != "") | ((t["tag"] != "") & ~t["tag"].isin(*MARKS)))
-    nodes = take_apart(df.select(F.col(tree_id).alias("tree_id"), shown.alias("_tokens")), "_tokens", kind, max_depth)
-    nodes = nodes.select("tree_id", "node_id", "parent_id", "depth", "path", "sibling_pos", "token.*")
-    attrs = F.when(F.col("tag") != "", attributes(F.col("token"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    return nodes.select("tree_id", "node_id", "parent_id", "depth", "path", "sibling_pos", F.when(F.col("tag") == "", "#text").otherwise(F.col("tag")).alias("tag"), attrs.alias("attrs"), "text")
+def _style() -> Column:
+    return F.regexp_replace(F.lower(_said("style")), r"\s+", "")
 
 
 def hidden_html(nodes: DataFrame) -> DataFrame:
-    """Without invisible elements; visible children move up to the nearest shown ancestor. Options of a select stay.
+    """Without invisible elements; visible children and texts move up to the nearest shown ancestor. Options of a select stay.
 
-    ``display:none`` and ``aria-hidden`` above a node hide it as well.
+    ``display:none`` and ``aria-hidden`` above an element hide it as well; an element isn't hidden by its own ``aria-hidden``.
     """
-    from screenloom.operators.tree import by_tree, reattach
+    from screenloom.operators.tree import reattach
+
+    return reattach(nodes.withColumn("_hide", _hidden()), F.col("_hide")).select(*nodes.columns)
 
-    style = F.regexp_replace(F.lower(F.coalesce(F.col("attrs")["style"], F.lit(""))), r"\s+", "")
-    none = F.contains(style, F.lit("display:none")) | F.map_contains_key("attrs", "hidden")
-    unseen = F.contains(style, F.lit("visibility:hidden")) | style.rlike(r"opacity:0(\.0*)?(;|$)")
-    covers = none | F.coalesce(F.col("attrs")["aria-hidden"] == "true", F.lit(False))
-    marked = nodes.withColumn("_covers", F.collect_set(F.when(covers, F.col("node_id"))).over(by_tree()))
-    marked = marked.withColumn("_selects", F.collect_set(F.when(F.col("tag") == "select", F.col("node_id"))).over(by_tree()))
-    gone = none | unseen | F.arrays_overlap("_covers", "path") | F.coalesce(F.col("attrs")["aria-hidden"] == "true", F.lit(False))
-    free = (F.col("tag") == "option") & F.arrays_overlap("_selects", "path")
-    return reattach(marked.withColumn("_hide", gone & ~free), F.col("_hide")).select(*nodes.columns)
+
+def _hidden() -> Column:
+    from screenloom.operators.tree import below
+
+    none = F.contains(_style(), F.lit("display:none")) | _has("hidden")
+    unseen = F.contains(_style(), F.lit("visibility:hidden")) | _style().rlike(r"opacity:0(\.0*)?(;|$)")
+    covers = none | (_said("aria-hidden") == "true")
+    free = (F.col("tag") == "option") & below(F.col("tag") == "select")
+    return (F.col("tag") != "#text") & (none | unseen | below(covers)) & ~free
 
 
 def _said(name: str) -> Column:
@@ -302,19 +348,19 @@ def within(role: Column, words: str) -> Column:
     return F.contains(F.lit(words), role)
 
 
+def _explicit(said: Column) -> Column:
+    """The first valid role that an attribute names."""
+    tokens = F.filter(F.split(F.trim(said), r"\s+"), lambda t: (t != "") & F.contains(F.lit(",".join(VALID_ROLES)), t))
+    return F.get(tokens, F.lit(0))
+
+
 def html_role(nodes: DataFrame) -> DataFrame:
     """``role`` of each node: the first valid one its attribute names, else by tag, attributes, ancestors and siblings.
 
-    Nodes with neither (``role`` null) are left out of the tree by ``html_nodes``.
+    Nodes with neither (``role`` null) are left out of the tree, with all that is below them, by ``html_nodes``.
     """
-    from screenloom.operators.tree import by_tree
+    from screenloom.operators.tree import below, siblings
 
-    def ids(*tags: str) -> Column:
-        return F.collect_set(F.when(F.col("tag").isin(*tags), F.col("node_id"))).over(by_tree())
-
-    grids = F.collect_set(F.when((F.col("tag") == "table") & _said("role").isin("grid", "treegrid"), F.col("node_id"))).over(by_tree())
-    n = nodes.withColumn("_land", ids("article", "aside", "main", "nav", "section")).withColumn("_grids", grids).withColumn("_heads", ids("thead"))
-    first_cell = F.row_number().over(W.partitionBy("tree_id", "parent_id").orderBy("node_id")) == 1
     tag = F.col("tag")
     named = (_said("aria-label") != "") | (_said("aria-labelledby") != "") | (_said("title") != "")
     kind = F.lower(_said("type"))
@@ -322,8 +368,10 @@ def html_role(nodes: DataFrame) -> DataFrame:
     for k, v in INPUT_ROLES.items():
         input_role = input_role.when(kind == k, F.when(F.lit(k == "search") & _has("list"), "combobox").otherwise(v))
     input_role = input_role.when(_has("list") & kind.isin("", "text", "email", "tel", "url"), "combobox").otherwise("textbox")
-    in_landmark = F.arrays_overlap("_land", "path")
-    multiple = _has("multiple") | (F.expr("try_cast(attrs['size'] AS int)") > 1)
+    in_landmark = below(tag.isin("article", "aside", "main", "nav", "section"))
+    multiple = _has("multiple") | (_said("size").try_cast("int") > 1)
+    cells = F.sum(F.when(tag.isin("td", "th"), 1).otherwise(0)).over(siblings().rowsBetween(W.unboundedPreceding, 0))
+    n = nodes.withColumn("_land", in_landmark).withColumn("_head", below(tag == "thead")).withColumn("_cells", cells)
     implicit = (
         F.when(tag == "#text", "text")
         .when(tag.isin("a", "area"), F.when(_has("href"), "link").otherwise("generic"))
@@ -333,102 +381,116 @@ def html_role(nodes: DataFrame) -> DataFrame:
         .when(tag.rlike("^h[1-6]$"), "heading")
         .when(tag == "section", F.when(named, "section").otherwise("generic"))
         .when(tag == "form", F.when(named, "form").otherwise("generic"))
-        .when(tag == "header", F.when(in_landmark, "generic").otherwise("toolbar"))
-        .when(tag == "footer", F.when(in_landmark, "generic").otherwise("section"))
+        .when(tag == "header", F.when(F.col("_land"), "generic").otherwise("toolbar"))
+        .when(tag == "footer", F.when(F.col("_land"), "generic").otherwise("section"))
         .when(tag == "dialog", F.when(_has("open"), "dialog"))
-        .when((tag == "td") & F.arrays_overlap("_grids", "path"), "gridcell")
-        .when(tag == "th", F.when(_said("scope") == "row", "rowheader").when(_said("scope").isin("col", "colgroup") | F.arrays_overlap("_heads", "path"), "columnheader").when(first_cell, "rowheader").otherwise("columnheader"))
+        .when((tag == "td") & F.coalesce(_explicit(F.col("told.table_role")).isin("grid", "treegrid"), F.lit(False)), "gridcell")
+        .when(tag == "th", F.when(_said("scope") == "row", "rowheader").when(_said("scope").isin("col", "colgroup") | F.col("_head"), "columnheader").when(F.col("_cells") == 1, "rowheader").otherwise("columnheader"))
     )
     for k, v in TAG_ROLES.items():
         implicit = implicit.when(tag == k, v)
     implicit = implicit.otherwise("generic")
-    tokens = F.filter(F.split(F.trim(_said("role")), r"\s+"), lambda t: (t != "") & F.contains(F.lit(",".join(VALID_ROLES)), t))
-    explicit = F.get(tokens, F.lit(0))
+    explicit = _explicit(_said("role"))
     aria = F.lit(False)
     for a in GLOBAL_ARIA:
         aria |= _has(f"aria-{a}")
     role = F.when(explicit.isin("presentation", "none"), F.when(aria | _has("tabindex"), implicit)).when(explicit.isNotNull(), explicit).otherwise(implicit)
-    return n.withColumn("role", role).drop("_land", "_grids", "_heads")
+    return n.withColumn("role", role).drop("_land", "_head", "_cells")
 
 
 def html_name(nodes: DataFrame) -> DataFrame:
-    """``name`` of each node with a role: labels, then alternatives by tag, then content for the roles that take it."""
-    from screenloom.operators.tree import by_tree
-
-    # the texts below each node: a row for the node itself and one for each text and each node above it
-    is_text = F.col("tag") == "#text"
-    above = F.when(is_text, F.array_append("path", F.col("node_id"))).otherwise(F.array("node_id"))
-    own = F.when(F.col("_at") == F.col("node_id"), F.struct(*(c for c in nodes.columns if c != "tree_id")))
-    said = F.sort_array(F.collect_list(F.when(is_text, F.struct("node_id", "text"))))
-    n = nodes.withColumn("_at", F.explode(above)).groupBy("tree_id", "_at").agg(F.first(own, ignorenulls=True).alias("_own"), F.array_join(F.transform(said, lambda p: p["text"]), " ").alias("_content"))
-    n = n.select("tree_id", "_own.*", "_content")
-    # what a page's nodes may be called by, gathered once a page; most pages have little of it
-    asks = F.max((_said("aria-labelledby") != "").cast("int")).over(by_tree()) == 1
-    told = lambda test, **given: F.sort_array(F.collect_list(F.when(test, F.struct("node_id", *(v.alias(k) for k, v in given.items()), F.col("_content").alias("said")))).over(by_tree()))
-    n = n.withColumn("_asks", asks)
-    n = n.withColumn("_ids", told(F.col("_asks") & _has("id"), key=_said("id"))).withColumn("_labels", told((F.col("tag") == "label") & _has("for"), key=_said("for")))
-    n = n.withColumn("_inners", told(F.col("tag").isin("caption", "figcaption", "legend", "summary", "title"), key=F.col("tag"), path=F.col("path"))).withColumn("_wraps", told(F.col("tag") == "label"))
-    first = lambda found: F.get(found, F.lit(0))["said"]
-    refs = F.split(F.trim(_said("aria-labelledby")), r"\s+")
-    labelled = F.filter(F.transform(refs, lambda r: first(F.filter("_ids", lambda i: i["key"] == r))), lambda x: x != "")
-    wants = {"table": "caption", "figure": "figcaption", "fieldset": "legend", "details": "summary", "svg": "title"}
-    kind = F.create_map(*(F.lit(x) for kv in wants.items() for x in kv))[F.col("tag")]
-    own_id = F.nullif(_said("id"), F.lit(""))
-    n = n.withColumn("_labelled", F.when(_said("aria-labelledby") != "", F.array_join(labelled, " "))).withColumn("_for", first(F.filter("_labels", lambda x: x["key"] == own_id)))
-    n = n.withColumn("_inner", first(F.filter("_inners", lambda x: (x["key"] == kind) & F.array_contains(x["path"], F.col("node_id")))))
-    n = n.withColumn("_wrapped", F.get(F.reverse(F.filter("_wraps", lambda x: F.array_contains("path", x["node_id"]))), F.lit(0))["said"])
-    tag, form = F.col("tag"), F.lower(_said("type"))
-    button = (tag == "input") & form.isin("submit", "reset", "button", "image")
-    held = F.when(within(F.col("role"), NAMED_BY_CONTENT), F.when(F.length("_content") > 200, F.concat(F.substring("_content", 1, 200), F.lit("..."))).otherwise(F.col("_content")))
-    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    """``name`` of each node with a role: labels, then alternatives by tag, then content for the roles that take it.
+
+    Content and labels are those of the whole page, hidden parts too; controls in it say their values.
+    """
+    tag, form, told = F.col("tag"), F.lower(_said("type")), lambda k: F.col(f"told.{k}")
+    content = told("spoken")
+    held = F.when(within(F.coalesce("role", F.lit("generic")), NAMED_BY_CONTENT), F.when(F.length(content) > 200, F.concat(F.substring(content, 1, 200), F.lit("..."))).otherwise(content))
+    filled = lambda c: F.nullif(c, F.lit(""))
+    trimmed = lambda c: filled(F.regexp_replace(c, r"^\s+|\s+$", ""))
     name = F.coalesce(
-        F.when(tag == "#text", F.col("text")), filled(_said("aria-label")), filled(F.col("_labelled")), filled(F.col("_for")), filled(F.col("_wrapped")), F.when((tag == "img") & _has("alt"), _said("alt")),
-        F.when(button, F.coalesce(filled(_said("value")), form)), F.when((tag == "input") & (form == "file"), F.coalesce(filled(_said("value")), F.lit("Choose File"))),
-        F.when(tag.isin("input", "textarea"), filled(_said("placeholder"))), filled(F.col("_inner")), filled(held), filled(_said("title")), F.lit(""),
+        F.when(tag == "#text", F.col("text")), trimmed(_said("aria-label")), filled(told("labelled")), filled(told("by_for")), filled(told("wrapped")), F.when((tag == "img") & _has("alt"), _said("alt")),
+        F.when((tag == "input") & form.isin("submit", "reset", "button", "image"), F.coalesce(filled(_said("value")), form)), F.when((tag == "input") & (form == "file"), F.lit("Choose File")),
+        F.when(tag.isin("input", "textarea"), filled(_said("placeholder"))), F.when(tag.isin("table", "figure", "fieldset", "details", "svg"), filled(told("inner"))), filled(held), filled(_said("title")), F.lit(""),
     )
-    return n.select(*nodes.columns, name.alias("name"))
+    return nodes.withColumn("name", name)
+
+
+def _value() -> Column:
+    """The value that a control has on the page as it was loaded; null for what is no control."""
+    tag, form, told = F.col("tag"), F.lower(_said("type")), lambda k: F.col(f"told.{k}")
+    given = F.col("attrs")["value"]
+    number = lambda name, default: F.coalesce(_said(name).try_cast("double"), F.lit(default))
+    low, high = number("min", 0.0), number("max", 100.0)
+    middle = F.when(high < low, low).otherwise(low + (high - low) / 2)
+    middle = F.regexp_replace(middle.cast("string"), r"\.0$", "")
+    of_input = F.when(form.isin("checkbox", "radio"), F.coalesce(given, F.lit("on"))).when(form == "file", "").when(form == "range", F.coalesce(F.when(given.try_cast("double").isNotNull(), given), middle))
+    of_input = of_input.when(form == "color", F.coalesce(F.when(given.rlike("^#[0-9a-fA-F]{6}$"), F.lower(given)), F.lit("#000000"))).when(form == "number", F.when(given.try_cast("double").isNotNull(), given)).otherwise(given)
+    return F.when(tag == "input", of_input).when(tag.isin("textarea", "output"), told("inner")).when(tag == "select", F.coalesce(told("picked"), told("inner"))).when(tag == "option", F.coalesce(given, told("inner"))).when(tag.isin("button", "data"), given)
+
+
+def _invalid() -> Column:
+    """A control whose value breaks what its attributes ask: ``required``, ``min`` and ``max``."""
+    tag, form = F.col("tag"), F.lower(_said("type"))
+    open_ = ~_has("disabled") & ~_has("readonly")
+    blank = F.coalesce(_value(), F.lit("")) == ""
+    asks = ~form.isin("hidden", "range", "color", "submit", "reset", "button", "image", "radio", "checkbox")
+    missing = _has("required") & open_ & F.when(tag == "input", F.when(form == "checkbox", ~_has("checked")).otherwise(asks & blank)).when(tag.isin("select", "textarea"), blank).otherwise(False)
+    number = _value().try_cast("double")
+    beyond = (tag == "input") & (form == "number") & ((number < _said("min").try_cast("double")) | (number > _said("max").try_cast("double")))
+    return missing | F.coalesce(beyond, F.lit(False))
 
 
 def html_states(nodes: DataFrame) -> DataFrame:
-    """``states`` of each node with a role, in order; a disabled fieldset disables what is in it."""
+    """``states`` of each node with a role, in order; a disabled fieldset with a legend disables what is in it but its legend."""
     from screenloom.functions.names import states_of
-    from screenloom.operators.tree import by_tree
 
-    off = ((F.col("tag") == "fieldset") & _has("disabled")) | (_said("aria-disabled") == "true")
-    n = nodes.withColumn("_off", F.collect_set(F.when(off, F.col("node_id"))).over(by_tree()))
-    role, tag, form = F.col("role"), F.col("tag"), F.lower(_said("type"))
-    is_on = _has("checked")
-    checked = within(role, CHECKED) & (is_on | (_said("aria-checked") == "true"))
+    role, tag, form = F.coalesce("role", F.lit("generic")), F.col("tag"), F.lower(_said("type"))
+    checked = within(role, CHECKED) & (((tag == "input") & _has("checked")) | (_said("aria-checked") == "true"))
     expanded = F.when(tag == "details", F.when(_has("open"), "true").otherwise("false")).otherwise(F.col("attrs")["aria-expanded"])
+    off = (tag.isin(*FORM_TAGS) & _has("disabled")) | (_said("aria-disabled") == "true") | F.col("told.off")
     inv = _said("aria-invalid")
     level = F.coalesce(F.nullif(_said("aria-level"), F.lit("")), F.nullif(F.regexp_extract("tag", r"^h(\d)$", 1), F.lit("")))
     click = tag.isin("button", "a", "select") | ((tag == "input") & (form != "hidden")) | (_said("role") == "button") | _has("onclick")
-    value = F.when(tag == "input", F.nullif(_said("value"), F.lit("")))
+    value = F.nullif(_value(), F.lit(""))
     ok = lambda c: F.coalesce(c, F.lit(False)) & (tag != "#text")
     states = states_of(
         (ok(checked), "checked"),
         (ok(within(role, CHECKED) & (_said("aria-checked") == "mixed")), "indeterminate"),
-        (ok(within(role, DISABLED) & (_has("disabled") | (_said("aria-disabled") == "true") | F.arrays_overlap("_off", "path"))), "disabled"),
+        (ok(within(role, DISABLED) & off), "disabled"),
         (ok(within(role, EXPANDED) & expanded.isNotNull()), F.when(expanded == "true", "expanded").otherwise("collapsed")),
         (ok((role == "button") & (_said("aria-pressed") == "true")), "pressed"),
         (ok((role == "button") & (_said("aria-pressed") == "mixed")), "pressed=mixed"),
-        (ok(within(role, SELECTED) & ((_said("aria-selected") == "true") | ((tag == "option") & _has("selected")))), "selected"),
-        (ok(within(role, READONLY) & (_has("readonly") | (_said("aria-readonly") == "true"))), "readonly"),
-        (ok(inv == "true"), "invalid"),
+        (ok(within(role, SELECTED) & ((_said("aria-selected") == "true") | F.col("told.chosen"))), "selected"),
+        (ok(within(role, READONLY) & ((tag.isin("input", "textarea") & _has("readonly")) | (_said("aria-readonly") == "true"))), "readonly"),
+        (ok((inv == "true") | (~inv.isin("grammar", "spelling") & _invalid())), "invalid"),
         (ok(inv.isin("grammar", "spelling")), F.concat(F.lit("invalid="), inv)),
         (ok(within(role, LEVELED) & level.isNotNull()), F.concat(F.lit("level="), level)),
         (ok(click), "clickable"),
-        (ok((role != "checkbox") & (role != "radio") & ~form.isin("submit", "reset", "button") & value.isNotNull()), F.concat(F.lit("value="), value)),
+        (ok(value.isNotNull()), F.concat(F.lit("value="), value)),
     )
-    return n.withColumn("states", states).drop("_off")
+    return nodes.withColumn("states", states)
 
 
-def html_nodes(df: DataFrame, tree_id: str = "page_id", html: str = "html", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Pages to the node contract: read, hide, role, name and states; elements without a role give way to their children."""
-    from screenloom.operators.tree import reattach
+def html_tree(nodes: DataFrame) -> DataFrame:
+    """Nodes with their roles to the tree that is shown.
+
+    A visible element without a role goes with all that is below it. Invisible ones, and those without a role of their own
+    that stand in a line and hold nothing but one text, give way to their children. A text box shows no text.
+    """
+    from screenloom.operators.tree import of_parent, restructured
+
+    style = F.regexp_extract(_style(), "display:([^;]*)", 1)
+    inline = F.when(style != "", style == "inline").otherwise(~F.col("tag").isin(*BLOCK_TAGS))
+    skip = (F.col("role") == "generic") & inline & F.col("told.only_text") & (F.col("tag") != "#text")
+    fate = F.when(F.col("_hide"), 1).when(F.col("role").isNull(), 2).when(skip, 1).otherwise(0)
+    shown = of_parent(restructured(nodes.withColumn("_hide", _hidden()), fate), "_up", F.col("role"))
+    return shown.where(~((F.col("tag") == "#text") & F.coalesce(F.col("_up") == "textbox", F.lit(False)))).drop("_up", "_hide")
 
-    n = html_states(html_name(html_role(hidden_html(read_html_pages(df, tree_id, html, max_depth)))))
-    n = reattach(n, F.col("role").isNull())
+
+def html_nodes(df: DataFrame, tree_id: str = "page_id", html: str = "html", max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Pages to the node contract: read, role, name and states, then the tree that is shown."""
+    n = html_tree(html_states(html_name(html_role(read_html_pages(df, tree_id, html, max_depth)))))
     empty = F.lit("")
     return n.select(
         "tree_id", F.lit("html").alias("source"), "node_id", "parent_id", "depth", "path", "sibling_pos", "role", F.lit("html").alias("role_source"), F.lit(1.0).alias("role_confidence"),
