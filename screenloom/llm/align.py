@@ -26,17 +26,20 @@ count as documents each; a null id stays null; extra columns are not read; an em
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from screenloom.llm.bpe import byte_symbols
 from screenloom.llm.common import settle
@@ -49,6 +52,8 @@ KNOWN, KNOWN_BYTES = 800_000, 160_000_000
 GATHERED, TOGETHER = 2_000_000, 250
 #: A space that begins a chunk: what stands before it isn't white space, and it isn't the last character.
 CUT, UNUSUAL = re.compile(r"(?<=\S) (?!\Z)"), re.compile(r"\s | \Z")
+#: Fixed value: the pattern by which byte-level vocabularies cut a text.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD_FACTOR = 2654435761
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 COLUMNS = "doc_id long, of long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
@@ -133,18 +138,36 @@ class PairTable:
         return counts, best
 
 
+def encoder(path: str, spec: dict, ranks: dict[bytes, int]) -> Callable[[str], list[int]]:
+    """Encodes a text by a tokenizers file, strings of special tokens as plain text.
+
+    Where the ids of merged tokens stand in the order of the merges, as they do in byte-level vocabularies made in one go, a
+    merge's rank is its id, and the faster library gives the same ids by them.
+    """
+    merges = [pair if isinstance(pair, list) else pair.split(" ") for pair in spec["model"]["merges"]]
+    vocabulary, kind = spec["model"]["vocab"], spec["pre_tokenizer"]
+    made = [vocabulary[a + b] for a, b in merges]
+    plain = kind["type"] == "ByteLevel" and kind["use_regex"] and not kind["add_prefix_space"] and spec["normalizer"] is None
+    if plain and made == sorted(made) and len(merges) + 256 == len(ranks) and max(ranks[bytes([k])] for k in range(256)) < made[0]:
+        return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    return lambda text: whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
 class Aligner:
     """Both tokenizers, and the alignment of the chunks met so far; with their groups if ``wanted``."""
 
     def __init__(self, a_path: str, b_path: str, wanted: bool = True):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        with open(a_path, encoding="utf-8") as f:
+            spec = json.load(f)
         of_symbol = {s: k for k, s in enumerate(byte_symbols())}
-        entries = self.a.get_vocab(with_added_tokens=False)
+        special = {t["content"] for t in spec["added_tokens"] if t["special"]}
+        entries = {token: k for token, k in spec["model"]["vocab"].items() if token not in special}
+        self.a_ids = encoder(a_path, spec, {bytes(map(of_symbol.__getitem__, token)): k for token, k in entries.items()})
         self.a_bytes = [b""] * (max(entries.values()) + 1)
         for token, k in entries.items():
             self.a_bytes[k] = bytes(map(of_symbol.__getitem__, token))
@@ -208,7 +231,7 @@ class Aligner:
     def encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids by both of the chunks side by side, the number of each chunk's ids, and that all are given back; else None."""
         joined = "".join(f" {c}" for c in chunks)
-        a, b = self.a.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.b.encode([joined[1:]], num_threads=1)[0]
+        a, b = self.a_ids(joined), self.b.encode([joined[1:]], num_threads=1)[0]
         raw = joined.encode()
         if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
             return None
@@ -219,7 +242,7 @@ class Aligner:
 
     def encoded_alone(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """As ``encoded``, each chunk by itself; those that aren't given back have no ids."""
-        a = [e.ids for e in self.a.encode_batch_fast([f" {c}" for c in chunks], add_special_tokens=False)]
+        a = [self.a_ids(f" {c}") for c in chunks]
         b = self.b.encode(chunks, num_threads=1)
         same = [b"".join(map(self.a_bytes.__getitem__, x)) == (raw := b" " + c.encode()) and b"".join(map(self.b_bytes.__getitem__, y)) == raw for c, x, y in zip(chunks, a, b, strict=True)]
         a, b = ([x if ok else [] for x, ok in zip(ids, same, strict=True)] for ids in (a, b))
