@@ -15,19 +15,39 @@ def verdict(test: Column) -> Column:
     return F.when(test, F.lit("PASS")).otherwise(F.lit("FAIL"))
 
 
-def match_evidence(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
+def match_evidence(nodes: DataFrame, evidence: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """``evidence`` per run with ``actual_count``: nodes of the role and of the name; an empty role or name is any.
 
-    ``nodes``: baseline_id, run_id, role, name, of all sources of a run. Nodes are counted by role and name, and a run's
-    counts gathered in one row, before they meet the evidence of its baseline: one pass over the nodes.
+    ``nodes``: baseline_id, run_id, role, name, of all sources of a run. ``runs`` (baseline_id, run_id): all runs that are
+    judged; those without nodes find nothing. Without it they are the runs of the nodes.
+
+    Nodes are counted by role and name before they meet anything. Names that no evidence of the baseline asks for become
+    one, so what is gathered of a run is bounded by its roles and the names asked for, however many nodes it has.
     """
     keys = ["baseline_id", "run_id"]
-    named = nodes.groupBy(*keys, "role", "name").agg(F.count("*").alias("n"))
-    counts = named.groupBy(*keys).agg(F.collect_list(F.struct("role", "name", "n")).alias("_counts"))
+    named = asked_names(nodes.groupBy(*keys, "role", "name").agg(F.count("*").alias("n")), evidence)
+    # a name that several pieces of evidence ask for has come out as often, with the same count
+    named = named.groupBy(*keys, "role", "name").agg(F.max("n").alias("_same"), F.sum("n").alias("_all"))
+    named = named.select(*keys, "role", "name", F.when(F.col("name") != "", F.col("_same")).otherwise(F.col("_all")).alias("n"))
+    return match_counts(named, evidence, runs)
+
+
+def asked_names(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``nodes`` with the names that no evidence of their baseline asks for as ''; a row for each piece of evidence that asks."""
+    asked = evidence.where("name <> ''").select("baseline_id", "name", F.lit(True).alias("_asked"))
+    return nodes.join(asked, ["baseline_id", "name"], "left").withColumn("name", F.when(F.col("_asked"), F.col("name")).otherwise("")).drop("_asked")
+
+
+def match_counts(named: DataFrame, evidence: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """``match_evidence`` from counts ``n`` by run, role and name; a run may also come with a null role alone."""
+    keys = ["baseline_id", "run_id"]
+    counts = named.groupBy(*keys).agg(F.collect_list(F.when(F.col("role").isNotNull(), F.struct("role", "name", "n"))).alias("_counts"))
+    if runs is not None:
+        counts = runs.select(*keys).distinct().join(counts, keys, "left")
     met = counts.join(evidence, "baseline_id")
     fits = lambda c: ((F.col("role") == "") | (c["role"] == F.col("role"))) & ((F.col("name") == "") | (c["name"] == F.col("name")))
     count = F.aggregate(F.filter("_counts", fits), F.lit(0).cast("long"), lambda total, c: total + c["n"])
-    return met.withColumn("actual_count", count).drop("_counts")
+    return met.withColumn("actual_count", F.coalesce(count, F.lit(0).cast("long"))).drop("_counts")
 
 
 def evaluate_counts(matched: DataFrame) -> DataFrame:

@@ -303,6 +303,21 @@ def j3(spark, sf):
     return actions.resolve_refs(wanted, found)
 
 
+SHOTS = "(SELECT o_custkey AS session, o_orderdate AS ts, max(o_orderkey) AS capture_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY ALL)"
+ACTS = "(SELECT o_custkey AS session, o_orderkey AS action_id, 'n' || (1 + o_orderkey % 4) AS ref, o_orderdate + CAST(o_orderkey % 300 - 100 AS INT) * INTERVAL 1 DAY AS ts FROM orders)"
+
+
+@query("j3_resolve_refs_at", f"""SELECT a.session, a.action_id, s.capture_id, a.ref, CAST(floor((l + r) / 2.0 + 0.5) AS INT) AS x, CAST(floor((t + b) / 2.0 + 0.5) AS INT) AS y, CASE WHEN l IS NULL THEN 'Unknown ref: ' || a.ref || '. Capture UI first.' END AS error
+FROM {ACTS} a ASOF LEFT JOIN {SHOTS} s ON a.session = s.session AND a.ts >= s.ts LEFT JOIN (SELECT tree_id, ref, l, t, r, b FROM reffed WHERE ref <> '') x ON x.tree_id = s.capture_id AND x.ref = a.ref""")
+def j3_at(spark, sf):
+    """Orders of a customer as captures of a session, and actions up to some months before or after: some come before any capture."""
+    k = F.col("o_orderkey")
+    shots = V.snapshots(spark, sf).select("session", F.col("tree_id").alias("capture_id"), F.col("ts").cast("timestamp").alias("ts"), "snapshot")
+    days = F.make_dt_interval((k % 300 - 100).cast("int"))
+    acts = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("session"), k.alias("action_id"), F.concat(F.lit("n"), (1 + k % 4).cast("string")).alias("ref"), (F.col("o_orderdate").cast("timestamp") + days).alias("ts"))
+    return actions.resolve_refs_at(acts, shots, slice_seconds=90 * 86400)
+
+
 @query("j4_swipe_path", """SELECT event_id, x + dx AS start_x, y + dy AS start_y, x - dx AS end_x, y - dy AS end_y FROM (SELECT event_id, event_id % 1080 AS x, user_id % 2400 AS y,
   CASE event_id % 5 WHEN 2 THEN 200 WHEN 3 THEN -200 ELSE 0 END AS dx, CASE event_id % 5 WHEN 0 THEN 200 WHEN 1 THEN -200 ELSE 0 END AS dy FROM events)""")
 def j4(spark, sf):

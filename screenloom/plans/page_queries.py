@@ -332,7 +332,7 @@ def w3c(spark, sf):
 @query("st1_stream_evaluate", "SELECT CAST(baseline_id AS VARCHAR) AS baseline_id, CAST(run_id AS VARCHAR) AS run_id, target_id, passed, total, passed / total AS score, CASE WHEN passed = total THEN 'PASS' ELSE 'FAIL' END AS status FROM scored")
 def st1(spark, sf):
     """Snapshots land as captures, in two parts of each run; each is scored when its files are there, the last time counts."""
-    from screenloom.streaming.jobs import stream_evaluate_table
+    from screenloom.streaming.jobs import rocksdb, stream_evaluate_table
 
     folder = _folder(spark)
     shots = tree.render_snapshot(V.native_with_refs(spark, sf)).select((F.col("tree_id") % 3).cast("string").alias("baseline_id"), F.col("tree_id").cast("string").alias("run_id"), F.lit("web").alias("plugin"), F.lit("transformed").alias("stage"), F.lit("llm_input").alias("source"), F.col("tree_id").alias("ts"), F.lit("text/yaml").alias("content_type"), F.col("snapshot").alias("content"))
@@ -342,7 +342,8 @@ def st1(spark, sf):
     blank = F.instr("content", "\n  ")
     for part in (F.when(blank > 0, F.substring(F.col("content"), F.lit(1), blank - 1)).otherwise(F.col("content")), F.when(blank > 0, F.substring(F.col("content"), blank + 1, F.length("content"))).otherwise("")):
         files.write_captures(shots.withColumn("content", part).withColumn("ts", F.col("ts") * 2 + F.when(blank > 0, F.length(part) % 2).otherwise(0)), f"{folder}/captures")
-        stream_evaluate_table(spark, f"{folder}/captures", f"{folder}/state", wanted, score).awaitTermination()
+        with rocksdb(spark):
+            stream_evaluate_table(spark, f"{folder}/captures", f"{folder}/state", wanted, score).awaitTermination()
     out = spark.read.schema("baseline_id string, run_id string, target_id string, passed long, total long, score double, status string, batch int").parquet(f"{folder}/out")
     return out.groupBy("baseline_id", "run_id", "target_id").agg(*(F.max_by(c, "batch").alias(c) for c in ("passed", "total", "score", "status")))
 
@@ -387,8 +388,9 @@ def e2(spark, sf):
     artifacts = files.read_captures(spark, f"{root}/captures")
     nodes = cut(texts.parse_snapshots(artifacts.where("type = 'llm_input' AND schema_status = 'PASS'"), keys, "content"))
     counted, wanted = texts.read_targets(intents(spark), ["baseline_id"])
-    counts = evaluate.evaluate_counts(evaluate.match_evidence(nodes, counted))
-    results = cut(evaluate.evaluate_counts(evaluate.match_evidence(nodes, wanted)))
+    runs = cut(artifacts.select(*keys).distinct())
+    counts = evaluate.evaluate_counts(evaluate.match_evidence(nodes, counted, runs))
+    results = cut(evaluate.evaluate_counts(evaluate.match_evidence(nodes, wanted, runs)))
     targets = evaluate.score_targets(results)
     files.write_evaluation(counts, targets, results, evaluate.summarize_run(artifacts.drop("content"), counts, targets), f"{root}/evaluation")
     back = spark.read.schema(f"baseline_id string, run_id string, summary struct<{','.join(f'{c}:bigint' for c in SUMMARY)},status:string>").json(f"{root}/evaluation")
@@ -415,18 +417,21 @@ def w3b(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", files.safe_file_name(F.col("text")).alias("file"))
 
 
-@query("st2_ref_table", """SELECT session, ref, l, t, r, b FROM (SELECT o_custkey AS session, arg_max(tree_id, o_orderdate * 1) AS tree_id FROM reffed JOIN orders ON o_orderkey = tree_id GROUP BY o_custkey) x JOIN (SELECT tree_id, ref, l, t, r, b FROM reffed WHERE ref <> '') y USING (tree_id)""".replace("arg_max(tree_id, o_orderdate * 1)", "arg_max(tree_id, (o_orderdate, tree_id))"))
+SESSION_REFS = """SELECT s.session, r.ref, r.l, r.t, r.r, r.b FROM (SELECT o_custkey AS session, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS tree_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY o_custkey) s JOIN reffed r USING (tree_id) WHERE r.ref <> ''"""
+
+
+@query("st2_ref_table", SESSION_REFS)
 def st2(spark, sf):
     """Snapshots as a stream of files; the refs of each session's latest one."""
-    from screenloom.streaming.jobs import stream_ref_table
+    from screenloom.streaming.jobs import REFS, rocksdb, stream_ref_table
 
     folder = _folder(spark)
     # of snapshots of the same time the one with the greater id is the later: its time is moved by the id's microseconds
     shots = V.snapshots(spark, sf).select("session", (F.col("ts") + F.expr("make_interval(0, 0, 0, 0, 0, 0, tree_id / 1000000)")).alias("ts"), "snapshot")
     shots.repartition(4).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("session long, ts timestamp, snapshot string").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    run = stream_ref_table(stream).writeStream.outputMode("update").foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{folder}/out"))
-    run.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.schema("session long, ts timestamp, refs string, batch int").parquet(f"{folder}/out").groupBy("session").agg(F.max_by("refs", F.struct("ts", "batch")).alias("refs"))
-    rows = out.select("session", F.explode(F.from_json("refs", "array<array<string>>")).alias("x"))
-    return rows.select("session", F.col("x")[0].alias("ref"), *(F.col("x")[k + 1].cast("int").alias(n) for k, n in enumerate("ltrb")))
+    with rocksdb(spark):
+        run = stream_ref_table(stream).writeStream.outputMode("update").foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{folder}/out"))
+        run.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(f"{REFS}, batch int").parquet(f"{folder}/out").groupBy("session").agg(F.max_by("refs", F.struct("ts", "batch")).alias("refs"))
+    return out.select("session", F.explode("refs").alias("x")).select("session", "x.ref", *(F.col(f"x.{s}").alias(s[0]) for s in ("left", "top", "right", "bottom")))

@@ -21,7 +21,11 @@ def scan_captures(spark: SparkSession, *roots: str) -> DataFrame:
 
     ``roots`` are folders at or below which they are. Rows come in no order: ``sort_artifacts`` sorts what is shown.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots))
+    return artifacts_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots)))
+
+
+def artifacts_of(files: DataFrame) -> DataFrame:
+    """The artifacts among files (``path``, ``length``, ``content``), also of a stream of them."""
     where = r"captures/([^/]+)/runs/([^/]+)/([^/]+)/(raw|transformed)/([^/]+)$"
     parts = [F.regexp_extract("path", where, k + 1).alias(n) for k, n in enumerate(("baseline_id", "run_id", "plugin", "stage", "file"))]
     found = files.where(F.col("path").rlike(where)).select(*parts, "path", F.col("length").alias("bytes"), F.col("content").cast("string").alias("content"))
@@ -45,13 +49,15 @@ def read_captures(spark: SparkSession, root: str, stream: bool = False) -> DataF
 def write_captures(df: DataFrame, root: str) -> None:
     """``baseline_id, run_id, plugin, stage, source, ts, content_type, content`` as a table with file names.
 
-    Partitioned by baseline alone; runs of a baseline are clustered in its files, so that small runs make no small files.
+    Partitioned by baseline alone. Rows are dealt by baseline, then evened out by their size: small baselines share a task and
+    have a file each, and one that outweighs ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` is written by several.
     """
     ending = F.lit(".txt")
     for kind, e in ENDINGS.items():
         ending = F.when(F.col("content_type") == kind, e).otherwise(ending)
     named = df.withColumn("file", F.concat("source", F.lit("_"), F.col("ts").cast("string"), ending))
-    named.repartition("baseline_id").sortWithinPartitions("baseline_id", "run_id", "plugin", "stage").write.mode("append").partitionBy("baseline_id").parquet(root)
+    dealt = named.hint("rebalance", "baseline_id")
+    dealt.sortWithinPartitions("baseline_id", "run_id", "plugin", "stage").write.mode("append").partitionBy("baseline_id").parquet(root)
 
 
 def write_evaluation(counts: DataFrame, targets: DataFrame, results: DataFrame, summary: DataFrame, root: str) -> None:

@@ -7,12 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def parse_snapshots(df: DataFrame, key: list[str], text: str = "snapshot") -> DataFrame:
-    """``pos``, ``role`` and ``name`` of each line of a snapshot that is a node."""
-    rows = df.select(*key, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
-    rows = rows.where(F.startswith("line", F.lit("- "))).withColumn("line", F.trim(F.regexp_replace(F.trim(F.substring("line", 3, 1 << 30)), r":$", "")))
+def parse_snapshots(df: DataFrame, key: list[str], text: str = "snapshot", outer: bool = False) -> DataFrame:
+    """``pos``, ``role`` and ``name`` of each line of a snapshot that is a node; with ``outer`` one without nodes has a row of nulls."""
+    body = lambda line: F.trim(F.regexp_replace(F.trim(F.substring(line, 3, 1 << 30)), r":$", ""))
+    lines = F.transform(F.split(F.col(text), r"\r?\n"), lambda line, pos: F.struct(pos.alias("pos"), F.trim(line).alias("line")))
+    lines = F.transform(F.filter(lines, lambda x: F.startswith(x["line"], F.lit("- "))), lambda x: F.struct(x["pos"].alias("pos"), body(x["line"]).alias("line")))
+    explode = F.explode_outer if outer else F.explode
+    rows = df.select(*key, explode(F.filter(lines, lambda x: x["line"] != "")).alias("x")).select(*key, "x.pos", "x.line")
     quoted = F.regexp_extract("line", r'^[^"]*+"((?:[^"\\]++|\\.)*+)"', 1)
-    return rows.where("line <> ''").select(*key, "pos", F.regexp_extract("line", r"^([^ \[]*)", 1).alias("role"), F.regexp_replace(quoted, r"\\(.)", "$1").alias("name"))
+    return rows.select(*key, "pos", F.regexp_extract("line", r"^([^ \[]*)", 1).alias("role"), F.regexp_replace(quoted, r"\\(.)", "$1").alias("name"))
 
 
 def _lines(df: DataFrame, key: list[str], text: str) -> DataFrame:

@@ -1,42 +1,75 @@
-"""Trees in JSON: web trees and inspector dumps, read through variants."""
+"""Trees in JSON: web trees and inspector dumps, taken apart in one pass over each text."""
 
 from __future__ import annotations
 
-import uuid
+import json
+from array import array
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenloom.functions import geometry, names, roles
 from screenloom.operators.tree import is_parent
-from screenloom.sources.markup import paths
 
-#: No limit: the recursion ends with the deepest tree.
-LEVELS = (1 << 31) - 1
+WALKED = "array<struct<path:array<int>,sibling_pos:int,own:string>>"
 
 
-def _unfold(df: DataFrame, child_path: str, root: str) -> DataFrame:
-    """``tree_id``, ``at`` (positions from the root) and the node ``v`` of each node under ``root`` (a variant column)."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    name = f"roots_{uuid.uuid4().hex}"
-    df.select("tree_id", F.col(root).alias("v")).where("v IS NOT NULL").createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE t (tree_id, at, v) MAX RECURSION LEVEL {LEVELS} AS (
-          SELECT tree_id, array(0), v FROM {name}
-          UNION ALL
-          SELECT t.tree_id, array_append(t.at, c.pos), c.value FROM t, LATERAL variant_explode(variant_get(t.v, '{child_path}', 'variant')) AS c
-        ) SELECT * FROM t""")
+def _not_json(said: str) -> None:
+    raise ValueError(f"not JSON: {said}")
+
+
+def walked(texts: pa.Array, children: str, root: str | None, strict: bool) -> pa.Array:
+    """The nodes of each text in pre-order: ancestors, place among siblings, and the node's own JSON without its children."""
+    path, ends, pos, own, sizes = array("i"), array("i", [0]), array("i"), [], array("i", [0])
+    for text in texts.to_pylist():
+        try:
+            found = json.loads(text, parse_constant=_not_json) if text and not text.isspace() else None
+        except ValueError as error:
+            if strict:
+                raise ValueError(f"malformed JSON: {error}") from None
+            found = None
+        if root is not None:
+            found = found.get(root) if isinstance(found, dict) else None
+        begin = len(pos)
+        todo = [(found, [], 0)] if found is not None else []
+        while todo:
+            node, above, place = todo.pop()
+            kids = node.get(children) if isinstance(node, dict) else None
+            me = len(pos) - begin
+            path.extend(above)
+            ends.append(len(path))
+            pos.append(place)
+            own.append(json.dumps({k: v for k, v in node.items() if k != children} if isinstance(node, dict) else node, ensure_ascii=False))
+            if isinstance(kids, list):
+                todo += [(kid, [*above, me], k) for k, kid in reversed(list(enumerate(kids)))]
+        sizes.append(len(pos))
+    paths = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(path, pa.int32()))
+    rows = pa.StructArray.from_arrays([paths, pa.array(pos, pa.int32()), pa.array(own, pa.string())], ["path", "sibling_pos", "own"])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows)
+
+
+def _unfold(df: DataFrame, tree_id: str, text: str, children: str, root: str | None, strict: bool) -> DataFrame:
+    """A row for each node, with its own fields ``v`` as a variant. A map over the texts: no row is shuffled."""
+
+    @F.arrow_udf(WALKED)
+    def found(texts: pa.Array) -> pa.Array:
+        return walked(texts, children, root, strict)
+
+    rows = df.select(F.col(tree_id).alias("tree_id"), F.posexplode(found(F.col(text))).alias("node_id", "x")).select("tree_id", "node_id", "x.*")
+    parent = F.try_element_at("path", F.lit(-1))
+    return rows.select("tree_id", "node_id", parent.alias("parent_id"), F.size("path").alias("depth"), "path", "sibling_pos", F.try_parse_json("own").alias("v"))
 
 
 def read_web_trees(df: DataFrame, tree_id: str = "tree_id", json: str = "json") -> DataFrame:
-    """``{url, title, root}`` to the node contract. No root, no rows; a text that isn't JSON is an error."""
-    spark_rows = df.select(F.col(tree_id).alias("tree_id"), F.variant_get(F.parse_json(json), "$.root", "variant").alias("root"))
-    rows = _unfold(spark_rows, "$.children", "root")
+    """``{url, title, root}`` to the node contract. No root or no text, no rows; another text that isn't JSON is an error.
+
+    Of a key that an object has twice the last counts; children that are no list count as none.
+    """
+    nodes = _unfold(df, tree_id, json, "children", "root", strict=True)
     get = lambda path, kind: F.try_variant_get("v", path, kind)
     box = get("$.bounds", "array<int>")
-    nodes = rows.withColumn("depth", F.size("at") - 1).select("*", roles.map_role(F.coalesce(get("$.role", "string"), F.lit(""))).alias("role"))
-    nodes = paths(nodes, "at")
+    nodes = nodes.select("*", roles.map_role(F.coalesce(get("$.role", "string"), F.lit(""))).alias("role"))
     empty = F.lit("")
     return nodes.select(
         "tree_id", F.lit("web").alias("source"), "node_id", "parent_id", "depth", "path", "sibling_pos", "role", F.lit("web").alias("role_source"), F.lit(1.0).alias("role_confidence"),
@@ -48,9 +81,7 @@ def read_web_trees(df: DataFrame, tree_id: str = "tree_id", json: str = "json")
 
 def read_inspector_trees(df: DataFrame, tree_id: str = "tree_id", json: str = "json") -> DataFrame:
     """Inspector dumps to raw nodes: ``kind``, ``id``, ``bounds`` and ``attrs``. What isn't JSON gives no rows."""
-    parsed = df.select(F.col(tree_id).alias("tree_id"), F.try_parse_json(json).alias("root"))
-    rows = _unfold(parsed, '$["$children"]', "root")
-    nodes = paths(rows.withColumn("depth", F.size("at") - 1), "at")
+    nodes = _unfold(df, tree_id, json, "$children", None, strict=False)
     text = lambda key: F.coalesce(F.try_variant_get("v", f'$["${key}"]', "string"), F.lit(""))
     attrs = F.coalesce(F.try_variant_get("v", '$["$attrs"]', "map<string,string>"), F.create_map().cast("map<string,string>"))
     return nodes.select("tree_id", "node_id", "parent_id", "depth", "path", "sibling_pos", text("type").alias("kind"), text("ID").alias("id"), geometry.parse_rect_float(text("rect")).alias("bounds"), attrs.alias("attrs"))

@@ -1,101 +1,123 @@
-"""Structured Streaming: evaluation as captures land, and the latest refs of each session."""
+"""Structured Streaming: evaluation as captures land, and the latest refs of each session, both with states by key."""
 
 from __future__ import annotations
 
-import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from screenloom.operators import evaluate
-from screenloom.sources.files import read_captures, scan_captures
+from screenloom.sources.files import artifacts_of, read_captures
 from screenloom.sources.texts import parse_snapshots
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-#: Most runs whose folders are read by one job of a batch.
-RUNS_AT_ONCE = 1000
+class RunCounts(StatefulProcessor):
+    """A run's state is how many nodes it has by role and name, so a batch reads the files that have landed and no others.
 
+    All counts of a run come out whenever files of it land: a row for each role and name, or one of nulls if it has no node.
+    """
 
-def stream_evaluate(spark: SparkSession, root: str, checkpoint: str, evidence: DataFrame, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Scores of each run whose files land under ``root``, per batch to ``sink``. Runs are read whole, earlier files too.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # one value, as all counts of a run are read and written together
+        self.counts = handle.getValueState("counts", "roles array<string>, names array<string>, n array<long>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        counts = {(role, name): n for role, name, n in zip(*self.counts.get(), strict=True)} if self.counts.exists() else {}
+        for b in rows:
+            for at, n in Counter(zip(b["role"], b["name"], strict=True)).items():
+                if at[0] is not None:
+                    counts[at] = counts.get(at, 0) + n
+        self.counts.update(([role for role, _ in counts], [name for _, name in counts], list(counts.values())))
+        found = [(*key, role, name, n) for (role, name), n in counts.items()]
+        yield pd.DataFrame(found or [(*key, None, None, 0)], columns=["baseline_id", "run_id", "role", "name", "n"])
+
+    def close(self) -> None:
+        pass
 
-    Only the folders of the batch's runs are listed and read, ``RUNS_AT_ONCE`` at a time; ``sink`` is called for each part.
-    """
-    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(root)
-    folder = files.select(F.regexp_extract("path", r"^(.*captures/[^/]+/runs/[^/]+)/", 1).alias("folder"))
 
-    def evaluated(folders: list[str], number: int) -> None:
-        found = scan_captures(spark, *folders).where("type = 'llm_input' AND schema_status = 'PASS'")
-        nodes = parse_snapshots(found, ["baseline_id", "run_id"], "content")
-        sink(evaluate.score_targets(evaluate.evaluate_counts(evaluate.match_evidence(nodes, evidence))), number)
+def _evaluated(artifacts: DataFrame, checkpoint: str, evidence: DataFrame, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Scores of each run of which artifacts land. Names that no evidence asks for are one, which bounds a run's state."""
+    keys = ["baseline_id", "run_id"]
+    nodes = parse_snapshots(artifacts.where("type = 'llm_input' AND schema_status = 'PASS'"), keys, "content", outer=True)
+    asked = evidence.select("baseline_id", "name").distinct()
+    named = evaluate.asked_names(nodes.select(*keys, "role", "name"), asked)
+    counts = named.groupBy(*keys).transformWithStateInPandas(RunCounts(), "baseline_id string, run_id string, role string, name string, n long", "Update", "None")
 
     def batch(df: DataFrame, number: int) -> None:
-        part: list[str] = []
-        for row in df.where("folder <> ''").distinct().toLocalIterator():
-            part.append(row["folder"])
-            if len(part) == RUNS_AT_ONCE:
-                evaluated(part, number)
-                part = []
-        if part:
-            evaluated(part, number)
+        sink(evaluate.score_targets(evaluate.evaluate_counts(evaluate.match_counts(df, evidence))), number)
 
-    return folder.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return counts.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-#: Most baselines of a batch that are named to the reader, so that it opens their folders alone.
-BASELINES_NAMED = 1000
+def stream_evaluate(spark: SparkSession, root: str, checkpoint: str, evidence: DataFrame, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Scores of each run whose files land under ``root``, per batch to ``sink``; what landed before counts too.
+
+    Runs in a session whose state store is RocksDB (``rocksdb``).
+    """
+    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(root)
+    return _evaluated(artifacts_of(files), checkpoint, evidence, sink)
 
 
 def stream_evaluate_table(spark: SparkSession, root: str, checkpoint: str, evidence: DataFrame, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """``stream_evaluate`` for captures that land in the table of ``write_captures`` at ``root``: a call of ``sink`` per batch."""
+    """``stream_evaluate`` for captures that land in the table of ``write_captures`` at ``root``."""
+    return _evaluated(read_captures(spark, root, stream=True), checkpoint, evidence, sink)
 
-    def batch(df: DataFrame, number: int) -> None:
-        keys = ["baseline_id", "run_id"]
-        runs = df.select(*keys).distinct()
-        whole = read_captures(spark, root).where("type = 'llm_input' AND schema_status = 'PASS'")
-        named = [r[0] for r in runs.select("baseline_id").distinct().limit(BASELINES_NAMED + 1).collect()]
-        if len(named) <= BASELINES_NAMED:
-            whole = whole.where(F.col("baseline_id").isin(*named))
-        nodes = parse_snapshots(whole.join(runs, keys, "left_semi"), keys, "content")
-        sink(evaluate.score_targets(evaluate.evaluate_counts(evaluate.match_evidence(nodes, evidence))), number)
 
-    landed = read_captures(spark, root, stream=True).select("baseline_id", "run_id")
-    return landed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start meanwhile keep their state in RocksDB, which states with several values need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 REF = re.compile(r"\[ref=([nw]\d+)\].*?\[bounds=(\d+),(\d+),(\d+),(\d+)\]")
+REFS = "session long, ts timestamp, refs array<struct<ref:string,left:int,top:int,right:int,bottom:int>>"
 
 
-def stream_ref_table(snapshots: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """``session, ts, refs``: a new snapshot (``session, ts, snapshot``) takes the place of all refs before it.
+class LatestRefs(StatefulProcessor):
+    """A session's state is its latest snapshot's time, one number, which goes when no snapshot came for ``idle_ms``."""
 
-    ``refs`` is a JSON list of ``[ref, left, top, right, bottom]``, as a state's output has one row. The state of a session
-    is its latest snapshot's time, one number; an older one that comes late is ignored. With ``idle_ms`` a session without
-    snapshots for so long (of the clock) ends, and its state goes.
-    """
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        latest, refs = (state.get[0], None) if state.exists else (None, None)
-        for b in batches:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "micros long", self.idle_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.latest.get()[0] if self.latest.exists() else None
+        latest, refs = before, None
+        for b in rows:
             for ts, text in zip(b["ts"], b["snapshot"], strict=True):
                 micros = ts.value // 1000
                 if latest is None or micros >= latest:
-                    latest, refs = micros, [[m[1], *map(int, m.groups()[1:])] for m in REF.finditer(text or "")]
-        if refs is not None:
-            state.update((latest,))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
+                    latest, refs = micros, [(m[1], *map(int, m.groups()[1:])) for m in REF.finditer(text or "")]
         if refs is not None:
-            yield pd.DataFrame([(key[0], pd.Timestamp(latest, unit="us"), json.dumps(refs))], columns=["session", "ts", "refs"])
+            self.latest.update((latest,))
+            names = ("ref", "left", "top", "right", "bottom")
+            yield pd.DataFrame({"session": [key[0]], "ts": [pd.Timestamp(latest, unit="us")], "refs": [[dict(zip(names, r, strict=True)) for r in refs]]})
+
+    def close(self) -> None:
+        pass
 
-    timeout = "ProcessingTimeTimeout" if idle_ms else "NoTimeout"
-    return snapshots.groupBy("session").applyInPandasWithState(update, "session long, ts timestamp, refs string", "latest long", "update", timeout)
+
+def stream_ref_table(snapshots: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """``session, ts, refs``: a new snapshot (``session, ts, snapshot``) takes the place of all refs before it.
+
+    ``refs`` are structs of a ref and its box. The state of a session is one number; an older snapshot that comes late is
+    ignored. With ``idle_ms`` the state of a session without snapshots for so long (of the clock) goes. Needs the RocksDB
+    state store.
+    """
+    return snapshots.groupBy("session").transformWithStateInPandas(LatestRefs(idle_ms), REFS, "Update", "ProcessingTime" if idle_ms else "None")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -333,6 +334,83 @@ def test_web_and_inspector_json(spark):
     assert trees.read_inspector_trees(spark.createDataFrame([(1, "{")], "tree_id long, json string")).count() == 0
 
 
+def test_json_trees_are_read_in_one_map(spark):
+    roles_ = "table row cell columnheader article complementary blockquote caption group term definition separator meter option status paragraph rowgroup button link".split()
+    node = lambda role, **more: {"role": role, "name": "n", "states": [], "bounds": [0, 0, 9, 9], "children": []} | more
+    made = [json.dumps({"url": "u", "root": node("screen", children=[node(r) for r in [*roles_, "unknownrole"]])}), "", None, json.dumps({"root": node("button", states=["disabled", "expanded"], bounds=[10, 20, 110, 70])}), json.dumps({"root": node("text", children={"a": 1}, name="1.50é\n")})]
+    df = spark.createDataFrame(list(enumerate(made)), "tree_id int, json string")
+    nodes = trees.read_web_trees(df)
+    assert exchanges(nodes)[0] == 0 and exchanges(trees.read_inspector_trees(df))[0] == 0
+    rows = nodes.orderBy("tree_id", "node_id").collect()
+    assert [r["role"] for r in rows if r["tree_id"] == 0] == ["screen", *roles_, "generic"] and {r["tree_id"] for r in rows} == {0, 3, 4}
+    assert rows[-2]["states"] == ["disabled", "expanded"] and rows[-2]["bounds"]["bottom"] == 70 and rows[-1]["name"] == "1.50é\n"
+    deep = '{"role":"generic","children":[' * 600 + '{"role":"text"}' + "]}" * 600
+    assert trees.read_web_trees(spark.createDataFrame([(1, f'{{"root":{deep}}}')], "tree_id int, json string")).agg(F.max("depth")).first()[0] == 600
+
+
+EVIDENCE_SCHEMA = "baseline_id string, target_id string, evidence_id string, capability string, role string, name string, min_count int"
+
+
+def test_runs_without_nodes_fail(spark, tmp_path):
+    """A blank snapshot is a run that finds nothing: zero and FAIL, in a batch, as a stream of files, and later with nodes."""
+    from screenloom.streaming.jobs import rocksdb, stream_evaluate_table
+
+    wanted = spark.createDataFrame([("m", "t", "e1", "c", "button", "", 1), ("m", "t", "e2", "c", "", "x", 2), ("m", "t", "e3", "c", "text", "x", 1)], EVIDENCE_SCHEMA)
+    nodes = spark.createDataFrame([("m", "r1", "button", "a"), ("m", "r1", "text", "x"), ("m", "r1", "list", "x"), ("m", "r1", "list", "other")], "baseline_id string, run_id string, role string, name string")
+    runs = spark.createDataFrame([("m", "r1"), ("m", "blank"), ("m", "blank")], "baseline_id string, run_id string")
+    found = {(r["run_id"], r["evidence_id"]): r["actual_count"] for r in evaluate.match_evidence(nodes, wanted, runs).collect()}
+    assert found == {("r1", "e1"): 1, ("r1", "e2"): 2, ("r1", "e3"): 1, ("blank", "e1"): 0, ("blank", "e2"): 0, ("blank", "e3"): 0}
+    shots = lambda rows: spark.createDataFrame([("m", run, "web", "transformed", "llm_input", ts, "text/yaml", text) for run, ts, text in rows], "baseline_id string, run_id string, plugin string, stage string, source string, ts long, content_type string, content string")
+    got, progress = [], []
+    for part in ([("r1", 1, '- button "a"\n- text "x"'), ("blank", 2, "# nothing")], [("blank", 3, '- button\n- list "x"\n- text "x"')]):
+        files.write_captures(shots(part), str(tmp_path / "c"))
+        with rocksdb(spark):
+            run = stream_evaluate_table(spark, str(tmp_path / "c"), str(tmp_path / "state"), wanted, lambda df, k: got.append({r["run_id"]: (r["passed"], r["status"]) for r in df.collect()}))
+            run.awaitTermination()
+            progress.append(sum(p["numInputRows"] for p in run.recentProgress))
+    assert [g for g in got if g] == [{"r1": (2, "FAIL"), "blank": (0, "FAIL")}, {"blank": (3, "PASS")}]
+    assert progress == [2, 1]  # a batch reads the rows that landed, not what a run had before
+
+
+def test_a_hot_baseline_is_written_by_many_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        name = F.when(F.col("id") < 18_000, "hot").otherwise(F.concat(F.lit("b"), F.col("id") % 5))
+        rows = spark.range(20_000).select(name.alias("baseline_id"), (F.col("id") % 100).cast("string").alias("run_id"), F.lit("native").alias("plugin"), F.lit("raw").alias("stage"), F.lit("x").alias("source"), F.col("id").alias("ts"), F.lit("text/xml").alias("content_type"), F.sha2(F.col("id").cast("string"), 512).alias("content"))
+        files.write_captures(rows, str(tmp_path / "c"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    sizes = {p.name: [f.stat().st_size for f in p.glob("*.parquet")] for p in (tmp_path / "c").glob("baseline_id=*")}
+    assert len(sizes) == 6 and all(len(s) == 1 for name, s in sizes.items() if "hot" not in name)
+    hot = sizes["baseline_id=hot"]
+    assert len(hot) >= 2 and max(hot) < 1.5e6 and files.read_captures(spark, str(tmp_path / "c")).count() == 20_000
+
+
+def test_refs_as_of_a_time(spark):
+    """An action meets the newest capture before it, and no ref of an older one; held against a plain scan, with hot sessions."""
+    from screenloom.operators import actions
+
+    rng = random.Random(4)
+    shots, acts = [], []
+    for k in range(120):
+        session = rng.choice([1, 1, 1, 2, 3])
+        refs = rng.sample(range(1, 6), rng.randint(0, 3))
+        shots.append((session, k, rng.randint(0, 40_000), "\n".join(f"- button [ref=n{r}] [bounds={r},{k},{r + 10},{k + 4}]" for r in refs)))
+    for k in range(300):
+        acts.append((rng.choice([1, 1, 1, 2, 3, 4]), k, f"n{rng.randint(1, 5)}", rng.choice([s[2] for s in shots] + [rng.randint(0, 50_000)])))
+    at = lambda df: df.withColumn("ts", F.timestamp_seconds("ts"))
+    df = actions.resolve_refs_at(at(spark.createDataFrame(acts, "session int, action_id int, ref string, ts long")), at(spark.createDataFrame(shots, "session int, capture_id int, ts long, snapshot string")), slice_seconds=3000)
+    got = {r["action_id"]: (r["capture_id"], r["x"], r["y"]) for r in df.collect()}
+    want = {}
+    for session, k, ref, ts in acts:
+        before = max(((s[2], s[1]) for s in shots if s[0] == session and s[2] <= ts), default=None)
+        text = next(s[3] for s in shots if s[1] == before[1]) if before else ""
+        line = next((x for x in text.split("\n") if f"[ref={ref}]" in x), None)
+        box = list(map(int, line.split("bounds=")[1][:-1].split(","))) if line else None
+        want[k] = (before[1] if before else None, *((int((box[0] + box[2]) / 2 + 0.5), int((box[1] + box[3]) / 2 + 0.5)) if box else (None, None)))
+    assert got == want and len(got) == 300
+
+
 def test_geometry(spark):
     df = spark.createDataFrame([("[-3,0][4,-5]",), ("x[1,2][3,4]",), (None,)], "s string").select(geometry.box_geometry(geometry.parse_bounds(F.col("s"))).alias("g"))
     rows = [r["g"] for r in df.collect()]
@@ -411,7 +489,7 @@ def test_vision_model_errors_stay_with_their_row(spark):
 
 
 def test_captures_on_disk_and_stream(spark, tmp_path):
-    from screenloom.streaming.jobs import stream_evaluate
+    from screenloom.streaming.jobs import rocksdb, stream_evaluate
 
     root = tmp_path / "captures"
     for base, run, text in (("m", "r1", '- screen:\n  - button "a"'), ("m", "r2", "- text")):
@@ -423,7 +501,8 @@ def test_captures_on_disk_and_stream(spark, tmp_path):
     assert sorted((r["run_id"], r["type"]) for r in scanned) == [("r1", "llm_input"), ("r1", "raw_xml"), ("r2", "llm_input"), ("r2", "raw_xml")]
     evidence = spark.createDataFrame([("m", "t", "e", "c", "button", "", 1)], "baseline_id string, target_id string, evidence_id string, capability string, role string, name string, min_count int")
     got = []
-    stream_evaluate(spark, str(tmp_path), str(tmp_path / "state"), evidence, lambda df, k: got.extend(df.collect())).awaitTermination()
+    with rocksdb(spark):
+        stream_evaluate(spark, str(tmp_path), str(tmp_path / "state"), evidence, lambda df, k: got.extend(df.collect())).awaitTermination()
     nodes = texts.parse_snapshots(files.scan_captures(spark, str(tmp_path)).where("type = 'llm_input'"), ["baseline_id", "run_id"], "content")
     batch = evaluate.score_targets(evaluate.evaluate_counts(evaluate.match_evidence(nodes, evidence))).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, batch)) and {r["run_id"]: r["status"] for r in got} == {"r1": "PASS", "r2": "FAIL"}
