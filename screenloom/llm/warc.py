@@ -12,9 +12,8 @@ A page is read once from left to right, in time in proportion to its length what
 in vain is not looked for again.
 
 Defined cases: a null page is an empty body; a body that isn't UTF-8 is read with replacement characters; null URLs are
-empty target URIs; record ids are made from a page's id, URL and body, and where id and URL occur more than once from the
-row's place in the table as well, so that repeated rows have records of their own; of a source header that repeats, all
-are kept; a tag without ``>`` is text, a comment, script or style without an end is a tag like any other; extra columns
+empty target URIs; record ids are made from a page's id, URL and body, and copies of a page are numbered, so that repeated
+rows have records of their own and ids never depend on how rows are dealt; of a source header that repeats, all are kept; a tag without ``>`` is text, a comment, script or style without an end is a tag like any other; extra columns
 are not read; an empty table gives no records.
 """
 
@@ -31,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.llm.bloom import asked
+from screenloom.llm.bloom import impossible, possible
 
 RECORD = "page_id long, record_id string, type string, headers array<struct<name:string,value:string>>, block binary"
 VERSION = b"WARC/1.1"
@@ -86,6 +85,7 @@ class Page:
     def read(self, page: str) -> str:
         out: list[str] = []
         endless: set[str] = set()
+        ends: dict[str, re.Match | None] = {}  # the next end of each element that was looked for
         at, shown_from, titled = 0, 0, False  # text before ``shown_from`` belongs to the head
         while (begin := page.find("<", at)) >= 0:
             if at >= shown_from:
@@ -104,7 +104,11 @@ class Page:
                 continue
             name, opens = named[1].lower(), tag[1] != "/"
             if opens and name in DROPPED and name not in endless:
-                if not (close := DROPPED[name].search(page, at)):
+                close = ends.get(name)
+                if close is None or close.start() < at:
+                    close = DROPPED[name].search(page, at)
+                    ends[name] = close
+                if close is None:
                     endless.add(name)
                 elif name == "head":
                     shown_from = max(shown_from, close.end())
@@ -184,23 +188,26 @@ def frame(records: Iterable[dict]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["page_id", "record_id", "type", "headers", "block"]).astype({"page_id": "Int64"})
 
 
-def _whole(value: object) -> object:
-    return None if pd.isna(value) else value
-
-
 def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """Pages as response records. Map only, after a look at ids and URLs alone that finds those that repeat."""
+    """Pages as response records. Of equal pages the first has the plain id and the others are numbered, however rows are dealt.
+
+    A look at hashes alone finds which pages may be repeated; only those are shuffled, and equal ones are counted before.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = zip(b["page_id"], b["url"], b["body"], b["place"], strict=True)
-            yield frame(response(None if pd.isna(i) else int(i), _whole(u), _whole(t), int(p)) for i, u, t, p in rows)
+            yield frame(response(None if pd.isna(i) else int(i), u, t, int(p)) for i, u, t, p in rows)
 
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(body).cast("string").alias("body"), F.xxhash64(F.col(page_id).cast("long"), F.col(url).cast("string")).alias("key"))
+    page = ["page_id", "url", "body"]
+    # what has the same id is the same page: null and empty texts, and URLs that differ in line breaks
+    url_, body_ = F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), r"[\r\n]+\s*", " "), F.coalesce(F.col(body).cast("string"), F.lit(""))
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), url_.alias("url"), body_.alias("body"))
+    rows = rows.withColumn("key", F.xxhash64(*page))
     repeated = rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
-    placed, perhaps = asked(rows, repeated, "key")
-    placed = placed.withColumn("place", F.when(perhaps, F.monotonically_increasing_id() + 1).otherwise(0).cast("long"))
-    return placed.select("page_id", "url", "body", "place").mapInPandas(run, RECORD)
+    times = possible(rows, repeated).groupBy(*page).agg(F.count("*").alias("times"))
+    copies = times.select(*page, F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("place"))
+    return impossible(rows, repeated).select(*page, F.lit(0).cast("long").alias("place")).unionByName(copies).mapInPandas(run, RECORD)
 
 
 def derivatives(records: DataFrame) -> DataFrame:

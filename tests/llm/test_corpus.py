@@ -395,6 +395,17 @@ def test_warc_odd_pages(spark):
     assert warc.derivatives(warc.responses(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
+def test_warc_ids_do_not_depend_on_the_partitions(spark):
+    single = spark.range(20_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a/"), "id").alias("url"), F.concat(F.lit("<p>"), "id").alias("html"))
+    copies = single.limit(0)
+    for k in range(3):
+        copies = copies.unionByName(spark.range(20_000, 20_100).select(F.col("id").alias("page_id"), F.lit("http://b/").alias("url"), F.when(F.lit(k) < 2, "same").otherwise("other").alias("html")))
+    blank = spark.createDataFrame([(None, None, None), (None, "", ""), (None, None, "")], "page_id long, url string, html string")
+    pages = single.unionByName(copies).unionByName(blank)
+    ids = [sorted((r["page_id"] or -1, r["record_id"]) for r in warc.responses(pages.repartition(n)).select("page_id", "record_id").collect()) for n in (3, 7)]
+    assert ids[0] == ids[1] and len(ids[0]) == 20_303 == len({i for _, i in ids[0]})
+
+
 class Reader(HTMLParser):
     """An independent reader: title, language, links and visible text of a well-formed page."""
 
@@ -437,6 +448,7 @@ def test_warc_hostile_pages_take_little_time():
     for bad in ("<script", "<script>", "<", "<!--", "<title>", "<a href ", "</script ", "a<head>", "&", "<a href=x"):
         begin = time.monotonic()
         warc.Page(bad * 100_000)
+        warc.Page(bad * 100_000 + "</title></head></script>-->")
         assert time.monotonic() - begin < 5, bad
     record = {"page_id": 1, "record_id": "<r>", "type": "response", "headers": [("WARC-Date", "a"), ("WARC-Date", "b"), ("WARC-Payload-Digest", "d")], "block": b"HTTP/1.1 200 OK\r\nA: 1\r\nA: 2\r\n\r\nx < y"}
     about, text = warc.derive(record)
