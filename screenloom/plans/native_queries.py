@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -603,11 +604,23 @@ def f1(spark, sf):
 
 @query("f2_register_source", "SELECT tree_id, node_id, parent_id, role, name FROM folded")
 def f2(spark, sf):
-    """Screens as a source of a user, read under the node contract."""
-    from screenloom.sources import files
-
-    files.register_source("screens", native.semantic_nodes)
-    return files.read_source("screens", V.screen_nodes(spark, sf).drop("quantity")).select("tree_id", "node_id", "parent_id", "role", "name")
+    """Screens as a source of a user: XML in a folder of captures, a format of Spark that lists and reads it, and a reader under the node contract."""
+    from screenloom.cut import shared_folder
+    from screenloom.sources import captures, files, markup
+
+    root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    lines = markup.native_xml(V.screen_nodes(spark, sf)).select("tree_id", F.concat(F.col("tree_id").cast("string"), F.lit("\t"), "xml").alias("value"))
+    lines.select("value").write.text(f"{root}/captures/screens/runs/r1/native/raw")
+    captures.register(spark)
+
+    def to_nodes(df: DataFrame) -> DataFrame:
+        rows = df.select(F.explode(F.split("content", "\n")).alias("line")).where("line <> ''")
+        xml = rows.select(F.substring_index("line", "\t", 1).cast("long").alias("tree_id"), F.substring_index("line", "\t", -1).alias("xml"))
+        return native.semantic_nodes(markup.read_native_trees(xml))
+
+    files.register_source("screens", to_nodes)
+    found = spark.read.format("captures").option("partitionBytes", "4000000").load(root).where("plugin = 'native' AND stage = 'raw'")
+    return files.read_source("screens", found).select("tree_id", "node_id", "parent_id", "role", "name")
 
 
 @query("x3_icon_norm", "SELECT p_partkey, translate(replace(replace(lower('图标 ' || p_name || '-Icon_。：'), '图标', ''), 'icon', ''), '：， -_。.', ':,') AS norm FROM part")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -63,49 +64,14 @@ def paths(nodes: DataFrame, order: str, max_depth: int | None = None) -> DataFra
     return out.select("tree_id", *(F.col(f"_node._nodes.{c}") for c in others), "node_id", F.col("_node._found.path"), F.col("_node._found.sibling_pos")).withColumn("parent_id", F.try_element_at("path", F.lit(-1)))
 
 
-#: What a token of a view hierarchy does to the tree: an element without content, one that opens, one that closes.
-LEAF, OPEN, CLOSE = range(1, 4)
-PLACED = "array<struct<at:int,depth:int,path:array<int>,sibling_pos:int>>"
-
-
-def placed(trees: pa.Array, max_depth: int | None) -> pa.Array:
-    """The nodes of each text from the kinds of its tokens: which token (``at``), and its place in the tree."""
-    at, depths, sizes = array("i"), [], array("i", [0])
-    for kinds in trees.to_pylist():
-        level, own = 0, []
-        for k, kind in enumerate(kinds or ()):
-            if kind == CLOSE:
-                level -= 1
-                continue
-            if max_depth is None or level <= max_depth:
-                at.append(k)
-                own.append(max(level, 0))
-            level += kind == OPEN
-        depths.append(own)
-        sizes.append(len(at))
-    found = ancestors(pa.array(depths, pa.list_(pa.int32()))).flatten()
-    depth = pa.array([d for own in depths for d in own], pa.int32())
-    rows = pa.StructArray.from_arrays([pa.array(at, pa.int32()), depth, *found.flatten()], ["at", "depth", "path", "sibling_pos"])
-    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows)
-
-
-def take_apart(df: DataFrame, tokens: str, kind: Callable[[Column], Column], max_depth: int | None) -> DataFrame:
-    """The other columns of ``df`` with ``token`` and its place for each node in the array ``tokens``: no shuffle."""
-
-    @F.arrow_udf(PLACED)
-    def found(kinds: pa.Array) -> pa.Array:
-        return placed(kinds, max_depth)
-
-    rows = df.withColumn("_placed", found(F.transform(tokens, kind)))
-    whole = F.transform("_placed", lambda n: F.struct(F.get(F.col(tokens), n["at"]).alias("token"), n["depth"].alias("depth"), n["path"].alias("path"), n["sibling_pos"].alias("sibling_pos")))
-    others = [c for c in df.columns if c != tokens]
-    return rows.select(*others, F.posexplode(whole).alias("node_id", "_n")).select(*others, "node_id", "_n.*").withColumn("parent_id", F.try_element_at("path", F.lit(-1)))
+#: Character references that are read, ``&amp;`` last.
+REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#10;", "\n"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
 
 def decoded(c: Column) -> Column:
-    """Character references to characters, ``&amp;`` last."""
+    """Character references to characters."""
     out = c
-    for said, meant in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#10;", "\n"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    for said, meant in REFERENCES:
         out = F.replace(out, F.lit(said), F.lit(meant))
     return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
 
@@ -121,11 +87,6 @@ def encoded(c: Column) -> Column:
 FLAG_NAMES = {"on_click": "has-onclick-listener", "item_click": "has-item-click-listener", "item_touch": "has-item-touch-listener", "touch_override": "overrides-onTouchEvent", "long_clickable": "long-clickable"}
 
 
-def _level(done: Column, kind: Column) -> Column:
-    now = done["now"] + F.when(kind == OPEN, 1).when(kind == CLOSE, -1).otherwise(0)
-    return F.struct(now.alias("now"), F.least(done["least"], now).alias("least"))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -146,32 +107,69 @@ def first_of_each(names: Column, values: Column) -> Column:
     return let(F.struct(names.alias("names"), values.alias("values")), pairs)
 
 
+#: What is read of a view's tag as text, and the schema of its node before boxes and roles.
+SAID = ["class", "resource-id", "text", "desc", "content-desc", "hint", "bounds"]
+VIEWS = "array<struct<depth:int,path:array<int>,sibling_pos:int,said:array<string>,flags:array<boolean>>>"
+
+
+def view_values(tag: str) -> tuple[list[str], list[bool]]:
+    """The texts ``SAID`` and the flags of a tag: between its quotes stand its values, and before each its name."""
+    parts = tag.split('"')
+    given: dict[str, str] = {}
+    for k in range(0, len(parts) - 1, 2):
+        given.setdefault(parts[k].removeprefix("<node").strip(), parts[k + 1])
+    said = [given.get(f"{name}=", "") for name in SAID]
+    if "&" in tag:
+        said = [reduce(lambda text, pair: text.replace(*pair), REFERENCES, text) if "&" in text else text for text in said]
+    flags = []
+    for column in RAW_FLAGS:
+        value = given.get(f"{FLAG_NAMES.get(column, column)}=", "")
+        flags.append(value.lower() == "true" if value else column == "enabled")
+    return said, flags
+
+
+def views(ids: pa.Array, texts: pa.Array, max_depth: int | None) -> pa.Array:
+    """The views of each hierarchy from its tags in order: place in the tree, texts and flags. Tags that don't match are an error."""
+    depths, said, flags, sizes = [], [], [], array("i", [0])
+    for tree, tags in zip(ids.to_pylist(), texts.to_pylist(), strict=True):
+        level, own = 0, []
+        for tag in tags or ():
+            if tag == "</node>":
+                level -= 1
+            if level < 0 or tag == "<node":
+                raise ValueError(f"malformed view hierarchy: {tree}")
+            if tag == "</node>":
+                continue
+            if max_depth is None or level <= max_depth:
+                own.append(level)
+                words, marks = view_values(tag)
+                said.append(words)
+                flags.append(marks)
+            level += not tag.endswith("/>")
+        if level:
+            raise ValueError(f"malformed view hierarchy: {tree}")
+        depths.append(own)
+        sizes.append(len(said))
+    places = ancestors(pa.array(depths, pa.list_(pa.int32()))).flatten()
+    depth = pa.array([d for own in depths for d in own], pa.int32())
+    rows = pa.StructArray.from_arrays([depth, *places.flatten(), pa.array(said, pa.list_(pa.string())), pa.array(flags, pa.list_(pa.bool_()))], ["depth", "path", "sibling_pos", "said", "flags"])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows)
+
+
 def read_native_trees(df: DataFrame, tree_id: str = "tree_id", xml: str = "xml", max_depth: int | None = None) -> DataFrame:
     """View hierarchies in XML to raw nodes. Blank texts give none; tags that don't match, or don't end, are an error."""
     tags = F.regexp_extract_all(F.col(xml), F.lit(r'(<node\b[^<>"]*+(?:"[^<"]*+"[^<>"]*+)*+>|</node>|<node\b)'), 1)
-    kind = lambda t: F.when(t == "</node>", CLOSE).when(F.endswith(t, F.lit("/>")), LEAF).otherwise(OPEN)
-    level = F.aggregate("_tags", F.struct(F.lit(0).alias("now"), F.lit(0).alias("least")), lambda done, t: _level(done, kind(t)))
-    bad = (level["now"] != 0) | (level["least"] < 0) | F.array_contains("_tags", "<node")
-    error = F.raise_error(F.concat(F.lit("malformed view hierarchy: "), F.col("tree_id").cast("string"))).cast("array<string>")
-    texts = df.select(F.col(tree_id).alias("tree_id"), tags.alias("_tags"))
-    nodes = take_apart(texts.withColumn("_tags", F.when(bad, error).otherwise(F.col("_tags"))), "_tags", kind, max_depth)
-    # between the quotes of a tag stand its values, and before each its name
-    nodes = nodes.withColumn("_parts", F.split(F.substring("token", 6, 1 << 30), '"'))
-    names = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_parts") - 2, F.lit(0)), F.lit(2)), lambda k: F.trim(F.translate(F.get("_parts", k), "\n\t\r", "   ")))
-    nodes = nodes.withColumn("_names", names)
-
-    def attr(name: str) -> Column:
-        at = F.array_position("_names", f"{name}=").cast("int")
-        return decoded(F.when(at > 0, F.get("_parts", at * 2 - 1)).otherwise(""))
-
-    def flag(column: str) -> Column:
-        said = attr(FLAG_NAMES.get(column, column))
-        return F.when(said == "", F.lit(column == "enabled")).otherwise(F.lower(said) == "true").alias(column)
-
-    desc = F.coalesce(F.nullif(attr("desc"), F.lit("")), attr("content-desc"))
-    return nodes.select(
-        "tree_id", "node_id", "parent_id", "depth", "path", "sibling_pos", attr("class").alias("class_name"), attr("resource-id").alias("resource_id"),
-        attr("text").alias("text"), desc.alias("content_desc"), attr("hint").alias("hint"), geometry.parse_bounds(attr("bounds")).alias("bounds"), *map(flag, RAW_FLAGS),
+
+    @F.arrow_udf(VIEWS)
+    def found(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        return views(ids, texts, max_depth)
+
+    rows = df.select(F.col(tree_id).alias("tree_id"), F.posexplode(found(F.col(tree_id).cast("string"), tags)).alias("node_id", "n")).select("tree_id", "node_id", "n.*")
+    text = {name: F.get("said", F.lit(k)) for k, name in enumerate(SAID)}
+    desc = F.coalesce(F.nullif(text["desc"], F.lit("")), text["content-desc"])
+    return rows.select(
+        "tree_id", "node_id", F.try_element_at("path", F.lit(-1)).alias("parent_id"), "depth", "path", "sibling_pos", text["class"].alias("class_name"), text["resource-id"].alias("resource_id"),
+        text["text"].alias("text"), desc.alias("content_desc"), text["hint"].alias("hint"), geometry.parse_bounds(text["bounds"]).alias("bounds"), *(F.get("flags", F.lit(k)).alias(c) for k, c in enumerate(RAW_FLAGS)),
     )
 
 

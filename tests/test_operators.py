@@ -526,6 +526,48 @@ def test_files_of_evaluations_and_experiments(spark, tmp_path):
     assert row["summary"]["status"] == "PASS" and row["targetResults"][0]["evidenceResults"][0]["actual_count"] == 1
 
 
+def test_captures_are_a_data_source(spark, tmp_path):
+    """In batch, in partitions of a size, and as a stream that takes each file once."""
+    from screenloom.sources import captures
+
+    captures.register(spark)
+    read = lambda: spark.read.format("captures").option("partitionBytes", "30").load(str(tmp_path))
+    assert read().count() == 0
+
+    def put(run, name, text):
+        p = tmp_path / "captures" / "m" / "runs" / run / "native" / "raw"
+        p.mkdir(parents=True, exist_ok=True)
+        (p / name).write_text(text)
+
+    for k in range(5):
+        put("r1", f"native_xml_{k}.xml", f"<node{k}/>é")
+    put("r1", "_SUCCESS", "")
+    (tmp_path / "captures" / "stray.txt").write_text("not a capture")
+    rows = read().orderBy("file").collect()
+    assert [(r["baseline_id"], r["run_id"], r["plugin"], r["stage"], r["file"], r["content"], r["bytes"]) for r in rows] == [("m", "r1", "native", "raw", f"native_xml_{k}.xml", f"<node{k}/>é", 10) for k in range(5)]
+    assert read().rdd.getNumPartitions() == 2
+    assert [r["type"] for r in spark.createDataFrame(rows).transform(evaluate.artifact_columns).collect()] == ["raw_xml"] * 5
+
+    def taken():
+        out = str(tmp_path / "out")
+        stream = spark.readStream.format("captures").load(str(tmp_path))
+        run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="0 seconds").start()
+        run.processAllAvailable()
+        run.stop()
+        return sorted(r["file"] for r in spark.read.parquet(out).collect())
+
+    assert taken() == [f"native_xml_{k}.xml" for k in range(5)]
+    put("r2", "native_xml_9.xml", "<node/>")
+    assert taken() == [f"native_xml_{k}.xml" for k in (0, 1, 2, 3, 4, 9)]
+
+
+def test_tags_of_views_have_their_first_values(spark):
+    xml = '<hierarchy><node\n text="a &quot;b&quot; &amp;lt;" text="second" desc="" content-desc="c" clickable="TRUE" enabled="" overrides-onTouchEvent="true" bounds="[1,2][3,4]"><node enabled="false"/></node></hierarchy>'
+    rows = markup.read_native_trees(spark.createDataFrame([(1, xml)], "tree_id long, xml string")).orderBy("node_id").collect()
+    assert rows[0]["text"] == 'a "b" &lt;' and rows[0]["content_desc"] == "c" and rows[0]["clickable"] and rows[0]["enabled"] and rows[0]["touch_override"] and not rows[0]["checked"]
+    assert rows[0]["bounds"]["right"] == 3 and not rows[1]["enabled"] and rows[1]["class_name"] == "" and rows[1]["bounds"] is None
+
+
 def test_register_source(spark):
     files.register_source("mine", lambda df: table(spark, [("screen", "", [], [])]))
     assert files.read_source("mine", None).count() == 1
