@@ -5,7 +5,7 @@ spelling shares most of its vectors with the known one. Vectors are averaged int
 a whole text and over each window of ``WINDOW`` words; vectors and softmax are trained together, first on whole texts and
 on all their spans, then on the windows that score highest. A logistic curve fitted on the training texts turns what the
 softmax says of the averaged text, and of its highest windows (a long text with one bad sentence is as toxic as the
-sentence), into a probability; the number of windows, ``FEW`` at least, tells chance from evidence.
+sentence), into a probability; the number of windows tells chance from evidence.
 
 Training takes at most ``MAX_DOCS`` labelled documents of 1 to ``MAX_CHARS`` characters, chosen by a hash of id and text
 among those that are in the table: the documented bound of the sample. Each is used whole. Scoring reads every whole text.
@@ -31,8 +31,6 @@ from screenloom.llm.words import ChunkTable, code_points, hashes
 MAX_DOCS, MAX_CHARS = 3000, 20_000
 BITS, DIM, WINDOW, TOP = 17, 8, 3, 3
 REJECT = 0.3
-#: Texts with fewer windows than this count as having so many.
-FEW = 30
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -68,7 +66,7 @@ def summary(scores: np.ndarray) -> tuple[float, float, float, float]:
     """The averaged text, the highest window, the mean of the highest ones, and the number of windows on a log scale."""
     w = windows(scores)
     top = np.sort(np.partition(w, -TOP)[-TOP:] if len(w) > TOP else w)
-    return float(scores.mean()) if len(scores) else 0.0, float(top[-1]), float(top.mean()), float(np.log(max(len(w), FEW)))
+    return float(scores.mean()) if len(scores) else 0.0, float(top[-1]), float(top.mean()), float(np.log(len(w)))
 
 
 class Model:

@@ -2,7 +2,8 @@
 
 Listed URLs are canonical: the lower-cased host without port, login or a leading ``www.`` or ``m.``, then the path
 without a trailing slash, query or fragment. Their hashes fill a blocked Bloom filter of a bounded size (``bloom.py``),
-which is broadcast; the exact join removes its false positives.
+which is broadcast; the exact hash join removes its false positives: against the list itself where it has at most
+``MAX_SENT`` bytes, else after a shuffle of what passed.
 
 Rules (host, path, verdict) fit a host and all its subdomains, and paths that start with theirs; the longest wins. They
 go the same way: each URL offers the keys that could be rules for it (a suffix of its host of as many labels as some
@@ -20,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenloom.llm.bloom import possible
+from screenloom.llm.common import settle
 
-MAX_RULES = 100_000
+#: Rules at most, and bytes of a list of URLs that is still sent to all pages.
+MAX_RULES, MAX_SENT = 100_000, 20_000_000
 PARTS = "://([^/?#]*)([^?#]*)"
 AT = ["page_id", "host", "path"]
 
@@ -74,8 +77,11 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, page_id: str =
     offers = F.flatten(F.transform(suffixes, lambda s: F.transform(beginnings, lambda b: F.concat(s, b))))
     ruled = possible(rows.where("host <> ''").select(*AT, F.explode(offers).alias("key")), rules.select("key")).join(F.broadcast(rules), "key")
     ruled = ruled.select(*AT, F.struct(F.length("key").alias("size"), F.col("key"), F.col("verdict")).alias("rule"), F.lit(False).alias("listed"))
-    names = listed.select(canonical(*host_and_path(F.col("url"))).alias("key")).where("key <> ''").distinct()
-    blocked = possible(rows.where("host <> ''").withColumn("key", canonical(F.col("host"), F.col("path"))), names).join(names.hint("shuffle_hash"), "key", "left_semi")
+    names = settle(listed.select(canonical(*host_and_path(F.col("url"))).alias("key")).where("key <> ''").distinct())
+    size = names.agg(F.coalesce(F.sum(F.octet_length("key") + 16), F.lit(0))).first()[0]
+    # a short list goes to the pages, so that very many pages of one URL stay where they are; for a long one large keys are split
+    exact = F.broadcast(names) if size <= MAX_SENT else names.hint("merge")
+    blocked = possible(rows.where("host <> ''").withColumn("key", canonical(F.col("host"), F.col("path"))), names).join(exact, "key", "left_semi")
     marks = ruled.unionByName(blocked.select(*AT, F.lit(None).cast(ruled.schema["rule"].dataType).alias("rule"), F.lit(True).alias("listed")))
     marks = marks.groupBy(*AT).agg(F.max("rule").alias("best"), F.bool_or("listed").alias("listed"))
     same = reduce(Column.__and__, [F.col(f"p.{c}").eqNullSafe(F.col(f"m.{c}")) for c in AT])
