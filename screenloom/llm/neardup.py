@@ -19,7 +19,7 @@ Links are confirmed on full sets, and what is wanted are the components, so pair
 Components come from alternating large-star and small-star steps.
 
 Hot keys are split: classes, leaders and keys with more than a ``1 / MOST_HOT`` share of the rows that meet them are at
-most ``MOST_HOT``, a table of proven size; what belongs to them is dealt over ``SALTS`` tasks each.
+most ``MOST_HOT``, a table of proven size; what belongs to them is dealt into parts of that share.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; null and empty texts and texts
 of white space have an empty set, linked with nothing; a null id is linked with nothing and stays; repeated rows each
@@ -48,8 +48,8 @@ POSITIONS = CHUNKS * WIDTH
 FAR = 28
 #: Segments of the shingle hash for which a set's shingles are counted.
 SEGMENTS = 64
-#: Most keys that are taken for hot at a time, the parts each is dealt into, and classes of a key that one part holds.
-MOST_HOT, SALTS, PART = 1000, 64, 2000
+#: Most keys that are taken for hot at a time, and the rows of a key that one part holds at least.
+MOST_HOT, PART = 1000, 2000
 KNOWN = 200_000
 MULTIPLIERS = np.random.default_rng(2024).integers(1 << 62, 1 << 63, POSITIONS, dtype=np.uint64) | np.uint64(1)
 MIX = np.random.default_rng(2025).integers(1 << 62, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
@@ -111,18 +111,18 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
 def salted_join(rows: DataFrame, side: DataFrame, key: str, by: str, total: int) -> DataFrame:
     """``rows`` (``total`` of them) joined to ``side`` (a row per ``key``).
 
-    Keys of more than ``total / MOST_HOT`` rows, at most ``MOST_HOT``, are hot: their rows are dealt by ``by``, and their row
-    of ``side`` is copied.
+    Keys of more than ``total / MOST_HOT`` rows, at most ``MOST_HOT``, are hot: their rows are dealt by ``by`` into parts of about
+    that many, and their row of ``side`` is copied once for each part, so there are at most twice ``MOST_HOT`` copies in all.
     """
     most = max(PART, total // MOST_HOT)
-    hot = [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("times")).where(F.col("times") > most).select(key).collect()] if total > most else []
+    counted = rows.groupBy(key).agg(F.count("*").alias("times")).where(F.col("times") > most)
+    hot = [(r[key], -(-r["times"] // most)) for r in counted.collect()] if total > most else []
     if not hot:
         return rows.join(side, key)
-    many = F.broadcast(rows.sparkSession.createDataFrame([(k, True) for k in hot], f"{key} long, is_hot boolean"))
-    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")
-    dealt = rows.join(many, key, "left").withColumn("salt", salt).drop("is_hot")
-    copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    copied = side.join(many, key, "left").withColumn("salt", F.explode(copies)).drop("is_hot")
+    many = F.broadcast(rows.sparkSession.createDataFrame(hot, f"{key} long, parts int"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = rows.join(many, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("parts")
+    copied = side.join(many, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     return dealt.join(copied, [key, "salt"]).drop("salt")
 
 
@@ -201,18 +201,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, signatures: DataFrame, percent:
 def components(links: DataFrame) -> DataFrame:
     """``id`` and ``component`` (its least id) of all ends of ``links`` (``a``, ``b``), by large-star and small-star steps."""
     edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    state, count = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = salted_join(both, least, "a", "b", 2 * count).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = large.join(least, "a")  # no hot keys here: a row for each centre that a node has had
         edges = settle(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        state = now
+        state, count = now, now[0]
 
 
 def class_links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:

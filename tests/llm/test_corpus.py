@@ -221,6 +221,19 @@ def test_near_duplicates_odd_rows(odd, empty):
     assert neardup.near_duplicates(empty).count() == 0 and neardup.deduplicated(empty).count() == 0
 
 
+def test_components_of_a_star_and_of_chains(spark):
+    """A star of 100,000 classes, whose centre's rows are dealt into parts, and chains."""
+    star = spark.range(1, 100_001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    chains = spark.range(200_000, 200_300).select(F.col("id").alias("a"), F.when(F.col("id") % 100 > 0, F.col("id") - 1).otherwise(F.col("id")).alias("b"))
+    found = neardup.components(star.unionByName(chains)).groupBy("component").agg(F.count("*").alias("n")).collect()
+    assert {r["component"]: r["n"] for r in found} == {0: 100_001, 200_000: 100, 200_100: 100, 200_200: 100}
+    rows = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    joined = neardup.salted_join(rows, rows.groupBy("a").agg(F.min("b").alias("m")), "a", "b", 200_000)
+    assert joined.count() == 200_000 and joined.where("a = 0 AND m = 1").count() == 100_000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "salt" in plan
+
+
 def test_near_duplicates_of_ids_with_several_texts(spark, monkeypatch):
     """Links are found by each text's own words; every group keeps one row, equal rows one, and hot keys are dealt."""
     monkeypatch.setattr(neardup, "PART", 3)
