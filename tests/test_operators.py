@@ -478,6 +478,24 @@ def test_model_output_and_prompts(spark):
         icons.build_prompts(runs, "CROPPED_MULTI_IMAGE")
 
 
+def test_prompts_say_what_each_mode_needs(spark):
+    """Sentences that the reference's own tests ask for, and what must not be told to the model."""
+    made = [(1, 0, "1", (922, 161, 1034, 273)), (1, 1, "2", (1062, 161, 1174, 273)), (1, 2, "3", (5, 5, 5, 9))]
+    targets = spark.createDataFrame(made, "testset_id int, position int, label string, bounds struct<left:int,top:int,right:int,bottom:int>")
+    always = ["Write every description in Simplified Chinese", "Use a very short label of 1 to 4 Chinese characters only", "Do not write sentences, explanations, modifiers", "<id>:<short Chinese label>"]
+    boxes_ = ["1=922,161,1034,273\n2=1062,161,1174,273\n", "Coordinates are pixel coordinates in the original screenshot", "The origin (0,0) is the top-left corner", "x increases from left to right. y increases from top to bottom", "Process the target regions one by one in the exact order listed below"]
+    says = {
+        "FULL_IMAGE": ["1\n2\n3\n", "Return exactly 3 lines"], "FULL_IMAGE_WITH_BOUNDS": [*boxes_, "Valid x range is 0 to 1174. Valid y range is 0 to 273.", "Return exactly 2 lines"], "FULL_IMAGE_WITH_BOUNDS_BATCHED": boxes_,
+        "FULL_IMAGE_WITH_MARKED_BOUNDS": ["visible blue rectangles and id labels", "Use the visible rectangle and label in the image", "1\n2\n3\n"], "CROPPED_MONTAGE": ["montage image made from cropped mobile app icon regions", "Each crop has a visible id label above it.", "1\n2\n3\n"],
+    }
+    for mode, sentences in says.items():
+        prompt = icons.build_prompts(targets, mode).first()["prompt"]
+        assert all(x in prompt for x in [*always, *sentences]), mode
+        assert ("922,161" in prompt) == ("BOUNDS" in mode and "MARKED" not in mode) and "{" not in prompt
+    sized = icons.build_prompts(targets, "FULL_IMAGE_WITH_BOUNDS", spark.createDataFrame([(1, 1216, 2640)], "testset_id int, width int, height int")).first()["prompt"]
+    assert "The screenshot size is 1216 pixels wide and 2640 pixels high." in sized and "Valid x range is 0 to 1216. Valid y range is 0 to 2640." in sized
+
+
 def test_vision_model_errors_stay_with_their_row(spark):
     def model(image, prompt):
         if image == "bad":
