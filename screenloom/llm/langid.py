@@ -2,7 +2,7 @@
 
 A word is read with a space on either side; each character is predicted from the three before it. The highest order
 uses counts, the lower ones continuation counts, each interpolated with the next lower and the lowest with a uniform
-one. All n-grams of all languages stand in one sorted hash array per order, with a column per language, and so do
+one. All n-grams of all languages stand in one sorted hash array per order, each with the languages that have it, and so do
 their contexts; looking up is a binary search. A text's language is the one with the lowest cross-entropy per
 character.
 
@@ -16,7 +16,7 @@ chunks (runs without white space) of their cross-entropy, so that each chunk cou
 letters weighs as much as one word, while a text in an unknown script or of random letters is strange throughout.
 
 Training takes, per language, at most ``MAX_DOCS`` documents of 1 to ``MAX_CHARS`` characters, chosen by a hash of
-the id: the documented bound of the sample. They are ranked among a share of the language's documents (by the same hash)
+the id, and fewer where all languages together would have more than ``MAX_SAMPLE``: the documented bound of the sample. They are ranked among a share of the language's documents (by the same hash)
 that holds about twice as many, so that no language is gathered to be ranked; should a share hold fewer, fewer are taken.
 Prediction reads every whole text. A table with more than ``MAX_LANGUAGES`` languages is an error.
 
@@ -40,7 +40,8 @@ from screenloom.llm.common import held_out
 from screenloom.llm.words import ChunkTable, code_points, hashes
 
 ORDER, DISCOUNT = 4, 0.75
-MAX_DOCS, MAX_CHARS = 300, 20_000
+#: Documents of a language and characters of each at most, and characters of all languages together.
+MAX_DOCS, MAX_CHARS, MAX_SAMPLE = 300, 20_000, 60_000_000
 MAX_LANGUAGES = 1000
 MARGIN, SPREAD = 0.8, 6.0
 SCORE_CHARS = 20
@@ -71,7 +72,7 @@ def grams(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndar
 
 
 class Tables:
-    """Sorted hash arrays: n-grams and contexts of each order, with a column per language."""
+    """Sorted hash arrays: n-grams and contexts of each order, with the languages that have them."""
 
     def __init__(self, languages: list[str], counts: list[Counter]):
         vocabularies = [(list(c), np.array(list(c.values()), np.float64)) for c in counts]
@@ -98,34 +99,41 @@ class Tables:
                 kinds = np.bincount(owner) if len(c) else np.zeros(0)
                 parts.append((column, g, np.maximum(n - DISCOUNT, 0) / total[owner] if len(g) else n))
                 tops.append((column, c, DISCOUNT * kinds / np.maximum(total, 1e-9)))
-            self.grams.append(merged(parts, width, 0.0))
-            self.contexts.append(merged(tops, width, 1.0))
+            self.grams.append(Sparse(parts, width, 0.0))
+            self.contexts.append(Sparse(tops, width, 1.0))
 
     def log_p(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The logarithm of each predicted character's probability, by language, and the word of each."""
         by_order, contexts, word = grams(words)
         p = np.broadcast_to(1 / self.alphabet, (len(word), len(self.alphabet)))
         for k in range(ORDER):
-            p = found(self.grams[k], by_order[k], 0.0) + found(self.contexts[k], contexts[k], 1.0) * p
+            p = self.grams[k].found(by_order[k]) + self.contexts[k].found(contexts[k]) * p
         return np.log(p), word
 
 
-def merged(parts: list[tuple[int, np.ndarray, np.ndarray]], width: int, missing: float) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.unique(np.concatenate([g for _, g, _ in parts]))
-    values = np.full((len(keys), width), missing, np.float64)
-    for column, g, v in parts:
-        values[np.searchsorted(keys, g), column] = v
-    return keys, values
-
-
-def found(array: tuple[np.ndarray, np.ndarray], wanted: np.ndarray, missing: float) -> np.ndarray:
-    keys, values = array
-    if not len(keys):
-        return np.full((len(wanted), values.shape[1]), missing)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    out = values[at]
-    out[keys[at] != wanted] = missing
-    return out
+class Sparse:
+    """Sorted hashes, and for each the languages that have it with their values: as many numbers as there are such pairs."""
+
+    def __init__(self, parts: list[tuple[int, np.ndarray, np.ndarray]], width: int, missing: float):
+        hashed = np.concatenate([g for _, g, _ in parts])
+        column = np.repeat(np.array([c for c, _, _ in parts], np.int32), [len(g) for _, g, _ in parts])
+        order = np.argsort(hashed, kind="stable")
+        self.column, self.value = column[order], np.concatenate([v for *_, v in parts])[order]
+        self.keys, self.first, self.size = np.unique(hashed[order], return_index=True, return_counts=True)
+        self.width, self.missing = width, missing
+
+    def found(self, wanted: np.ndarray) -> np.ndarray:
+        """The values of each wanted hash by language."""
+        out = np.full((len(wanted), self.width), self.missing)
+        if not len(self.keys):
+            return out
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == wanted)
+        n = self.size[at[hit]]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place = np.repeat(self.first[at[hit]], n) + inside
+        out[np.repeat(hit, n), self.column[place]] = self.value[place]
+        return out
 
 
 class Model:
@@ -147,8 +155,9 @@ class Model:
                 owner.append(k)
         out = np.zeros((len(chunks), len(self.languages) + 1))
         at = np.array(owner, np.int64)
-        for begin in range(0, len(words), 20_000):
-            logs, word = self.tables.log_p(words[begin : begin + 20_000])
+        step = max(1, min(20_000, 200_000 // len(self.languages)))
+        for begin in range(0, len(words), step):
+            logs, word = self.tables.log_p(words[begin : begin + step])
             row = at[begin + word]
             for column in range(len(self.languages)):
                 out[:, column] += np.bincount(row, weights=logs[:, column], minlength=len(chunks))
@@ -213,10 +222,11 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], (1 << 30) * 2 * MAX_DOCS // r["count"])))
+    most = max(1, min(MAX_DOCS, MAX_SAMPLE // (MAX_CHARS * max(1, len(sizes)))))
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], (1 << 30) * 2 * most // r["count"])))
     rows = rows.where(place <= share[F.col("lang")]) if sizes else rows
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= MAX_DOCS)
+    chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
     return train([(r["text"], r["lang"]) for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["k"]))])
 
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Chunks that a Python worker remembers, and the longest that it does: about 60 MB at most with a few numbers each.
-KNOWN, KNOWN_CHARS = 300_000, 40
+#: Chunks that a Python worker remembers, the longest that it does, and numbers for all of them: about 60 MB of numbers at most.
+KNOWN, KNOWN_CHARS, KNOWN_NUMBERS = 300_000, 40, 15_000_000
 
 
 class ChunkTable:
@@ -24,7 +24,7 @@ class ChunkTable:
     def look_up(self, split: list[list[str]]) -> list[np.ndarray]:
         """The rows of the chunks of each text, in order."""
         needed = set().union(*split)
-        if self.size > KNOWN:
+        if self.size > min(KNOWN, KNOWN_NUMBERS // self.width):
             self.clear()
         new = [c for c in needed if c not in self.at]
         if new:

@@ -521,6 +521,27 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in decontam.clean(others, bench).collect()) == [20, 21]
 
 
+def test_language_tables_hold_what_languages_have():
+    """Ninety languages with words of their own: as many numbers as n-grams of each, and the same answers as one by one."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(90):
+        letters = [chr(0x3041 + 8 * k + i) for i in range(8)]
+        rows += [(" ".join("".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(30)), f"l{k:02d}") for _ in range(6)]
+    model = langid.train(rows)
+    for table in (*model.tables.grams, *model.tables.contexts):
+        assert len(table.value) == table.size.sum() == len(table.column) and len(table.value) <= 90 * 2000
+        wanted = np.concatenate([table.keys[::7], np.array([1, 2], np.uint64)])
+        dense = np.full((len(wanted), 90), table.missing)
+        for row, key in enumerate(wanted):
+            for at in np.flatnonzero(table.keys == key):
+                for j in range(table.first[at], table.first[at] + table.size[at]):
+                    dense[row, table.column[j]] = table.value[j]
+        assert (table.found(wanted) == dense).all()
+    found = model.predict([t for t, _ in rows[::6]])
+    assert list(found["lang_pred"]) == [lang for _, lang in rows[::6]]
+
+
 # ---- 9 URL filter ----
 
 
