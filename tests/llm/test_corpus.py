@@ -526,7 +526,7 @@ def test_language_tables_hold_what_languages_have():
     rng = random.Random(9)
     rows = []
     for k in range(90):
-        letters = [chr(0x3041 + 8 * k + i) for i in range(8)]
+        letters = [chr(0x4E00 + 8 * k + i) for i in range(8)]
         rows += [(" ".join("".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(30)), f"l{k:02d}") for _ in range(6)]
     model = langid.train(rows)
     for table in (*model.tables.grams, *model.tables.contexts):
