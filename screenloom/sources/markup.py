@@ -227,7 +227,7 @@ MARKUP = r"""<[a-zA-Z/!?][^<>"']*+(?:(?:"[^"]*+"|'[^']*+')[^<>"']*+)*+>"""
 COMMENT = r"<!--(?:-?>|(?:[^-]++|-(?!-!?>))*+(?:--!?>|\z))"
 RAW = "|".join(rf"<{t}\b[^<>]*+>(?:[^<]++|<(?!/{t}\b))*+(?:</{t}\b[^>]*+>|\z)" for t in "script style noscript noframes noembed".split())
 #: Elements whose content is text whatever it looks like.
-TEXTUAL = "|".join(rf"<{t}\b{MARKUP.removeprefix('<[a-zA-Z/!?]')}(?:[^<]++|<(?!/{t}\b))*+(?:</{t}\b[^>]*+>|\z)" for t in ("textarea", "title"))
+TEXTUAL = "|".join(rf"<{t}\b{MARKUP.removeprefix('<[a-zA-Z/!?]')}(?:[^<]++|<(?!/{t}\b))*+(?:</{t}\b[^>]*+>|\z)" for t in ("textarea", "title", "iframe"))
 WORDS = rf"(?:[^<]++|<(?!{MARKUP.removeprefix('<')}|!--))++"
 #: Elements that may be switched off, that hold a value, and that can be required or read only.
 FORM_TAGS = "button fieldset input optgroup option select textarea".split()
@@ -267,10 +267,10 @@ def _token(t: Column) -> Column:
 
     element = let(F.when(skipped | closes, empty).otherwise(attrs), lambda a: F.array(part(kind, F.when(skipped, none).otherwise(tag), a, F.when(tag == "input", control(a)).otherwise(none))))
     opening = F.regexp_extract(t, f"^{MARKUP}", 0)
-    content = F.regexp_replace(F.substring(t, F.length(opening) + 1, F.length(t)), r"(?i)</(?:textarea|title)\b[^>]*+>?\z", "")
-    textual = F.array(part(F.lit(outline.OPEN), tag, attributes(opening), none), part(F.lit(outline.TEXT), none, empty, content), part(F.lit(outline.CLOSE), tag, empty, none))
+    content = F.regexp_replace(F.substring(t, F.length(opening) + 1, F.length(t)), r"(?i)</(?:textarea|title|iframe)\b[^>]*+>?\z", "")
+    textual = F.array(part(F.lit(outline.OPEN), tag, attributes(opening), none), part(F.when(tag == "iframe", outline.OTHER).otherwise(outline.TEXT), none, empty, content), part(F.lit(outline.CLOSE), tag, empty, none))
     is_text = ~F.startswith(t, F.lit("<")) | ~t.rlike(rf"\A(?i:{MARKUP}|{COMMENT}|{RAW}|{TEXTUAL})\z")
-    return F.when(is_text, F.array(part(F.lit(outline.TEXT), none, empty, t))).when(tag.isin("textarea", "title") & ~closes, textual).otherwise(element)
+    return F.when(is_text, F.array(part(F.lit(outline.TEXT), none, empty, t))).when(tag.isin("textarea", "title", "iframe") & ~closes, textual).otherwise(element)
 
 
 def read_html_pages(df: DataFrame, tree_id: str = "page_id", html: str = "html", max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -33,7 +33,7 @@ table tbody td template textarea tfoot th thead title tr ul xmp""".split())
 #: Start tags that end elements of the given names, as far as the scope goes.
 ENDS = {
     "li": (frozenset(["li"]), LIST_SCOPE), "dt": (frozenset(["dt", "dd"]), SCOPE | {"dl"}), "dd": (frozenset(["dt", "dd"]), SCOPE | {"dl"}), "option": (frozenset(["option"]), SCOPE | {"select", "datalist", "optgroup"}),
-    "optgroup": (frozenset(["optgroup", "option"]), SCOPE | {"select", "datalist"}), "button": (frozenset(["button"]), SCOPE), "a": (frozenset(["a"]), SCOPE),
+    "optgroup": (frozenset(["optgroup"]), SCOPE | {"select", "datalist"}), "button": (frozenset(["button"]), SCOPE), "a": (frozenset(["a"]), SCOPE),
     "td": (frozenset(["td", "th"]), TABLE_SCOPE | {"tr"}), "th": (frozenset(["td", "th"]), TABLE_SCOPE | {"tr"}), "tr": (frozenset(["tr", "caption", "colgroup"]), TABLE_SCOPE),
     "thead": (frozenset(["thead", "tbody", "tfoot", "caption", "colgroup"]), TABLE_SCOPE), "tbody": (frozenset(["thead", "tbody", "tfoot", "caption", "colgroup"]), TABLE_SCOPE),
     "tfoot": (frozenset(["thead", "tbody", "tfoot", "caption", "colgroup"]), TABLE_SCOPE),
@@ -43,6 +43,8 @@ IN_HEAD = frozenset("base link meta title template noscript script style".split(
 HIDDEN = frozenset("head template meta link".split())
 #: The element below another that names it.
 NAMERS = {"caption": "table", "figcaption": "figure", "legend": "fieldset", "summary": "details", "title": "svg"}
+#: Elements that a page has once, however often they begin.
+ONCE = ("html", "body")
 #: Elements in which a tag may end itself.
 DRAWN = ("svg", "math")
 #: An element's own slice isn't what it says to others.
@@ -86,10 +88,15 @@ class Outline:
         self.element: list[int] = []
         self.tag: list[str] = []
         self.open_tags: dict[str, int] = {}
+        self.concealing: list[bool] = []
         self.children: dict[int, int] = {}
         self.hidden = self.selects = 0
         self.last_text: list | None = None
 
+    def conceals(self, tag: str) -> bool:
+        """Nothing of the element is shown; the title of a drawing names it and no more."""
+        return tag in HIDDEN or (tag == "title" and bool(self.open_tags.get("svg")))
+
     def top(self) -> int:
         return self.stack[-1][2] if self.stack else -1
 
@@ -102,7 +109,7 @@ class Outline:
         self.end.append(None)
         self.tag.append(tag)
         depth = len(self.stack)
-        if self.hidden or tag in HIDDEN or (self.max_depth is not None and depth > self.max_depth):
+        if self.hidden or self.conceals(tag) or (self.max_depth is not None and depth > self.max_depth):
             self.element.append(-1)
             return -1, number
         table = next((k for t, k, _ in reversed(self.stack) if t == "table"), -1) if tag == "td" else -1
@@ -114,9 +121,10 @@ class Outline:
         if len(self.stack) >= MOST_OPEN:
             self.pop(MOST_OPEN - 1)
         node, number = self.add(at, made, tag)
+        self.concealing.append(self.conceals(tag))
         self.stack.append((tag, node, number))
         self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
-        self.hidden += tag in HIDDEN
+        self.hidden += self.concealing[-1]
         self.selects += tag == "select"
         return number
 
@@ -126,7 +134,7 @@ class Outline:
             tag, _, number = self.stack.pop()
             self.end[number] = tuple(self.streams.size)
             self.open_tags[tag] -= 1
-            self.hidden -= tag in HIDDEN
+            self.hidden -= self.concealing.pop()
             self.selects -= tag == "select"
         self.last_text = None
 
@@ -168,13 +176,13 @@ class Outline:
             self.pop(k)
         if tag in ENDS_PARAGRAPH and (k := self.find(PARAGRAPH, BUTTON_SCOPE)) >= 0:
             self.pop(k)
+        if tag == "optgroup" and self.stack and self.stack[-1][0] == "option":
+            self.pop(len(self.stack) - 1)
         if tag in ENDS and (k := self.find(*ENDS[tag])) >= 0:
             self.pop(k)
         if tag in HEADINGS and self.stack and self.stack[-1][0] in HEADINGS:
             self.pop(len(self.stack) - 1)
         above = self.stack[-1][0] if self.stack else ""
-        if tag == "option" and above == "option":
-            self.pop(len(self.stack) - 1)
         if tag in ("tr", "td", "th") and above == "table":
             self.open(-1, "tbody", "tbody")
         if tag in ("td", "th") and self.stack and self.stack[-1][0] in ("tbody", "thead", "tfoot"):
@@ -186,7 +194,9 @@ class Outline:
         return self.open(at, tag)
 
     def close(self, tag: str) -> None:
-        """An end tag. It is ignored if no element of its name is open in its scope."""
+        """An end tag. It is ignored if no element of its name is open in its scope; a body goes on to the end of its page."""
+        if tag in ONCE:
+            return
         if tag in HEADINGS:
             k = self.find(HEADINGS, SCOPE)
         elif tag == "li":
@@ -215,6 +225,7 @@ def page(kinds: list, tags: list, texts: list, ids: list, fors: list, refs: list
     #: By select element: the first option, the one chosen last, the first chosen, and whether several may be.
     options: dict[int, list] = {}
     picked: dict[int, int] = {}
+    seen: set[str] = set()
     for at, kind in enumerate(kinds):
         tag = tags[at]
         if kind == TEXT:
@@ -228,6 +239,9 @@ def page(kinds: list, tags: list, texts: list, ids: list, fors: list, refs: list
         if kind == CLOSE:
             out.close(tag)
         else:
+            if tag in seen and tag in ONCE or tag == "html" and seen:
+                continue
+            seen.add(tag)
             if kind == SELF:
                 kind = LEAF if tag in DRAWN or any(map(out.open_tags.get, DRAWN)) else OPEN
             number = out.start(at, tag, kind == LEAF)

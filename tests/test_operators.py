@@ -166,7 +166,10 @@ def outline_of(spark, html):
         ("<p>a<span>b<div>c</div>d", ["<p>", " a", " <span>", "  b", "<div>", " c", "d"]),
         ("<h1>a<h2>b</h1>c", ["<h1>", " a", "<h2>", " b", "c"]),
         ("<head><title>t</title><p>body", ["<p>", " body"]),
-        ("<div/>in<svg><path/><title>t</title></svg>", ["<div>", " in", " <svg>", "  <path>", "  <title>", "   t"]),
+        ("<div/>in<svg><path/><title>t</title></svg>", ["<div>", " in", " <svg>", "  <path>"]),
+        ("<body><p>a</body></html>b<body class=x><html>c", ["<body>", " <p>", "  abc"]),
+        ("<select><optgroup><option>a<option>b<optgroup><option>c</select>d", ["<select>", " <optgroup>", "  <option>", "   a", "  <option>", "   b", " <optgroup>", "  <option>", "   c", "d"]),
+        ("<iframe><p>x</p></iframe>y", ["<iframe>", "y"]),
         ("<textarea><b>&lt;</textarea><!-- <p> --><!--><p>x<script>a</p></script>y", ["<textarea>", " <b><", "<p>", " x", " y"]),
         ("<a>one<a>two<button>b<button>c", ["<a>", " one", "<a>", " two", " <button>", "  b", " <button>", "  c"]),
         ("a<!-- open <p>b", ["a"]),
