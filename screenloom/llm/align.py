@@ -46,8 +46,8 @@ from screenloom.llm.common import settle
 
 #: Pairs of a shard about, of a block at most; vectors that are summed at once; leaves of the tree at most.
 SHARD, BLOCK, FAN, LEAVES = 32_768, 8_000_000, 8, 1000
-#: Chunks that a Python worker remembers, and the bytes of their pairs and groups: about 350 MB at most.
-KNOWN, KNOWN_BYTES = 800_000, 160_000_000
+#: Chunks that a Python worker remembers, and the bytes of their pairs and groups: about 270 MB at most.
+KNOWN, KNOWN_BYTES = 600_000, 120_000_000
 #: Pairs that a task gathers before it writes them, and documents that it aligns together.
 GATHERED, TOGETHER = 2_000_000, 250
 #: A space that begins a chunk: what stands before it isn't white space, and it isn't the last character.
