@@ -43,6 +43,8 @@ ORDER, DISCOUNT = 4, 0.75
 #: Documents of a language and characters of each at most, and characters of all languages together.
 MAX_DOCS, MAX_CHARS, MAX_SAMPLE = 300, 20_000, 60_000_000
 MAX_LANGUAGES = 1000
+#: Numbers of a table that is held with a column for each language: 40 MB.
+MAX_DENSE = 5_000_000
 MARGIN, SPREAD = 0.8, 6.0
 SCORE_CHARS = 20
 UNKNOWN = "und"
@@ -120,7 +122,11 @@ class Sparse:
         order = np.argsort(hashed, kind="stable")
         self.column, self.value = column[order], np.concatenate([v for *_, v in parts])[order]
         self.keys, self.first, self.size = np.unique(hashed[order], return_index=True, return_counts=True)
-        self.width, self.missing = width, missing
+        self.width, self.missing, self.dense = width, missing, None
+        if len(self.keys) * width <= MAX_DENSE:
+            # few languages: the same values as a table, which is looked up faster
+            self.dense = np.full((len(self.keys), width), missing)
+            self.dense[np.repeat(np.arange(len(self.keys)), self.size), self.column] = self.value
 
     def found(self, wanted: np.ndarray) -> np.ndarray:
         """The values of each wanted hash by language."""
@@ -128,6 +134,10 @@ class Sparse:
         if not len(self.keys):
             return out
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        if self.dense is not None:
+            out = self.dense[at]
+            out[self.keys[at] != wanted] = self.missing
+            return out
         hit = np.flatnonzero(self.keys[at] == wanted)
         n = self.size[at[hit]]
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)

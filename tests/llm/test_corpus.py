@@ -537,7 +537,9 @@ def test_language_tables_hold_what_languages_have():
             for at in np.flatnonzero(table.keys == key):
                 for j in range(table.first[at], table.first[at] + table.size[at]):
                     dense[row, table.column[j]] = table.value[j]
-        assert (table.found(wanted) == dense).all()
+        for held in (table.dense, None):
+            table.dense = held
+            assert (table.found(wanted) == dense).all()
     found = model.predict([t for t, _ in rows[::6]])
     assert list(found["lang_pred"]) == [lang for _, lang in rows[::6]]
 
