@@ -42,3 +42,14 @@ def test_entry(spark, sf):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_names_with_references_that_are_cut_off(spark, tmp_path):
+    """A title cut within a reference: old names and numbers are read without their semicolon, ``apos`` and others are not."""
+    import duckdb
+
+    rows = [(1, "<h1>lords &amp</h1>"), (2, "<h1>a &lt b &#39 c &#39&#39; &apos d &am</h1><p>x &amp;lt &quot</p>"), (3, "<h1>&amp;amp &ampx</h1>")]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    same_rows(QUERIES["p14_html_name"](spark, str(tmp_path)), con, ORACLE["p14_html_name"])
