@@ -31,6 +31,8 @@ from screenloom.llm.words import ChunkTable, code_points, hashes
 MAX_DOCS, MAX_CHARS = 3000, 20_000
 BITS, DIM, WINDOW, TOP = 17, 8, 3, 3
 REJECT = 0.3
+#: Words whose subwords are made at once.
+WORDS_AT_ONCE = 5000
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -111,14 +113,21 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
     if len(y) == 0 or y.min() == y.max():
         return None
     rng = np.random.default_rng(seed)
-    split = [t.lower().split() for t in texts]
-    vocabulary = sorted(set().union(*split))
-    number = {c: k for k, c in enumerate(vocabulary)}
-    b, o = bags(vocabulary)
-    order = np.argsort(o, kind="stable")
-    b, size = b[order], np.bincount(o, minlength=len(vocabulary))
+    # a text is held as the numbers of its words from the start: the driver that trains has little memory
+    met: dict[str, int] = {}
+    numbers = [np.array([met.setdefault(c, len(met)) for c in t.lower().split()], np.int64) for t in texts]
+    vocabulary = sorted(met)
+    place = np.zeros(len(met), np.int64)
+    place[[met[c] for c in vocabulary]] = np.arange(len(met))
+    parts = []
+    for at in range(0, len(vocabulary), WORDS_AT_ONCE):
+        b, o = bags(vocabulary[at : at + WORDS_AT_ONCE])
+        order = np.argsort(o, kind="stable")
+        parts.append((b[order].astype(np.int32), np.bincount(o, minlength=len(vocabulary[at : at + WORDS_AT_ONCE]))))
+    b, size = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
     first = np.cumsum(size) - size
-    docs = [x[size[x] > 0] for x in (np.array([number[c] for c in s], np.int64) for s in split)]
+    docs = [x[size[x] > 0] for x in (place[n] for n in numbers)]
+    del met, vocabulary, numbers, parts
     vectors = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     softmax = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -161,8 +170,10 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
         return list({s.tobytes(): s for s in spans}.values())
 
     has = [k for k in range(len(docs)) if len(docs[k])]
-    noisy = [(s, y[k]) for k in has for s in (docs[k], *cut(docs[k], 2 * WINDOW))]
-    epoch([s for s, _ in noisy], np.array([x for _, x in noisy]), 0.3)
+    spans = [s for k in has for s in (docs[k], *cut(docs[k], 2 * WINDOW))]
+    labels = np.repeat(y[has], [1 + len(cut(docs[k], 2 * WINDOW)) for k in has])
+    epoch(spans, labels, 0.3)
+    del spans, labels
 
     def per_bucket() -> np.ndarray:
         return vectors @ (softmax[:, 1] - softmax[:, 0])
