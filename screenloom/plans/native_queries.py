@@ -602,6 +602,10 @@ def f1(spark, sf):
     return icons.apply_vision_model(c, model).select("request_id", "raw_text", "error")
 
 
+#: Screens in a file of ``f2_register_source``.
+SCREENS_A_FILE = 4000
+
+
 @query("f2_register_source", "SELECT tree_id, node_id, parent_id, role, name FROM folded")
 def f2(spark, sf):
     """Screens as a source of a user: XML in a folder of captures, a format of Spark that lists and reads it, and a reader under the node contract."""
@@ -610,7 +614,8 @@ def f2(spark, sf):
 
     root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     lines = markup.native_xml(V.screen_nodes(spark, sf)).select("tree_id", F.concat(F.col("tree_id").cast("string"), F.lit("\t"), "xml").alias("value"))
-    lines.select("value").write.text(f"{root}/captures/screens/runs/r1/native/raw")
+    # a capture is read whole, so a file holds no more screens than a task can: some 10 MB
+    lines.select("value").write.option("maxRecordsPerFile", SCREENS_A_FILE).text(f"{root}/captures/screens/runs/r1/native/raw")
     captures.register(spark)
 
     def to_nodes(df: DataFrame) -> DataFrame:
