@@ -7,15 +7,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def parse_snapshots(df: DataFrame, key: list[str], text: str = "snapshot", outer: bool = False) -> DataFrame:
-    """``pos``, ``role`` and ``name`` of each line of a snapshot that is a node; with ``outer`` one without nodes has a row of nulls."""
+def _said(text: Column) -> Column:
+    """``pos`` and ``line`` of the lines of a snapshot that are nodes."""
     body = lambda line: F.trim(F.regexp_replace(F.trim(F.substring(line, 3, 1 << 30)), r":$", ""))
-    lines = F.transform(F.split(F.col(text), r"\r?\n"), lambda line, pos: F.struct(pos.alias("pos"), F.trim(line).alias("line")))
+    lines = F.transform(F.split(text, r"\r?\n"), lambda line, pos: F.struct(pos.alias("pos"), F.trim(line).alias("line")))
     lines = F.transform(F.filter(lines, lambda x: F.startswith(x["line"], F.lit("- "))), lambda x: F.struct(x["pos"].alias("pos"), body(x["line"]).alias("line")))
+    return F.filter(lines, lambda x: x["line"] != "")
+
+
+def _role(line: Column) -> Column:
+    return F.regexp_extract(line, r"^([^ \[]*)", 1)
+
+
+def _name(line: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(line, r'^[^"]*+"((?:[^"\\]++|\\.)*+)"', 1), r"\\(.)", "$1")
+
+
+def parse_snapshots(df: DataFrame, key: list[str], text: str = "snapshot", outer: bool = False) -> DataFrame:
+    """``pos``, ``role`` and ``name`` of each line of a snapshot that is a node; with ``outer`` one without nodes has a row of nulls."""
     explode = F.explode_outer if outer else F.explode
-    rows = df.select(*key, explode(F.filter(lines, lambda x: x["line"] != "")).alias("x")).select(*key, "x.pos", "x.line")
-    quoted = F.regexp_extract("line", r'^[^"]*+"((?:[^"\\]++|\\.)*+)"', 1)
-    return rows.select(*key, "pos", F.regexp_extract("line", r"^([^ \[]*)", 1).alias("role"), F.regexp_replace(quoted, r"\\(.)", "$1").alias("name"))
+    rows = df.select(*key, explode(_said(F.col(text))).alias("x")).select(*key, "x.pos", "x.line")
+    return rows.select(*key, "pos", _role(F.col("line")).alias("role"), _name(F.col("line")).alias("name"))
+
+
+def snapshot_nodes(text: Column) -> Column:
+    """``role`` and ``name`` of the nodes of a snapshot, as an array."""
+    return F.transform(_said(F.coalesce(text, F.lit(""))), lambda x: F.struct(_role(x["line"]).alias("role"), _name(x["line"]).alias("name")))
 
 
 def _lines(df: DataFrame, key: list[str], text: str) -> DataFrame:
