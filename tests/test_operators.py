@@ -601,3 +601,60 @@ def test_visible_subtrees(spark):
     df = table(spark, [("screen", "", [], [("list", "", [], [("text", "", [], [])]), ("text", "", [], [])])])
     left = native.filter_visible(df.withColumn("visible", F.col("role") != "list"))
     assert [r["role"] for r in left.orderBy("node_id").collect()] == ["screen", "text"]
+
+
+def test_states_are_aggregates_of_spark(spark, tmp_path):
+    """No call of Python a run or session; evidence that is given twice counts twice; late and simultaneous snapshots."""
+    from screenloom.streaming.jobs import rocksdb, stream_evaluate_table, stream_ref_table
+
+    wanted = spark.createDataFrame([("m", "t", "e", None, "button", "", 1)] * 2 + [("m", "t", "f", "c", "", "x", 2), ("n", "t", "e", "c", "", "", 1)], EVIDENCE_SCHEMA)
+    shots = spark.createDataFrame([("m", f"r{k}", "web", "transformed", "llm_input", k, "text/yaml", '- button "x":\n  - text "x"') for k in range(3)], "baseline_id string, run_id string, plugin string, stage string, source string, ts long, content_type string, content string")
+    files.write_captures(shots, str(tmp_path / "c"))
+    got = []
+    with rocksdb(spark):
+        run = stream_evaluate_table(spark, str(tmp_path / "c"), str(tmp_path / "s1"), wanted, lambda df, k: got.extend((r["run_id"], r["passed"], r["total"]) for r in df.collect()))
+        run.awaitTermination()
+    assert sorted(got) == [("r0", 3, 3), ("r1", 3, 3), ("r2", 3, 3)]
+    assert run.lastProgress["stateOperators"][0]["operatorName"] == "stateStoreSave"
+    line = lambda k: f'- button "a b" [ref=n{k}] [bounds=1,2,3,{k}]'
+    seen = []
+    for part in ([(1, 5, line(1)), (2, 5, None)], [(1, 4, line(2)), (2, 5, f"{line(3)}\n- text\n{line(4)}")]):
+        spark.createDataFrame(part, "session long, ts long, snapshot string").select("session", F.timestamp_seconds("ts").alias("ts"), "snapshot").write.mode("append").parquet(str(tmp_path / "in"))
+        with rocksdb(spark):
+            stream = stream_ref_table(spark.readStream.schema("session long, ts timestamp, snapshot string").parquet(str(tmp_path / "in")))
+            sink = lambda df, k: seen.append({r["session"]: [tuple(x) for x in r["refs"]] for r in df.collect()})
+            run = stream.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "s2")).trigger(availableNow=True).start()
+            run.awaitTermination()
+    assert [s for s in seen if s] == [{1: [("n1", 1, 2, 3, 1)], 2: []}, {1: [("n1", 1, 2, 3, 1)], 2: [("n3", 1, 2, 3, 3), ("n4", 1, 2, 3, 4)]}]
+    assert run.lastProgress["stateOperators"][0]["operatorName"] == "stateStoreSave"
+
+
+def test_files_of_screens_are_bounded(spark, sf, monkeypatch):
+    from pathlib import Path
+
+    from screenloom.plans import native_queries
+    from screenloom.plans.registry import QUERIES
+
+    monkeypatch.setattr(native_queries, "SCREENS_A_FILE", 100)
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.rglob("part-*.txt"))
+    assert QUERIES["f2_register_source"](spark, sf).count() > 0
+    sizes = [p.read_text().count("\n") for p in set(root.rglob("part-*.txt")) - before]
+    assert sum(sizes) == spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count() and max(sizes) <= 100
+
+
+def test_partitions_follow_the_input_and_cuts_are_worked_out_once(spark, sf):
+    from screenloom.cut import cut, dealt
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    assert dealt(lines, "l_orderkey", each=10_000).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+    assert dealt(lines, "l_orderkey").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(k):
+        seen.add(1)
+        return k
+
+    kept = cut(spark.range(100).select(counted("id").alias("id")))
+    assert seen.value == 100 and kept.agg(F.sum("id")).first()[0] == 4950 and seen.value == 100
