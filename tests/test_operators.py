@@ -658,3 +658,23 @@ def test_partitions_follow_the_input_and_cuts_are_worked_out_once(spark, sf):
 
     kept = cut(spark.range(100).select(counted("id").alias("id")))
     assert seen.value == 100 and kept.agg(F.sum("id")).first()[0] == 4950 and seen.value == 100
+
+
+def test_partitions_follow_the_rows_of_a_small_file(spark, tmp_path):
+    from screenloom.cut import dealt
+
+    spark.range(200_000).select((F.col("id") * 0).alias("same"), F.lit("x").alias("text")).write.parquet(f"{tmp_path}/same")
+    same = spark.read.parquet(f"{tmp_path}/same")
+    assert dealt(same, "same", rows=1000).rdd.getNumPartitions() == 200
+
+
+def test_class_is_decided_once_a_node(spark):
+    from screenloom.operators import native
+
+    no, empty = F.lit(False), F.lit("")
+    raw = spark.createDataFrame([("a.b.MyListView",), ("RadioButton",), ("CardViewDialog",), ("Nothing",), (None,), ("x.DecorView",)], "class_name string")
+    raw = raw.select("*", *(empty.alias(c) for c in ("text", "content_desc")), *(no.alias(c) for c in ("clickable", "long_clickable", "touch_override", "scrollable", "editable")))
+    found = native.with_roles(raw)
+    assert [r[0] for r in found.select("decision.source").collect()] == ["class:list", "class:radio", "class:card", "generic-fallback", "generic-fallback", "class:root"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("substring_index") == 1, plan
