@@ -61,13 +61,19 @@ def write_captures(df: DataFrame, root: str) -> None:
 
 
 def write_evaluation(counts: DataFrame, targets: DataFrame, results: DataFrame, summary: DataFrame, root: str) -> None:
-    """One JSON line per run: summary, counts, and targets with their evidence, partitioned by baseline."""
+    """One JSON line per run: summary, counts, and targets with their evidence, partitioned by baseline.
+
+    Everything is gathered by run, so that tables which are dealt by run stay where they are: evidence finds its target within the run.
+    """
     keys = ["baseline_id", "run_id"]
-    evidence = results.groupBy(*keys, "target_id").agg(F.sort_array(F.collect_list(F.struct("evidence_id", "capability", "role", "name", "min_count", "actual_count", "status"))).alias("evidenceResults"))
-    t = targets.join(evidence, [*keys, "target_id"], "left").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("target_id", "passed", "total", "score", "status", "evidenceResults"))).alias("targetResults"))
+    evidence = results.groupBy(*keys, "target_id").agg(F.sort_array(F.collect_list(F.struct("evidence_id", "capability", "role", "name", "min_count", "actual_count", "status"))).alias("_list"))
+    evidence = evidence.where("target_id IS NOT NULL").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("target_id", "_list"))).alias("_evidence"))
+    t = targets.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("target_id", "passed", "total", "score", "status"))).alias("_targets"))
     c = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("target_id", "role", "name", "min_count", "actual_count", "status"))).alias("countResults"))
     s = summary.select(*keys, F.struct(*(x for x in summary.columns if x not in keys)).alias("summary"))
-    s.join(c, keys, "left").join(t, keys, "left").write.mode("overwrite").partitionBy("baseline_id").json(root)
+    told = s.join(c, keys, "left").join(t, keys, "left").join(evidence, keys, "left")
+    with_evidence = F.transform("_targets", lambda x: x.withField("evidenceResults", F.try_element_at("_evidence", x["target_id"])))
+    told.select(*keys, "summary", "countResults", with_evidence.alias("targetResults")).write.mode("overwrite").partitionBy("baseline_id").json(root)
 
 
 def read_testsets(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

@@ -678,3 +678,21 @@ def test_class_is_decided_once_a_node(spark):
     assert [r[0] for r in found.select("decision.source").collect()] == ["class:list", "class:radio", "class:card", "generic-fallback", "generic-fallback", "class:root"]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("substring_index") == 1, plan
+
+
+def test_evaluations_keep_evidence_with_its_target(spark, tmp_path):
+    from screenloom.cut import dealt
+    from screenloom.sources import files
+
+    keys = ["baseline_id", "run_id"]
+    rows = [(0, 1, "a", "e1", "c", "button", "", 1, 2, "PASS"), (0, 1, "a", "e2", "c", "list", "", 1, 0, "FAIL"), (0, 1, "b", "e3", "c", "list", "", 1, 1, "PASS"), (1, 2, None, "e4", "c", "list", "", 1, 1, "PASS")]
+    found = spark.createDataFrame(rows, "baseline_id int, run_id long, target_id string, evidence_id string, capability string, role string, name string, min_count int, actual_count long, status string")
+    found.write.parquet(f"{tmp_path}/found")
+    results = dealt(spark.read.parquet(f"{tmp_path}/found"), *keys)
+    targets = evaluate.score_targets(results)
+    summary = results.select(*keys).distinct().withColumn("status", F.lit("PASS"))
+    files.write_evaluation(results, targets, results, summary, f"{tmp_path}/out")
+    back = {(r.baseline_id, r.run_id): r for r in spark.read.json(f"{tmp_path}/out").collect()}
+    first = back[0, 1].targetResults
+    assert [(t.target_id, t.passed, [e.evidence_id for e in t.evidenceResults]) for t in first] == [("a", 1, ["e1", "e2"]), ("b", 1, ["e3"])]
+    assert [(t.target_id, t.passed, t.evidenceResults) for t in back[1, 2].targetResults] == [(None, 1, None)]
