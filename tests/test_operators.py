@@ -696,3 +696,15 @@ def test_evaluations_keep_evidence_with_its_target(spark, tmp_path):
     first = back[0, 1].targetResults
     assert [(t.target_id, t.passed, [e.evidence_id for e in t.evidenceResults]) for t in first] == [("a", 1, ["e1", "e2"]), ("b", 1, ["e3"])]
     assert [(t.target_id, t.passed, t.evidenceResults) for t in back[1, 2].targetResults] == [(None, 1, None)]
+
+
+def test_coverage_works_its_results_out_once(spark, sf):
+    from screenloom.plans import native_queries  # noqa: F401
+    from screenloom.plans.registry import QUERIES
+
+    # one scan of the lines, and nothing written in between (before: two scans of what was written)
+    plan = QUERIES["a4_capability_coverage"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan ") == 1 and "lineitem" in plan and "cut-" not in plan
+    results = spark.createDataFrame([("a", 1, "PASS"), ("a", 2, "FAIL"), ("", 1, "PASS"), (None, None, "PASS"), (None, None, "FAIL")], "capability string, baseline_id int, status string")
+    found = sorted(map(tuple, evaluate.capability_coverage(results).collect()), key=str)
+    assert found == sorted([("a", 1, 1, 1), ("a", 2, 0, 1), ("a", None, 1, 2), ("default", 1, 1, 1), ("default", None, 1, 2), ("default", None, 2, 3)], key=str)
