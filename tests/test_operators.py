@@ -708,3 +708,14 @@ def test_coverage_works_its_results_out_once(spark, sf):
     results = spark.createDataFrame([("a", 1, "PASS"), ("a", 2, "FAIL"), ("", 1, "PASS"), (None, None, "PASS"), (None, None, "FAIL")], "capability string, baseline_id int, status string")
     found = sorted(map(tuple, evaluate.capability_coverage(results).collect()), key=str)
     assert found == sorted([("a", 1, 1, 1), ("a", 2, 0, 1), ("a", None, 1, 2), ("default", 1, 1, 1), ("default", None, 1, 2), ("default", None, 2, 3)], key=str)
+
+
+@pytest.mark.parametrize("name", """t1_number_preorder t12_fuse t9_assign_refs s6_parse_snapshots a1_evaluate_counts j1_match_evidence a4_capability_coverage
+a2_score_targets j5_extract_ref_bounds t14_role_histogram t8_has_executable_descendant t3_fold_generic""".split())
+def test_screens_are_dealt_once_by_their_lines(spark, sf, name):
+    from screenloom.plans import native_queries, page_queries  # noqa: F401
+    from screenloom.plans.registry import QUERIES
+
+    # lines are shuffled once, into a number of partitions of their own that AQE leaves alone
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and plan.count("REPARTITION_BY_NUM") == 1
