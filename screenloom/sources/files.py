@@ -73,7 +73,12 @@ def write_evaluation(counts: DataFrame, targets: DataFrame, results: DataFrame,
     s = summary.select(*keys, F.struct(*(x for x in summary.columns if x not in keys)).alias("summary"))
     told = s.join(c, keys, "left").join(t, keys, "left").join(evidence, keys, "left")
     with_evidence = F.transform("_targets", lambda x: x.withField("evidenceResults", F.try_element_at("_evidence", x["target_id"])))
-    told.select(*keys, "summary", "countResults", with_evidence.alias("targetResults")).write.mode("overwrite").partitionBy("baseline_id").json(root)
+    write_evaluated(told.select(*keys, "summary", "countResults", with_evidence.alias("targetResults")), root)
+
+
+def write_evaluated(runs: DataFrame, root: str) -> None:
+    """Rows of ``evaluate_runs`` as JSON lines, partitioned by baseline. They name each other's evidence over and over, so files are gzipped."""
+    runs.write.mode("overwrite").option("compression", "gzip").partitionBy("baseline_id").json(root)
 
 
 def read_testsets(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

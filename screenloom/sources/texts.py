@@ -35,6 +35,16 @@ def snapshot_nodes(text: Column) -> Column:
     return F.transform(_said(F.coalesce(text, F.lit(""))), lambda x: F.struct(_role(x["line"]).alias("role"), _name(x["line"]).alias("name")))
 
 
+def artifact_nodes(artifacts: DataFrame) -> DataFrame:
+    """``baseline_id, run_id, role, name`` of the nodes of artifacts that hold a snapshot, and ``schema_status`` on the first of an artifact.
+
+    An artifact without nodes has a row with a null role, so that none is lost.
+    """
+    shown = F.when((F.col("type") == "llm_input") & (F.col("schema_status") == "PASS"), snapshot_nodes(F.col("content")))
+    rows = artifacts.select("baseline_id", "run_id", "schema_status", F.posexplode_outer(shown).alias("pos", "node"))
+    return rows.select("baseline_id", "run_id", "node.role", "node.name", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("schema_status")).alias("schema_status"))
+
+
 def _lines(df: DataFrame, key: list[str], text: str) -> DataFrame:
     """Lines of annotations: comments and blank ones gone; indent, whether an item begins, key and value."""
     rows = df.select(*key, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("pos", "line"))

@@ -719,3 +719,39 @@ def test_screens_are_dealt_once_by_their_lines(spark, sf, name):
     # lines are shuffled once, into a number of partitions of their own that AQE leaves alone
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and plan.count("REPARTITION_BY_NUM") == 1
+
+
+def test_evaluations_in_one_pass_are_those_of_the_operators(spark, tmp_path):
+    """Runs without nodes, baselines without evidence, evidence twice or without target, artifacts that fail or hold nothing."""
+    keys = ["baseline_id", "run_id"]
+    snap = '- screen:\n  - button "go"\n  - button "stop"\n  - list "go":\n    - listitem\n  - button "go"'
+    shots = [("m", "r1", "llm_input", "PASS", snap), ("m", "r1", "llm_input", "PASS", '- text "x"'), ("m", "r2", "llm_input", "PASS", ""), ("m", "r3", "raw_xml", "PASS", snap), ("m", "r4", "llm_input", "FAIL", snap), ("m", "r4", "llm_input", "PASS", snap), ("n", "r1", "llm_input", "PASS", snap), ("o", "r1", "llm_input", "PASS", snap)]
+    artifacts = spark.createDataFrame(shots, "baseline_id string, run_id string, type string, schema_status string, content string")
+    pieces = [("m", "t", "e2", "c", "button", "go", 2), ("m", "t", "e1", None, "", "go", 3), ("m", "t", "e1", None, "", "go", 3), ("m", "a", "e", "", "", "", 6), ("m", None, "e", "", "list", "", 1), ("m", "t", None, "", "list", "stop", 1), ("o", "t", "e", "", "button", "", None)]
+    wanted = spark.createDataFrame(pieces, EVIDENCE_SCHEMA)
+    counted = spark.createDataFrame([("m", "c2", "button", "stop", 1), ("m", "c1", "listitem", "", 2), ("n", "c", "", "go", 1)], "baseline_id string, target_id string, role string, name string, min_count int")
+
+    nodes = texts.parse_snapshots(artifacts.where("type = 'llm_input' AND schema_status = 'PASS'"), keys, "content")
+    runs = artifacts.select(*keys).distinct()
+    counts, results = (evaluate.evaluate_counts(evaluate.match_evidence(nodes, asked, runs)) for asked in (counted, wanted))
+    targets = evaluate.score_targets(results)
+    files.write_evaluation(counts, targets, results, evaluate.summarize_run(artifacts, counts, targets), f"{tmp_path}/apart")
+    files.write_evaluated(evaluate.evaluate_runs(texts.artifact_nodes(artifacts), counted, wanted), f"{tmp_path}/once")
+    apart, once = (sorted((tuple(r) for r in spark.read.text(f"{tmp_path}/{d}").select("baseline_id", "value").collect())) for d in ("apart", "once"))
+    assert len(once) == 6 and once == apart and any('"score":' in text and '"status":"PASS"' in text for _, text in once)
+
+
+@pytest.mark.parametrize("name", ["e2_capture_evaluation"])
+def test_evaluations_write_only_what_they_are_asked_to(spark, sf, name):
+    """Nothing is settled in between, and what is written is compressed (before: two or three tables, and JSON in plain text)."""
+    from pathlib import Path
+
+    from screenloom.plans import page_queries  # noqa: F401
+    from screenloom.plans.registry import QUERIES
+
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.rglob("*"))
+    assert QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count()
+    new = set(root.rglob("*")) - before
+    assert not [p for p in new if p.name.startswith("cut-")]
+    assert {"".join(p.suffixes[-2:]) for p in new if p.name.startswith("part-")} == {".json.gz"} | ({".snappy.parquet"} if name.startswith("e2") else set())
