@@ -741,7 +741,7 @@ def test_evaluations_in_one_pass_are_those_of_the_operators(spark, tmp_path):
     assert len(once) == 6 and once == apart and any('"score":' in text and '"status":"PASS"' in text for _, text in once)
 
 
-@pytest.mark.parametrize("name", ["e2_capture_evaluation"])
+@pytest.mark.parametrize("name", ["w2_write_evaluation", "e2_capture_evaluation"])
 def test_evaluations_write_only_what_they_are_asked_to(spark, sf, name):
     """Nothing is settled in between, and what is written is compressed (before: two or three tables, and JSON in plain text)."""
     from pathlib import Path
@@ -755,3 +755,12 @@ def test_evaluations_write_only_what_they_are_asked_to(spark, sf, name):
     new = set(root.rglob("*")) - before
     assert not [p for p in new if p.name.startswith("cut-")]
     assert {"".join(p.suffixes[-2:]) for p in new if p.name.startswith("part-")} == {".json.gz"} | ({".snappy.parquet"} if name.startswith("e2") else set())
+
+
+def test_runs_are_evaluated_where_their_nodes_are(spark, sf):
+    """Runs of dealt screens aren't shuffled again: what is asked is broadcast."""
+    from screenloom.plans.native_queries import evidence, run_nodes
+
+    told = evaluate.evaluate_runs(run_nodes(spark, sf).withColumn("schema_status", F.lit("PASS")), evidence(spark), evidence(spark))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and "Exchange hashpartitioning(run_id" not in plan and "run_id#" not in "".join(x for x in plan.splitlines() if "Exchange hash" in x), plan
