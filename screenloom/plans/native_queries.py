@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -602,8 +602,8 @@ def f1(spark, sf):
     return icons.apply_vision_model(c, model).select("request_id", "raw_text", "error")
 
 
-#: Screens in a file of ``f2_register_source``.
-SCREENS_A_FILE = 4000
+#: Screens in a file of ``f2_register_source``, and bytes of XML in a partition where its trees are read: as many nodes as in one of ``dealt``.
+SCREENS_A_FILE, XML_BYTES = 4000, 12_000_000
 
 
 @query("f2_register_source", "SELECT tree_id, node_id, parent_id, role, name FROM folded")
@@ -612,19 +612,20 @@ def f2(spark, sf):
     from screenloom.cut import shared_folder
     from screenloom.sources import captures, files, markup
 
-    root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    lines = markup.native_xml(V.screen_nodes(spark, sf)).select("tree_id", F.concat(F.col("tree_id").cast("string"), F.lit("\t"), "xml").alias("value"))
-    # a capture is read whole, so a file holds no more screens than a task can: some 10 MB
-    lines.select("value").write.option("maxRecordsPerFile", SCREENS_A_FILE).text(f"{root}/captures/screens/runs/r1/native/raw")
+    root, written = f"{shared_folder(spark)}/{uuid.uuid4().hex}", Observation()
+    lines = markup.native_xml(V.screen_nodes(spark, sf), brief=True).select(F.concat(F.col("tree_id").cast("string"), F.lit("\t"), "xml").alias("value"))
+    # a capture is read whole, so a file holds no more screens than a task can: some megabytes
+    lines.observe(written, F.sum(F.octet_length("value")).alias("size")).write.option("maxRecordsPerFile", SCREENS_A_FILE).text(f"{root}/captures/screens/runs/r1/native/raw")
     captures.register(spark)
+    partitions = max(spark.sparkContext.defaultParallelism, -(-(written.get["size"] or 0) // XML_BYTES))
 
     def to_nodes(df: DataFrame) -> DataFrame:
         rows = df.select(F.explode(F.split("content", "\n")).alias("line")).where("line <> ''")
         xml = rows.select(F.substring_index("line", "\t", 1).cast("long").alias("tree_id"), F.substring_index("line", "\t", -1).alias("xml"))
-        return native.semantic_nodes(markup.read_native_trees(xml))
+        return native.semantic_nodes(markup.read_native_trees(xml, partitions=partitions))
 
     files.register_source("screens", to_nodes)
-    found = spark.read.format("captures").option("partitionBytes", "4000000").load(root).where("plugin = 'native' AND stage = 'raw'")
+    found = spark.read.format("captures").load(root).where("plugin = 'native' AND stage = 'raw'")
     return files.read_source("screens", found).select("tree_id", "node_id", "parent_id", "role", "name")
 
 

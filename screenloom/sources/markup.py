@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -107,25 +106,24 @@ def first_of_each(names: Column, values: Column) -> Column:
     return let(F.struct(names.alias("names"), values.alias("values")), pairs)
 
 
-#: What is read of a view's tag as text, and the schema of its node before boxes and roles.
+#: What is read of a view's tag as text, and the schema of its node before boxes and roles: texts as they stand in the tag, between
+#: quotes, and flags as bits. Trees of so few values take little room in a shuffle.
 SAID = ["class", "resource-id", "text", "desc", "content-desc", "hint", "bounds"]
-VIEWS = "array<struct<depth:int,path:array<int>,sibling_pos:int,said:array<string>,flags:array<boolean>>>"
+VIEWS = "array<struct<depth:int,path:array<int>,sibling_pos:int,said:string,flags:int>>"
 
 
-def view_values(tag: str) -> tuple[list[str], list[bool]]:
-    """The texts ``SAID`` and the flags of a tag: between its quotes stand its values, and before each its name."""
+def view_values(tag: str) -> tuple[str, int]:
+    """The texts ``SAID`` of a tag, joined by quotes, and its flags: between its quotes stand its values, and before each its name."""
     parts = tag.split('"')
     given: dict[str, str] = {}
     for k in range(0, len(parts) - 1, 2):
         given.setdefault(parts[k].removeprefix("<node").strip(), parts[k + 1])
-    said = [given.get(f"{name}=", "") for name in SAID]
-    if "&" in tag:
-        said = [reduce(lambda text, pair: text.replace(*pair), REFERENCES, text) if "&" in text else text for text in said]
-    flags = []
-    for column in RAW_FLAGS:
+    flags = 0
+    for k, column in enumerate(RAW_FLAGS):
         value = given.get(f"{FLAG_NAMES.get(column, column)}=", "")
-        flags.append(value.lower() == "true" if value else column == "enabled")
-    return said, flags
+        if value.lower() == "true" if value else column == "enabled":
+            flags |= 1 << k
+    return '"'.join([given.get(f"{name}=", "") for name in SAID]), flags
 
 
 def views(ids: pa.Array, texts: pa.Array, max_depth: int | None) -> pa.Array:
@@ -152,37 +150,56 @@ def views(ids: pa.Array, texts: pa.Array, max_depth: int | None) -> pa.Array:
         sizes.append(len(said))
     places = ancestors(pa.array(depths, pa.list_(pa.int32()))).flatten()
     depth = pa.array([d for own in depths for d in own], pa.int32())
-    rows = pa.StructArray.from_arrays([depth, *places.flatten(), pa.array(said, pa.list_(pa.string())), pa.array(flags, pa.list_(pa.bool_()))], ["depth", "path", "sibling_pos", "said", "flags"])
+    rows = pa.StructArray.from_arrays([depth, *places.flatten(), pa.array(said, pa.string()), pa.array(flags, pa.int32())], ["depth", "path", "sibling_pos", "said", "flags"])
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows)
 
 
-def read_native_trees(df: DataFrame, tree_id: str = "tree_id", xml: str = "xml", max_depth: int | None = None) -> DataFrame:
-    """View hierarchies in XML to raw nodes. Blank texts give none; tags that don't match, or don't end, are an error."""
+def read_native_trees(df: DataFrame, tree_id: str = "tree_id", xml: str = "xml", max_depth: int | None = None, partitions: int | None = None) -> DataFrame:
+    """View hierarchies in XML to raw nodes. Blank texts give none; tags that don't match, or don't end, are an error.
+
+    With ``partitions`` trees are dealt into so many by their id while each is still one row: their nodes, which take far more
+    room in a shuffle, then stay where they are.
+    """
     tags = F.regexp_extract_all(F.col(xml), F.lit(r'(<node\b[^<>"]*+(?:"[^<"]*+"[^<>"]*+)*+>|</node>|<node\b)'), 1)
 
     @F.arrow_udf(VIEWS)
     def found(ids: pa.Array, texts: pa.Array) -> pa.Array:
         return views(ids, texts, max_depth)
 
-    rows = df.select(F.col(tree_id).alias("tree_id"), F.posexplode(found(F.col(tree_id).cast("string"), tags)).alias("node_id", "n")).select("tree_id", "node_id", "n.*")
+    trees = df.select(F.col(tree_id).alias("tree_id"), found(F.col(tree_id).cast("string"), tags).alias("_views"))
+    if partitions:
+        trees = trees.repartition(partitions, "tree_id")
+    rows = trees.select("tree_id", F.posexplode("_views").alias("node_id", "n")).select("tree_id", "node_id", "n.*")
+    # references are read in one place: in each text's column they would make code too long for the JVM to compile
+    words = F.split("said", '"')
+    rows = rows.withColumn("said", F.when(F.contains("said", F.lit("&")), F.transform(words, decoded)).otherwise(words))
     text = {name: F.get("said", F.lit(k)) for k, name in enumerate(SAID)}
     desc = F.coalesce(F.nullif(text["desc"], F.lit("")), text["content-desc"])
     return rows.select(
         "tree_id", "node_id", F.try_element_at("path", F.lit(-1)).alias("parent_id"), "depth", "path", "sibling_pos", text["class"].alias("class_name"), text["resource-id"].alias("resource_id"),
-        text["text"].alias("text"), desc.alias("content_desc"), text["hint"].alias("hint"), geometry.parse_bounds(text["bounds"]).alias("bounds"), *(F.get("flags", F.lit(k)).alias(c) for k, c in enumerate(RAW_FLAGS)),
+        text["text"].alias("text"), desc.alias("content_desc"), text["hint"].alias("hint"), geometry.parse_bounds(text["bounds"]).alias("bounds"), *((F.col("flags").bitwiseAND(1 << k) != 0).alias(c) for k, c in enumerate(RAW_FLAGS)),
     )
 
 
-def native_xml(raw: DataFrame) -> DataFrame:
-    """``tree_id`` and the ``xml`` of its raw nodes: what ``read_native_trees`` reads."""
+def native_xml(raw: DataFrame, brief: bool = False) -> DataFrame:
+    """``tree_id`` and the ``xml`` of its raw nodes: what ``read_native_trees`` reads.
+
+    With ``brief`` what a reader takes for missing is left out: empty texts, flags that don't differ from their default, and
+    closing tags of views without children. The nodes that are read again are the same.
+    """
     following = F.lead("depth").over(W.partitionBy("tree_id").orderBy("node_id"))
     b = F.col("bounds")
-    text = lambda name, c: F.concat(F.lit(f' {name}="'), encoded(F.col(c)), F.lit('"'))
-    flags = [F.concat(F.lit(f' {FLAG_NAMES.get(c, c)}="'), F.col(c).cast("string"), F.lit('"')) for c in RAW_FLAGS]
+    told = lambda name, c: F.concat(F.lit(f' {name}="'), c, F.lit('"'))
+    unless = lambda usual, c, said: F.when(F.col(c) != F.lit(usual), said).otherwise("") if brief else said
+    text = lambda name, c: unless("", c, told(name, encoded(F.col(c))))
+    flags = [unless(c == "enabled", c, told(FLAG_NAMES.get(c, c), F.col(c).cast("string"))) for c in RAW_FLAGS]
     box = F.when(b.isNotNull(), F.concat(F.lit(' bounds="['), b["left"].cast("string"), F.lit(","), b["top"].cast("string"), F.lit("]["), b["right"].cast("string"), F.lit(","), b["bottom"].cast("string"), F.lit(']"'))).otherwise("")
-    tag = F.concat(F.lit("<node"), text("class", "class_name"), text("resource-id", "resource_id"), text("text", "text"), text("content-desc", "content_desc"), text("hint", "hint"), box, *flags, F.lit(">"))
-    line = F.concat(tag, F.repeat(F.lit("</node>"), F.col("depth") - F.coalesce(following, F.lit(0)) + 1))
-    lined = raw.withColumn("line", F.when(following > F.col("depth"), tag).otherwise(line))
+    tag = F.concat(F.lit("<node"), text("class", "class_name"), text("resource-id", "resource_id"), text("text", "text"), text("content-desc", "content_desc"), text("hint", "hint"), box, *flags)
+    # a view's tag is named once: what ends it depends on what follows
+    up = F.col("depth") - F.coalesce(following, F.lit(0))
+    own = F.lit("/>") if brief else F.lit("></node>")
+    end = F.when(following > F.col("depth"), ">").otherwise(F.concat(own, F.repeat(F.lit("</node>"), up)))
+    lined = raw.withColumn("line", F.concat(tag, end))
     lines = F.sort_array(F.collect_list(F.struct("node_id", "line")))
     return lined.groupBy("tree_id").agg(F.concat(F.lit("<hierarchy>"), F.array_join(F.transform(lines, lambda x: x["line"]), ""), F.lit("</hierarchy>")).alias("xml"))
 

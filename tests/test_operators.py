@@ -764,3 +764,37 @@ def test_runs_are_evaluated_where_their_nodes_are(spark, sf):
     told = evaluate.evaluate_runs(run_nodes(spark, sf).withColumn("schema_status", F.lit("PASS")), evidence(spark), evidence(spark))
     plan = told._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and "Exchange hashpartitioning(run_id" not in plan and "run_id#" not in "".join(x for x in plan.splitlines() if "Exchange hash" in x), plan
+
+
+def test_brief_views_are_read_as_whole_ones(spark):
+    """What is left out is what a reader takes for missing; quotes and references stay apart from what separates texts."""
+    from screenloom.schema import BOUNDS, RAW_FLAGS
+
+    rows = [(1, 0, None, 0, []), (1, 1, 0, 1, [0]), (1, 2, 1, 2, [0, 1]), (1, 3, 0, 1, [0]), (2, 0, None, 0, [])]
+    texts_ = ["", 'a "b" &quot; c', "&amp;lt; <x>\n&", '"', ""]
+    raw = [(*r, f"c.{k}" if k else "", texts_[k], texts_[-1 - k], texts_[k - 2], texts_[k - 1], (k, -1, 3, 4) if k % 2 else None, *((k + n) % 3 == 0 for n in range(len(RAW_FLAGS)))) for k, r in enumerate(rows)]
+    schema = f"tree_id long, node_id int, parent_id int, depth int, path array<int>, class_name string, resource_id string, text string, content_desc string, hint string, bounds {BOUNDS}, {', '.join(f'{c} boolean' for c in RAW_FLAGS)}"
+    df = spark.createDataFrame(raw, schema)
+    whole, brief = markup.native_xml(df), markup.native_xml(df, brief=True)
+    size = lambda x: x.agg(F.sum(F.length("xml"))).first()[0]
+    assert size(brief) < 0.6 * size(whole) and brief.where("tree_id = 2").first()["xml"].count("<node") == 1
+    given = sorted(map(str, df.collect()))
+    for printed in (whole, brief):
+        for partitions in (None, 3):
+            back = markup.read_native_trees(printed, partitions=partitions)
+            assert sorted(map(str, back.select(*df.columns).collect())) == given
+
+
+def test_a_source_of_screens_is_written_briefly_and_read_in_place(spark, sf):
+    """Some 100 bytes of XML a node (before: 415), and nodes that aren't shuffled once their tree was."""
+    from pathlib import Path
+
+    from screenloom.plans import native_queries  # noqa: F401
+    from screenloom.plans.registry import QUERIES
+
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.rglob("part-*.txt"))
+    found = QUERIES["f2_register_source"](spark, sf)
+    assert sum(p.stat().st_size for p in set(root.rglob("part-*.txt")) - before) < 150 * found.count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in plan, plan
